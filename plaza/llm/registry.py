@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from plaza.llm import chat, exact_dedup
+from plaza.llm import bands, chat, exact_dedup, packing, repair
 
 QUERIES = {
+    "op2_best_fit_packing": packing,
     "op3_exact_dedup": exact_dedup,
+    "op7_repair_tokens": repair,
+    "op8_compression_bands": bands,
     "op9_chat_format": chat,
 }
 
