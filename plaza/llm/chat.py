@@ -59,29 +59,32 @@ def render(turns: Column, level) -> Column:
 
 def parse(formatted: Column) -> Column:
     """Turns (role, text, level, body_chars, head_chars) of a formatted conversation; null if it is not valid."""
-    pieces = F.split(formatted, CONTROL, -1)
-
-    def one(k):
-        return F.element_at(pieces, (k * 3).cast("int"))
 
     def turn(payload):
-        head = F.regexp_extract(payload, HEAD, 0)
-        level = F.regexp_extract(payload, HEAD, 2)
-        body = F.substr(payload, F.char_length(head) + 1)
+        return bind(F.regexp_extract(payload, HEAD, 0), lambda head: whole(payload, head))
+
+    def whole(payload, head):
+        level = F.substr(head, F.char_length(head) - 1, F.lit(1))
         return F.struct(
-            unescape(F.regexp_extract(payload, HEAD, 1), ROLE).alias("role"),
-            F.when(level == "1", unescape(body)).otherwise(body).alias("text"),
+            unescape(F.regexp_extract(head, HEAD, 1), ROLE).alias("role"),
+            bind(F.substr(payload, F.char_length(head) + 1), lambda body: F.when(level == "1", unescape(body)).otherwise(body)).alias("text"),
             level.alias("level"),
             F.char_length(head).alias("head_chars"),
-            F.char_length(body).alias("body_chars"),
+            (F.char_length(payload) - F.char_length(head)).alias("body_chars"),
         )
 
-    n = F.size(pieces)
-    numbers = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((n - 1) / 3).cast("int")))
-    payloads = F.transform(numbers, one)
-    heads = F.forall(payloads, lambda p: p.rlike(HEAD))
-    empties = F.size(F.filter(pieces, lambda p, i: (i % 3 != 2) & (p != ""))) == 0
-    return F.when((n > 1) & (n % 3 == 1) & empties & heads, F.transform(payloads, turn))
+    def checked(pieces):
+        n = F.size(pieces)
+        payloads = F.filter(pieces, lambda p, i: i % 3 == 2)
+        empties = ~F.exists(F.transform(pieces, lambda p, i: (i % 3 != 2) & (p != "")), lambda x: x)
+        return F.when((n > 1) & (n % 3 == 1) & empties & F.forall(payloads, lambda p: p.rlike(HEAD)), F.transform(payloads, turn))
+
+    return bind(F.split(formatted, CONTROL, -1), checked)
+
+
+def bind(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, also where ``then`` loops over it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def _same(parsed: Column, turns: Column) -> Column:
@@ -96,7 +99,7 @@ def conversations_of(rows: DataFrame) -> DataFrame:
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans (start, chars, level): the assistant bodies under the loss mask, in code points."""
+    """conv_id, formatted, loss_spans (turn, start, chars, level): the assistant bodies under the loss mask, in code points."""
     plain = conversations_of(rows).withColumn("formatted", render(F.col("turns"), lambda t: F.lit(0)))
     some = lambda t: F.when(t["text"].rlike(CONTROL), 1).otherwise(0)
     once = plain.withColumn("formatted", F.when(_same(parse(F.col("formatted")), F.col("turns")), F.col("formatted")).otherwise(render(F.col("turns"), some)))
@@ -107,14 +110,15 @@ def format_chats(rows: DataFrame) -> DataFrame:
 def loss_spans(formatted: Column) -> Column:
     """Where the bodies of assistant turns stand in ``formatted``."""
     opening, closing = len("<s>[INST"), len("</s>")
-    empty = F.array().cast("array<struct<start:int,chars:int,level:string>>")
+    empty = F.array().cast("array<struct<turn:int,start:int,chars:int,level:string>>")
 
     def step(acc, t):
         start = acc["at"] + opening + t["head_chars"]
-        span = F.array(F.struct(start.alias("start"), t["body_chars"].alias("chars"), t["level"].alias("level")))
-        return F.struct((start + t["body_chars"] + closing).alias("at"), F.when(t["role"] == "assistant", F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        number = acc["turn"] + 1
+        span = F.array(F.struct(number.alias("turn"), start.alias("start"), t["body_chars"].alias("chars"), t["level"].alias("level")))
+        return F.struct(number.alias("turn"), (start + t["body_chars"] + closing).alias("at"), F.when(t["role"] == "assistant", F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(parse(formatted), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    return F.aggregate(parse(formatted), F.struct(F.lit(0).alias("turn"), F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -122,11 +126,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
     rows = formatted.withColumn("turns", parse(F.col("formatted")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
 
-    def under(s):
-        text = F.substr(F.col("formatted"), s["start"] + 1, s["chars"])
-        return F.when(s["level"] == "1", unescape(text)).otherwise(text)
+    def masked(turns):
+        return F.array_join(F.transform("loss_spans", lambda s: F.element_at(turns, s["turn"])["text"]), "")
 
-    rows = rows.withColumn("loss", F.array_join(F.transform("loss_spans", under), ""))
+    rows = rows.withColumn("loss", bind(F.col("turns"), masked))
     return rows.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
