@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plaza.llm import bands, chat, exact_dedup, packing, repair
+from plaza.llm import bands, chat, exact_dedup, jaccard, packing, repair
 
 QUERIES = {
     "op2_best_fit_packing": packing,
     "op3_exact_dedup": exact_dedup,
+    "op4_jaccard_join": jaccard,
     "op7_repair_tokens": repair,
     "op8_compression_bands": bands,
     "op9_chat_format": chat,
