@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plaza.llm.common import cut, table
 from plaza.llm.tokens import tokenizer, vocabulary_path
@@ -94,7 +95,7 @@ def best_fit(lengths: np.ndarray, capacity=CAPACITY, most_docs=MOST_DOCS, most_c
 def pack(rows: DataFrame, capacity=CAPACITY, most_docs=MOST_DOCS, most_cost=MOST_COST, weights=WEIGHTS, rule="norm", shard_pieces=SHARD_PIECES) -> DataFrame:
     """``rows`` (doc_id, piece, length, ...) with sequence_id and offset."""
     shards = max(1, -(-rows.count() // shard_pieces))
-    schema = rows.schema
+    schema = StructType([*rows.schema.fields])
     for name in ("sequence_id", "offset"):
         schema = schema.add(name, "long")
 
