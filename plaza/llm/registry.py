@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from plaza.llm import bands, chat, exact_dedup, jaccard, packing, repair
+from plaza.llm import bands, chat, exact_dedup, jaccard, langid, packing, pii, repair, urls
 
 QUERIES = {
+    "op1_language_profiles": langid,
     "op2_best_fit_packing": packing,
     "op3_exact_dedup": exact_dedup,
     "op4_jaccard_join": jaccard,
+    "op5_url_ratio": urls,
+    "op6_pii_boosting": pii,
     "op7_repair_tokens": repair,
     "op8_compression_bands": bands,
     "op9_chat_format": chat,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -23,6 +24,16 @@ def vocabulary_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def _visible() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a visible character."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_VISIBLE = _visible()
+
+
 class _Seen(dict):
     def __init__(self):
         super().__init__()
@@ -41,6 +52,7 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.bounds = most_words, most_ids
+        self.marks = {m: [t.id for t in self.model.model.tokenize(m.decode())] for m in (b".", b",")}
         self._forget()
 
     def _forget(self):
@@ -53,19 +65,39 @@ class WordTokenizer:
 
     def _learn(self):
         for at in range(0, len(self.seen.new), 4096):
-            words = [w.decode() for w in self.seen.new[at : at + 4096]]
-            got = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+            words = self.seen.new[at : at + 4096]
+            got = [self._plain(w) for w in words]
+            odd = [k for k, x in enumerate(got) if x is None]
+            for k, e in zip(odd, self.model.encode_batch_fast([words[k].decode() for k in odd], add_special_tokens=False)):
+                got[k] = e.ids
             counts = np.fromiter(map(len, got), np.int64, len(got))
             total = int(counts.sum())
             self.flat = _room(self.flat, self.used + total)
             self.start, self.count = (_room(x, self.known + len(got)) for x in (self.start, self.count))
-            self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
             self.start[self.known : self.known + len(got)] = self.used + np.cumsum(counts) - counts
             self.count[self.known : self.known + len(got)] = counts
             self.known += len(got)
             self.used += total
         self.seen.new.clear()
 
+    def _plain(self, word: bytes) -> list[int] | None:
+        """The ids of a word of Latin letters, with one full stop or comma or none after it; None if it is another.
+
+        Such a word passes the normaliser as its lower case and the splitter whole,
+        so the model itself is asked.
+        """
+        after = self.marks.get(word[-1:], [])
+        core = word[:-1] if after else word
+        if core.isalpha():
+            text = core.lower().decode()
+        else:
+            text = core.decode()
+            if not text.isalpha() or max(text) > "\u024f" or "\u0130" in text:
+                return None
+            text = text.lower().encode().decode("latin-1").translate(_VISIBLE)
+        return [t.id for t in self.model.model.tokenize(text)] + after
+
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit arrays, with END appended; a null text has END alone."""
         if len(self.seen) > self.bounds[0] or self.used > self.bounds[1]:
@@ -73,7 +105,7 @@ class WordTokenizer:
         at = self.seen.__getitem__
         words = []
         for text in texts:
-            own = text.split() if text else []
+            own = (text if b"<|" in text else text.lower()).split() if text else []  # special tokens are matched before case is dropped
             words.append(np.fromiter(map(at, own), np.int64, len(own)))
         self._learn()
         return [self._gather(x) for x in words]
