@@ -1,9 +1,12 @@
 """Queries that apply the operators to the test tables, by name."""
 
+from plaza.probes import scalars  # noqa: F401
+from plaza.probes.base import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
