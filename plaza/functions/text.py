@@ -158,7 +158,7 @@ def escape_html(column) -> Column:
 
 
 def escape_ics(column) -> Column:
-    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), (("\\", "\\\\"), ("\n", "\\n"), (",", "\\,"), (";", "\;")), either(column))
+    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), (("\\", "\\\\"), ("\n", "\\n"), (",", "\\,"), (";", "\\;")), either(column))
 
 
 def escape_csv(column) -> Column:
