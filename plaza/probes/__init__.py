@@ -1,6 +1,6 @@
 """Queries that apply the operators to the test tables, by name."""
 
-from plaza.probes import measures, relations, scalars, verdicts  # noqa: F401
+from plaza.probes import measures, relations, scalars, snapshots, verdicts  # noqa: F401
 from plaza.probes.base import QUERIES, SQL
 
 
