@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from plaza.functions.text import either
 
@@ -44,7 +45,7 @@ def meaningful_hash(names, clocks=()) -> Column:
     return F.sha2(canonical_json([n for n in names if n not in clocks]), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sorted_json(text: pd.Series) -> pd.Series:
     """Any JSON text with keys sorted at every depth; null if it isn't JSON."""
 
