@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plaza.llm import bands, chat, exact_dedup, jaccard, langid, packing, pii, repair, urls
+from plaza.llm import bands, chat, exact_dedup, jaccard, langid, lattice, packing, pii, repair, urls
 
 QUERIES = {
     "op1_language_profiles": langid,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_repair_tokens": repair,
     "op8_compression_bands": bands,
     "op9_chat_format": chat,
+    "op10_piece_lattice": lattice,
 }
 
 
