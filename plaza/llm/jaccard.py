@@ -19,7 +19,9 @@ Steps:
 3. The classes left are ordered by document frequency of their n-grams; a prefix
    of rare n-grams must meet a partner's prefix.
 4. Each class is compared with the pivot that most of its prefix lists name.
-5. Pairs not yet connected are compared, as derived answers or exactly.
+5. The classes that may still have a link out of their group are ordered again,
+   now by all their n-grams, and pairs not yet connected are compared, as derived
+   answers or exactly.
 
 No list of an n-gram is gathered in one task; frequent ones are joined in
 parts (Spark's skew handling) after connected sets have left them.
@@ -49,7 +51,7 @@ PERCENT = 85
 COUNTED = 0.3
 #: Ids are broadcast only up to this counted number (8 bytes each).
 BROADCAST_IDS = 2_000_000
-MOST_WORDS = 2_000_000
+MOST_WORDS = 300_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _FACTORS = np.array([int.from_bytes(xxhash.xxh64_digest(str(k))) | 1 for k in range(64)], np.uint64)  # one odd number for each place in an n-gram
@@ -165,7 +167,9 @@ def _groups(docs: DataFrame, reps: DataFrame, n: int, percent: int, counted: flo
     checked = cut(_overlaps(votes, full))
     near = checked.where(_linked("o", percent)).select("a", "b", "na", "nb", "o")
     labels = cut(components(near.select("a", "b")))
-    pairs = cut(_partners(lists, labels, votes, percent))
+    rest = cut(_unsettled(lists, labels, percent))
+    fine = _prefixes(full.join(rest, "rep").withColumn("n_low", F.col("n")), percent, 1.0)
+    pairs = cut(_partners(cut(fine), labels, votes, percent))
     sure, open_ = _derived(pairs, near, full, percent)
     links = near.select("a", "b").union(sure).union(_overlaps(open_, full).where(_linked("o", percent)).select("a", "b"))
     return components(links)
@@ -182,17 +186,27 @@ def _prefixes(full: DataFrame, percent: int, counted: float) -> DataFrame:
     the others by hash. Those found once stand first and take places, but have
     no list.
     """
+    if counted >= 1:
+        return _placed(full, F.lit(False), percent)
     edge = int(_below(counted)) - (2**64 if _below(counted) >= 2**63 else 0)
     # as signed numbers, hashes below 2**63 are the positive ones
     late = (F.col("g") < 0) | (F.col("g") >= edge) if edge >= 0 else (F.col("g") < 0) & (F.col("g") >= edge)
-    rows = full.select("rep", "n", "n_low", F.explode(F.slice("grams", F.lit(1), F.col("n_low"))).alias("g")).withColumn("late", late)
-    often = rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    met = rows.join(often, "g")
+    return _placed(full, late, percent)
+
+
+def _placed(full: DataFrame, late, percent: int) -> DataFrame:
+    """Late n-grams come after all counted ones of their set; how many late ones are found once isn't known, so their place is a least one."""
+    low = full.select("rep", "n", F.explode(F.slice("grams", F.lit(1), F.col("n_low"))).alias("g")).withColumn("late", late)
+    often = low.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    met = low.join(often, "g")
     own = Window.partitionBy("rep")
     # the unsigned order of hashes: positive first
     order = own.orderBy("late", F.when(F.col("late"), 0).otherwise(F.col("df")), F.col("g") < 0, "g")
-    placed = met.withColumns({"lost": F.col("n_low") - F.count("*").over(own), "k": F.row_number().over(order)})
-    placed = placed.withColumn("at", F.when(F.col("late"), F.greatest(F.col("k") - 1, F.lit(0))).otherwise(F.col("lost") + F.col("k") - 1))
+    counted = low.where(~F.col("late")).groupBy("rep").agg(F.count("*").alias("early"))
+    placed = met.join(counted, "rep", "left").na.fill(0, ["early"])
+    placed = placed.withColumns({"met": F.count_if(~F.col("late")).over(own), "k": F.row_number().over(order)})
+    placed = placed.withColumn("lost", F.col("early") - F.col("met"))
+    placed = placed.withColumn("at", F.col("lost") + F.col("k") - 1)
     return placed.where(F.col("at") <= _may_lose(percent)).select("g", "rep", "n", "at", F.expr("1000 * lost div n").alias("lost"))
 
 
@@ -209,6 +223,22 @@ def _sizes(a: str, b: str, percent: int):
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
+def _entries(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Entries of the lists that name more than one group so far, with the least and most size of a partner."""
+    entries = lists.join(labels, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep"))
+    entries = entries.withColumns({
+        "most": F.expr(f"cast(floor((({100 + percent}) * (n - at) - {percent} * n) / {percent}) as bigint)"),
+        "least": F.expr(f"cast(ceil(n * {percent} / 100) as bigint)"),
+    }).where("most >= least")
+    mixed = entries.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("g")
+    return entries.join(mixed, "g").select("g", "rep", "n", "at", "c", "most", "least")
+
+
+def _unsettled(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(rep) of the classes that may have a link out of their group; their sets are ordered anew, by all their n-grams."""
+    return _entries(lists, labels, percent).select("rep").distinct()
+
+
 def _partners(lists: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) of unconnected classes that meet in a list and may be linked.
 
@@ -217,13 +247,7 @@ def _partners(lists: DataFrame, labels: DataFrame, tried: DataFrame, percent: in
     hold the sizes within one factor of the threshold; an entry is sent to the
     blocks between its least and most partner size only.
     """
-    entries = lists.join(labels, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep"))
-    mixed = entries.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("g")
-    entries = entries.join(mixed, "g").select("g", "rep", "n", "at", "c")
-    entries = entries.withColumns({
-        "most": F.expr(f"cast(floor((({100 + percent}) * (n - at) - {percent} * n) / {percent}) as bigint)"),
-        "least": F.expr(f"cast(ceil(n * {percent} / 100) as bigint)"),
-    }).where("most >= least")
+    entries = _entries(lists, labels, percent)
     step = float(np.log(100 / percent)) if percent < 100 else 1.0
     block = lambda x: F.floor(F.log(F.col(x).cast("double")) / step).cast("int")
     left = entries.withColumn("block", F.explode(F.sequence(block("least"), block("most"))))
