@@ -53,7 +53,7 @@ def _(t):
     return rows.select("page_id", F.col("e").isNotNull().alias("valid"), F.col("e")[0]["link"].alias("link"))
 
 
-@probe("src-05", "SELECT page_id, left(sha256(split_part(split_part(url, '?', 1), '#', 1)), 16) AS news_id, '2024-01-' || lpad(CAST(16 + (page_id % 24 + 12) // 24 AS VARCHAR), 2, '0') AS day FROM pages WHERE page_id % 4 <> 0 AND url LIKE 'https://%' AND url NOT LIKE '%?page%'")
+@probe("src-05", "SELECT min(page_id) AS page_id, news_id, arg_min(day, page_id) AS day FROM (SELECT page_id, left(sha256(split_part(split_part(url, '?', 1), '#', 1)), 16) AS news_id, '2024-01-' || lpad(CAST(16 + (page_id % 24 + 12) // 24 AS VARCHAR), 2, '0') AS day FROM pages WHERE page_id % 4 <> 0 AND url LIKE 'https://%' AND url NOT LIKE '%?page%') GROUP BY news_id")
 def _(t):
     items = rss(t).where(~F.contains("url", F.lit("?page"))).select("page_id", F.inline(markup.feed_entries("xml")))
     rows = items.select("page_id", S.canonical_url("link").alias("url"), strict_instant("published").alias("at")).where("url is not null and at is not null")
