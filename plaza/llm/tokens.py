@@ -10,7 +10,9 @@ bound; results don't depend on it.
 from __future__ import annotations
 
 import functools
+import gc
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -32,6 +34,9 @@ def _visible() -> dict[int, str]:
 
 
 _VISIBLE = _visible()
+_ASCII = re.compile(rb"[!-&(-~]+")
+_ENDS = frozenset(b".,;:!?)%#*$&|-0123456789"[k : k + 1] for k in range(24))
+_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class _Seen(dict):
@@ -46,17 +51,18 @@ class _Seen(dict):
 
 
 class WordTokenizer:
-    def __init__(self, path: str, most_words: int = 1_000_000, most_ids: int = 16_000_000):
+    def __init__(self, path: str, most_words: int = 700_000, most_ids: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.ask = self.model.model.tokenize
         self.bounds = most_words, most_ids
-        self.marks = {m: [t.id for t in self.model.model.tokenize(m.decode())] for m in (b".", b",")}
         self._forget()
 
     def _forget(self):
         self.seen = _Seen()
+        self.pieces: dict[bytes, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 16, np.int64)
@@ -81,22 +87,32 @@ class WordTokenizer:
             self.used += total
         self.seen.new.clear()
 
-    def _plain(self, word: bytes) -> list[int] | None:
-        """The ids of a word of Latin letters, with one full stop or comma or none after it; None if it is another.
+    def _plain(self, word: bytes):
+        """The ids of a word whose splitting and lower case are plain; None if it is another.
 
-        Such a word passes the normaliser as its lower case and the splitter whole,
-        so the model itself is asked.
+        Plain are visible ASCII without an apostrophe, cut into runs of letters,
+        single digits and runs of marks, and Latin letters with at most one full
+        stop or comma after them. Each piece is asked of the model itself, once.
         """
-        after = self.marks.get(word[-1:], [])
-        core = word[:-1] if after else word
+        core, last = word[:-1], word[-1:]
+        if word.isalpha():
+            return self._piece(word.lower())
         if core.isalpha():
-            text = core.lower().decode()
-        else:
-            text = core.decode()
-            if not text.isalpha() or max(text) > "\u024f" or "\u0130" in text:
-                return None
-            text = text.lower().encode().decode("latin-1").translate(_VISIBLE)
-        return [t.id for t in self.model.model.tokenize(text)] + after
+            return self._piece(core.lower()) + self._piece(last) if last in _ENDS else None
+        if _ASCII.fullmatch(word) and b"<|" not in word:
+            return [i for p in _PIECES.findall(word.lower()) for i in self._piece(p)]
+        mark = word[-1:] in (b".", b",")
+        text = (word[:-1] if mark else word).decode()
+        if not text.isalpha() or max(text) > "\u024f" or "\u0130" in text:
+            return None
+        return self._piece(text.lower().encode()) + (self._piece(word[-1:]) if mark else ())
+
+    def _piece(self, piece: bytes) -> tuple[int, ...]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            text = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(_VISIBLE)
+            ids = self.pieces[piece] = tuple([t.id for t in self.ask(text)])
+        return ids
 
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit arrays, with END appended; a null text has END alone."""
@@ -107,7 +123,9 @@ class WordTokenizer:
         for text in texts:
             own = (text if b"<|" in text else text.lower()).split() if text else []  # special tokens are matched before case is dropped
             words.append(np.fromiter(map(at, own), np.int64, len(own)))
+        gc.disable()  # only plain values are made here, and many
         self._learn()
+        gc.enable()
         return [self._gather(x) for x in words]
 
     def _gather(self, words: np.ndarray) -> np.ndarray:
