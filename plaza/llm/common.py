@@ -33,5 +33,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
+_held: list = [None, None]
+
+
+def worker_memory(key, make):
+    """What a worker process keeps between tasks under ``key``. Only the last key's is kept, so operators don't add up."""
+    if _held[0] != key:
+        _held[:] = None, None
+        _held[:] = key, make()
+    return _held[1]
+
+
 def or_empty(text) -> Column:
     return F.coalesce(text, F.lit(""))

@@ -34,15 +34,13 @@ columns are ignored.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plaza.llm.common import cut, table
+from plaza.llm.common import cut, table, worker_memory
 from plaza.llm.components import components
 
 WORDS = 4
@@ -63,9 +61,8 @@ class _Hashes(dict):
         return h
 
 
-@functools.cache
 def _hashes() -> _Hashes:
-    return _Hashes()
+    return worker_memory("hashes of words", _Hashes)
 
 
 def shingles(text: bytes | None, n: int = WORDS) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plaza.llm.common import table, without
+from plaza.llm.common import table, without, worker_memory
 
 DIMENSIONS = 1024
 NGRAM = 3
@@ -79,9 +79,8 @@ class _Bound:
         return out
 
 
-@functools.cache
 def _bound() -> _Bound:
-    return _Bound()
+    return worker_memory("bound n-grams", _Bound)
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -44,7 +44,7 @@ from plaza.llm.common import cut, table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 128
-BLOCK_CHARS = 1 << 24  # a block is closed after so many characters
+BLOCK_CHARS = 1 << 22  # a block is closed after so many characters
 
 
 @dataclass
@@ -69,7 +69,10 @@ class Vocabulary:
         return max(len(p) for p, _, _ in self.pieces)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(pd.DataFrame(self.pieces, columns=["sub", "id", "score"]), "sub string, id int, score double")
+        """sub, id, score and rank (0 for the best score) of the ordinary pieces."""
+        own = pd.DataFrame(self.pieces, columns=["sub", "id", "score"])
+        own["rank"] = own["score"].rank(method="dense", ascending=False).astype(int) - 1
+        return spark.createDataFrame(own, "sub string, id int, score double, rank int")
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """A number for each character of the vocabulary, and which pairs of them stand together in a piece."""
@@ -150,27 +153,40 @@ def blocks_of(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_
 
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word, s, e, id, score: the substrings of each word that are pieces."""
+    """word, s, e, id, score, rank: the substrings of each word that are pieces."""
     starts = words.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
     ends = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.char_length("word")))).alias("e"))
     subs = ends.withColumn("sub", F.substr("word", F.col("s") + 1, F.col("e") - F.col("s")))
-    return subs.join(F.broadcast(pieces), "sub").select("word", "s", "e", "id", "score")
+    return subs.join(F.broadcast(pieces), "sub").select("word", "s", "e", "id", "score", "rank")
 
 
-def fold_merges(steps: Column, lattice: Column) -> Column:
-    """Borders between the pieces of a word after all merges. ``lattice``: sorted edges (s, e, id, score)."""
-    longer = F.filter(lattice, lambda x: x["e"] - x["s"] > 1)
+def bind(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def fold_merges(steps: Column, places: Column, ranks: Column, width: int) -> Column:
+    """Borders between the pieces of a word after all merges.
+
+    ``places`` holds s * width + e - s of each edge and ``ranks`` their ranks. A
+    step looks up the edge over each two neighbours and drops the border inside
+    the best; of equal ranks the first.
+    """
+
+    def joint(borders, k):
+        s, e = F.element_at(borders, k), F.element_at(borders, k + 2)
+        return bind(F.array_position(places, s * width + e - s), lambda at: F.when(at > 0, F.element_at(ranks, at.cast("int")) * (LONG * 2) + k))
 
     def step(borders, _):
-        joins = F.filter(longer, lambda x: F.try_element_at(borders, F.array_position(borders, x["s"]).cast("int") + 2).eqNullSafe(x["e"]) & F.array_contains(borders, x["s"]))
-        best = F.array_max(F.transform(joins, lambda x: F.struct(x["score"].alias("score"), (-x["s"]).alias("first"), F.element_at(borders, F.array_position(borders, x["s"]).cast("int") + 1).alias("mid"))))
-        return F.when(best.isNull(), borders).otherwise(F.array_remove(borders, best["mid"]))
+        best = F.array_min(F.transform(F.sequence(F.lit(1), F.size(borders) - 2), lambda k: joint(borders, k)))
+        drop = lambda x: F.when(x.isNull(), borders).otherwise(F.concat(F.slice(borders, F.lit(1), x % (LONG * 2)), F.slice(borders, x % (LONG * 2) + 2, F.size(borders))))
+        return F.when(F.size(borders) > 2, bind(best, drop)).otherwise(borders)
 
     return F.aggregate(steps, F.sequence(F.lit(0), F.size(steps) + 1), step)
 
 
 def fold_viterbi(steps: Column, lattice: Column, unknown: float = -100.0) -> Column:
-    """Borders of the path with the best sum of scores; a character that no piece holds costs ``unknown``."""
+    """Borders of the path with the best sum of scores over edges (s, e, score); a character that no piece holds costs ``unknown``."""
     start = F.array(F.struct(F.lit(0.0).alias("best"), F.array(F.lit(0)).alias("path")))
 
     def step(acc, at):
@@ -183,13 +199,27 @@ def fold_viterbi(steps: Column, lattice: Column, unknown: float = -100.0) -> Col
 
 
 def spell(words: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> DataFrame:
-    """word, ids: the lattice of each of the distinct ``words``, folded."""
-    pieces = vocabulary.frame(words.sparkSession)
-    found = edges(words, pieces, vocabulary.longest)
-    grouped = found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("s", "e", "id", "score"))).alias("lattice"))
-    rows = words.join(grouped, "word", "left").withColumn("lattice", F.coalesce("lattice", F.array().cast("array<struct<s:int,e:int,id:int,score:double>>")))
+    """word, ids: the lattice of each of the distinct ``words``, folded.
+
+    An edge is kept as one number: its place, rank and id in 20 bits each from
+    the top; for the unigram fold its score is kept beside.
+    """
+    width = vocabulary.longest + 1
+    found = edges(words, vocabulary.frame(words.sparkSession), vocabulary.longest)
+    packed = (F.col("s") * width + F.col("e") - F.col("s")).cast("long") * (1 << 40) + F.col("rank").cast("long") * (1 << 20) + F.col("id")
+    collect = [F.array_sort(F.collect_list(packed)).alias("packed")]
+    if unigram:
+        collect.append(F.collect_list(F.struct("s", "e", "score")).alias("lattice"))
+    grouped = found.groupBy("word").agg(*collect)
+    rows = words.join(grouped, "word", "left").withColumn("packed", F.coalesce("packed", F.array().cast("array<bigint>")))
+    part = lambda low: F.transform("packed", lambda x: F.shiftright(x, low).bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
+    rows = rows.withColumns({"places": part(40), "ranks": part(20), "numbers": part(0)})
     steps = F.slice(F.sequence(F.lit(1), F.char_length("word")), F.lit(2), F.char_length("word"))
-    borders = (fold_viterbi if unigram else fold_merges)(steps, F.col("lattice"))
+    if unigram:
+        lattice = F.coalesce("lattice", F.array().cast("array<struct<s:int,e:int,score:double>>"))
+        borders = fold_viterbi(steps, lattice)
+    else:
+        borders = fold_merges(steps, F.col("places"), F.col("ranks"), width)
 
     def bytes_at(s):
         raw = F.encode(F.substr(F.col("word"), s + 1, F.lit(1)), "UTF-8")
@@ -197,8 +227,7 @@ def spell(words: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> Da
 
     def ids_of(s, k):
         e = F.element_at("borders", k + 2)
-        hit = F.filter("lattice", lambda x: (x["s"] == s) & (x["e"] == e))
-        return F.when(F.size(hit) > 0, F.array(F.try_element_at(hit, F.lit(1))["id"])).otherwise(bytes_at(s))
+        return bind(F.array_position("places", s * width + e - s), lambda at: F.when(at > 0, F.array(F.element_at("numbers", at.cast("int")))).otherwise(bytes_at(s)))
 
     rows = rows.withColumn("borders", borders)
     return rows.select("word", F.flatten(F.transform(F.slice("borders", F.lit(1), F.size("borders") - 1), ids_of)).alias("ids"))

@@ -35,10 +35,12 @@ from plaza.llm.tokens import tokenizer, vocabulary_path
 
 SHARD_TOKENS = 1 << 21
 BASE = 49_408
-ROUNDS = 8
-RULES_A_ROUND = 1_024
+ROUNDS = 3
+RULES_A_ROUND = 4_000
 LEAST_COUNT = 16
-BUCKET_BITS = 22
+BUCKET_BITS = 18
+#: Places of shards are broadcast only up to this counted number (16 bytes each).
+BROADCAST_SHARDS = 1_000_000
 
 
 def compress(tokens: np.ndarray, starts: np.ndarray, base: int = BASE, rounds: int = ROUNDS):
@@ -52,19 +54,23 @@ def compress(tokens: np.ndarray, starts: np.ndarray, base: int = BASE, rounds: i
     seq = tokens.astype(np.int32)
     first = np.append(starts, len(seq)).astype(np.int64)
     rules = np.zeros((0, 2), np.int32)
+    bits = min(BUCKET_BITS, max(10, len(seq).bit_length() + 1))  # about two buckets or more for each place
     for _ in range(rounds):
         if len(seq) < 2:
             break
         a, b = seq[:-1], seq[1:]
-        bucket = (a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKET_BITS)
+        bucket = a.view(np.uint32) * np.uint32(0x9E3779B1)
+        bucket += b.view(np.uint32) * np.uint32(0x85EBCA77)
+        bucket >>= np.uint32(32 - bits)
         bucket[first[1:-1] - 1] = 0  # pairs across a border share bucket 0, which is never taken
-        counts = np.bincount(bucket, minlength=1 << BUCKET_BITS)
+        counts = np.bincount(bucket, minlength=1 << bits)
         counts[0] = 0
-        top = np.argpartition(counts, -RULES_A_ROUND)[-RULES_A_ROUND:]
+        most = min(RULES_A_ROUND, len(counts))
+        top = np.argpartition(counts, -most)[-most:]
         top = np.sort(top[counts[top] >= LEAST_COUNT])
         if not len(top):
             break
-        rule_of = np.full(1 << BUCKET_BITS, -1, np.int16)
+        rule_of = np.full(1 << bits, -1, np.int16)
         rule_of[top] = np.arange(len(top))
         hit = np.flatnonzero(rule_of[bucket] >= 0)
         rule = rule_of[bucket[hit]]
@@ -110,29 +116,39 @@ class Shard:
         self.base = base
         self.doc_ids = row["doc_ids"]
         self.first = np.frombuffer(row["first_symbol"], "<u4").astype(np.int64)
-        self.symbols = np.frombuffer(row["symbols"], f"<u{row['width'] // 8}").astype(np.int64)
+        self.symbols = np.frombuffer(row["symbols"], f"<u{row['width'] // 8}").astype(np.int32)
         self.flat, _ = expansions(np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64), base)
-        self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-        self.begin = np.cumsum(self.lengths) - self.lengths
+        self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int32)
+        self.begin = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
 
     def _lengths(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), np.int64)
-        out[symbols >= self.base] = self.lengths[symbols[symbols >= self.base] - self.base]
+        out = np.ones(len(symbols), np.int32)
+        own = np.flatnonzero(symbols >= self.base)
+        out[own] = self.lengths[symbols[own] - self.base]
         return out
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the shard's k-th document."""
         return self.decode(self.symbols[self.first[k] : self.first[k + 1]])
 
+    def documents(self) -> list[np.ndarray]:
+        """The ids of every document, decoded together."""
+        ids = self.decode(self.symbols)
+        at = np.append(0, np.cumsum(self._lengths(self.symbols), dtype=np.int64))[self.first]
+        return [ids[s:e] for s, e in zip(at[:-1], at[1:])]
+
     def decode(self, symbols: np.ndarray) -> np.ndarray:
         counts = self._lengths(symbols)
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        out = np.repeat(symbols, counts).astype(np.uint32)
-        rule = symbols >= self.base
-        inside = np.repeat(rule, counts)
-        source = np.repeat(np.where(rule, self.begin[np.where(rule, symbols - self.base, 0)] if len(self.begin) else 0, 0) - ends + counts, counts) + np.arange(total)
-        out[inside] = self.flat[source[inside]]
+        out = np.repeat(symbols.astype(np.uint32), counts)
+        own = np.flatnonzero(symbols >= self.base)
+        ends = np.cumsum(counts, dtype=np.int32)[own]
+        counts = counts[own]
+        # places that rules fill, and where their ids lie in ``flat``
+        inside = np.repeat(ends - np.cumsum(counts, dtype=np.int32), counts)
+        inside += np.arange(len(inside), dtype=np.int32)
+        source = np.repeat(self.begin[symbols[own] - self.base] - ends + counts, counts)
+        source += inside
+        out[inside] = self.flat[source]
         return out
 
     def token_at(self, k: int, place: int) -> int:
@@ -183,36 +199,41 @@ def _shard(part, block, doc_ids, held) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+def read_tokens(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit) of each document of the files in ``folder``.
 
+    Not ``whole``: the decoded ids are left out, and ids_crc32 is their checksum.
+
     ``start`` is summed in two levels: over the shards of a part, and over the parts.
     """
 
+    last = "ids" if whole else "ids_crc32"
+
     def decode(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 shard, at = Shard(row), 0
-                for low in range(0, len(shard.doc_ids), 256):
+                texts = shard.documents()
+                for low in range(0, len(texts), 256):
                     out = []
-                    for k in range(low, min(low + 256, len(shard.doc_ids))):
-                        ids = shard.document(k)
-                        out.append((row["part"], row["block"], shard.doc_ids[k], at, len(ids), ids.astype("<u4").tobytes()))
+                    for k, ids in enumerate(texts[low : low + 256], low):
+                        out.append((row["part"], row["block"], shard.doc_ids[k], at, len(ids), ids.astype("<u4").tobytes() if whole else zlib.crc32(ids.astype("<u4"))))
                         at += len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "block", "doc_id", "inside", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary() if whole else pa.int64()))], names=["part", "block", "doc_id", "inside", "n_tokens", last])
 
     files = spark.read.schema(FILE).parquet(folder)
     sizes = files.select("part", "block", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before_part"))
     blocks = sizes.select("part", "block", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("block")) - F.col("n_tokens")).alias("before_block"))
+    few = sizes.count() <= BROADCAST_SHARDS
     base = blocks.join(before, "part").select("part", "block", (F.col("before_part") + F.col("before_block")).alias("before"))
-    docs = files.mapInArrow(decode, "part int, block int, doc_id long, inside long, n_tokens long, ids binary")
-    return docs.join(base, ["part", "block"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    docs = files.mapInArrow(decode, "part int, block int, doc_id long, inside long, n_tokens long, " + ("ids binary" if whole else "ids_crc32 long"))
+    return docs.join(F.broadcast(base) if few else base, ["part", "block"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", last)
 
 
 def query(spark, sf_dir):
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{root.rstrip('/')}/repair-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), folder)
-    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, folder, whole=False)

@@ -9,15 +9,16 @@ bound; results don't depend on it.
 
 from __future__ import annotations
 
-import functools
 import gc
 import os
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
 import public_tokenizers
 
+from plaza.llm.common import worker_memory
+
 WORD_BPE = "word_bpe_49k.json"
 END = 1
 
@@ -62,7 +63,7 @@ class WordTokenizer:
 
     def _forget(self):
         self.seen = _Seen()
-        self.pieces: dict[bytes, list[int]] = {}
+        self.pieces: dict[bytes, bytes] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 16, np.int64)
@@ -75,20 +76,20 @@ class WordTokenizer:
             got = [self._plain(w) for w in words]
             odd = [k for k, x in enumerate(got) if x is None]
             for k, e in zip(odd, self.model.encode_batch_fast([words[k].decode() for k in odd], add_special_tokens=False)):
-                got[k] = e.ids
-            counts = np.fromiter(map(len, got), np.int64, len(got))
+                got[k] = array("I", e.ids).tobytes()
+            counts = np.fromiter(map(len, got), np.int64, len(got)) // 4
             total = int(counts.sum())
             self.flat = _room(self.flat, self.used + total)
             self.start, self.count = (_room(x, self.known + len(got)) for x in (self.start, self.count))
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+            self.flat[self.used : self.used + total] = np.frombuffer(b"".join(got), np.uint32)
             self.start[self.known : self.known + len(got)] = self.used + np.cumsum(counts) - counts
             self.count[self.known : self.known + len(got)] = counts
             self.known += len(got)
             self.used += total
         self.seen.new.clear()
 
-    def _plain(self, word: bytes):
-        """The ids of a word whose splitting and lower case are plain; None if it is another.
+    def _plain(self, word: bytes) -> bytes | None:
+        """The ids (packed) of a word whose splitting and lower case are plain; None if it is another.
 
         Plain are visible ASCII without an apostrophe, cut into runs of letters,
         single digits and runs of marks, and Latin letters with at most one full
@@ -100,18 +101,18 @@ class WordTokenizer:
         if core.isalpha():
             return self._piece(core.lower()) + self._piece(last) if last in _ENDS else None
         if _ASCII.fullmatch(word) and b"<|" not in word:
-            return [i for p in _PIECES.findall(word.lower()) for i in self._piece(p)]
-        mark = word[-1:] in (b".", b",")
-        text = (word[:-1] if mark else word).decode()
+            return b"".join(map(self._piece, _PIECES.findall(word.lower())))
+        mark = last in (b".", b",")
+        text = (core if mark else word).decode()
         if not text.isalpha() or max(text) > "\u024f" or "\u0130" in text:
             return None
-        return self._piece(text.lower().encode()) + (self._piece(word[-1:]) if mark else ())
+        return self._piece(text.lower().encode()) + (self._piece(last) if mark else b"")
 
-    def _piece(self, piece: bytes) -> tuple[int, ...]:
+    def _piece(self, piece: bytes) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
             text = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(_VISIBLE)
-            ids = self.pieces[piece] = tuple([t.id for t in self.ask(text)])
+            ids = self.pieces[piece] = array("I", [t.id for t in self.ask(text)]).tobytes()
         return ids
 
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
@@ -142,7 +143,6 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
     return array if size <= len(array) else np.concatenate([array, np.zeros(max(size - len(array), len(array)), array.dtype)])
 
 
-@functools.cache
 def tokenizer(path: str) -> WordTokenizer:
     """One for each worker process."""
-    return WordTokenizer(path)
+    return worker_memory(("tokens", path), lambda: WordTokenizer(path))
