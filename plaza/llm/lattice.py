@@ -35,6 +35,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,9 @@ from plaza.llm.common import cut, table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 128
-BLOCK_CHARS = 1 << 22  # a block is closed after so many characters
+#: A block is closed after so many characters, or so many distinct words.
+BLOCK_CHARS = 1 << 25
+BLOCK_WORDS = 400_000
 
 
 @dataclass
@@ -123,7 +126,7 @@ def merged(word: str, scores: dict[str, float]) -> list[str]:
     return [t for t in text if t]
 
 
-def blocks_of(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def blocks_of(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_CHARS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """block, doc_ids, layout (compressed numbers of the words of each text), words."""
     number, pairs = vocabulary.spans()
 
@@ -133,7 +136,7 @@ def blocks_of(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_
 
         def row():
             flat = np.concatenate([np.array(sizes, np.uint32), *numbers]) if sizes else np.zeros(0, np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([ids], pa.list_(pa.int64())), pa.array([zlib.compress(flat.astype("<u4").tobytes(), 1)], pa.binary()), pa.array([list(seen)], pa.list_(pa.string()))], names=["block", "doc_ids", "layout", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([ids], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=1).compress(flat.astype("<u4").tobytes())], pa.binary()), pa.array([list(seen)], pa.list_(pa.string()))], names=["block", "doc_ids", "layout", "words"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -142,7 +145,7 @@ def blocks_of(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_
                 sizes.append(len(own))
                 numbers.append(np.fromiter((seen.setdefault(w, len(seen)) for w in own), np.uint32, len(own)))
                 chars += sum(map(len, own))
-                if chars >= block_chars:
+                if chars >= block_chars or len(seen) >= block_words:
                     yield row()
                     ids, sizes, numbers, seen, chars, k = [], [], [], {}, 0, k + 1
         if ids:
@@ -153,11 +156,11 @@ def blocks_of(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_
 
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word, s, e, id, score, rank: the substrings of each word that are pieces."""
+    """word, s, e, id, score, rank: the substrings of each word that are pieces; its first character also without a piece (nulls), so no word is lost."""
     starts = words.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
     ends = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.char_length("word")))).alias("e"))
     subs = ends.withColumn("sub", F.substr("word", F.col("s") + 1, F.col("e") - F.col("s")))
-    return subs.join(F.broadcast(pieces), "sub").select("word", "s", "e", "id", "score", "rank")
+    return subs.join(F.broadcast(pieces), "sub", "left").where("id is not null or e = 1").select("word", "s", "e", "id", "score", "rank")
 
 
 def bind(value: Column, then) -> Column:
@@ -165,24 +168,37 @@ def bind(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def fold_merges(steps: Column, places: Column, ranks: Column, width: int) -> Column:
+def fold_merges(steps: Column, places: Column, codes: Column, width: int) -> Column:
     """Borders between the pieces of a word after all merges.
 
-    ``places`` holds s * width + e - s of each edge and ``ranks`` their ranks. A
-    step looks up the edge over each two neighbours and drops the border inside
-    the best; of equal ranks the first.
+    ``places`` holds s * width + e - s of each edge, ``codes`` its rank above the
+    lowest 20 bits. Beside the borders the fold keeps, for each two neighbours,
+    the rank of the edge over both. A step drops the border inside the best (of
+    equal ranks the first) and looks up the two edges that its merge makes
+    possible.
     """
+    none = F.lit(1 << 40).cast("long")
+    nothing = F.array().cast("array<bigint>")
 
-    def joint(borders, k):
-        s, e = F.element_at(borders, k), F.element_at(borders, k + 2)
-        return bind(F.array_position(places, s * width + e - s), lambda at: F.when(at > 0, F.element_at(ranks, at.cast("int")) * (LONG * 2) + k))
+    def joint(s, e):
+        return bind(F.array_position(places, s * width + e - s), lambda at: F.when(at > 0, F.shiftright(F.element_at(codes, at.cast("int")), 20) * (LONG * 2) + s).otherwise(none))
 
-    def step(borders, _):
-        best = F.array_min(F.transform(F.sequence(F.lit(1), F.size(borders) - 2), lambda k: joint(borders, k)))
-        drop = lambda x: F.when(x.isNull(), borders).otherwise(F.concat(F.slice(borders, F.lit(1), x % (LONG * 2)), F.slice(borders, x % (LONG * 2) + 2, F.size(borders))))
-        return F.when(F.size(borders) > 2, bind(best, drop)).otherwise(borders)
+    def merge(b, v, k):
+        before = F.when(k > 1, F.array(joint(F.element_at(b, k - 1), F.element_at(b, k + 2)))).otherwise(nothing)
+        after = F.when(k + 3 <= F.size(b), F.array(joint(F.element_at(b, k), F.element_at(b, k + 3)))).otherwise(nothing)
+        return F.struct(
+            F.concat(F.slice(b, F.lit(1), k), F.slice(b, k + 2, F.size(b))).alias("borders"),
+            F.concat(F.slice(v, F.lit(1), F.greatest(k - 2, F.lit(0))), before, after, F.slice(v, k + 2, F.size(v))).alias("joints"),
+        )
 
-    return F.aggregate(steps, F.sequence(F.lit(0), F.size(steps) + 1), step)
+    def step(acc, _):
+        b, v = acc["borders"], acc["joints"]
+        first = lambda best: F.array_position(b, (best % (LONG * 2)).cast("int")).cast("int")
+        return bind(F.array_min(v), lambda best: F.when(best < none, bind(first(best), lambda k: merge(b, v, k))).otherwise(acc))
+
+    every = F.sequence(F.lit(0), F.size(steps) + 1)
+    start = F.struct(every.alias("borders"), F.transform(F.slice(every, F.lit(1), F.size(steps)), lambda s: joint(s, s + 2)).alias("joints"))
+    return F.aggregate(steps, start, step, lambda acc: acc["borders"])
 
 
 def fold_viterbi(steps: Column, lattice: Column, unknown: float = -100.0) -> Column:
@@ -201,25 +217,22 @@ def fold_viterbi(steps: Column, lattice: Column, unknown: float = -100.0) -> Col
 def spell(words: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> DataFrame:
     """word, ids: the lattice of each of the distinct ``words``, folded.
 
-    An edge is kept as one number: its place, rank and id in 20 bits each from
-    the top; for the unigram fold its score is kept beside.
+    Of an edge its place is kept, and its rank and id as one number; for the
+    unigram fold its score is kept beside.
     """
     width = vocabulary.longest + 1
     found = edges(words, vocabulary.frame(words.sparkSession), vocabulary.longest)
-    packed = (F.col("s") * width + F.col("e") - F.col("s")).cast("long") * (1 << 40) + F.col("rank").cast("long") * (1 << 20) + F.col("id")
-    collect = [F.array_sort(F.collect_list(packed)).alias("packed")]
+    place = F.when(F.col("id").isNotNull(), F.col("s") * width + F.col("e") - F.col("s"))
+    collect = [F.collect_list(place).alias("places"), F.collect_list(F.col("rank").cast("long") * (1 << 20) + F.col("id")).alias("codes")]
     if unigram:
-        collect.append(F.collect_list(F.struct("s", "e", "score")).alias("lattice"))
-    grouped = found.groupBy("word").agg(*collect)
-    rows = words.join(grouped, "word", "left").withColumn("packed", F.coalesce("packed", F.array().cast("array<bigint>")))
-    part = lambda low: F.transform("packed", lambda x: F.shiftright(x, low).bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
-    rows = rows.withColumns({"places": part(40), "ranks": part(20), "numbers": part(0)})
+        collect.append(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("s", "e", "score"))).alias("lattice"))
+    # words start alike, so rows are sorted by a number before the word itself
+    rows = found.groupBy(F.xxhash64("word").alias("h"), "word").agg(*collect)
     steps = F.slice(F.sequence(F.lit(1), F.char_length("word")), F.lit(2), F.char_length("word"))
     if unigram:
-        lattice = F.coalesce("lattice", F.array().cast("array<struct<s:int,e:int,score:double>>"))
-        borders = fold_viterbi(steps, lattice)
+        borders = fold_viterbi(steps, F.col("lattice"))
     else:
-        borders = fold_merges(steps, F.col("places"), F.col("ranks"), width)
+        borders = fold_merges(steps, F.col("places"), F.col("codes"), width)
 
     def bytes_at(s):
         raw = F.encode(F.substr(F.col("word"), s + 1, F.lit(1)), "UTF-8")
@@ -227,7 +240,7 @@ def spell(words: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> Da
 
     def ids_of(s, k):
         e = F.element_at("borders", k + 2)
-        return bind(F.array_position("places", s * width + e - s), lambda at: F.when(at > 0, F.array(F.element_at("numbers", at.cast("int")))).otherwise(bytes_at(s)))
+        return bind(F.array_position("places", s * width + e - s), lambda at: F.when(at > 0, F.array(F.element_at("codes", at.cast("int")).bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))).otherwise(bytes_at(s)))
 
     rows = rows.withColumn("borders", borders)
     return rows.select("word", F.flatten(F.transform(F.slice("borders", F.lit(1), F.size("borders") - 1), ids_of)).alias("ids"))
@@ -238,10 +251,10 @@ def encode(docs: DataFrame, path: str | None = None, unigram: bool = False) -> D
     vocabulary = Vocabulary.load(path or public_tokenizers.path(MODEL))
     blocks = cut(blocks_of(docs, vocabulary))
     placed = blocks.select("block", F.posexplode("words").alias("k", "word"))
-    words = placed.select("word").distinct()
-    short = spell(words.where(F.char_length("word") <= LONG), vocabulary, unigram)
-    long = _long(words.where(F.char_length("word") > LONG), vocabulary)
-    known = placed.join(short.union(long), "word").groupBy("block").agg(F.collect_list(F.struct("k", "ids")).alias("spelt"))
+    fits = F.char_length("word") <= LONG
+    short = placed.where(fits).join(spell(placed.where(fits).select("word").distinct(), vocabulary, unigram), "word")
+    long = placed.where(~fits).join(_long(placed.where(~fits).select("word").distinct(), vocabulary), "word")
+    known = short.select("block", "k", "ids").union(long.select("block", "k", "ids")).groupBy("block").agg(F.collect_list(F.struct("k", "ids")).alias("spelt"))
     rows = blocks.select("block", "doc_ids", "layout").join(known, "block", "left")
     return rows.select("doc_ids", "layout", F.col("spelt.k").alias("k"), F.col("spelt.ids").alias("ids")).mapInArrow(_assemble, "doc_id long, ids binary")
 
@@ -263,7 +276,7 @@ def _long(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def _assemble(batches):
     for batch in batches:
         for doc_ids, layout, k, ids in zip(*batch.columns):
-            flat = np.frombuffer(zlib.decompress(layout.as_py()), "<u4").astype(np.int64)
+            flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(layout.as_py()), "<u4").astype(np.int64)
             n = len(doc_ids)
             sizes, numbers = flat[:n], flat[n:]
             spelt = ids.values if ids.is_valid else pa.array([], pa.list_(pa.int32()))
