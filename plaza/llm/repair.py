@@ -2,8 +2,8 @@
 
 Documents are range-partitioned and sorted by ``doc_id``, encoded, and gathered
 into shards of about ``SHARD_TOKENS`` ids. In each shard, frequent pairs of ids
-are replaced by nonterminals, round after round; a rule never spans two
-documents. A shard is one row of a Parquet file:
+are replaced by nonterminals, round after round until no pair is found
+``LEAST_COUNT`` times; a rule never spans two documents. A shard is one row of a Parquet file:
 
     part, block     place in the order of shards
     doc_ids         its documents
@@ -35,70 +35,110 @@ from plaza.llm.tokens import tokenizer, vocabulary_path
 
 SHARD_TOKENS = 1 << 21
 BASE = 49_408
-ROUNDS = 3
-RULES_A_ROUND = 4_000
 LEAST_COUNT = 16
-BUCKET_BITS = 18
+#: Width of the hashed counts that only tell which pairs need no exact count.
+BUCKET_BITS = 22
 #: Places of shards are broadcast only up to this counted number (16 bytes each).
 BROADCAST_SHARDS = 1_000_000
 
 
-def compress(tokens: np.ndarray, starts: np.ndarray, base: int = BASE, rounds: int = ROUNDS):
+def compress(tokens: np.ndarray, starts: np.ndarray, base: int = BASE):
     """symbols, first symbol of each document (and the end), rules, ids under each rule.
 
     ``starts``: where documents begin; pairs across a border are never replaced.
-    A round finds frequent pairs through hashed counts, takes one pair for each
-    of the most frequent buckets, counts it exactly, and replaces its
-    occurrences from left to right.
+    A round counts pairs exactly and replaces those found ``LEAST_COUNT`` times
+    or more, the most frequent first where occurrences overlap; rounds go on
+    until no pair is found so often.
     """
     seq = tokens.astype(np.int32)
     first = np.append(starts, len(seq)).astype(np.int64)
-    rules = np.zeros((0, 2), np.int32)
-    bits = min(BUCKET_BITS, max(10, len(seq).bit_length() + 1))  # about two buckets or more for each place
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        a, b = seq[:-1], seq[1:]
-        bucket = a.view(np.uint32) * np.uint32(0x9E3779B1)
-        bucket += b.view(np.uint32) * np.uint32(0x85EBCA77)
-        bucket >>= np.uint32(32 - bits)
-        bucket[first[1:-1] - 1] = 0  # pairs across a border share bucket 0, which is never taken
-        counts = np.bincount(bucket, minlength=1 << bits)
-        counts[0] = 0
-        most = min(RULES_A_ROUND, len(counts))
-        top = np.argpartition(counts, -most)[-most:]
-        top = np.sort(top[counts[top] >= LEAST_COUNT])
-        if not len(top):
-            break
-        rule_of = np.full(1 << bits, -1, np.int16)
-        rule_of[top] = np.arange(len(top))
-        hit = np.flatnonzero(rule_of[bucket] >= 0)
-        rule = rule_of[bucket[hit]]
-        pair = np.zeros((len(top), 2), np.int32)
-        pair[rule, 0], pair[rule, 1] = a[hit], b[hit]
-        exact = (pair[rule, 0] == a[hit]) & (pair[rule, 1] == b[hit])
-        hit, rule = hit[exact], rule[exact]
-        # of overlapping occurrences, every other one counts from the left
-        begins = np.flatnonzero(np.diff(hit, prepend=-2) > 1)
-        run = np.repeat(begins, np.diff(np.append(begins, len(hit))))
-        odd = (np.arange(len(hit)) - run) % 2 == 0
-        hit, rule = hit[odd], rule[odd]
-        enough = np.bincount(rule, minlength=len(top)) >= LEAST_COUNT
-        number = np.cumsum(enough) - 1
-        good = enough[rule]
-        hit, rule = hit[good], number[rule[good]]
+    rules = [np.zeros((0, 2), np.int32)]
+    n_rules = 0
+    begins = np.zeros(len(seq) + 1, bool)
+    begins[first] = True
+    alive = ~begins[1:]  # places whose pair may be frequent; the last of a document has none
+    while True:
+        hit, rank, pair = _frequent(seq, np.flatnonzero(alive))
         if not len(hit):
             break
-        seq[hit] = base + len(rules) + rule
+        chosen, number, taken = _chosen(hit, rank, len(pair))
+        alive = np.zeros(len(seq), bool)
+        alive[hit] = True  # what is left of a frequent pair; any other old pair only gets rarer
+        seq[chosen] = base + n_rules + number
+        alive[chosen] = True
+        alive[chosen[chosen > 0] - 1] = True
         keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
-        seq = seq[keep]
-        first = first - np.searchsorted(hit + 1, first)
-        rules = np.concatenate([rules, pair[enough]])
+        keep[chosen + 1] = False
+        seq, alive = seq[keep], alive[keep]
+        begins = np.append(begins[:-1][keep], True)
+        alive &= ~begins[1:]
+        first = first - np.searchsorted(chosen + 1, first)
+        rules.append(pair[taken])
+        n_rules += len(taken)
+    rules = np.concatenate(rules)
     _, lengths = expansions(rules, base)
     return seq, first, rules, lengths
 
 
+def _frequent(seq: np.ndarray, at: np.ndarray):
+    """Places of the pairs found ``LEAST_COUNT`` times among ``at`` (all places of pairs that may be), the rank of each one's pair, and the pairs by rank."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int32)
+    bits = min(BUCKET_BITS, max(10, len(at).bit_length() + 1))
+    bucket = seq[at].view(np.uint32) * np.uint32(0x9E3779B1)
+    bucket += seq[at + 1].view(np.uint32) * np.uint32(0x85EBCA77)
+    bucket >>= np.uint32(32 - bits)
+    at = at[(np.bincount(bucket, minlength=1 << bits) >= LEAST_COUNT)[bucket]]  # a pair is not more frequent than its bucket
+    if not len(at):
+        return none
+    a, b = seq[at], seq[at + 1]
+    key = a.astype(np.int64) << 32 | b
+    order = np.argsort(key)
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    of = np.empty(len(at), np.int64)
+    of[order] = np.cumsum(new) - 1
+    key = key[new]
+    # of x x x, one x x counts: every other one from the left
+    same = np.flatnonzero(a == b)
+    run = np.flatnonzero(np.diff(at[same], prepend=-2) > 1)
+    odd = (np.arange(len(same)) - np.repeat(run, np.diff(np.append(run, len(same))))) % 2 == 1
+    counts = np.bincount(of, minlength=len(key)) - np.bincount(of[same[odd]], minlength=len(key))
+    # equal counts in hashed order, so that long passages found equally often shrink by halves
+    best = np.lexsort((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), -counts))
+    best = best[: int((counts >= LEAST_COUNT).sum())]
+    rank_of = np.full(len(key), -1)
+    rank_of[best] = np.arange(len(best))
+    rank = rank_of[of]
+    own = rank >= 0
+    key = key[best]
+    return at[own], rank[own], np.stack([key >> 32, key & 0xFFFFFFFF], 1).astype(np.int32)
+
+
+def _chosen(hit: np.ndarray, rank: np.ndarray, n: int):
+    """The places replaced, the number of each one's rule, and the ranks that become rules.
+
+    A place is taken unless one of a better rank, or of the same rank to the left,
+    that overlaps it is. Ranks left with fewer than ``LEAST_COUNT`` places give
+    theirs up. The best rank never is, so there always is a rule.
+    """
+    while True:
+        near = np.diff(hit) == 1
+        left = np.append(False, near & (rank[:-1] <= rank[1:]))
+        right = np.append(near & (rank[1:] < rank[:-1]), False)
+        # how far the best place in reach is, going up on the left and on the right
+        place = np.arange(len(hit), dtype=np.int32)
+        up = place - np.maximum.accumulate(np.where(left, 0, place))
+        down = np.minimum.accumulate(np.where(right, len(hit), place)[::-1])[::-1] - place
+        taken = (up | down) % 2 == 0
+        counts = np.bincount(rank[taken], minlength=n)
+        enough = counts >= LEAST_COUNT
+        stay = enough[rank]
+        if stay.all():
+            number = np.cumsum(enough) - 1
+            return hit[taken], number[rank[taken]], np.flatnonzero(enough)
+        hit, rank = hit[stay], rank[stay]
+
+
 def expansions(rules: np.ndarray, base: int = BASE):
     """The ids under each rule in one array, and how many each has."""
     own: list[np.ndarray] = []

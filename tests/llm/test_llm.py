@@ -159,6 +159,25 @@ def test_pair_grammar_round_trip(ids):
     assert len(symbols) < 0.6 * counts.sum() or len(ids) < 40
 
 
+def test_pair_grammar_leaves_no_frequent_pair():
+    random = np.random.default_rng(5)
+    passage = random.integers(0, 40_000, 150)
+    held = [np.concatenate([random.integers(0, 300, 40), passage, random.integers(0, 300, 40)]).astype(np.uint32) for _ in range(400)]
+    counts = np.array([len(x) for x in held])
+    symbols, first, rules, lengths = repair.compress(np.concatenate(held), np.cumsum(counts) - counts)
+    assert lengths.max() >= 150
+    last = {}
+    pairs = collections.Counter()
+    for s, e in zip(first[:-1], first[1:]):
+        for at in range(s, e - 1):
+            pair = symbols[at], symbols[at + 1]
+            if last.get(pair) != at - 1 or pair[0] != pair[1]:
+                pairs[pair] += 1
+                last[pair] = at
+    assert max(pairs.values()) < repair.LEAST_COUNT
+    assert len(np.unique(rules, axis=0)) == len(rules)
+
+
 def test_token_files(spark, docs, none, tmp_path):
     repair.write_tokens(docs, str(tmp_path / "t"), shard_tokens=50)
     got = repair.read_tokens(spark, str(tmp_path / "t")).collect()
