@@ -332,6 +332,23 @@ def test_personal_data(spark, docs, none):
     assert pii.redacted("abcdef", [("a", 1, 4), ("b", 3, 5)]) == "a[A]f"
 
 
+FORMS = [
+    ("email", "write to {} now", "jo.smith (at) site (dot) example"), ("email", "mail {} please", "kim[at]post[dot]example"), ("ip", "ip {} or call", "2001:db8::1f:22"),
+    ("ip", "the host {} is up", "fe80:0:12ab:9:77:1:c0de:5"), ("phone", "or call {} now", "(974) 555-3436"), ("phone", "phone {} please", "974-555-3436"), ("card", "paid by card {} today", "4111.1111.1111.1111"),
+]
+
+
+def test_forms_beyond_base(spark):
+    name = lambda i: f"u{i}" if i % 2 else hashlib.sha1(str(i).encode()).hexdigest()[: i % 9 + 3].translate(str.maketrans("0123456789", "ghijklmnop"))
+    said = lambda i: f"write to {name(i)}@{name(i + 2)}.example now, ip 10.0.{i % 200}.7 or call +1 ({200 + i}) 555-{1000 + i} paid by card 4111 1111 1111 1111 on 2024-01-{i % 28 + 1:02d} v{i}.1.2 order {i:07d}"
+    model = pii.learn(spark.createDataFrame([(i, said(i)) for i in range(400)], "doc_id long, text string"))
+    for kind, context, form in FORMS:
+        text = context.format(form)
+        at = text.index(form)
+        assert pii.base_spans(text) == [] and (kind, at, at + len(form)) in model.added(text, []), form
+    assert [p for p in model.added("seen at 12:30:45:10 from 00:1a:2b:3c:4d:5e on 2024-01-07", []) if p[0] != "card"] == []
+
+
 def brute_counts(text):
     text = text or ""
     spans = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
