@@ -340,7 +340,7 @@ FORMS = [
 
 def test_forms_beyond_base(spark):
     name = lambda i: f"u{i}" if i % 2 else hashlib.sha1(str(i).encode()).hexdigest()[: i % 9 + 3].translate(str.maketrans("0123456789", "ghijklmnop"))
-    said = lambda i: f"write to {name(i)}@{name(i + 2)}.example now, ip 10.0.{i % 200}.7 or call +1 ({200 + i}) 555-{1000 + i} paid by card 4111 1111 1111 1111 on 2024-01-{i % 28 + 1:02d} v{i}.1.2 order {i:07d}"
+    said = lambda i: f"{'mail' if i % 3 else 'write to'} {name(i)}@{name(i + 2)}.example now, ip 10.0.{i % 200}.7 or call +1 ({200 + i}) 555-{1000 + i} paid by card 4111 1111 1111 1111 on 2024-01-{i % 28 + 1:02d} v{i}.1.2 order {i:07d}"
     model = pii.learn(spark.createDataFrame([(i, said(i)) for i in range(400)], "doc_id long, text string"))
     for kind, context, form in FORMS:
         text = context.format(form)
@@ -349,6 +349,15 @@ def test_forms_beyond_base(spark):
     assert [p for p in model.added("seen at 12:30:45:10 from 00:1a:2b:3c:4d:5e on 2024-01-07", []) if p[0] != "card"] == []
 
 
+def test_long_and_letter_only_secrets(spark):
+    letters = [hashlib.sha1(str(i).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(400)]
+    model = pii.learn(spark.createDataFrame([(i, f'set key = "{x}" with {x[:5]} and {x}{x}') for i, x in enumerate(letters)], "doc_id long, text string"))
+    for n in (40, 300, 5000):
+        key = (letters[0] + letters[1]) * 70
+        text = f'set key = "{key[:n]}" with it'
+        assert ("secret", 11, 11 + n) in model.added(text, [])
+
+
 def brute_counts(text):
     text = text or ""
     spans = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
