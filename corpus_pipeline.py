@@ -21,8 +21,11 @@ NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language can be told (no text, no letter)."""
-    judged = langid.predict(docs, langid.learn_documents(docs))
+    """Rejects documents in which no language can be told (no text, no letter); only these if no language could be learned."""
+    model = langid.learn_documents(docs)
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    judged = langid.predict(docs, model)
     return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 

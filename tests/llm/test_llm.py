@@ -65,6 +65,14 @@ def test_language(spark, docs, none):
     assert empty[0] == [] and {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
 
 
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline
+
+    unlabelled = table(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = sorted(r.doc_id for r in corpus_pipeline.language(spark, unlabelled, "").collect())
+    assert kept == [i for i, t in enumerate(TEXTS) if any(c.isalpha() for c in t or "")]
+
+
 def test_profile_is_the_bundle_of_bound_vectors():
     codes, counts = langid.ngrams("Ab, ba")
     by_hand = collections.Counter()
