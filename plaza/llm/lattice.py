@@ -16,7 +16,8 @@ merges, so the path with the best sum of scores is not what its library gives.
 The fold therefore takes, step by step, the best-scored edge that joins two
 neighbours (of equal scores the first), which does; a unigram vocabulary is
 folded as Viterbi (``unigram=True``). Words over ``LONG`` characters, for which a
-fold over arrays would be quadratic, are merged with a heap.
+fold over arrays would be quadratic, are merged with a heap, or for a unigram
+vocabulary searched by a linear Viterbi.
 
 Characters without a piece become byte pieces. Defined results: a null or empty
 text has no ids; repeated rows are encoded each; an empty table gives an empty
@@ -201,6 +202,27 @@ def fold_merges(steps: Column, places: Column, codes: Column, width: int) -> Col
     return F.aggregate(steps, start, step, lambda acc: acc["borders"])
 
 
+def viterbi(word: str, scores: dict[str, float], longest: int, unknown: float = -100.0) -> list[str]:
+    """What ``fold_viterbi`` gives, in time linear in the word: of equal sums the path whose borders are greatest, from the left."""
+    best, back = [0.0], [[]]
+    for at in range(1, len(word) + 1):
+        ways = [(best[s] + scores[word[s:at]], s) for s in range(max(0, at - longest), at) if word[s:at] in scores]
+        ways.append((best[at - 1] + unknown, at - 1))
+        best.append(max(ways)[0])
+        back.append([s for sum_, s in ways if sum_ == best[-1]])
+    # of the borders that lead to the end, the greatest that each leads on to
+    after = {len(word): None}
+    for at in range(len(word), 0, -1):
+        if at in after:
+            for s in back[at]:
+                after.setdefault(s, at)
+    out, at = [], 0
+    while at < len(word):
+        out.append(word[at : after[at]])
+        at = after[at]
+    return out
+
+
 def fold_viterbi(steps: Column, lattice: Column, unknown: float = -100.0) -> Column:
     """Borders of the path with the best sum of scores over edges (s, e, score); a character that no piece holds costs ``unknown``."""
     start = F.array(F.struct(F.lit(0.0).alias("best"), F.array(F.lit(0)).alias("path")))
@@ -253,21 +275,21 @@ def encode(docs: DataFrame, path: str | None = None, unigram: bool = False) -> D
     placed = blocks.select("block", F.posexplode("words").alias("k", "word"))
     fits = F.char_length("word") <= LONG
     short = placed.where(fits).join(spell(placed.where(fits).select("word").distinct(), vocabulary, unigram), "word")
-    long = placed.where(~fits).join(_long(placed.where(~fits).select("word").distinct(), vocabulary), "word")
+    long = placed.where(~fits).join(_long(placed.where(~fits).select("word").distinct(), vocabulary, unigram), "word")
     known = short.select("block", "k", "ids").union(long.select("block", "k", "ids")).groupBy("block").agg(F.collect_list(F.struct("k", "ids")).alias("spelt"))
     rows = blocks.select("block", "doc_ids", "layout").join(known, "block", "left")
     return rows.select("doc_ids", "layout", F.col("spelt.k").alias("k"), F.col("spelt.ids").alias("ids")).mapInArrow(_assemble, "doc_id long, ids binary")
 
 
-def _long(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def _long(words: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> DataFrame:
     scores = {p: s for p, _, s in vocabulary.pieces}
     number = {p: i for p, i, _ in vocabulary.pieces}
-    first = vocabulary.first_byte
+    first, longest = vocabulary.first_byte, vocabulary.longest
 
     def rows(batches):
         for batch in batches:
             own = batch.column(0).to_pylist()
-            ids = [[i for t in merged(w, scores) for i in ([number[t]] if t in number else [first + b for b in t.encode()])] for w in own]
+            ids = [[i for t in (viterbi(w, scores, longest) if unigram else merged(w, scores)) for i in ([number[t]] if t in number else [first + b for b in t.encode()])] for w in own]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
     return words.mapInArrow(rows, "word string, ids array<int>")

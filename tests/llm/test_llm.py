@@ -453,6 +453,16 @@ def test_viterbi_fold(spark):
         assert sum(score[i] for i in got) == pytest.approx(brute(word)[0])
 
 
+def test_long_words_take_the_viterbi_path(spark):
+    pieces = [("a", 0, -1.0), ("b", 1, -1.5), ("ab", 2, -2.0), ("ba", 3, -0.5), ("aba", 4, -1.5)]
+    vocabulary = lattice.Vocabulary(pieces, 100, [])
+    random = np.random.default_rng(3)
+    long = ["".join(random.choice(list("aabbé"), lattice.LONG + 12)) for _ in range(3)]
+    words = spark.createDataFrame([(w,) for w in long], "word string").cache()
+    got = {r.word: r.ids for r in lattice._long(words, vocabulary, unigram=True).collect()}
+    assert got == {r.word: r.ids for r in lattice.spell(words, vocabulary, unigram=True).collect()}
+
+
 # --- queries and pipeline -------------------------------------------------------------
 
 
