@@ -6,15 +6,16 @@ positions are repeated possibly has a copy. Only those rows shuffle, on their
 digest; every other row passes straight through.
 
 The table of repeated positions is broadcast only when its counted rows are at
-most ``BROADCAST_WORDS`` (64 positions and 16 bytes each); above that it is
-joined by shuffle on the position, which is slower and gives the same rows.
+most ``BROADCAST_WORDS`` (64 positions and 16 bytes each), that of groups of
+equal texts when it has at most ``BROADCAST_GROUPS`` (about 150 bytes each); above
+that they are joined by shuffle, which is slower and gives the same rows.
 
 Defined results: a null text counts as empty; texts without any visible
 character form one group; among equal texts the row with the most code points,
 then the smallest ``doc_id`` (null first) stays; rows repeated with the same
 id and length are all marked kept by ``mark`` and reduced to one by ``dedup``;
 an empty table gives an empty table; input columns named like an output column
-are replaced.
+are replaced by ``mark`` and untouched by ``dedup``.
 """
 
 from __future__ import annotations
@@ -26,16 +27,18 @@ from plaza.llm.common import WHITE, cut, or_empty, table, without
 
 BITS_PER_ROW = 16
 BROADCAST_WORDS = 1 << 20
+BROADCAST_GROUPS = 100_000
+#: Rows of equal texts are summed up in so many parts before they meet.
+PARTS = 64
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
+#: Working columns of a row: digest, code points, whether a copy is possible.
+DIGEST, POINTS, MAYBE = "_xd_digest", "_xd_points", "_xd_maybe"
 
 
 def _prints(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with the digest of its normalised text and its length in code points."""
     plain = or_empty(F.col(text))
-    return docs.withColumns({
-        "text_sha256": F.sha2(F.regexp_replace(plain, WHITE + "+", ""), 256),
-        "_xd_points": F.char_length(plain),
-    })
+    return docs.withColumns({DIGEST: F.sha2(F.regexp_replace(plain, WHITE + "+", ""), 256), POINTS: F.char_length(plain)})
 
 
 def _repeated(prints: DataFrame, bits: int) -> DataFrame:
@@ -47,14 +50,12 @@ def _repeated(prints: DataFrame, bits: int) -> DataFrame:
 
 def _slot(k: int, bits: int):
     """Position ``k`` of a row; each of the two has its own half of the table."""
-    return F.pmod(F.xxhash64("text_sha256", F.lit(k)), F.lit(bits)) + F.lit(k * bits)
+    return F.pmod(F.xxhash64(DIGEST, F.lit(k)), F.lit(bits)) + F.lit(k * bits)
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``text_sha256`` and the flag ``_xd_maybe``: a copy is possible."""
-    prints = _prints(without(docs, *OUT), text)
-    rows = docs.count()
-    bits = 1 << max(16, (BITS_PER_ROW * max(rows, 1) - 1).bit_length())
+def candidates(prints: DataFrame) -> DataFrame:
+    """Rows that have DIGEST with MAYBE: a copy is possible."""
+    bits = 1 << max(16, (BITS_PER_ROW * max(prints.count(), 1) - 1).bit_length())
     words = cut(_repeated(prints, bits))
     small = words.count() <= BROADCAST_WORDS
     out = prints
@@ -64,34 +65,49 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         out = out.withColumn(f"_xd_w{k}", F.shiftright(slot, 6))
         out = out.join(F.broadcast(side) if small else side, f"_xd_w{k}", "left")
         out = out.withColumn(f"_xd_h{k}", F.coalesce(F.getbit(f"_xd_b{k}", F.pmod(slot, F.lit(64)).cast("int")), F.lit(0)) == 1)
-    return out.withColumn("_xd_maybe", F.col("_xd_h0") & F.col("_xd_h1")).drop(*[f"_xd_{c}{k}" for c in "wbh" for k in (0, 1)])
+    return out.withColumn(MAYBE, F.col("_xd_h0") & F.col("_xd_h1")).drop(*[f"_xd_{c}{k}" for c in "wbh" for k in (0, 1)])
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` with keep_id, group_size, kept and text_sha256."""
-    rows = candidates(docs, text)
-    alone = rows.where(~F.col("_xd_maybe")).withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    maybe = rows.where("_xd_maybe")
-    best = maybe.groupBy("text_sha256").agg(
-        F.min(F.struct((-F.col("_xd_points")).alias("n"), F.col(id_col).alias("id"))).alias("_xd_best"),
-        F.count("*").alias("group_size"),
-    )
-    both = maybe.join(best, "text_sha256").withColumns({
-        "keep_id": F.col("_xd_best.id"),
-        "kept": F.col(id_col).eqNullSafe(F.col("_xd_best.id")) & (F.col("_xd_points") == -F.col("_xd_best.n")),
+    return _marked(_prints(without(docs, *OUT), text), id_col)
+
+
+def _marked(prints: DataFrame, id_col: str) -> DataFrame:
+    rows = candidates(prints)
+    alone = rows.where(~F.col(MAYBE)).withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    maybe = rows.where(MAYBE)
+    groups = maybe.groupBy(DIGEST).agg(F.min(_first(id_col)).alias("_xd_best"), F.count("*").alias("group_size"))
+    # written first, so that Spark can split the rows of a hot text among tasks
+    best = cut(groups.where("group_size > 1"))
+    both = maybe.join(F.broadcast(best) if best.count() <= BROADCAST_GROUPS else best, DIGEST, "left")
+    both = both.withColumns({
+        "keep_id": F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("_xd_best.id")),
+        "kept": F.col("group_size").isNull() | F.col(id_col).eqNullSafe(F.col("_xd_best.id")) & (F.col(POINTS) == -F.col("_xd_best.n")),
+        "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
     })
-    return alone.unionByName(both.drop("_xd_best")).drop("_xd_points")
+    return alone.unionByName(both.drop("_xd_best")).withColumnRenamed(DIGEST, "text_sha256").drop(POINTS, MAYBE)
+
+
+def _first(id_col: str):
+    """Least for the row that stays."""
+    return F.struct((-F.col(POINTS)).alias("n"), F.col(id_col).alias("id"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of equal texts, with the columns of ``docs``."""
-    kept = mark(docs, id_col, text).where("kept")
-    once = kept.where("_xd_maybe").dropDuplicates(["text_sha256"])
-    return kept.where(~F.col("_xd_maybe")).unionByName(once).select(*docs.columns)
+    """One row of each group of equal texts, with the columns of ``docs``; rows that differ in neither text nor id leave one."""
+    rows = candidates(_prints(docs, text))
+    maybe = rows.where(MAYBE).withColumn("_xd_part", F.pmod(F.xxhash64(id_col), F.lit(PARTS)))
+    row = F.struct(*docs.columns).alias("row")
+    # a hot text is first settled in parts, so no task gets all its copies
+    some = maybe.groupBy(DIGEST, "_xd_part").agg(F.min_by(row, _first(id_col)).alias("row"), F.min(_first(id_col)).alias("first"))
+    once = some.groupBy(DIGEST).agg(F.min_by("row", "first").alias("row")).select("row.*")
+    return rows.where(~F.col(MAYBE)).select(*docs.columns).union(once)
 
 
 def query(spark, sf_dir):
-    return mark(table(spark, sf_dir, "documents")).select("doc_id", *OUT)
+    prints = cut(_prints(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text"))
+    return _marked(prints, "doc_id").select("doc_id", *OUT)
 
 
 ORACLE = r"""

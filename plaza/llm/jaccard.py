@@ -12,44 +12,52 @@ Method: set relations let the join skip work on two levels.
 
 Steps:
 
-1. Each text becomes a set of 64-bit n-gram hashes. Equal sets form one class.
+1. Each text becomes a set of 64-bit n-gram hashes. Equal sets form one class,
+   whose key is a 64-bit digest of the set.
 2. n-grams below a fixed point of the hash range are counted; of the n-grams a
-   set has there, one found in no other class is lost to any link. A class that
-   has lost more than a link allows is linked with nothing. This leaves few.
-3. The classes left are ordered by document frequency of their n-grams; a prefix
-   of rare n-grams must meet a partner's prefix.
+   class has there, one found in no other class is lost to any link. A class that
+   has lost more than a link allows is linked with nothing. Of the few classes
+   that are left, all n-grams are counted, and the same is asked again.
+3. The n-grams of a class get an order: those lost, then those below the fixed
+   point by document frequency, then the others; a prefix must meet a partner's
+   prefix.
 4. Each class is compared with the pivot that most of its prefix lists name.
-5. The classes that may still have a link out of their group are ordered again,
-   now by all their n-grams, and pairs not yet connected are compared, as derived
-   answers or exactly.
+5. Of lists that still name several groups, pairs not yet connected are
+   compared, as derived answers or exactly.
 
 No list of an n-gram is gathered in one task; frequent ones are joined in
-parts (Spark's skew handling) after connected sets have left them.
+parts (Spark's skew handling) after connected sets have left them. Shingles are
+made anew for the counting pass and for the classes left, rather than stored.
 
 Defined results: a null text, or one without words, has an empty set, is linked
-with nothing and is its own component; fewer words than n form one n-gram; rows
-repeated with one id count once; an empty table gives an empty table; other
-columns are ignored.
+with nothing and is its own component; fewer words than n form one n-gram; each
+row counts by its own text, also where an id is repeated; an empty table gives an
+empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from plaza.llm.common import cut, table, worker_memory
+from plaza.llm.common import Scratch, cut, table, worker_memory
 from plaza.llm.components import components
 
 WORDS = 4
 PERCENT = 85
-#: Part of the hash range whose n-grams are counted.
+#: Part of the hash range whose n-grams are counted for all classes.
 COUNTED = 0.3
 #: Ids are broadcast only up to this counted number (8 bytes each).
 BROADCAST_IDS = 2_000_000
+#: A worker forgets its words' hashes beyond so many, and sends its sets on beyond so many n-grams.
 MOST_WORDS = 300_000
+MOST_GRAMS = 1_000_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _FACTORS = np.array([int.from_bytes(xxhash.xxh64_digest(str(k))) | 1 for k in range(64)], np.uint64)  # one odd number for each place in an n-gram
@@ -95,37 +103,49 @@ def _below(part: float) -> np.uint64:
     return np.uint64(min(int(part * 2**64), 2**64 - 1))
 
 
-def sets(docs: DataFrame, n: int = WORDS, counted: float = COUNTED) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digest of the set) and the counted n-grams of every document."""
+def _each(docs: DataFrame, n: int, schema: str, columns: Callable[[list, list[np.ndarray]], list]) -> DataFrame:
+    """``columns`` of the ids and sets of all rows, some rows at a time."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def rows(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                own = [shingles(t.as_py(), n) for t in part.column(1).cast(pa.binary())]
-                digest = np.array([np.frombuffer(xxhash.xxh128_digest(s), np.int64) for s in own]).reshape(-1, 2)
-                low = [s[: np.searchsorted(s, _below(counted))] for s in own]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _lists(low)], names=["doc_id", "n_shingles", "d1", "d2", "counted"])
+            ids, own, grams = [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                ids.append(doc)
+                own.append(shingles(text.as_py(), n))
+                grams += len(own[-1])
+                if grams > MOST_GRAMS or len(own) == 512:
+                    yield pa.RecordBatch.from_arrays(columns(ids, own), names=names)
+                    ids, own, grams = [], [], 0
+            if own:
+                yield pa.RecordBatch.from_arrays(columns(ids, own), names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, schema)
+
+
+def _digests(own: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh3_64_intdigest(s) for s in own], np.uint64).view(np.int64))
+
 
-    return _texts(docs).mapInArrow(rows, "doc_id long, n_shingles long, d1 long, d2 long, counted array<long>")
+def sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles and key (digest of the set) of every row."""
+    return _each(docs, n, "doc_id long, n_shingles long, key long", lambda ids, own: [pa.array(ids, pa.int64()), pa.array([len(s) for s in own], pa.int64()), _digests(own)])
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _counted(docs: DataFrame, n: int, counted: float) -> DataFrame:
+    """key and the counted n-grams of every row."""
+    return _each(docs, n, "key long, grams array<long>", lambda ids, own: [_digests(own), _lists([s[: np.searchsorted(s, _below(counted))] for s in own])])
 
 
 def _full(docs: DataFrame, n: int, percent: int, counted: float) -> DataFrame:
-    """doc_id, grams (the whole set) and n_low: how many of its first may be in a prefix."""
+    """key, n, grams (the whole set), early (how many of them are counted ones) and n_low: how many of its first may be in a prefix."""
 
-    def rows(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                own = [shingles(t.as_py(), n) for t in part.column(1).cast(pa.binary())]
-                low = [max(int(np.searchsorted(s, _below(counted))), (100 - percent) * len(s) // 100 + 1) for s in own]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(own), pa.array(np.minimum(low, [len(s) for s in own]), pa.int32())], names=["doc_id", "grams", "n_low"])
+    def columns(ids, own):
+        early = [int(np.searchsorted(s, _below(counted))) for s in own]
+        low = [min(len(s), max(e, (100 - percent) * len(s) // 100 + 1)) for s, e in zip(own, early)]
+        return [_digests(own), pa.array([len(s) for s in own], pa.int64()), _lists(own), pa.array(early, pa.int32()), pa.array(low, pa.int32())]
 
-    return _texts(docs).mapInArrow(rows, "doc_id long, grams array<long>, n_low int")
+    return _each(docs, n, "key long, n long, grams array<long>, early int, n_low int", columns)
 
 
 def _may_lose(percent: int):
@@ -135,41 +155,111 @@ def _may_lose(percent: int):
 
 def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, counted: float = COUNTED) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
-    own = cut(sets(docs, n, counted))
-    classes = own.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    reps = cut(_not_alone(own, classes, percent))
-    groups = _groups(docs, reps, n, percent, counted)
-    named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
-    rows = own.select("doc_id", "n_shingles", "d1", "d2")
-    return rows.join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
-
-
-def _not_alone(own: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(rep, n) of the classes that share enough n-grams with others to have a link."""
-    grams = own.where("n_shingles > 0").select("d1", F.explode("counted").alias("g"))
-    once = grams.groupBy("g").agg(F.min("d1").alias("d1"), F.max("d1").alias("d1_")).where("d1 = d1_")
-    lost = once.groupBy("d1").agg(F.count("*").alias("lost"))
-    return classes.join(lost, "d1", "left").where(F.coalesce("lost", F.lit(0)) <= _may_lose(percent)).select("rep", "n")
-
-
-def _groups(docs: DataFrame, reps: DataFrame, n: int, percent: int, counted: float) -> DataFrame:
-    """(node, component) of the classes that have a link."""
-    ids = reps.select(F.col("rep").alias("doc_id"))
-    few = reps.count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    full = cut(_full(chosen, n, percent, counted).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.size("grams").alias("n"), "grams", "n_low"))
-    lists = cut(_prefixes(full, percent, counted))
-
-    votes = _pivots(lists, percent)
-    checked = cut(_overlaps(votes, full))
+    return _named(_components(docs, n, percent, counted)).select("doc_id", "n_shingles", "component_id")
+
+
+def dedup(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest doc_id (null last), then the smallest key.
+
+    Rows are dropped by id. Where an id is null or repeated, they are dropped by
+    id and key, and of equal ones any one stays.
+    """
+    found = cut(_named(_components(docs, n, percent, COUNTED)).select("doc_id", "n_shingles", "key", "component"))
+    full = found.where("n_shingles > 0")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = full.groupBy("component").agg(F.min(row).alias("kept"), F.count("*").alias("size")).where("size > 1")
+    others = full.join(kept, "component").where(row != F.col("kept")).select("doc_id", "key")
+    odd = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").select("doc_id"))
+    if odd.isEmpty():
+        return _lacking(docs, others.select("doc_id"), "doc_id")
+    odd = odd.where("doc_id is not null")
+    unnamed = F.col("doc_id").isNull()
+    plain = _lacking(_lacking(docs.where(~unnamed), odd, "doc_id"), _lacking(others.where(~unnamed), odd, "doc_id").select("doc_id"), "doc_id")
+    rest = keyed(docs.where(unnamed).union(_having(docs, odd, "doc_id").select(*docs.columns)), n, "_jc_key")
+    gone = others.select(F.col("doc_id").alias("_jc_id"), F.col("key").alias("_jc_gone"))
+    rest = rest.join(gone, F.col("_jc_id").eqNullSafe(F.col("doc_id")) & (F.col("_jc_gone") == F.col("_jc_key")), "left_anti")
+    empty = rest.where("_jc_key is null").drop("_jc_key")
+    return plain.select(*docs.columns).union(empty).union(rest.where("_jc_key is not null").dropDuplicates(["doc_id", "_jc_key"]).drop("_jc_key"))
+
+
+def keyed(docs: DataFrame, n: int, name: str) -> DataFrame:
+    """``docs`` with the digest of each row's set, null if it is empty."""
+    schema = StructType([*docs.schema.fields]).add(name, "long")
+    at = docs.columns.index("text")
+
+    def rows(batches):
+        for batch in batches:
+            own = [shingles(t.as_py(), n) for t in batch.column(at).cast(pa.string()).cast(pa.binary())]
+            keys = pa.array([d if len(s) else None for s, d in zip(own, _digests(own).to_pylist())], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=schema.names)
+
+    return docs.mapInArrow(rows, schema)
+
+
+def _components(docs: DataFrame, n: int, percent: int, counted: float):
+    """The rows of ``sets``; (key, component) of the classes that have a link."""
+    own = cut(sets(docs, n))
+    classes = own.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    with Scratch(docs.sparkSession) as scratch:
+        once = _lost(_counted(docs, n, counted))
+        reps = scratch.cut(_not_alone(classes, once, percent))
+        named = lambda df: df.withColumn("_jc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+        chosen = _having(named(docs.select("doc_id", "text")), named(reps).select("_jc_id"), "_jc_id")
+        full = scratch.cut(_full(chosen, n, percent, counted).dropDuplicates(["key"]))
+        left = scratch.cut(_not_alone(full.select("key", "n"), _lost(full, _late("g", counted)), percent).drop("n"))
+        full = scratch.cut(full.join(F.broadcast(left) if left.count() <= BROADCAST_IDS else left, "key"))
+        return own, cut(_groups(scratch, full, percent, counted))
+
+
+def _named(found) -> DataFrame:
+    own, groups = found
+    named = own.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    # classes of a component have one number, so the hot ones meet in a join that Spark can split
+    return named.join(least, "component", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))
+
+
+def _having(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """``rows`` whose ``on`` is among ``ids``."""
+    ids = ids.distinct()
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
+
+
+def _lacking(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """``rows`` whose ``on`` is not among ``ids``."""
+    ids = cut(ids.distinct())
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_anti")
+
+
+def _lost(sets_: DataFrame, late=None) -> DataFrame:
+    """key, lost, lost_low: how many of its ``grams`` are in no other class; of them, how many are not late."""
+    grams = sets_.select("key", F.explode("grams").alias("g"))
+    once = grams.groupBy("g").agg(F.min("key").alias("key"), F.max("key").alias("key_")).where("key = key_")
+    return once.groupBy("key").agg(F.count("*").alias("lost"), F.count_if(~late if late is not None else F.lit(True)).alias("lost_low"))
+
+
+def _not_alone(classes: DataFrame, lost: DataFrame, percent: int) -> DataFrame:
+    """The classes that share enough n-grams with others to have a link, with lost and lost_low."""
+    return classes.join(lost, "key", "left").na.fill(0, ["lost", "lost_low"]).where(F.col("lost") <= _may_lose(percent))
+
+
+def _late(g: str, counted: float):
+    """Whether an n-gram is not below the point up to which all are counted; as signed numbers, hashes below 2**63 are the positive ones."""
+    edge = int(_below(counted))
+    return (F.col(g) < 0) | (F.col(g) >= edge) if edge < 2**63 else (F.col(g) < 0) & (F.col(g) >= edge - 2**64)
+
+
+def _groups(scratch: Scratch, full: DataFrame, percent: int, counted: float) -> DataFrame:
+    """(key, component) of the classes that have a link."""
+    lists = scratch.cut(_prefixes(full, percent, counted))
+    votes = scratch.cut(_pivots(lists, percent))
+    checked = scratch.cut(_overlaps(votes, full))
     near = checked.where(_linked("o", percent)).select("a", "b", "na", "nb", "o")
-    labels = cut(components(near.select("a", "b")))
-    rest = cut(_unsettled(lists, labels, percent))
-    fine = _prefixes(full.join(rest, "rep").withColumn("n_low", F.col("n")), percent, 1.0)
-    pairs = cut(_partners(cut(fine), labels, votes, percent))
-    sure, open_ = _derived(pairs, near, full, percent)
+    labels = components(near.select("a", "b"))
+    pairs = scratch.cut(_partners(scratch, lists, labels, votes, percent))
+    sure, open_ = _derived(scratch, pairs, near, full, percent)
     links = near.select("a", "b").union(sure).union(_overlaps(open_, full).where(_linked("o", percent)).select("a", "b"))
-    return components(links)
+    return components(links).withColumnRenamed("node", "key")
 
 
 def _linked(overlap: str, percent: int):
@@ -177,32 +267,21 @@ def _linked(overlap: str, percent: int):
 
 
 def _prefixes(full: DataFrame, percent: int, counted: float) -> DataFrame:
-    """The index lists: g, rep, n, at (position in the global order), lost (n-grams found nowhere else, of 1000).
+    """The index lists: g, rep (key of a class), n, at (position in the global order), lost (n-grams found nowhere else, of 1000).
 
-    The order: counted n-grams by rising document frequency, then by hash; then
-    the others by hash. Those found once stand first and take places, but have
-    no list.
+    The order: n-grams found once; counted ones by rising document frequency,
+    then by hash; then the others by hash. Those found once stand first and take
+    places, but have no list; late ones found once among these classes only may
+    go unnoticed, so a place is a least one.
     """
-    if counted >= 1:
-        return _placed(full, F.lit(False), percent)
-    edge = int(_below(counted)) - (2**64 if _below(counted) >= 2**63 else 0)
-    # as signed numbers, hashes below 2**63 are the positive ones
-    late = (F.col("g") < 0) | (F.col("g") >= edge) if edge >= 0 else (F.col("g") < 0) & (F.col("g") >= edge)
-    return _placed(full, late, percent)
-
-
-def _placed(full: DataFrame, late, percent: int) -> DataFrame:
-    """Late n-grams come after all counted ones of their set; how many late ones are found once isn't known, so their place is a least one."""
-    low = full.select("rep", "n", F.explode(F.slice("grams", F.lit(1), F.col("n_low"))).alias("g")).withColumn("late", late)
+    low = full.select(F.col("key").alias("rep"), "n", (F.col("lost") - F.col("lost_low") + F.col("early")).alias("lost"), F.explode(F.slice("grams", F.lit(1), F.col("n_low"))).alias("g"))
     often = low.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    met = low.join(often, "g")
     own = Window.partitionBy("rep")
+    placed = low.join(often, "g").withColumn("late", _late("g", counted))
     # the unsigned order of hashes: positive first
     order = own.orderBy("late", F.when(F.col("late"), 0).otherwise(F.col("df")), F.col("g") < 0, "g")
-    counted = low.where(~F.col("late")).groupBy("rep").agg(F.count("*").alias("early"))
-    placed = met.join(counted, "rep", "left").na.fill(0, ["early"])
     placed = placed.withColumns({"met": F.count_if(~F.col("late")).over(own), "k": F.row_number().over(order)})
-    placed = placed.withColumn("lost", F.col("early") - F.col("met"))
+    placed = placed.withColumn("lost", F.col("lost") - F.col("met"))
     placed = placed.withColumn("at", F.col("lost") + F.col("k") - 1)
     return placed.where(F.col("at") <= _may_lose(percent)).select("g", "rep", "n", "at", F.expr("1000 * lost div n").alias("lost"))
 
@@ -231,12 +310,7 @@ def _entries(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return entries.join(mixed, "g").select("g", "rep", "n", "at", "c", "most", "least")
 
 
-def _unsettled(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(rep) of the classes that may have a link out of their group; their sets are ordered anew, by all their n-grams."""
-    return _entries(lists, labels, percent).select("rep").distinct()
-
-
-def _partners(lists: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+def _partners(scratch: Scratch, lists: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) of unconnected classes that meet in a list and may be linked.
 
     ``most``: with the first shared n-gram at position ``at``, the overlap is at
@@ -244,7 +318,7 @@ def _partners(lists: DataFrame, labels: DataFrame, tried: DataFrame, percent: in
     hold the sizes within one factor of the threshold; an entry is sent to the
     blocks between its least and most partner size only.
     """
-    entries = _entries(lists, labels, percent)
+    entries = scratch.cut(_entries(lists, labels, percent))
     step = float(np.log(100 / percent)) if percent < 100 else 1.0
     block = lambda x: F.floor(F.log(F.col(x).cast("double")) / step).cast("int")
     left = entries.withColumn("block", F.explode(F.sequence(block("least"), block("most"))))
@@ -256,7 +330,7 @@ def _partners(lists: DataFrame, labels: DataFrame, tried: DataFrame, percent: in
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
-def _derived(pairs: DataFrame, near: DataFrame, full: DataFrame, percent: int):
+def _derived(scratch: Scratch, pairs: DataFrame, near: DataFrame, full: DataFrame, percent: int):
     """Links that follow from the overlaps of the pivots, and the pairs that are still open.
 
     With p a pivot linked to a, a lacks nb - o of p's n-grams and has na - o
@@ -266,7 +340,7 @@ def _derived(pairs: DataFrame, near: DataFrame, full: DataFrame, percent: int):
     rows = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     rows = rows.withColumns({f"p{x}": F.coalesce(f"p{x}", x) for x in "ab"} | {f"{m}{x}": F.coalesce(f"{m}{x}", F.lit(0)) for m in ("more", "less") for x in "ab"})
     asked = rows.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct()
-    known = cut(_overlaps(asked, full)).select(F.col("a").alias("lo"), F.col("b").alias("hi"), "o")
+    known = scratch.cut(_overlaps(asked, full)).select(F.col("a").alias("lo"), F.col("b").alias("hi"), "o")
     rows = rows.withColumns({"lo": F.least("pa", "pb"), "hi": F.greatest("pa", "pb")}).join(known, ["lo", "hi"], "left")
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     plain = (F.col("pa") == F.col("a")) & (F.col("pb") == F.col("b"))
@@ -286,9 +360,9 @@ def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
             sizes = [pa.array([len(x) for x in s], pa.int64()) for s in (a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes, pa.array(o, pa.int64())], names=["a", "b", "na", "nb", "o"])
 
-    left = full.select(F.col("rep").alias("a"), F.col("grams").alias("ga"))
-    right = full.select(F.col("rep").alias("b"), F.col("grams").alias("gb"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ga", "gb")
+    pairs = pairs.select("a", "b")
+    side = lambda x: _having(full.select(F.col("key").alias(x), F.col("grams").alias(f"g{x}")), pairs.select(x), x)
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb")
     return joined.mapInArrow(rows, "a long, b long, na long, nb long, o long")
 
 

@@ -204,6 +204,15 @@ def test_token_files(spark, docs, none, tmp_path):
 # --- copies ----------------------------------------------------------------------
 
 
+def test_exact_dedup_keeps_clashing_columns(spark):
+    own = [(1, "a b", "mine", 7.5), (2, "a  b", "yours", 8.5), (3, "c", None, 9.5)]
+    df = spark.createDataFrame(own, "doc_id long, text string, kept string, group_size double")
+    assert rows(exact_dedup.dedup(df)) == own[1:]
+    same = spark.createDataFrame([(4, "x y", "1"), (4, "x y", "1"), (None, "xy ", "2")], "doc_id long, text string, text_sha256 string")
+    assert [r.doc_id for r in exact_dedup.dedup(same).collect()] == [None]
+    assert rows(exact_dedup.mark(same), "doc_id", "keep_id", "kept", "group_size") == [(4, None, False, 3), (4, None, False, 3), (None, None, True, 3)]
+
+
 def test_exact_dedup(docs, none):
     got = exact_dedup.mark(docs).collect()
     groups = collections.defaultdict(list)
@@ -262,6 +271,17 @@ def test_jaccard_components(spark, n, percent):
     assert got == brute_components(texts, n, percent)
 
 
+def test_jaccard_repeated_ids(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    texts = [(1, base), (5, base + " end"), (5, "quite another text with words of its own"), (None, base + " stop"), (7, "quite another text with words of its own"), (7, ""), (8, None), (9, "alone with all of its words")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, key string")
+    got = rows(jaccard.jaccard_components(df).select("doc_id", "component_id"))
+    assert got == sorted([(1, 1), (5, 1), (5, 5), (None, 1), (7, 5), (7, 7), (8, 8), (9, 9)], key=str)
+    assert rows(jaccard.dedup(df, 4, 85)) == sorted([(1, base, "x"), (5, texts[2][1], "x"), (7, "", "x"), (8, None, "x"), (9, texts[7][1], "x")], key=str)
+    plain = df.where("doc_id in (1, 8, 9)").union(df.where("doc_id = 5 and text like 'w0%'"))
+    assert rows(jaccard.dedup(plain, 4, 85), "doc_id") == [(1,), (8,), (9,)]
+
+
 def test_jaccard_awkward(docs, none):
     got = jaccard.jaccard_components(docs)
     assert got.count() == docs.count() and jaccard.jaccard_components(none).count() == 0
