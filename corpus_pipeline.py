@@ -36,9 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each connected group of similar texts stays."""
-    groups = jaccard.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT)
-    others = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.dedup(docs, NEAR_WORDS, NEAR_PERCENT).select(*docs.columns)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
