@@ -11,21 +11,27 @@ block's distinct words once, and for each text the numbers of its words. Then
 3. edges are grouped by word, and Spark's ``aggregate`` folds over them,
 4. each block gets its words' ids and spells out its texts.
 
-The fold: the public vocabulary is a byte-pair one whose scores are ranks of
-merges, so the path with the best sum of scores is not what its library gives.
-The fold therefore takes, step by step, the best-scored edge that joins two
-neighbours (of equal scores the first), which does; a unigram vocabulary is
-folded as Viterbi (``unigram=True``). Words over ``LONG`` characters, for which a
-fold over arrays would be quadratic, are merged with a heap, or for a unigram
-vocabulary searched by a linear Viterbi.
+The folds: a unigram vocabulary is folded as Viterbi (``unigram=True``). The
+public vocabulary is a byte-pair one whose scores are ranks of merges; the path
+with the best sum of scores is not what its library gives. Its edges are folded
+in the order of their scores: an edge joins two neighbours if both its ends are
+still borders and exactly one border stands inside. One pass gives what merging
+step by step gives if every piece, spelt by itself, ends as itself through edges
+of better scores only: a region that ends as a piece then does so before worse
+edges are looked at. ``Vocabulary.odd`` holds the pieces for which this isn't so
+(runs of spaces, all of one score); words that hold one of them, and words over
+``LONG`` characters, whose borders don't fit a number of 64 bits, are merged with
+a heap instead, or for a unigram vocabulary searched by a linear Viterbi.
 
 Characters without a piece become byte pieces. Defined results: a null or empty
 text has no ids; repeated rows are encoded each; an empty table gives an empty
-table; other columns are ignored.
+table; other columns are ignored. A text that holds the mark of a space itself
+is not given back as it was.
 """
 
 from __future__ import annotations
 
+import collections
 import heapq
 import itertools
 import zlib
@@ -45,10 +51,14 @@ from plaza.llm.common import cut, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-LONG = 128
+#: Longest word of the relational lattice: its borders are the bits of one number.
+LONG = 60
 #: A block is closed after so many characters, or so many distinct words.
-BLOCK_CHARS = 1 << 25
-BLOCK_WORDS = 400_000
+BLOCK_CHARS = 1 << 22
+BLOCK_WORDS = 64_000
+#: Bits of an edge's number: rank, then start, length and id. A single character has the greatest rank; without a piece, the greatest id.
+ID_BITS, PLACE_BITS = 20, 6
+NO_ID = (1 << ID_BITS) - 1
 
 
 @dataclass
@@ -78,6 +88,13 @@ class Vocabulary:
         own["rank"] = own["score"].rank(method="dense", ascending=False).astype(int) - 1
         return spark.createDataFrame(own, "sub string, id int, score double, rank int")
 
+    def odd(self) -> set[str]:
+        """Pieces that one pass over better edges doesn't spell as themselves, or that share a score; of these, those that hold no other."""
+        scores = {p: s for p, _, s in self.pieces}
+        times = collections.Counter(s for p, s in scores.items() if len(p) > 1)
+        own = {p for p, s in scores.items() if len(p) > 1 and (times[s] > 1 or one_pass(p, scores) != [p])}
+        return {p for p in own if not any(p[a:b] in own for a in range(len(p)) for b in range(a + 2, len(p) + 1) if b - a < len(p))}
+
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """A number for each character of the vocabulary, and which pairs of them stand together in a piece."""
         chars = sorted({c for p, _, _ in self.pieces for c in p})
@@ -127,41 +144,55 @@ def merged(word: str, scores: dict[str, float]) -> list[str]:
     return [t for t in text if t]
 
 
+def one_pass(word: str, scores: dict[str, float]) -> list[str]:
+    """What ``fold_merges`` gives, of the edges no worse than the word itself."""
+    least = scores.get(word, float("-inf"))
+    own = sorted((-x, s, e) for s in range(len(word)) for e in range(s + 2, len(word) + 1) if (x := scores.get(word[s:e])) is not None and x >= least)
+    borders = set(range(len(word) + 1))
+    for _, s, e in own:
+        inner = borders & set(range(s + 1, e))
+        if s in borders and e in borders and len(inner) == 1:
+            borders -= inner
+    return [word[a:b] for a, b in itertools.pairwise(sorted(borders))]
+
+
 def blocks_of(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_CHARS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """block, doc_ids, layout (compressed numbers of the words of each text), words."""
+    """block, doc_ids, crcs (of the texts), layout (compressed numbers of the words of each text), words."""
     number, pairs = vocabulary.spans()
 
     def lay_out(batches):
         part, k = TaskContext.get().partitionId(), 0
-        ids, sizes, numbers, seen, chars = [], [], [], {}, 0
+        ids, crcs, sizes, numbers, seen, chars = [], [], [], [], {}, 0
 
         def row():
             flat = np.concatenate([np.array(sizes, np.uint32), *numbers]) if sizes else np.zeros(0, np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([ids], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=1).compress(flat.astype("<u4").tobytes())], pa.binary()), pa.array([list(seen)], pa.list_(pa.string()))], names=["block", "doc_ids", "layout", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([ids], pa.list_(pa.int64())), pa.array([crcs], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=1).compress(flat.astype("<u4").tobytes())], pa.binary()), pa.array([list(seen)], pa.list_(pa.string()))], names=["block", "doc_ids", "crcs", "layout", "words"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = words_of(text.as_py() or "", number, pairs)
+                text = text.as_py() or ""
+                own = words_of(text, number, pairs)
                 ids.append(doc)
+                crcs.append(zlib.crc32(text.encode("utf-8", "surrogatepass")))
                 sizes.append(len(own))
                 numbers.append(np.fromiter((seen.setdefault(w, len(seen)) for w in own), np.uint32, len(own)))
                 chars += sum(map(len, own))
                 if chars >= block_chars or len(seen) >= block_words:
                     yield row()
-                    ids, sizes, numbers, seen, chars, k = [], [], [], {}, 0, k + 1
+                    ids, crcs, sizes, numbers, seen, chars, k = [], [], [], [], {}, 0, k + 1
         if ids:
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(lay_out, "block long, doc_ids array<long>, layout binary, words array<string>")
+    return rows.mapInArrow(lay_out, "block long, doc_ids array<long>, crcs array<long>, layout binary, words array<string>")
 
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word, s, e, id, score, rank: the substrings of each word that are pieces; its first character also without a piece (nulls), so no word is lost."""
+    """word, s, e, id, score, rank: the substrings of each word that are pieces, and its single characters also without a piece (nulls)."""
     starts = words.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
     ends = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.char_length("word")))).alias("e"))
     subs = ends.withColumn("sub", F.substr("word", F.col("s") + 1, F.col("e") - F.col("s")))
-    return subs.join(F.broadcast(pieces), "sub", "left").where("id is not null or e = 1").select("word", "s", "e", "id", "score", "rank")
+    return subs.join(F.broadcast(pieces), "sub", "left").where("id is not null or e = s + 1").select("word", "s", "e", "id", "score", "rank")
 
 
 def bind(value: Column, then) -> Column:
@@ -169,37 +200,47 @@ def bind(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def fold_merges(steps: Column, places: Column, codes: Column, width: int) -> Column:
-    """Borders between the pieces of a word after all merges.
+def _edge(rank: Column, s: Column, length: Column, id_: Column) -> Column:
+    """An edge as one number; numbers sort by rank, then start. Single characters come last, as they join nothing."""
+    place = (F.when(length > 1, rank.cast("long")).otherwise(NO_ID) * (1 << PLACE_BITS) + s) * (1 << PLACE_BITS) + length
+    return place * (1 << ID_BITS) + F.coalesce(id_, F.lit(NO_ID))
+
+
+def _start(edge: Column) -> Column:
+    return F.shiftright(edge, ID_BITS + PLACE_BITS).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+
+
+def _length(edge: Column) -> Column:
+    return F.shiftright(edge, ID_BITS).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
 
-    ``places`` holds s * width + e - s of each edge, ``codes`` its rank above the
-    lowest 20 bits. Beside the borders the fold keeps, for each two neighbours,
-    the rank of the edge over both. A step drops the border inside the best (of
-    equal ranks the first) and looks up the two edges that its merge makes
-    possible.
-    """
-    none = F.lit(1 << 40).cast("long")
-    nothing = F.array().cast("array<bigint>")
+def _ends(edge: Column) -> Column:
+    return _bit(_start(edge)) + _bit(_start(edge) + _length(edge))
 
-    def joint(s, e):
-        return bind(F.array_position(places, s * width + e - s), lambda at: F.when(at > 0, F.shiftright(F.element_at(codes, at.cast("int")), 20) * (LONG * 2) + s).otherwise(none))
 
-    def merge(b, v, k):
-        before = F.when(k > 1, F.array(joint(F.element_at(b, k - 1), F.element_at(b, k + 2)))).otherwise(nothing)
-        after = F.when(k + 3 <= F.size(b), F.array(joint(F.element_at(b, k), F.element_at(b, k + 3)))).otherwise(nothing)
-        return F.struct(
-            F.concat(F.slice(b, F.lit(1), k), F.slice(b, k + 2, F.size(b))).alias("borders"),
-            F.concat(F.slice(v, F.lit(1), F.greatest(k - 2, F.lit(0))), before, after, F.slice(v, k + 2, F.size(v))).alias("joints"),
-        )
+def _inside(edge: Column) -> Column:
+    return _bit(_start(edge) + _length(edge)) - _bit(_start(edge) + 1)
 
-    def step(acc, _):
-        b, v = acc["borders"], acc["joints"]
-        first = lambda best: F.array_position(b, (best % (LONG * 2)).cast("int")).cast("int")
-        return bind(F.array_min(v), lambda best: F.when(best < none, bind(first(best), lambda k: merge(b, v, k))).otherwise(acc))
 
-    every = F.sequence(F.lit(0), F.size(steps) + 1)
-    start = F.struct(every.alias("borders"), F.transform(F.slice(every, F.lit(1), F.size(steps)), lambda s: joint(s, s + 2)).alias("joints"))
-    return F.aggregate(steps, start, step, lambda acc: acc["borders"])
+def fold_merges(numbers: Column, length: Column) -> Column:
+    """Borders of a word, as bits, after folding over its edges in order; an edge that joins two neighbours drops the border between them."""
+
+    def step(borders, edge):
+        within = borders.bitwiseAND(_inside(edge))
+        joins = (F.bit_count(within) == 1) & (borders.bitwiseAND(_ends(edge)) == _ends(edge))
+        return F.when(joins, borders - within).otherwise(borders)
+
+    return F.aggregate(numbers, _bit(length + 1) - 1, step)
+
+
+def _stand(numbers: Column, borders: Column) -> Column:
+    """The edges between neighbouring borders, in order of their starts: start and id as one number."""
+    own = F.filter(numbers, lambda x: (borders.bitwiseAND(_ends(x)) == _ends(x)) & (borders.bitwiseAND(_inside(x)) == 0))
+    return F.sort_array(F.transform(own, lambda x: _start(x) * (1 << ID_BITS) + x.bitwiseAND(F.lit(NO_ID)).cast("int")))
 
 
 def viterbi(word: str, scores: dict[str, float], longest: int, unknown: float = -100.0) -> list[str]:
@@ -237,48 +278,46 @@ def fold_viterbi(steps: Column, lattice: Column, unknown: float = -100.0) -> Col
 
 
 def spell(words: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> DataFrame:
-    """word, ids: the lattice of each of the distinct ``words``, folded.
-
-    Of an edge its place is kept, and its rank and id as one number; for the
-    unigram fold its score is kept beside.
-    """
-    width = vocabulary.longest + 1
+    """word, ids: the lattice of each of the distinct ``words`` (of at most LONG characters), folded."""
     found = edges(words, vocabulary.frame(words.sparkSession), vocabulary.longest)
-    place = F.when(F.col("id").isNotNull(), F.col("s") * width + F.col("e") - F.col("s"))
-    collect = [F.collect_list(place).alias("places"), F.collect_list(F.col("rank").cast("long") * (1 << 20) + F.col("id")).alias("codes")]
+    number = _edge(F.col("rank"), F.col("s"), F.col("e") - F.col("s"), F.col("id"))
+    collect = [F.collect_list(number).alias("edges")]
     if unigram:
         collect.append(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("s", "e", "score"))).alias("lattice"))
     # words start alike, so rows are sorted by a number before the word itself
     rows = found.groupBy(F.xxhash64("word").alias("h"), "word").agg(*collect)
-    steps = F.slice(F.sequence(F.lit(1), F.char_length("word")), F.lit(2), F.char_length("word"))
     if unigram:
-        borders = fold_viterbi(steps, F.col("lattice"))
+        steps = F.slice(F.sequence(F.lit(1), F.char_length("word")), F.lit(2), F.char_length("word"))
+        path = fold_viterbi(steps, F.col("lattice"))
+        rows = rows.withColumn("borders", F.aggregate(path, F.lit(0).cast("long"), lambda acc, at: acc + _bit(at)))
     else:
-        borders = fold_merges(steps, F.col("places"), F.col("codes"), width)
+        longer = F.slice("edges", F.lit(1), F.size("edges") - F.char_length("word"))
+        rows = rows.withColumn("edges", F.sort_array("edges")).withColumn("borders", fold_merges(longer, F.char_length("word")))
 
     def bytes_at(s):
         raw = F.encode(F.substr(F.col("word"), s + 1, F.lit(1)), "UTF-8")
         return F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda k: F.conv(F.hex(F.substr(raw, k, F.lit(1))), 16, 10).cast("int") + vocabulary.first_byte)
 
-    def ids_of(s, k):
-        e = F.element_at("borders", k + 2)
-        return bind(F.array_position("places", s * width + e - s), lambda at: F.when(at > 0, F.array(F.element_at("codes", at.cast("int")).bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))).otherwise(bytes_at(s)))
-
-    rows = rows.withColumn("borders", borders)
-    return rows.select("word", F.flatten(F.transform(F.slice("borders", F.lit(1), F.size("borders") - 1), ids_of)).alias("ids"))
+    stand = _stand(F.col("edges"), F.col("borders"))
+    ids = lambda x: x.bitwiseAND(F.lit(NO_ID))
+    rows = rows.select("word", stand.alias("stand"))
+    spelt = F.flatten(F.transform("stand", lambda x: F.when(ids(x) == NO_ID, bytes_at(F.shiftright(x, ID_BITS))).otherwise(F.array(ids(x)))))
+    return rows.select("word", F.when(F.exists("stand", lambda x: ids(x) == NO_ID), spelt).otherwise(F.transform("stand", ids)).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str | None = None, unigram: bool = False) -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit) of every row of ``docs``."""
+    """doc_id, ids (binary: little-endian unsigned 32-bit) and text_crc32 (of the source, in UTF-8) of every row of ``docs``."""
     vocabulary = Vocabulary.load(path or public_tokenizers.path(MODEL))
     blocks = cut(blocks_of(docs, vocabulary))
     placed = blocks.select("block", F.posexplode("words").alias("k", "word"))
-    fits = F.char_length("word") <= LONG
-    short = placed.where(fits).join(spell(placed.where(fits).select("word").distinct(), vocabulary, unigram), "word")
-    long = placed.where(~fits).join(_long(placed.where(~fits).select("word").distinct(), vocabulary, unigram), "word")
+    plain = F.char_length("word") <= LONG
+    for piece in sorted(vocabulary.odd() if not unigram else ()):
+        plain = plain & ~F.contains("word", F.lit(piece))
+    short = placed.where(plain).join(spell(placed.where(plain).select("word").distinct(), vocabulary, unigram), "word")
+    long = placed.where(~plain).join(_long(placed.where(~plain).select("word").distinct(), vocabulary, unigram), "word")
     known = short.select("block", "k", "ids").union(long.select("block", "k", "ids")).groupBy("block").agg(F.collect_list(F.struct("k", "ids")).alias("spelt"))
-    rows = blocks.select("block", "doc_ids", "layout").join(known, "block", "left")
-    return rows.select("doc_ids", "layout", F.col("spelt.k").alias("k"), F.col("spelt.ids").alias("ids")).mapInArrow(_assemble, "doc_id long, ids binary")
+    rows = blocks.select("block", "doc_ids", "crcs", "layout").join(known, "block", "left")
+    return rows.select("doc_ids", "crcs", "layout", F.col("spelt.k").alias("k"), F.col("spelt.ids").alias("ids")).mapInArrow(_assemble, "doc_id long, ids binary, text_crc32 long")
 
 
 def _long(words: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> DataFrame:
@@ -297,7 +336,7 @@ def _long(words: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> Da
 
 def _assemble(batches):
     for batch in batches:
-        for doc_ids, layout, k, ids in zip(*batch.columns):
+        for doc_ids, crcs, layout, k, ids in zip(*batch.columns):
             flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(layout.as_py()), "<u4").astype(np.int64)
             n = len(doc_ids)
             sizes, numbers = flat[:n], flat[n:]
@@ -313,33 +352,43 @@ def _assemble(batches):
             out = lists[np.repeat(start[numbers] - ends + own, own) + np.arange(total)].astype("<u4")
             stops = np.append(0, ends)[np.cumsum(sizes)]
             starts = np.append(0, stops[:-1])
-            docs = doc_ids.values
+            docs, sources = doc_ids.values, crcs.values
             for low in range(0, n, 1024):
                 high = min(n, low + 1024)
-                yield pa.RecordBatch.from_arrays([docs.slice(low, high - low), pa.array([out[a:b].tobytes() for a, b in zip(starts[low:high], stops[low:high])], pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([docs.slice(low, high - low), pa.array([out[a:b].tobytes() for a, b in zip(starts[low:high], stops[low:high])], pa.binary()), sources.slice(low, high - low)], names=["doc_id", "ids", "text_crc32"])
+
+
+def _decoder(path: str):
+    names = [n or b"" for n in Vocabulary.load(path).names]
+
+    def spell_out(ids: bytes) -> str:
+        text = b"".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        return text.removeprefix(" ")
+
+    return spell_out
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text of rows (doc_id, ids); bytes that aren't UTF-8 are replaced."""
-    names = [n or b"" for n in Vocabulary.load(path or public_tokenizers.path(MODEL)).names]
+    spell_out = _decoder(path or public_tokenizers.path(MODEL))
 
     def rows(batches):
         for batch in batches:
-            texts = [b"".join([names[i] for i in np.frombuffer(x.as_py(), "<u4").tolist()]).decode("utf-8", "replace") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t[1:] if t.startswith(" ") else t for t in texts], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spell_out(x.as_py()) for x in batch.column(1)], pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, text string")
 
 
 def query(spark, sf_dir):
-    """Ids of every document as a checksum, and the checksum of the text decoded from them."""
+    """Ids of every document as a checksum, and whether the text decoded from them is the source."""
     encoded = encode(table(spark, sf_dir, "documents"))
-    names = [n or b"" for n in Vocabulary.load(public_tokenizers.path(MODEL)).names]
+    spell_out = _decoder(public_tokenizers.path(MODEL))
 
     def digest(batches):
         for batch in batches:
             raw = [x.as_py() for x in batch.column(1)]
-            texts = [b"".join([names[i] for i in np.frombuffer(x, "<u4").tolist()])[1:] for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64())], names=["doc_id", "n_ids", "ids_crc32", "text_crc32"])
+            texts = [zlib.crc32(spell_out(x).encode("utf-8", "surrogatepass")) for x in raw]
+            intact = pa.array([a == b for a, b in zip(texts, batch.column(2).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(texts, pa.int64()), intact], names=["doc_id", "n_ids", "ids_crc32", "text_crc32", "intact"])
 
-    return encoded.mapInArrow(digest, "doc_id long, n_ids long, ids_crc32 long, text_crc32 long")
+    return encoded.mapInArrow(digest, "doc_id long, n_ids long, ids_crc32 long, text_crc32 long, intact boolean")

@@ -473,11 +473,31 @@ def test_viterbi_fold(spark):
         assert sum(score[i] for i in got) == pytest.approx(brute(word)[0])
 
 
+def test_one_pass_merges_as_the_heap_does(spark):
+    vocabulary = lattice.Vocabulary.load(lattice.public_tokenizers.path(lattice.MODEL))
+    assert vocabulary.odd() == {lattice.SPACE * 2}
+    scores, number = {p: s for p, _, s in vocabulary.pieces}, {p: i for p, i, _ in vocabulary.pieces}
+    random = np.random.default_rng(5)
+    parts = [p for p, _, _ in vocabulary.pieces if lattice.SPACE * 2 not in p and len(p) > 1]
+    words = {("".join(random.choice(parts, int(random.integers(1, 9))))[: lattice.LONG]) for _ in range(3000)} | {"日本😀é" * 15}
+    words = {w for w in words if lattice.SPACE * 2 not in w}
+    got = {r.word: r.ids for r in lattice.spell(spark.createDataFrame([(w,) for w in words], "word string"), vocabulary).collect()}
+    assert got == {w: [i for t in lattice.merged(w, scores) for i in ([number[t]] if t in number else [vocabulary.first_byte + b for b in t.encode()])] for w in words}
+
+
+def test_runs_of_spaces_and_long_words(spark):
+    own = sentencepiece.SentencePieceProcessor(model_file=lattice.public_tokenizers.path(lattice.MODEL))
+    texts = [" " * k + "a" + " " * (2 * k) + "b" for k in range(0, 40, 3)] + ["ab" * 200, "a▁b ▁", "x" * 61, "é" * 59]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in lattice.encode(df).collect()}
+    assert got == {i: own.encode(t) for i, t in enumerate(texts)}
+
+
 def test_long_words_take_the_viterbi_path(spark):
     pieces = [("a", 0, -1.0), ("b", 1, -1.5), ("ab", 2, -2.0), ("ba", 3, -0.5), ("aba", 4, -1.5)]
     vocabulary = lattice.Vocabulary(pieces, 100, [])
     random = np.random.default_rng(3)
-    long = ["".join(random.choice(list("aabbé"), lattice.LONG + 12)) for _ in range(3)]
+    long = ["".join(random.choice(list("aabbé"), lattice.LONG - k)) for k in range(3)]
     words = spark.createDataFrame([(w,) for w in long], "word string").cache()
     got = {r.word: r.ids for r in lattice._long(words, vocabulary, unigram=True).collect()}
     assert got == {r.word: r.ids for r in lattice.spell(words, vocabulary, unigram=True).collect()}
