@@ -3,8 +3,13 @@
 A text is compressed with zstandard as a whole and in fixed chunks; its ratio
 (compressed to plain bytes) must lie in the band of its length. A low ratio is
 repetitive, a high one is noise. Short texts have no band: a frame's fixed bytes
-outweigh them. A text fails when its whole ratio is out of band or more than
-``MOST_BAD`` of its full chunks are.
+outweigh them. Each full chunk must lie in ``CHUNK_BAND``; what is left at the end
+is a chunk of its own with the band of its own length. A text fails when its
+whole ratio is out of band or more than ``MOST_BAD`` of its bytes are in chunks
+out of band.
+
+The bands are documented constants: ``calibrated`` gives the shares of a table's
+texts by length and ratio from which they were read off.
 
 Defined results: a null text has no words; lines are split at ``\\n`` and a line
 equals an earlier one only as a whole; repeated rows are judged each; an empty
@@ -72,23 +77,38 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def ratios(text: bytes) -> tuple[float, float]:
-    """Ratio of the whole text, and the share of its full chunks that are out of band."""
+    """Ratio of the whole text, and the share of its bytes that are in chunks out of band."""
     if not text:
         return 0.0, 0.0
     pack = zstandard.ZstdCompressor(level=LEVEL).compress
-    bad = full = 0
-    for at in range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES):
-        r = len(pack(text[at : at + CHUNK_BYTES])) / CHUNK_BYTES
-        bad += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
-        full += 1
-    return len(pack(text)) / len(text), bad / full if full else 0.0
+    whole = len(pack(text)) / len(text)
+    if len(text) < CHUNK_BYTES:
+        return whole, 0.0  # one chunk, judged as the whole text
+    bad = 0
+    for at in range(0, len(text), CHUNK_BYTES):
+        chunk = text[at : at + CHUNK_BYTES]
+        least, most = CHUNK_BAND if len(chunk) == CHUNK_BYTES else band(len(chunk))
+        bad += len(chunk) * (not least <= len(pack(chunk)) / len(chunk) <= most)
+    return whole, bad / len(text)
+
+
+def band(size: int) -> tuple[float, float]:
+    return next((a, b) for n, a, b in reversed(BANDS) if size >= n)
 
 
 def in_band(size: int, whole: float, bad: float) -> bool:
-    least, most = next((a, b) for n, a, b in reversed(BANDS) if size >= n)
+    least, most = band(size)
     return least <= whole <= most and bad <= MOST_BAD
 
 
+def calibrated(docs: DataFrame, parts: tuple[float, ...] = (0.001, 0.01, 0.5, 0.99, 0.999)) -> DataFrame:
+    """least (bytes, as in BANDS), n and the quantiles ``parts`` of the whole ratios of the texts of that length whose base rules pass."""
+    starts = F.array(*[F.lit(n) for n, _, _ in BANDS])
+    rows = judge(docs).where("not base_failed").join(docs.select("doc_id", F.octet_length("text").alias("size")), "doc_id")
+    rows = rows.withColumn("least", F.array_max(F.filter(starts, lambda n: n <= F.col("size"))))
+    return rows.groupBy("least").agg(F.count("*").alias("n"), F.percentile_approx("ratio", list(parts), 10_000).alias("quantiles")).orderBy("least")
+
+
 OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_chunks double"
 
 

@@ -9,7 +9,8 @@ and reparsed by a deterministic parser: the text is cut at every control string
 gives 3 n + 1 pieces, of which each third holds role, level and body. The turns
 recovered are compared with the source. Where they differ, the turns that hold
 control strings are rendered again with level 1, whose body has ``%``, ``<`` and
-``[`` percent-escaped, and if need be all turns are.
+``[`` percent-escaped, and if need be all turns are. Each rendering is compared;
+should the last differ too, the job fails.
 
 Defined results: null roles and texts count as empty; turns sort by ``turn``
 (null last), then role, then text; repeated rows are turns of their own; a null
@@ -103,7 +104,8 @@ def format_chats(rows: DataFrame) -> DataFrame:
     plain = conversations_of(rows).withColumn("formatted", render(F.col("turns"), lambda t: F.lit(0)))
     some = lambda t: F.when(t["text"].rlike(CONTROL), 1).otherwise(0)
     once = plain.withColumn("formatted", F.when(_same(parse(F.col("formatted")), F.col("turns")), F.col("formatted")).otherwise(render(F.col("turns"), some)))
-    done = once.withColumn("formatted", F.when(_same(parse(F.col("formatted")), F.col("turns")), F.col("formatted")).otherwise(render(F.col("turns"), lambda t: F.lit(1))))
+    sure = lambda f: F.when(_same(parse(f), F.col("turns")), f).otherwise(F.raise_error(F.lit("a conversation can't be read back")))
+    done = once.withColumn("formatted", F.when(_same(parse(F.col("formatted")), F.col("turns")), F.col("formatted")).otherwise(bind(render(F.col("turns"), lambda t: F.lit(1)), sure)))
     return done.select("conv_id", "formatted").withColumn("loss_spans", loss_spans(F.col("formatted")))
 
 

@@ -12,7 +12,9 @@ by a hash of their id; bundling runs as a Spark aggregation and only languages x
 Defined results: a null text, or one without a letter, is ``und`` with score 0,
 and so is every text when nothing was learned; ties go to the language that
 sorts first; a null id is not held out; repeated rows are judged each; an empty
-table gives an empty table; other columns are ignored.
+table gives an empty table; other columns are ignored by the query and kept by
+``predict``, which replaces those named like its outputs, and ``known``, which
+replaces none.
 """
 
 from __future__ import annotations
@@ -33,13 +35,15 @@ SEED = 7
 FIT_ROWS = 20_000
 MOST_NGRAMS = 60_000
 UNKNOWN = "und"
+FLOOR = 0.7
+LEAST_FLOOR = 200
 
 
 @functools.cache
 def _letters() -> np.ndarray:
     """Code point to lower-case letter, 0 for what is no letter."""
     out = np.zeros(0x110000, np.uint32)
-    for cp in range(0x110000):
+    for cp in range(0x40000):  # no letters are assigned beyond
         c = chr(cp)
         if c.isalpha():
             low = c.lower()
@@ -96,22 +100,31 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def profile(text: str | None) -> np.ndarray | None:
     """The unit vector of a text; None if it has no letter."""
+    return _profile(text)[0]
+
+
+def _profile(text: str | None) -> tuple[np.ndarray | None, int]:
+    """The unit vector of a text and the number of its n-grams."""
     codes, counts = ngrams(text or "")
     if not len(codes):
-        return None
+        return None, 0
     vector = np.zeros(DIMENSIONS, np.float32)
     for at in range(0, len(codes), 4096):
         vector += counts[at : at + 4096].astype(np.float32) @ _bound()(codes[at : at + 4096]).astype(np.float32)
     norm = float(np.linalg.norm(vector))
-    return vector / norm if norm else None
+    return (vector / norm if norm else None), int(counts.sum())
 
 
-def learn(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and prototypes from rows (id, lang, text)."""
+def _drawn(rows: DataFrame, fit_rows: int) -> DataFrame:
+    """At most about ``fit_rows`` of the labelled rows (id, lang, text)."""
     rows = rows.where("lang is not null")
     n = rows.count()
-    if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
+    return rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30))) if n > fit_rows else rows
+
+
+def learn(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
+    """Languages and prototypes from rows (id, lang, text)."""
+    rows = _drawn(rows, fit_rows)
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
@@ -132,37 +145,69 @@ def learn(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndar
     return langs, np.divide(out, norms, out=out, where=norms > 0)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; columns of those names are replaced."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", names=("lang_pred", "score", "n_ngrams")) -> DataFrame:
+    """``docs`` with the language, the score and the number of n-grams under ``names``; columns of those names are replaced."""
     langs, prototypes = model
-    docs = without(docs, "lang_pred", "score")
-    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
+    docs = without(docs, *names)
+    schema = StructType([*docs.schema.fields]).add(names[0], "string").add(names[1], "double").add(names[2], "long")
 
     def rows(batches):
         for batch in batches:
-            names, scores = [], []
+            said, scores, sizes = [], [], []
             for value in batch.column(batch.schema.names.index(text)):
-                own = profile(value.as_py()) if langs else None
+                own, n = _profile(value.as_py()) if langs else (None, 0)
+                sizes.append(n)
                 if own is None:
-                    names.append(UNKNOWN)
+                    said.append(UNKNOWN)
                     scores.append(0.0)
                 else:
                     cosines = prototypes @ own
                     best = int(cosines.argmax())
-                    names.append(langs[best])
+                    said.append(langs[best])
                     scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], names=schema.names)
 
     return docs.mapInArrow(rows, schema)
 
 
+def size_class(n_ngrams: str):
+    """Scores grow with the length of a text, so floors are learned by the binary logarithm of its n-grams."""
+    return F.floor(F.log2(F.col(n_ngrams))).cast("int")
+
+
+def floors(rows: DataFrame, model: tuple[list[str], np.ndarray], fit_rows: int = FIT_ROWS) -> dict[int, float]:
+    """For each class of sizes the score under which a text is in none of the languages.
+
+    ``FLOOR`` times the score that all but one in a thousand of the labelled rows
+    (id, lang, text) of the class reach; classes of fewer than ``LEAST_FLOOR`` rows have none.
+    """
+    own = predict(_drawn(rows, fit_rows), model).where("n_ngrams > 0")
+    found = own.groupBy(size_class("n_ngrams").alias("k")).agg(F.percentile_approx("score", 0.001, 10_000).alias("low"), F.count("*").alias("n"))
+    return {r.k: FLOOR * r.low for r in found.where(F.col("n") >= LEAST_FLOOR).collect()}
+
+
+def known(docs: DataFrame, model: tuple[list[str], np.ndarray], floors: dict[int, float]) -> DataFrame:
+    """The rows of ``docs`` whose text is in one of the languages, with the columns of ``docs``."""
+    names = ("_id_lang", "_id_score", "_id_ngrams")
+    least = F.lit(0.0)
+    for k, low in sorted(floors.items()):
+        least = F.when(size_class(names[2]) == k, low).otherwise(least)
+    judged = predict(docs, model, names=names)
+    return judged.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(*docs.columns)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """(id, lang, text) of the rows of ``docs`` that aren't held out."""
+    return docs.where(~held_out()).select(F.col("doc_id").alias("id"), "lang", "text")
+
+
 def learn_documents(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Prototypes from the rows of ``docs`` that aren't held out."""
-    return learn(docs.where(~held_out()).select(F.col("doc_id").alias("id"), "lang", "text"))
+    return learn(labelled(docs))
 
 
 def query(spark, sf_dir):

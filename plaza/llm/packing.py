@@ -105,7 +105,8 @@ def pack(rows: DataFrame, capacity=CAPACITY, most_docs=MOST_DOCS, most_cost=MOST
         at = shard["_pack_shard"][0].as_py()
         return shard.drop_columns("_pack_shard").append_column("sequence_id", pa.array(bins + (at << 32))).append_column("offset", pa.array(offset))
 
-    dealt = rows.withColumn("_pack_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # all columns take part, so a repeated or null id is dealt to many shards
+    dealt = rows.withColumn("_pack_shard", F.pmod(F.xxhash64(*rows.columns), F.lit(shards)))
     return dealt.groupBy("_pack_shard").applyInArrow(one, schema)
 
 

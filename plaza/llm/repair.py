@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plaza.llm.common import table
+from plaza.llm.common import shared_folder, table
 from plaza.llm.tokens import tokenizer, vocabulary_path
 
 SHARD_TOKENS = 1 << 21
@@ -272,8 +272,15 @@ def read_tokens(spark: SparkSession, folder: str, whole: bool = True) -> DataFra
     return docs.join(F.broadcast(base) if few else base, ["part", "block"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", last)
 
 
+def sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: n_tokens, n_symbols and n_rules of the files in ``folder``, and ratio: their bytes to four a token."""
+    held = [F.octet_length(c) for c in ("symbols", "rules", "lengths", "first_symbol")]
+    rows = spark.read.schema(FILE).parquet(folder)
+    own = rows.agg(F.sum("n_tokens").alias("n_tokens"), F.sum(F.expr("octet_length(symbols) * 8 div width")).alias("n_symbols"), F.sum(F.expr("octet_length(lengths) div 4")).alias("n_rules"), F.sum(sum(held[1:], held[0])).alias("bytes"))
+    return own.select("n_tokens", "n_symbols", "n_rules", (F.col("bytes") / (4 * F.col("n_tokens"))).alias("ratio"))
+
+
 def query(spark, sf_dir):
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{root.rstrip('/')}/repair-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/repair-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), folder)
     return read_tokens(spark, folder, whole=False)

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -65,6 +66,38 @@ def test_language(spark, docs, none):
     assert empty[0] == [] and {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
 
 
+def test_prediction_is_the_nearest_bundle(spark):
+    said = {"en": "the and of with from that", "de": "der und die nicht von wird", "fr": "les une dans pour avec est"}
+    many = [(i, lang, " ".join(said[lang].split()[k] for k in ((i >> 1) % 6, i % 5, i % 3))) for i in range(90) for lang in [sorted(said)[i % 3]]]
+    rows_ = spark.createDataFrame(many, "id long, lang string, text string")
+    model = langid.learn(rows_)
+
+    def brute(text):  # n-gram vectors bound and bundled one by one
+        total = np.zeros(langid.DIMENSIONS)
+        for word in re.findall("[a-zäöüé]+", text.lower()):
+            padded = [0, *map(ord, word), 0]
+            for gram in zip(padded, padded[1:], padded[2:]):
+                total += np.prod([np.roll(langid._letter_vector(c), 2 - k).astype(float) for k, c in enumerate(gram)], axis=0)
+        return total / np.linalg.norm(total)
+
+    prototypes = {lang: sum(brute(t) for _, x, t in many if x == lang) for lang in said}
+    for r in langid.predict(rows_, model).collect():
+        own = brute(r.text)
+        cosines = {lang: float(p @ own / np.linalg.norm(p)) for lang, p in prototypes.items()}
+        assert r.score == pytest.approx(max(cosines.values()), abs=1e-4) and cosines[r.lang_pred] == pytest.approx(r.score, abs=1e-4)
+
+
+def test_floors_reject_noise_and_keep_columns(spark):
+    random = np.random.default_rng(2)
+    words = "the and of with from that this have been would could there their people other after first".split()
+    many = [(i, "en", " ".join(random.choice(words, 20)), "s", 1.5) for i in range(600)]
+    noise = [(1000 + i, None, "".join(map(chr, random.integers(97, 123, 120))), "n", None) for i in range(20)]
+    df = spark.createDataFrame([*many, *noise, (2000, None, "x", "short", None), (2001, None, "77", "none", None)], "doc_id long, lang string, text string, lang_pred string, score double")
+    model = langid.learn_documents(df)
+    kept = langid.known(df, model, langid.floors(langid.labelled(df), model))
+    assert rows(kept) == sorted([*many, (2000, None, "x", "short", None)], key=str)  # too few short ones are known for a floor
+
+
 def test_language_stage_without_labels(spark):
     import corpus_pipeline
 
@@ -197,6 +230,8 @@ def test_token_files(spark, docs, none, tmp_path):
     assert sorted(want, key=lambda r: r[1]) == sorted(((r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in got), key=lambda r: r[1])
     sums = repair.read_tokens(spark, str(tmp_path / "t"), whole=False).collect()
     assert sorted(r.ids_crc32 for r in sums) == sorted(zlib.crc32(w[3]) for w in want)
+    size = repair.sizes(spark, str(tmp_path / "t")).first()
+    assert size.n_tokens == at and size.n_symbols <= at and 0 < size.ratio
     repair.write_tokens(none, str(tmp_path / "e"))
     assert repair.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
@@ -325,6 +360,37 @@ def test_url_model_tells_unseen_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_url_score_and_threshold_by_brute_force(spark):
+    good = [(i, f"HTTP://News{i}.com/story?id={i * 7}") for i in range(60)]
+    bad = [(1000 + i, f"http://xx{i}.net/es/win#cash-{i}") for i in range(60)]
+    asked = [(5000, "http://a.org/x"), (5001, "http://a.org/x?win#cash-9"), (5002, "no scheme")]
+    df = spark.createDataFrame(good + bad + asked, "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    assert got[5000].score != got[5001].score and (got[5001].host, got[5001].path) == ("a.org", "/x") and got[5002].score == 0
+    text = lambda u: u.split("://", 1)[1].replace("News", "news")
+    part = {r.t: r.k for r in spark.createDataFrame([(text(u),) for _, u in good + bad], "t string").selectExpr("t", f"pmod(xxhash64(t, 1), {urls.CALIBRATE}) = 0 AS k").collect()}
+
+    def likelihood(fit, t):
+        grams = collections.Counter(u[i - k : i + 1] for u in fit for i in range(len(u)) for k in range(min(i, urls.ORDER) + 1))
+
+        def p(context, c):
+            shorter = p(context[1:], c) if context else 1 / 0x110000
+            after = {g[-1]: n for g, n in grams.items() if len(g) == len(context) + 1 and g[:-1] == context}
+            return (after.get(c, 0) + len(after) * shorter) / (sum(after.values()) + len(after)) if after else shorter
+
+        return sum(np.log(p(t[max(0, i - urls.ORDER) : i], t[i])) for i in range(len(t)))
+
+    allow, block = ([text(u) for _, u in own if not part[text(u)]] for own in (good, bad))
+    for page, url in [good[3], bad[5], asked[0], asked[1]]:
+        t = text(url)
+        assert got[page].score == pytest.approx((likelihood(allow, t) - likelihood(block, t)) / len(t))
+    kept = [(got[i].score, own is good) for own in (good, bad) for i, u in own if part[text(u)]]
+    threshold = urls._threshold(kept)
+    best = max((np.mean([s >= t for s, y in kept if y]) + np.mean([s < t for s, y in kept if not y])) for t in [s for s, _ in kept])
+    assert np.mean([s >= threshold for s, y in kept if y]) + np.mean([s < threshold for s, y in kept if not y]) == pytest.approx(best)
+    assert all(got[i].verdict == ("block" if got[i].score < threshold else "allow") for i in (5000, 5001, 5002))
+
+
 PII = [
     "mail a.b@c.d.e. and x@y, z@w-1.co", "1.2.3.4.5.6.7.8 256.1.1.1 0.0.0.0 001.02.3.4", "card 4111 1111 1111 1111 or 4111-1111-1111-1112", "+1 (599) 555-3756, +12 3", "@@ a@b@c.de +", "5555" * 5, "9" * 3000 + ".1.1.1", "x" * 5000 + "@" + "y" * 3000 + ".z", None, "é a@b.cd",
 ]
@@ -360,6 +426,32 @@ def test_personal_data(spark, docs, none):
     assert pii.redacted("abcdef", [("a", 1, 4), ("b", 3, 5)]) == "a[A]f"
 
 
+def test_added_spans_never_meet_base_spans():
+    text = " " + "a@b.cd" * 14 + "@host.example 1.2.3.4"
+    base = pii.base_spans(text)
+    places = pii._merged(base)
+    assert all(b <= c for (_, b), (c, _) in zip(places, places[1:]))
+    inside = {(s, e) for s in range(len(text)) for e in (s + 1, s + 7)}
+    for s, e in inside:
+        assert pii._meets(places, s, e) == any(s < f and b < e for _, b, f in base)
+    nested = [("email", 2, 122), *[("ip", k, k + 3) for k in range(4, 60, 4)]]
+    assert pii._meets(pii._merged(nested), 113, 118)
+
+
+def test_recall_and_precision_of_planted_spans(spark):
+    name = lambda i: hashlib.sha1(str(i).encode()).hexdigest()[: i % 9 + 4].translate(str.maketrans("0123456789", "ghijklmnop"))
+    said = lambda i: f"mail {name(i)}@{name(i + 2)}.example, ip 10.0.{i % 200}.7 or call +1 ({200 + i % 700}) 555-{1000 + i} key = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" on 2024-01-{i % 28 + 1:02d} order {i:07d}"
+    model = pii.learn(spark.createDataFrame([(i, said(i)) for i in range(600)], "doc_id long, text string"))
+    found = right = wanted = 0
+    for i in range(1000, 1100):
+        planted = [("email", f"{name(i)} (at) {name(i + 5)} (dot) example"), ("phone", f"({200 + i % 700}) 555-{1000 + i}"), ("ip", f"2001:db8::{i:x}:{i * 7 % 4096:x}"), ("secret", hashlib.sha256(str(i).encode()).hexdigest())]
+        text = f"mail {planted[0][1]} now, call {planted[1][1]} or ip {planted[2][1]} with token = '{planted[3][1]}' since 2023-11-{i % 28 + 1:02d} at 12:30:45 order {i:07d}"
+        truth = {(k, text.index(x), text.index(x) + len(x)) for k, x in planted}
+        got = set(model.added(text, pii.base_spans(text)))
+        found, right, wanted = found + len(got), right + len(got & truth), wanted + len(truth)
+    assert right >= 0.95 * wanted and right >= 0.95 * found
+
+
 FORMS = [
     ("email", "write to {} now", "jo.smith (at) site (dot) example"), ("email", "mail {} please", "kim[at]post[dot]example"), ("ip", "ip {} or call", "2001:db8::1f:22"),
     ("ip", "the host {} is up", "fe80:0:12ab:9:77:1:c0de:5"), ("phone", "or call {} now", "(974) 555-3436"), ("phone", "phone {} please", "974-555-3436"), ("card", "paid by card {} today", "4111.1111.1111.1111"),
@@ -412,6 +504,35 @@ def test_quality(docs, none):
     assert not bands.in_band(9000, *bands.ratios(noise)) and not bands.in_band(9000, *bands.ratios(b"word " * 1800))
 
 
+def brute_verdict(text):
+    raw = (text or "").encode()
+    pack = lambda x: len(zstandard.ZstdCompressor(level=bands.LEVEL).compress(x)) / len(x)
+    own = brute_counts(text)
+    if own[0] < 50 or 100 * own[4] > 50 * own[0]:
+        return False
+    limits = lambda n: [b[1:] for b in bands.BANDS if n >= b[0]][-1]
+    low, high = limits(len(raw))
+    chunks = [raw[k : k + bands.CHUNK_BYTES] for k in range(0, len(raw), bands.CHUNK_BYTES)] if len(raw) >= bands.CHUNK_BYTES else []
+    judged = [(len(c), bands.CHUNK_BAND if len(c) == bands.CHUNK_BYTES else limits(len(c)), pack(c)) for c in chunks]
+    bad = sum(n for n, (a, b), r in judged if not a <= r <= b)
+    return low <= pack(raw) <= high and bad <= bands.MOST_BAD * len(raw)
+
+
+def test_quality_verdict_by_brute_force(spark):
+    random = np.random.default_rng(4)
+    prose = lambda n: " ".join(f"{random.choice(['the', 'of', 'and', 'harbour', 'market', 'street'])}{random.integers(0, 9999) if random.random() < 0.3 else ''}" for _ in range(n))
+    noise = lambda n: " ".join("".join(map(chr, random.integers(33, 127, 7))) for _ in range(n))
+    same = lambda n: " ".join(["all", "work"] * n)
+    texts = [prose(60), prose(900), prose(4000), noise(900), noise(60), same(900), prose(500) + " " + noise(460), prose(650) + " " + noise(420), prose(4000) + " " + noise(300), prose(900) + "\n" + same(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in bands.judge(df).collect()}
+    assert got == {i: brute_verdict(t) for i, t in enumerate(texts)} and set(got.values()) == {True, False}
+    start = prose(700)[:4096]
+    tail = noise(600)[:4000]  # under one chunk, so only a chunk of its own can tell it
+    assert bands.ratios((start + tail).encode())[1] == len(tail) / (len(start) + len(tail))
+    assert bands.calibrated(df).select(F.sum("n")).first()[0] == sum(brute_counts(t)[0] >= 50 and 100 * brute_counts(t)[4] <= 50 * brute_counts(t)[0] for t in texts)
+
+
 # --- chat -------------------------------------------------------------------------
 
 
