@@ -7,8 +7,8 @@ Method: set relations let the join skip work on two levels.
   entry meets only the blocks within that bound (``_partners``).
 * Sets highly similar to a pivot inherit the pivot's answers: the overlap of two
   sets differs from the overlap of their pivots by no more than what each lacks
-  or has besides, so most pairs are decided by that alone (``_derived``); pairs
-  whose sets are already connected need no answer at all.
+  or has besides, so most pairs are decided by that alone (``_with_sets``,
+  ``_in_blocks``); pairs whose sets are already connected need no answer at all.
 
 Steps:
 
@@ -21,9 +21,12 @@ Steps:
 3. The n-grams of a class get an order: those lost, then those below the fixed
    point by document frequency, then the others; a prefix must meet a partner's
    prefix.
-4. Each class is compared with the pivot that most of its prefix lists name.
-5. Of lists that still name several groups, pairs not yet connected are
-   compared, as derived answers or exactly.
+4. Each class is compared with the pivot that most of its prefix lists name;
+   the classes linked with one pivot stand for one entry from then on.
+5. Of lists that still name several groups, pivots not yet connected are
+   compared; where a link around them is possible, classes around the one are
+   compared with the other, and where these answers leave it open, blocks of
+   the classes around both are compared.
 
 No list of an n-gram is gathered in one task; frequent ones are joined in
 parts (Spark's skew handling) after connected sets have left them. Shingles are
@@ -41,6 +44,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +62,8 @@ BROADCAST_IDS = 2_000_000
 #: A worker forgets its words' hashes beyond so many, and sends its sets on beyond so many n-grams.
 MOST_WORDS = 300_000
 MOST_GRAMS = 1_000_000
+#: n-grams of a block of sets that are compared with another block.
+BLOCK_GRAMS = 1 << 18
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _FACTORS = np.array([int.from_bytes(xxhash.xxh64_digest(str(k))) | 1 for k in range(64)], np.uint64)  # one odd number for each place in an n-gram
@@ -254,12 +260,23 @@ def _groups(scratch: Scratch, full: DataFrame, percent: int, counted: float) ->
     lists = scratch.cut(_prefixes(full, percent, counted))
     votes = scratch.cut(_pivots(lists, percent))
     checked = scratch.cut(_overlaps(votes, full))
-    near = checked.where(_linked("o", percent)).select("a", "b", "na", "nb", "o")
-    labels = components(near.select("a", "b"))
-    pairs = scratch.cut(_partners(scratch, lists, labels, votes, percent))
-    sure, open_ = _derived(scratch, pairs, near, full, percent)
-    links = near.select("a", "b").union(sure).union(_overlaps(open_, full).where(_linked("o", percent)).select("a", "b"))
-    return components(links).withColumnRenamed("node", "key")
+    near = checked.where(_linked("o", percent)).select("a", "b")
+    labels = components(near)
+    around = scratch.cut(_around(full, checked, labels, percent))
+    pairs = scratch.cut(_partners(scratch, lists, around, percent))
+    asked = pairs.select("a", "b").join(_either_way(checked).select("a", "b"), ["a", "b"], "left_anti")
+    known = scratch.cut(_either_way(checked).union(_overlaps(asked, full).select("a", "b", "na", "nb", "o")))
+    met = scratch.cut(_with_sets(scratch, pairs, known, around, full, percent))
+    links = near.union(met.where(_linked("o", percent)).select("a", "b"))
+    now = components(links)
+    return components(links.union(_in_blocks(scratch, met, around, now, full, percent))).withColumnRenamed("node", "key")
+
+
+def _either_way(rows: DataFrame) -> DataFrame:
+    """Pairs with the lesser key first."""
+    back = F.col("a") > F.col("b")
+    turn = lambda x, y: F.when(back, F.col(y)).otherwise(F.col(x)).alias(x)
+    return rows.select(turn("a", "b"), turn("b", "a"), turn("na", "nb"), turn("nb", "na"), "o").dropDuplicates(["a", "b"])
 
 
 def _linked(overlap: str, percent: int):
@@ -299,55 +316,116 @@ def _sizes(a: str, b: str, percent: int):
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def _entries(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Entries of the lists that name more than one group so far, with the least and most size of a partner."""
-    entries = lists.join(labels, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep"))
-    entries = entries.withColumns({
-        "most": F.expr(f"cast(floor((({100 + percent}) * (n - at) - {percent} * n) / {percent}) as bigint)"),
-        "least": F.expr(f"cast(ceil(n * {percent} / 100) as bigint)"),
-    }).where("most >= least")
-    mixed = entries.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("g")
-    return entries.join(mixed, "g").select("g", "rep", "n", "at", "c", "most", "least")
+def _around(full: DataFrame, checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """rep, n, p, more, less, c of every class: the pivot that it is linked with (else itself), n-grams it has besides the pivot's and lacks of them, its group so far."""
+    near = checked.where(_linked("o", percent)).select(F.col("a").alias("rep"), F.col("b").alias("p"), (F.col("na") - F.col("o")).alias("more"), (F.col("nb") - F.col("o")).alias("less"))
+    rows = full.select(F.col("key").alias("rep"), "n").join(near, "rep", "left").join(labels.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
+    return rows.select("rep", "n", F.coalesce("p", "rep").alias("p"), F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("less", F.lit(0)).alias("less"), F.coalesce("c", "rep").alias("c"))
 
 
-def _partners(scratch: Scratch, lists: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of unconnected classes that meet in a list and may be linked.
+def _partners(scratch: Scratch, lists: DataFrame, around: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of pivots in different groups so far, around which classes meet in a list and may be linked.
 
-    ``most``: with the first shared n-gram at position ``at``, the overlap is at
-    most n - at, so a partner has at most that many n-grams. A list's blocks
-    hold the sizes within one factor of the threshold; an entry is sent to the
-    blocks between its least and most partner size only.
+    An entry stands for all classes around one pivot, so a list has no more
+    entries than pivots. ``most``: with the first shared n-gram at position
+    ``at``, the overlap is at most n - at, so a partner has at most that many
+    n-grams. A list's blocks hold the sizes within one factor of the threshold;
+    an entry is sent to the blocks between its least and most partner size only.
+    Lists that name one group only have no pairs.
     """
-    entries = scratch.cut(_entries(lists, labels, percent))
+    most = F.expr(f"cast(floor((({100 + percent}) * (n - at) - {percent} * n) / {percent}) as bigint)")
+    least = F.expr(f"cast(ceil(n * {percent} / 100) as bigint)")
+    rows = lists.select("g", "rep", "n", "at", most.alias("most"), least.alias("least")).where("most >= least").join(around.select("rep", "p", "c"), "rep")
+    bounds = [F.min("least").alias("least"), F.max("most").alias("most"), F.min("n").alias("low"), F.max("n").alias("high")]
+    entries = scratch.cut(rows.groupBy("g", "p").agg(*bounds, F.first("c").alias("c")))
+    mixed = entries.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("g")
+    entries = scratch.cut(entries.join(mixed, "g"))
     step = float(np.log(100 / percent)) if percent < 100 else 1.0
     block = lambda x: F.floor(F.log(F.col(x).cast("double")) / step).cast("int")
     left = entries.withColumn("block", F.explode(F.sequence(block("least"), block("most"))))
-    right = entries.withColumn("block", block("n"))
-    right = right.select("g", "block", *[F.col(x).alias(f"{x}_") for x in ("rep", "n", "c", "most", "least")])
-    met = left.join(right, ["g", "block"]).where("rep < rep_ and c <> c_ and n_ between least and most and n between least_ and most_")
-    pairs = met.select(F.col("rep").alias("a"), F.col("rep_").alias("b"), F.col("n").alias("na"), F.col("n_").alias("nb")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
+    right = entries.withColumn("block", F.explode(F.sequence(block("low"), block("high"))))
+    right = right.select("g", "block", *[F.col(x).alias(f"{x}_") for x in ("p", "c", "least", "most", "low", "high")])
+    met = left.join(right, ["g", "block"]).where("p < p_ and c <> c_ and high_ >= least and low_ <= most and high >= least_ and low <= most_")
+    return met.select(F.col("p").alias("a"), F.col("p_").alias("b")).distinct()
 
 
-def _derived(scratch: Scratch, pairs: DataFrame, near: DataFrame, full: DataFrame, percent: int):
-    """Links that follow from the overlaps of the pivots, and the pairs that are still open.
+def _need(percent: int, a: str = "na", b: str = "nb"):
+    """The overlap from which on two sets are linked."""
+    return F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent))
 
-    With p a pivot linked to a, a lacks nb - o of p's n-grams and has na - o
-    besides; a class without a link to a pivot is its own.
+
+def _with_sets(scratch: Scratch, pairs: DataFrame, known: DataFrame, around: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, o): of each pair of pivots, all classes around the one with fewer against the other pivot, as far as any link is possible.
+
+    What a class around a pivot has besides it bounds its overlap with anything
+    whose overlap with the pivot is known.
+    """
+    about = scratch.cut(around.groupBy("p").agg(F.count("*").alias("size"), F.max("more").alias("more"), F.min("n").alias("low")))
+    side = lambda x: about.select(F.col("p").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "more", "low")])
+    rows = pairs.join(known, ["a", "b"]).join(side("a"), "a").join(side("b"), "b")
+    rows = rows.where(F.col("o") + F.col("more_a") + F.col("more_b") >= _need(percent, "low_a", "low_b"))
+    fewer = F.col("size_a") <= F.col("size_b")
+    one = rows.select(
+        F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("p"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("q"), "o",
+        F.when(fewer, F.col("more_b")).otherwise(F.col("more_a")).alias("more_q"), F.when(fewer, F.col("low_b")).otherwise(F.col("low_a")).alias("low_q"),
+        F.when(fewer, F.col("nb")).otherwise(F.col("na")).alias("nq"),
+    )
+    each = one.join(around.select("rep", "n", "p", "more"), "p").where(F.col("o") + F.col("more") + F.col("more_q") >= _need(percent, "n", "low_q"))
+    each = scratch.cut(each.select("p", "rep", "n", "q", "nq", "o"))
+    plain = each.where("rep = p").select(F.col("rep").alias("a"), F.col("q").alias("b"), F.col("n").alias("na"), F.col("nq").alias("nb"), "o")
+    others = _overlaps(each.where("rep <> p").select(F.col("rep").alias("a"), F.col("q").alias("b")), full)
+    return plain.union(others.select("a", "b", "na", "nb", "o"))
+
+
+def _in_blocks(scratch: Scratch, met: DataFrame, around: DataFrame, now: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the classes a of ``met`` with classes b around its pivots, of groups not yet connected.
+
+    The classes asked about one pivot and those around it are cut into blocks of
+    about ``BLOCK_GRAMS`` n-grams; each block of the one meets each of the other in
+    one task. Of a block, a class gets one link at most, as the classes around a
+    pivot are connected already.
     """
-    side = lambda x: near.select(F.col("a").alias(x), F.col("b").alias(f"p{x}"), (F.col("na") - F.col("o")).alias(f"more{x}"), (F.col("nb") - F.col("o")).alias(f"less{x}"))
-    rows = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rows = rows.withColumns({f"p{x}": F.coalesce(f"p{x}", x) for x in "ab"} | {f"{m}{x}": F.coalesce(f"{m}{x}", F.lit(0)) for m in ("more", "less") for x in "ab"})
-    asked = rows.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct()
-    known = scratch.cut(_overlaps(asked, full)).select(F.col("a").alias("lo"), F.col("b").alias("hi"), "o")
-    rows = rows.withColumns({"lo": F.least("pa", "pb"), "hi": F.greatest("pa", "pb")}).join(known, ["lo", "hi"], "left")
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    plain = (F.col("pa") == F.col("a")) & (F.col("pb") == F.col("b"))
-    upper = F.col("o") + F.col("morea") + F.col("moreb")
-    lower = F.col("o") - F.col("lessa") - F.col("lessb")
-    rows = rows.withColumn("says", F.when(F.col("o").isNull(), "open").when(plain, F.when(F.col("o") >= need, "link").otherwise("none")).when(lower >= need, "link").when(upper < need, "none").otherwise("open"))
-    return rows.where("says = 'link'").select("a", "b"), rows.where("says = 'open'").select("a", "b")
+    group = lambda x: now.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    rows = met.join(group("a"), "a", "left").join(group("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
+    rows = scratch.cut(rows.select("a", F.col("b").alias("q"), "na", "o"))
+    inner = around.where("rep <> p").select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("p").alias("q"), "more")
+    parts = lambda n: F.ceil(F.sum(n) / BLOCK_GRAMS)
+    grid = rows.groupBy("q").agg(parts("na").alias("n_i")).join(inner.groupBy("q").agg(parts("nb").alias("n_j"), F.max("more").alias("most"), F.min("nb").alias("low")), "q")
+    grid = scratch.cut(grid)
+    asked = rows.join(grid, "q").where(F.col("o") + F.least(F.col("most"), F.col("na") - F.col("o")) >= _need(percent, "na", "low"))
+    sets_of = lambda x, keys: _having(full.select(F.col("key").alias(x), F.col("grams").alias("grams")), keys.select(x), x)
+    place = lambda x, n: F.pmod(F.xxhash64(x), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = scratch.cut(asked)
+    left = asked.join(sets_of("a", asked), "a").select("q", place("a", "n_i").alias("i"), every("n_j").alias("j"), "a", "na", "o", "grams")
+    wanted = scratch.cut(inner.join(asked.select("q", "n_i", "n_j").distinct(), "q"))
+    right = wanted.join(sets_of("b", wanted), "b").select("q", every("n_i").alias("i"), place("b", "n_j").alias("j"), "b", "nb", "more", "grams")
+
+    def one(a: pa.Table, b: pa.Table) -> pa.Table:
+        found_a, found_b = [], []
+        if a.num_rows and b.num_rows:
+            b = b.combine_chunks()
+            lists = b["grams"].combine_chunks()
+            flat = pc.list_flatten(lists).to_numpy().view(np.uint64)
+            sizes = b["nb"].to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            more, keys = b["more"].to_numpy(), b["b"].to_numpy()
+            for key, n, o, grams in zip(a["a"].to_pylist(), a["na"].to_pylist(), a["o"].to_pylist(), a["grams"]):
+                need = -(-percent * (n + sizes) // (100 + percent))
+                if (np.minimum(o, sizes - more) + np.minimum(more, n - o) < need).all():
+                    continue
+                own = grams.values.to_numpy().view(np.uint64)
+                at = np.searchsorted(own, flat)
+                at[at == len(own)] = 0
+                common = np.add.reduceat(own[at] == flat, starts, dtype=np.int64)
+                hit = np.flatnonzero(common >= need)
+                if len(hit):
+                    found_a.append(key)
+                    found_b.append(keys[hit[0]])
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    key = ["q", "i", "j"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(one, "a long, b long")
 
 
 def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
