@@ -5,8 +5,10 @@ from __future__ import annotations
 import unicodedata
 from functools import cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def either(column) -> Column:
@@ -22,15 +24,24 @@ def truthy(column) -> Column:
 
 @cache
 def _accents() -> tuple[str, str]:
-    """Latin letters with marks, and their bare letters, from Unicode decompositions."""
-    pairs = [(chr(cp), unicodedata.normalize("NFD", chr(cp))[0]) for cp in range(0xC0, 0x250)]
-    pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
+    """Letters with marks up to U+1FFF, and their bare letters, from Unicode decompositions."""
+    pairs = [(chr(cp), unicodedata.normalize("NFKD", chr(cp))) for cp in range(0xC0, 0x2000)]
+    pairs = [(a, b[0]) for a, b in pairs if len(b) > 1 and all("\u0300" <= c <= "\u036f" for c in b[1:])]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def fold(column) -> Column:
-    """Lower case without accents."""
-    return F.lower(F.translate(either(column), *_accents()))
+    """Lower case without accents, for keys: letters with marks lose them, also marks that stand apart. ``fold_compatible`` folds all else that NFKD does."""
+    return F.lower(F.regexp_replace(F.translate(either(column), *_accents()), "[\u0300-\u036f]", ""))
+
+
+_MARKS = dict.fromkeys(range(0x300, 0x370))
+
+
+@F.pandas_udf(StringType())
+def fold_compatible(text: pd.Series) -> pd.Series:
+    """Lower case of the NFKD form without the marks U+0300 to U+036F: ligatures, widths and such are folded too."""
+    return text.map(lambda t: None if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFKD", t).translate(_MARKS).lower())
 
 
 def compact_key(column) -> Column:
@@ -195,11 +206,30 @@ def labels(column, rules) -> Column:
 
 
 def collapse_repeat(column) -> Column:
-    """``a b a b`` becomes ``a b``."""
-    words = F.split(F.trim(either(column)), " +")
-    half = F.floor(F.size(words) / 2).cast("int")
-    twice = (F.size(words) % 2 == 0) & (F.slice(words, F.lit(1), half) == F.slice(words, half + 1, half))
-    return F.when(twice, F.array_join(F.slice(words, F.lit(1), half), " ")).otherwise(F.array_join(words, " "))
+    """White space made single; ``a b a b`` becomes ``a b``."""
+
+    def once(words):
+        half = F.floor(F.size(words) / 2).cast("int")
+        twice = (F.size(words) % 2 == 0) & (F.slice(words, F.lit(1), half) == F.slice(words, half + 1, half))
+        return F.array_join(F.when(twice, F.slice(words, F.lit(1), half)).otherwise(words), " ")
+
+    spaced = F.trim(F.regexp_replace(either(column), r"[\x20\x09-\x0D]+", " "))
+    return F.when(spaced.isNotNull(), F.element_at(F.transform(F.array(F.split(spaced, " ")), once), 1))
+
+
+# Fixed value: the badge that a library's listing puts before or between titles.
+BADGE = "Featured Event. "
+
+
+def display_title(column) -> Column:
+    """A title without its badge: ``Badge x``, ``x Badge x`` and ``Badge x Badge x`` become ``x``; a badge between two different titles stays."""
+
+    def clean(title):
+        bare = F.when(F.startswith(title, F.lit(BADGE)), F.substr(title, F.lit(len(BADGE) + 1))).otherwise(title)
+        halves = F.split(bare, rf" ?{BADGE.replace('.', '[.]')}", -1)
+        return F.when((F.size(halves) == 2) & (halves[0] == halves[1]), halves[0]).otherwise(bare)
+
+    return F.element_at(F.transform(F.array(collapse_repeat(column)), clean), 1)
 
 
 def containment(a: Column, b: Column, least: int = 5) -> Column:

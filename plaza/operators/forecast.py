@@ -60,8 +60,8 @@ def shrinkage(rows: DataFrame, key: list[str], day: str, prior: int = 20, least:
     return out.withColumn("correction", F.greatest(F.lit(-most), F.least(F.lit(most), shift)))
 
 
-def bootstrap(days: DataFrame, key: str, seed: int = 1729, draws: int = 1000, block: int = 3) -> DataFrame:
-    """Interval of the mean daily difference by resampling blocks of consecutive days.
+def bootstrap(days: DataFrame, key: str, seed: int = 1729, draws: int = 1000, block: int = 3, least_days: int = 30, least_blocks: int = 10) -> DataFrame:
+    """Interval of the mean daily difference by resampling blocks of consecutive days; null under ``least_days`` days or ``least_blocks`` blocks.
 
     ``days`` (key, day number, difference) is a day series, a few hundred rows a key.
     """
@@ -71,8 +71,8 @@ def bootstrap(days: DataFrame, key: str, seed: int = 1729, draws: int = 1000, bl
         day, diff = series["day"].tolist(), series["difference"].tolist()
         blocks = [diff[i : i + block] for i in range(len(day) - block + 1) if day[i + block - 1] == day[i] + block - 1]
         name = series[key].iloc[0]
-        if not blocks:
-            return pd.DataFrame([(name, None, None, 0)], columns=[key, "low", "high", "blocks"])
+        if len(diff) < least_days or len(blocks) < least_blocks:
+            return pd.DataFrame([(name, None, None, len(blocks))], columns=[key, "low", "high", "blocks"])
         need = -(-len(diff) // block)
         picks = lcg(seed, draws * need)
         means = []

@@ -54,21 +54,22 @@ def first_action(links) -> Column:
     return F.try_element_at(either(links), F.lit(1))
 
 
-def post_expiry(title, published, expires, days: int = 60) -> Column:
-    """Earliest of the look-back's end, a stated end, and the end of a season that the title names."""
-    text, at = F.lower(either(title)), either(published).cast("timestamp_ntz")
-    year = F.year(at)
-    ends = F.coalesce(
-        F.when(text.rlike(_word("spring")), F.make_timestamp_ntz(year, F.lit(6), F.lit(21), F.lit(3), F.lit(0), F.lit(0))),
-        F.when(text.rlike(_word("summer")), F.make_timestamp_ntz(year, F.lit(9), F.lit(22), F.lit(3), F.lit(0), F.lit(0))),
-        F.when(text.rlike(_word("fall|autumn")), F.make_timestamp_ntz(year, F.lit(12), F.lit(21), F.lit(3), F.lit(0), F.lit(0))),
-        F.when(text.rlike(_word("winter")), F.make_timestamp_ntz(year + F.when(F.month(at) >= 10, 1).otherwise(0), F.lit(3), F.lit(21), F.lit(3), F.lit(0), F.lit(0))),
-    )
-    return F.least(at + F.expr(f"interval {days} days"), either(expires).cast("timestamp_ntz"), ends)
+# The day on which a season ends, at midnight of a zone three hours behind UTC.
+SEASON_ENDS = {"spring": (6, 21), "summer": (9, 22), "fall": (12, 21), "autumn": (12, 21), "winter": (3, 21)}
 
 
-def _word(w: str) -> str:
-    return f"(^|[^a-z0-9])({w})([^a-z0-9]|$)"
+def post_expiry(title, published, expires, days: int = 60) -> Column:
+    """Earliest of the look-back's end, a stated end, and the end of the season that the title names first.
+
+    A season before the word garden is the garden's. A winter named from October on ends in the next year.
+    """
+    at = either(published).cast("timestamp_ntz")
+    season = F.regexp_extract(F.lower(either(title)), rf"\b({'|'.join(SEASON_ENDS)})\b(?! garden)", 1)
+    ends = F.lit(None).cast("timestamp_ntz")
+    for name, (month, day) in SEASON_ENDS.items():
+        year = F.year(at) + F.when((F.lit(name) == "winter") & (F.month(at) >= 10), 1).otherwise(0)
+        ends = F.when(season == name, F.make_timestamp_ntz(year, F.lit(month), F.lit(day), F.lit(3), F.lit(0), F.lit(0))).otherwise(ends)
+    return F.least(at + F.expr(f"interval {days} days"), either(expires).cast("timestamp_ntz"), ends)
 
 
 def current_offer(status, source_type, verified, expires, review_due, valid_from, valid_to, as_of, days: int = 30) -> Column:
@@ -91,14 +92,29 @@ def active(status, season_end, as_of, zone: str = D.ZONE) -> Column:
     return ~F.coalesce(either(status), F.lit("")).isin(*INACTIVE) & F.coalesce(either(season_end) >= today, F.lit(True))
 
 
-def chain_policy(rows: DataFrame, name: str, chains: list[str]) -> DataFrame:
-    """Rows with the chain whose words open, close or are their name, possessives included; null if none.
+def chain_policy(rows: DataFrame, labels: dict[str, str | Column], hosts: dict[str, str | Column], chains: list[str], chain_hosts: list[str]) -> DataFrame:
+    """Rows with ``chain``: reason, field, token and value of the first field that names a chain; null if none does.
 
-    Chains are a fixed small list, so each is a branch of one expression.
+    ``labels`` (field to column) are read first: the words of a chain open, close
+    or are the label, possessives included. Then ``hosts``: the host of the URL is
+    a chain's or under it. Both lists are fixed and small, so each is a branch of
+    one expression.
     """
-    words = F.concat(F.lit(" "), S.spaced_key(F.regexp_replace(either(name), "'s", "")), F.lit(" "))
-    hit = F.coalesce(*[F.when(F.startswith(words, F.lit(f" {c} ")) | F.endswith(words, F.lit(f" {c} ")) | (words == f" {c} "), F.lit(c)) for c in chains])
-    return rows.withColumn("chain", hit)
+
+    def verdict(reason, field, token, value):
+        return F.when(token.isNotNull(), F.struct(F.lit(reason).alias("reason"), F.lit(field).alias("field"), token.alias("token"), either(value).alias("value")))
+
+    def by_label(value):
+        words = F.concat(F.lit(" "), S.spaced_key(F.regexp_replace(either(value), "['’]s", "")), F.lit(" "))
+        return F.coalesce(F.lit(None).cast("string"), *[F.when(F.startswith(words, F.lit(k)) | F.endswith(words, F.lit(k)), F.lit(c)) for c in chains for k in [f" {c} "]])
+
+    def by_host(value):
+        host = S.host_key(either(value))
+        return F.coalesce(F.lit(None).cast("string"), *[F.when((host == h) | F.endswith(host, F.lit("." + h)), F.lit(h)) for h in chain_hosts])
+
+    found = [verdict("non_local_chain_label", f, by_label(v), v) for f, v in labels.items()]
+    found += [verdict("non_local_chain_website", f, by_host(v), v) for f, v in hosts.items()]
+    return rows.withColumn("chain", F.coalesce(*found))
 
 
 def link_state(status) -> Column:
@@ -158,27 +174,59 @@ FREE = (
     "no admission fee", "no entry fee", "no charge for admission", "no charge to attend", "complimentary admission", "complimentary entry", "free admission for everyone", "free admission for everybody",
     "$0 admission", "$0.00 admission", "admission $0", "admission $0.00", "admission: $0", "admission: $0.00", "$0 entry", "$0.00 entry", "entry $0", "entry $0.00", "general admission $0", "$0 general admission",
 )
-_AMOUNT = "(?:\\$ ?[0-9]+(?:\\.[0-9]{1,2})?|(?<![0-9A-Za-z_])[0-9]+(?:\\.[0-9]+)? ?(?:cad|dollars?)(?![0-9A-Za-z_]))"
-_ENTRY = "(?:general )?(?:admission|entry|tickets?)"
-_PRICED = f"{_AMOUNT} ?{_ENTRY}|{_ENTRY} ?(?:fee |price |cost )?(?:is |are |costs? |at |: ?|of )?{_AMOUNT}"
-_GROUP = f"(?:adults?|non-members?|public) ?(?:pay |at |: ?|- ?)?{_AMOUNT}|{_AMOUNT} for (?:adults?|non-members?|the public)"
+# Words by which a clause says what a price is for, and those that may stand between.
+ENTRY_WORDS = ("admission", "entry", "ticket", "tickets")
+GROUP_WORDS = ("adult", "adults", "non-member", "non-members", "nonmember", "nonmembers", "public")
+_TOKEN = r"\$ ?[0-9]+(?:\.[0-9]{1,2})?|[0-9]+(?:\.[0-9]+)? ?(?:cad|dollars?)\b|[0-9]+(?:\.[0-9]+)?|[a-z]+(?:-[a-z]+)*|[:—–-]"
+
+
+def _priced(clause: Column) -> Column:
+    """Of each amount in a clause: its value, whether it is for entry or for a group that pays, whether that is denied."""
+
+    def read(tokens):
+        at = lambda i: F.coalesce(F.get(tokens, i), F.lit(""))
+
+        def one(i):
+            after, then = at(i + 1), at(i + 2)
+            linked = F.when(at(i - 1).isin("is", "are", "cost", "costs", "at", ":", "of"), i - 2).otherwise(i - 1)
+            named = F.when(at(linked).isin("fee", "price", "cost") & at(linked - 1).isin(*ENTRY_WORDS), linked - 1).otherwise(linked)
+            payer = F.when(at(i - 1).isin("pay", "at", ":", "—", "–", "-"), i - 2).otherwise(i - 1)
+            entry_before, group_before = at(named).isin(*ENTRY_WORDS), at(payer).isin(*GROUP_WORDS)
+            entry = entry_before | after.isin(*ENTRY_WORDS) | ((after == "general") & then.isin(*ENTRY_WORDS))
+            group = group_before | ((after == "for") & (then.isin(*GROUP_WORDS[:-1]) | ((then == "the") & (at(i + 3) == "public"))))
+            first = F.when(entry_before, F.when(at(named - 1) == "general", named - 1).otherwise(named)).when(group_before, payer).otherwise(i)
+            return F.struct(
+                F.regexp_extract(at(i), "[0-9]+(?:\\.[0-9]+)?", 0).cast("double").alias("value"), entry.alias("entry"), group.alias("group"),
+                ((entry | group) & at(first - 1).isin("no", "not", "without")).alias("denied"),
+            )
+
+        amounts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.get(tokens, i).rlike("^\\$|[0-9] ?(cad|dollars?)$"))
+        return F.when(F.size(tokens) > 0, F.transform(amounts, one))
+
+    return F.element_at(F.transform(F.array(F.regexp_extract_all(clause, F.lit(_TOKEN), 0)), read), 1)
 
 
 def cost_kind(price) -> Column:
-    """free, paid or unknown from what an event says of its price; a negated price tells nothing."""
-    text = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(either(price), F.lit("")), "\\s+", " "), "[.!]+$", "")))
-    clauses = F.transform(F.split(text, "[;|,]+"), F.trim)
-    priced = F.exists(clauses, lambda c: c.rlike(_PRICED) | c.rlike(_GROUP))
-    negated = F.exists(clauses, lambda c: c.rlike(f"(?<![a-z])(no|not|without) ?(?:{_PRICED}|{_GROUP})"))
-    zero = "\\$ ?0+(?:\\.0{1,2})?(?![0-9.])"
-    positive = F.exists(clauses, lambda c: (c.rlike(_PRICED) | c.rlike(_GROUP)) & ~F.regexp_replace(c, zero, "").rlike("^[^0-9]*$"))
-    free_words = text.rlike("(?<![a-z])free (admission|entry)(?![a-z])|(?<![a-z])(admission|entry) (is )?free(?![a-z])")
-    groups = F.exists(clauses, lambda c: c.rlike(_GROUP))
-    entries = F.exists(clauses, lambda c: c.rlike(_PRICED))
-    amount = text.rlike("^(?:\\$ ?[0-9]+(?:\\.[0-9]{1,2})?|[0-9]+(?:\\.[0-9]+)?(?: ?(?:cad|dollars?))?)$")
-    return (
-        F.when(text == "", "unknown").when(text.isin(*FREE), "free").when(negated, "unknown")
-        .when(priced & positive, F.when(free_words & entries & ~groups, "unknown").otherwise("paid"))
-        .when(amount, F.when(F.regexp_extract(text, "[0-9]+(?:\\.[0-9]+)?", 0).cast("double") == 0, "free").otherwise("paid"))
-        .otherwise("unknown")
-    )
+    """free, paid or unknown from what an event says of its price.
+
+    A price counts if it is for entry (``$5 admission``, ``tickets are $5``) or
+    for a group that pays (``adults $5``, ``$5 for non-members``). One that is
+    denied tells nothing; so does one for entry beside free entry, unless a group
+    pays. A text that is an amount alone counts too.
+    """
+    text = F.lower(F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(either(price), F.lit("")), "\\s+", " ")), "[.!]+$", "")))
+    found = F.filter(F.flatten(F.transform(F.split(text, "[;|,]+"), lambda c: F.coalesce(_priced(c), F.array().cast("array<struct<value:double,entry:boolean,group:boolean,denied:boolean>>")))), lambda x: x["entry"] | x["group"])
+    words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(text, F.lit("[a-z0-9$]+"), 0), " "), F.lit(" "))
+    free_entry = F.exists(F.array(*[F.lit(f" {w} ") for w in ("free admission", "free entry", "admission free", "entry free", "admission is free", "entry is free")]), lambda w: F.contains(words, w))
+    only = F.regexp_extract(text, "^(?:\\$ ?([0-9]+(?:\\.[0-9]{1,2})?)|([0-9]+(?:\\.[0-9]+)?)(?: ?(?:cad|dollars?))?)$", 0)
+    alone = F.regexp_extract(only, "[0-9]+(?:\\.[0-9]+)?", 0).cast("double")
+
+    def verdict(x):
+        unsure = free_entry & F.exists(x, lambda p: p["entry"]) & ~F.exists(x, lambda p: p["group"])
+        return (
+            F.when(text == "", "unknown").when(text.isin(*FREE), "free").when(F.exists(x, lambda p: p["denied"]), "unknown")
+            .when(F.exists(x, lambda p: p["value"] > 0), F.when(unsure, "unknown").otherwise("paid"))
+            .when(only != "", F.when(alone == 0, "free").otherwise("paid")).otherwise("unknown")
+        )
+
+    return F.element_at(F.transform(F.array(found), verdict), 1)

@@ -213,24 +213,50 @@ def _(t):
     return rows.select("page_id", F.size("r.cards").alias("cards"), "r.unclosed", "r.rejected")
 
 
-@probe("src-28", f"SELECT page_id, CASE WHEN n = 0 THEN 'no_links' WHEN n = prior THEN 'repeated' WHEN rank > 20 THEN 'page_limit' ELSE 'go_on' END AS verdict FROM (SELECT page_id, len({_LINKS}) AS n, lag(len({_LINKS})) OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS prior, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS rank FROM pages)")
+@probe("src-28", f"SELECT page_id, CASE WHEN n = 0 THEN 'no_links' WHEN same THEN 'repeated' WHEN rank > 20 THEN 'page_limit' ELSE 'go_on' END AS verdict FROM (SELECT page_id, len({_LINKS}) AS n, {_LINKS} = lag({_LINKS}) OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS same, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS rank FROM pages)")
 def _(t):
     w = Window.partitionBy("crawl").orderBy("page_id")
-    rows = t.pages.select("page_id", (F.col("page_id") % 10).alias("crawl"), F.size(markup.html_links("html", "url")).alias("n"))
-    return rows.select("page_id", F.when(F.col("n") == 0, "no_links").when(F.col("n") == F.lag("n").over(w), "repeated").when(F.row_number().over(w) > 20, "page_limit").otherwise("go_on").alias("verdict"))
+    links = F.transform(markup.html_links("html", F.lit("https://a.example/b/")), lambda x: x["url"])  # one base, so pages with equal links are told
+    rows = t.pages.select("page_id", (F.col("page_id") % 10).alias("crawl"), F.size(links).alias("n"), F.sha2(F.array_join(links, " "), 256).alias("print"))
+    return rows.select("page_id", F.when(F.col("n") == 0, "no_links").when(F.col("print") == F.lag("print").over(w), "repeated").when(F.row_number().over(w) > 20, "page_limit").otherwise("go_on").alias("verdict"))
 
 
-@probe("flt-20", r"SELECT page_id, NOT (url LIKE '%/es/%' OR regexp_matches(url, '^[^?#]*\.html$')) AS allowed FROM pages")
+_ROBOTS = [
+    ("User-agent: *\nDisallow: /es/\nAllow: /es/a # opens nothing", "p NOT LIKE '/es/%'"),
+    ("User-agent: plaza\nDisallow: /*.html$\n\nUser-agent: *\nDisallow: /", "t NOT LIKE '%.html'"),
+    ("<html>denied</html>", "false"),
+    ("", "true"),
+    ("User-agent: notplaza\nDisallow: /fr/\nUser-agent: *\nDisallow: /es/", "p NOT LIKE '/es/%' AND p NOT LIKE '/fr/%'"),
+    ("User-agent: *\nDisallow: /*?", "t NOT LIKE '%?%'"),
+    ("Disallow: /es/", "false"),
+    ("User-agent: *\nCrawl-delay: 5\nUser-agent: plaza\nDisallow: /%65s/\nSitemap: https://a.example/s.xml", "p NOT LIKE '/es/%'"),
+]
+
+
+@probe("flt-20", "SELECT page_id, CASE page_id % 8 " + " ".join(f"WHEN {k} THEN {said}" for k, (_, said) in enumerate(_ROBOTS)) + r" END AS allowed FROM (SELECT page_id, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '^[^:]*://[^/?#]*([^#]*)', 1) AS t FROM pages)")
 def _(t):
-    robots = F.lit("User-agent: *\nDisallow: /*/\nUser-agent: plaza\nDisallow: /es/\nDisallow: /*.html$\nAllow: /fr/ # free\n")
-    path = F.concat(S.url_path("url"), F.when(S.url_query("url") != "", F.concat(F.lit("?"), S.url_query("url"))).otherwise(""), F.when(F.contains("url", F.lit("#")), "#").otherwise(""))
-    return t.pages.select("page_id", (markup.robots_allowed("plaza")(robots, path) & ~((F.contains("url", F.lit("/fr/"))) & S.url_path("url").rlike("\\.html$") & (S.url_query("url") == "") & ~F.contains("url", F.lit("#")))).alias("allowed"))
+    robots = F.element_at(F.array(*[F.lit(text) for text, _ in _ROBOTS]), (F.col("page_id") % 8 + 1).cast("int"))
+    target = F.regexp_extract("url", "^[^:]*://[^/?#]*([^#]*)", 1)
+    return t.pages.select("page_id", markup.robots_allowed("plaza")(robots, target).alias("allowed"))
+
+
+_LIFECYCLE = [  # a page, and the closures and moves that it tells
+    ("<p>The shop has closed and is moving to Main Street.</p>", "has closed", "moving to"),
+    ("We will be temporarily closed; <b>we  moved</b> the patio.", "temporarily closed", "we moved"),
+    ("Our chef worked abroad for ten years before relocating here", "", ""),
+    ("I would honestly consider moving to this street. Relocated since May.", "", "relocated"),
+    ("We are opening a new location in Toronto soon", "", ""),
+    ("See our new location on the pier", "", "new location"),
+    ("<script>permanently closed", "", ""),
+    ("Open daily, never closed", "", ""),
+]
 
 
-@probe("flt-30", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'closed' WHEN 1 THEN 'excluded' ELSE 'none' END AS verdict FROM documents")
+@probe("flt-30", "SELECT doc_id, CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{c}'" for k, (_, c, _) in enumerate(_LIFECYCLE)) + " END AS closures, CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{m}'" for k, (_, _, m) in enumerate(_LIFECYCLE)) + " END AS moves FROM documents")
 def _(t):
-    text = F.element_at(F.array(F.lit("It has permanently closed."), F.lit("The kitchen is permanently closed"), F.lit("Open daily")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return t.documents.select("doc_id", markup.closing_language(text).alias("verdict"))
+    page = F.element_at(F.array(*[F.lit(text) for text, _, _ in _LIFECYCLE]), (F.col("doc_id") % 8 + 1).cast("int"))
+    told = t.documents.select("doc_id", markup.lifecycle_language(page).alias("told"))
+    return told.select("doc_id", F.array_join("told.closures", ",").alias("closures"), F.array_join("told.moves", ",").alias("moves"))
 
 
 @probe("str-11", "SELECT page_id, '/a~' || page_id || '%2F%C3%A9' AS path FROM pages")
@@ -238,9 +264,9 @@ def _(t):
     return t.pages.select("page_id", markup.normal_octets(F.concat(F.lit("/%61%7e"), F.col("page_id").cast("string"), F.lit("%2fé"))).alias("path"))
 
 
-@probe("dt-07", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS first_day, strftime(ts + INTERVAL 2 DAY, '%Y-%m-%d') AS last_day FROM events WHERE day(ts) <= 28")
+@probe("dt-07", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS first_day, strftime(ts + INTERVAL 2 DAY, '%Y-%m-%d') AS last_day FROM events")
 def _(t):
-    rows = t.events.where(F.dayofmonth("ts") <= 28)
+    rows = t.events
     later = F.col("ts") + F.expr("interval 2 days")
     text = F.concat(F.date_format("ts", "MMM d"), F.lit(" – "), F.date_format(later, "MMM d"), F.lit(", "), F.date_format("ts", "yyyy"))
     first, last = human_range(text)

@@ -169,10 +169,19 @@ def _(t):
     return W.shrinkage(rows, ["model"], "day").select("model", "days", F.round("correction", 6).alias("correction"))
 
 
-@probe("agg-23")
+@probe("agg-23", """
+WITH RECURSIVE d AS (SELECT user_id % 4 AS model, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, avg(value) - 100 AS x FROM events GROUP BY ALL),
+b AS (SELECT model, day, [x, lead(x, 1) OVER w, lead(x, 2) OVER w] AS v, lead(day, 2) OVER w AS last FROM d WINDOW w AS (PARTITION BY model ORDER BY day)),
+f AS (SELECT model, v, row_number() OVER (PARTITION BY model ORDER BY day) - 1 AS k FROM b WHERE last = day + 2),
+n AS (SELECT model, count(*) AS days, CAST(ceil(count(*) / 3) AS INT) AS need FROM d GROUP BY model),
+m AS (SELECT n.model, days, need, coalesce(any_value(c.blocks), 0) AS blocks FROM n LEFT JOIN (SELECT model, count(*) AS blocks FROM f GROUP BY model) c ON c.model = n.model GROUP BY ALL),
+g(i, s) AS (SELECT 0, CAST(1729 AS HUGEINT) UNION ALL SELECT i + 1, (s * 1664525 + 1013904223) % 4294967296 FROM g WHERE i < 1000 * (SELECT max(need) FROM n)),
+p AS (SELECT model, days, (i - 1) // need AS draw, (i - 1) % need AS nth, s * blocks // 4294967296 AS k FROM m JOIN g ON i BETWEEN 1 AND 1000 * need WHERE days >= 30 AND blocks >= 10),
+y AS (SELECT p.model, draw, avg(v[j]) AS mean FROM p JOIN f ON f.model = p.model AND f.k = p.k CROSS JOIN (VALUES (1), (2), (3)) t(j) WHERE nth * 3 + j <= days GROUP BY ALL)
+SELECT m.model, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, CAST(any_value(blocks) AS INT) AS blocks FROM m LEFT JOIN y ON y.model = m.model GROUP BY m.model""")
 def _(t):
     days = t.events.groupBy((F.col("user_id") % 4).alias("model"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day")).agg((F.avg("value") - 100).alias("difference"))
-    return W.bootstrap(days, "model")
+    return W.bootstrap(days, "model").select("model", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "blocks")
 
 
 @probe("agg-24", f"WITH m AS (SELECT target, family, model, avg(value) AS v FROM ({_CUBE}) GROUP BY ALL), f AS (SELECT target, family, avg(v) AS v FROM m GROUP BY ALL) SELECT target, round(min(v), 6) AS low, round(max(v), 6) AS high FROM f GROUP BY target HAVING count(*) >= 2")

@@ -189,10 +189,10 @@ def _(t):
 
 
 @probe("joi-20", """
-WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(left(text, 200)), ' '), lambda x: length(x) > 1)) AS w FROM documents)
+WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 1)) AS w FROM documents)
 SELECT a.doc_id, round(CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) ELSE 0 END, 6) AS similarity FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
 def _(t):
-    words = lambda name: F.array_distinct(F.filter(F.split(F.lower(F.left("text", F.lit(200))), " "), lambda x: F.length(x) > 1)).alias(name)
+    words = lambda name: F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 1)).alias(name)
     a, b = t.documents.select("doc_id", words("a")), t.documents.select((F.col("doc_id") - 1).alias("doc_id"), words("b"))
     return a.join(b, "doc_id").select("doc_id", F.round(J.token_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 

@@ -13,9 +13,9 @@ from plaza.probes.base import AS_OF, probe
 # --- strings -----------------------------------------------------------------
 
 
-@probe("str-01", "SELECT doc_id, strip_accents(lower(left(text, 400))) AS folded FROM documents")
+@probe("str-01", "SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
 def _(t):
-    return t.documents.select("doc_id", S.fold(F.left("text", F.lit(400))).alias("folded"))
+    return t.documents.select("doc_id", S.fold_compatible("text").alias("folded"))
 
 
 @probe("str-02", r"SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '(^|[^a-z0-9])the($|[^a-z0-9])', '\1\2', 'g'), '[^a-z0-9]+', '', 'g') AS k FROM part")
@@ -102,12 +102,16 @@ def _(t):
     return rows.select("doc_id", S.primary(F.col("hits"), PRIORITY).alias("lead"), F.size(F.map_keys("hits")).alias("n_groups"))
 
 
-@probe("str-13", "SELECT doc_id, array_to_string(w, ' ') AS title, CASE WHEN len(w) = 0 THEN '' ELSE array_to_string(w, ' ') END AS collapsed FROM (SELECT doc_id, list_slice(regexp_split_to_array(trim(replace(text, chr(10), ' ')), ' +'), 1, 4) AS w FROM documents WHERE NOT regexp_matches(text, '[\t\r]'))")
+_ONCE = "CASE WHEN len({0}) % 2 = 0 AND {0}[:len({0}) // 2] = {0}[len({0}) // 2 + 1:] THEN array_to_string({0}[:len({0}) // 2], ' ') ELSE array_to_string({0}, ' ') END"
+
+
+@probe("str-13", rf"""
+WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS w FROM documents)
+SELECT doc_id, {_ONCE.format('w')} AS once, {_ONCE.format('w')} AS badged, array_to_string(w, ' ') || ' Featured Event. x' AS other FROM t""")
 def _(t):
-    words = F.slice(F.split(F.trim(F.replace("text", F.lit("\n"), F.lit(" "))), " +"), 1, 4)
-    title = F.array_join(words, " ")
-    rows = t.documents.where(~F.col("text").rlike("[\t\r]")).select("doc_id", title.alias("title"))
-    return rows.select("doc_id", "title", S.collapse_repeat(F.concat_ws(" ", "title", "title")).alias("collapsed"))
+    once = S.collapse_repeat("text")
+    spaced = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    return t.documents.select("doc_id", once.alias("once"), S.display_title(F.concat(F.lit("Featured Event. "), once)).alias("badged"), S.display_title(F.concat(spaced, F.lit(" Featured Event. x"))).alias("other"))
 
 
 @probe("str-14", "SELECT o_orderkey, left(sha256(CASE WHEN trim(o_orderstatus) = '' THEN '' ELSE o_orderstatus || '|' END || o_orderpriority || '|' || CAST(o_custkey AS VARCHAR)), 16) AS id FROM orders")

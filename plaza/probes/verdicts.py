@@ -9,6 +9,7 @@ from plaza.functions import dates as D
 from plaza.functions import numbers as N
 from plaza.functions import text as S
 from plaza.functions.collections import slots
+from plaza.operators import media
 from plaza.operators import metrics as M
 from plaza.operators import predicates as P
 from plaza.probes.base import AS_OF, probe
@@ -109,10 +110,14 @@ def _(t):
     return t.events.select("event_id", D.publication_state("ts", AS_OF).alias("state"), D.is_recent("ts", AS_OF, 5).alias("recent"))
 
 
-@probe("flt-15", """
-SELECT event_id, strftime(least(ts + INTERVAL 60 DAY, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 3 DAY END, CASE event_id % 3 WHEN 0 THEN TIMESTAMP '2024-06-21 03:00:00' WHEN 1 THEN TIMESTAMP '2024-03-21 03:00:00' END), '%Y-%m-%d %H:%M:%S') AS expiry FROM events""")
+_POSTS = [  # a title, and the month and day on which its season ends (of 2024)
+    ("our spring menu", "06-21"), ("Winter and spring menu", "03-21"), ("Summer garden party", None), ("springboard", None), ("Fall or winter?", "12-21"), ("Spring garden: this autumn", "12-21"), (None, None),
+]
+
+
+@probe("flt-15", "SELECT event_id, strftime(least(ts + INTERVAL 60 DAY, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 3 DAY END, CASE event_id % 7 " + " ".join(f"WHEN {k} THEN TIMESTAMP '2024-{end} 03:00:00'" for k, (_, end) in enumerate(_POSTS) if end) + " END), '%Y-%m-%d %H:%M:%S') AS expiry FROM events")
 def _(t):
-    title = F.when(F.col("event_id") % 3 == 0, "our spring menu").when(F.col("event_id") % 3 == 1, "Winter lights").otherwise("springboard")
+    title = F.element_at(F.array(*[F.lit(title) for title, _ in _POSTS]), (F.col("event_id") % 7 + 1).cast("int"))
     expires = F.when(F.col("event_id") % 4 == 0, F.col("ts") + F.expr("interval 3 days"))
     return t.events.select("event_id", F.date_format(P.post_expiry(title, "ts", expires), "yyyy-MM-dd HH:mm:ss").alias("expiry"))
 
@@ -138,10 +143,23 @@ def _(t):
     return t.orders.select("o_orderkey", P.active(status, F.to_date("o_orderdate"), "1995-06-01 12:00:00").alias("active"))
 
 
-@probe("flt-19", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'burger hut' WHEN s_suppkey % 3 = 1 THEN 'donut co' END AS chain FROM supplier")
+_PLACES = [  # name, brand, website, and the verdict: reason, field, token
+    ("Burger Hut Harbour", None, None, "non_local_chain_label", "name", "burger hut"),
+    ("The Old Donut Co", None, "https://x.example", "non_local_chain_label", "name", "donut co"),
+    ("Corner", "Burger Hut’s", "https://burgerhut.example/", "non_local_chain_label", "brand", "burger hut"),
+    ("Corner", None, "https://www.shop.burgerhut.example/a", "non_local_chain_website", "website", "burgerhut.example"),
+    ("My Burger Hut Too", None, "https://notburgerhut.example", None, None, None),
+    (None, None, None, None, None, None),
+]
+_said = lambda at: "CASE s_suppkey % 6 " + " ".join(f"WHEN {k} THEN '{row[at]}'" for k, row in enumerate(_PLACES) if row[at]) + " END"
+
+
+@probe("flt-19", f"SELECT s_suppkey, {_said(3)} AS reason, {_said(4)} AS field, {_said(5)} AS token FROM supplier")
 def _(t):
-    name = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Burger Hut "), "s_suppkey")).when(F.col("s_suppkey") % 3 == 1, F.concat("s_suppkey", F.lit(" Donut Co"))).otherwise(F.lit("Donut Corner"))
-    return P.chain_policy(t.supplier.select("s_suppkey", name.alias("name")), "name", ["burger hut", "donut co"]).select("s_suppkey", "chain")
+    pick = lambda at: F.element_at(F.array(*[F.lit(row[at]).cast("string") for row in _PLACES]), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    rows = t.supplier.select("s_suppkey", pick(0).alias("name"), pick(1).alias("brand"), pick(2).alias("website"))
+    judged = P.chain_policy(rows, {"name": "name", "brand": "brand"}, {"website": "website"}, ["burger hut", "donut co"], ["burgerhut.example"])
+    return judged.select("s_suppkey", "chain.reason", "chain.field", "chain.token")
 
 
 @probe("flt-21", "SELECT user_id, event_id, prior IS NOT NULL AND kind = 'error' AND prior = 'error' AS repeated FROM (SELECT user_id, event_id, event_type AS kind, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prior FROM events)")
@@ -319,13 +337,15 @@ def _(t):
     return t.nation.select("n_nationkey", F.coalesce(exact, S.ladder("n_name", (("an", "an"),)), F.lit("default")).alias("city"))
 
 
-_PRICES = ["Free", "$15 general admission", "Admission $0", "no $5 entry", "Adults $12; free entry", "20 dollars", "see site", "$0", "Free admission, tickets $10"]
-_COSTS = ["free", "paid", "free", "unknown", "paid", "paid", "unknown", "free", "unknown"]
+_PRICES = [  # what an event says of its price, and what that comes to
+    ("Free", "free"), ("$15 general admission", "paid"), ("Admission $0", "free"), ("no $5 entry", "unknown"), ("Adults $12; free entry", "paid"), ("20 dollars", "paid"), ("see site", "unknown"), ("$0", "free"),
+    ("Free admission, tickets $10", "unknown"), ("Adults – $12", "paid"), ("Public — 20 dollars", "paid"), ("Free for children; adults $20", "paid"), ("Tickets cost: $7.50", "paid"), ("$9 for the public", "paid"), ("not for adults $9", "paid"), ("without admission fee of $4", "unknown"), ("General admission fee is $0!", "unknown"), ("donation of $5", "unknown"), (None, "unknown"),
+]
 
 
-@probe("prj-06", "SELECT doc_id, [" + ", ".join(f"'{c}'" for c in _COSTS) + "][doc_id % 9 + 1] AS cost FROM documents")
+@probe("prj-06", f"SELECT doc_id, CASE doc_id % {len(_PRICES)} " + " ".join(f"WHEN {k} THEN '{said}'" for k, (_, said) in enumerate(_PRICES)) + " END AS cost FROM documents")
 def _(t):
-    price = F.element_at(F.array(*map(F.lit, _PRICES)), (F.col("doc_id") % 9 + 1).cast("int"))
+    price = F.element_at(F.array(*[F.lit(price) for price, _ in _PRICES]), (F.col("doc_id") % len(_PRICES) + 1).cast("int"))
     return t.documents.select("doc_id", P.cost_kind(price).alias("cost"))
 
 
@@ -406,13 +426,28 @@ def _(t):
     return t.labels.select("doc_id", F.when(basis == "authoritative", 3).when(basis == "very_high", 2).otherwise(1).alias("rank"))
 
 
-@probe("prj-18", "SELECT page_id, i AS insecure, l AS logo, CAST(greatest(0, 50 - CASE WHEN i THEN 4 ELSE 0 END - CASE WHEN i THEN 10 ELSE 0 END - CASE WHEN l THEN 40 ELSE 0 END) AS INT) AS priority FROM (SELECT page_id, url LIKE 'http://%' AS i, contains(url, '.html') AS l FROM pages)")
-def _(t):
-    flags = M.problems([("insecure_thumbnail_url", F.startswith("url", F.lit("http://"))), ("logo_candidate", F.contains("url", F.lit(".html")))])
-    has = lambda n: F.array_contains("flags", n)
-    rows = t.pages.select("page_id", "url", flags.alias("flags"))
-    score = F.lit(50) - F.when(~F.startswith("url", F.lit("https://")), 4).otherwise(0) - F.when(has("insecure_thumbnail_url"), 10).otherwise(0) - F.when(has("logo_candidate"), 40).otherwise(0)
-    return rows.select("page_id", has("insecure_thumbnail_url").alias("insecure"), has("logo_candidate").alias("logo"), F.greatest(F.lit(0), score).alias("priority"))
+_IMAGES = [  # url, source url, host state, probe ok, width, height, content type, bytes, source kind, confidence, review state, rights, and: flags, priority, state
+    ("https://a.example/plate.jpg", "https://a.example/", None, True, 800, 600, "image/jpeg", 90_000, "official_feed_media", None, None, None, "", 58, "needs_visual_review"),
+    ("http://a.example/logo.png", None, None, None, None, None, None, None, None, None, None, None, "insecure_thumbnail_url,logo_candidate", 11, "low_quality_metadata"),
+    ("https://a.example/favicon-32x32.ico", None, None, False, 32, 32, "text/html", 900, None, None, None, None, "icon_or_favicon,logo_candidate,image_probe_failed,non_image_response,tiny_decoded_image,very_small_image_payload", 0, "low_quality_metadata"),
+    ("https://a.example/og-image.jpg", "https://www.facebook.com/a", "remote_image_host_needs_source_check", True, 1200, 400, "image/png", 50_000, "official_page_thumbnail_candidate", "same_host_official_page_image", None, None, "generic_social_card,social_profile_image,remote_image_host_needs_source_check,awkward_thumbnail_aspect", 0, "source_check"),
+    ("https://a.example/menu", "https://a.example/menu", "blocked_source_host", None, None, None, None, None, None, None, "approved", "production_approved", "thumbnail_is_page_url,blocked_source_host", 100, "approved"),
+    ("https://a.example/i?w=120&x=placeholder", None, None, True, None, 9, "", 0, None, None, "approved", None, "placeholder_image,logo_candidate", 0, "low_quality_metadata"),
+    ("https://a.example/social.jpg", None, None, None, None, None, None, None, None, None, None, None, "generic_social_card", 42, "low_quality_metadata"),
+    (None, None, None, None, None, None, None, None, None, None, None, None, "", 46, "needs_visual_review"),
+]
+_image = lambda at, quote="'": f"CASE page_id % {len(_IMAGES)} " + " ".join(f"WHEN {k} THEN {quote}{row[at]}{quote}" for k, row in enumerate(_IMAGES)) + " END"
+
+
+@probe("prj-18", f"SELECT page_id, {_image(12)} AS flags, {_image(13, '')} AS priority, {_image(14)} AS state FROM pages")
+def _(t):
+    kinds = ["string"] * 3 + ["boolean", "int", "int", "string", "bigint"] + ["string"] * 4
+    pick = [F.element_at(F.array(*[F.lit(row[at]).cast(kind) for row in _IMAGES]), (F.col("page_id") % len(_IMAGES) + 1).cast("int")).alias(f"c{at}") for at, kind in enumerate(kinds)]
+    none = F.lit(None).cast("string")
+    rows = t.pages.select("page_id", *pick)
+    rows = rows.withColumn("flags", media.thumbnail_flags(*[f"c{k}" for k in range(8)], none, none))
+    rows = rows.withColumn("priority", media.thumbnail_priority("flags", "c0", "c8", "c9", "c10", "c11"))
+    return rows.select("page_id", F.array_join("flags", ",").alias("flags"), "priority", media.thumbnail_state("flags", "priority", "c10", "c11").alias("state"))
 
 
 @probe("prj-19", f"SELECT page_id, CASE WHEN h = 'example.com' OR h LIKE '%.example.com' THEN 'first_party' WHEN h LIKE '%.example.net' THEN 'cdn' ELSE 'source_host_not_first_party' END AS state FROM (SELECT page_id, {_HOST} AS h FROM pages)")

@@ -29,7 +29,7 @@ ENTRY = rows_of("title", "link", "guid", "published", "summary")
 
 def entries_of(xml: str | None, most: int = MOST_ITEMS) -> list[dict] | None:
     """Items of an RSS, RDF or Atom text; None if it is malformed, declares entities, is too long or holds too many."""
-    if not xml or len(xml) > MOST_BYTES or re.search(r"<!(DOCTYPE|ENTITY)", xml, re.I):
+    if not xml or len(xml.encode("utf-8", "surrogatepass")) > MOST_BYTES or re.search(r"<!(DOCTYPE|ENTITY)", xml, re.I):
         return None
     try:
         root = ElementTree.fromstring(xml.encode())
@@ -267,74 +267,172 @@ def normal_octets(path: pd.Series) -> pd.Series:
     return path.map(lambda p: None if p is None else octets(p))
 
 
-def robots_rules(text: str | None, agent: str) -> list[dict]:
-    """Rules of the groups for an agent, or of those for all agents if it has none."""
-    groups: list[tuple[set[str], list[dict]]] = []
-    fresh = False
-    for line in (text or "").splitlines():
-        name, colon, value = line.partition("#")[0].partition(":")
-        name, value = name.strip().lower(), value.strip()
-        if not colon:
-            continue
+MOST_ROBOTS_BYTES = 512 * 1024
+_BREAKS = re.compile(r"\r\n|\r|\n")
+_UNREADABLE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]")
+
+
+def _records(text: str, breaks: re.Pattern = _BREAKS) -> list[tuple[str, str]]:
+    """Names (lower case) and values of the lines that have a colon; a hash starts a comment."""
+    lines = (line.partition("#")[0].strip() for line in breaks.split(text))
+    return [(name.strip().lower(), value.strip()) for name, colon, value in (line.partition(":") for line in lines) if colon]
+
+
+def _groups(records: list[tuple[str, str]], closing) -> list[tuple[list[str], list[str]]]:
+    """Agents and denied paths of each group; a record for which ``closing(name)`` ends the group's list of agents."""
+    out: list[tuple[list[str], list[str]]] = []
+    open_ = False
+    for name, value in records:
+        if name == "user-agent":
+            if not open_:
+                out.append(([], []))
+                open_ = True
+            out[-1][0].append(value.lower())
+        elif out:
+            open_ = open_ and not closing(name)
+            if name == "disallow" and value:
+                out[-1][1].append(value)
+    return out
+
+
+def robots_usable(text: str) -> bool:
+    """Whether a body is a robots text: records only, agents before rules, absolute paths, and at least one directive."""
+    if len(text.encode("utf-8", "surrogatepass")) > MOST_ROBOTS_BYTES or _UNREADABLE.search(text):
+        return False
+    lines = [own for own in (line.partition("#")[0].strip() for line in _BREAKS.split(text)) if own]
+    agents = directive = False
+    for line in lines:
+        record = re.fullmatch(r"([A-Za-z][A-Za-z0-9_-]*)\s*:\s*(.*)", line)
+        if not record or "<" in line or ">" in line:
+            return False
+        name, value = record[1].lower(), record[2].strip()
+        if name in ("error", "status", "message"):
+            return False
         if name == "user-agent":
-            if not fresh:
-                groups.append((set(), []))
-            groups[-1][0].add(value.lower())
-            fresh = True
-        elif name in ("allow", "disallow") and groups:
-            fresh = False
-            if value:
-                groups[-1][1].append({"allow": name == "allow", "pattern": octets(value)})
-        else:
-            fresh = False
-    own = [r for names, rules in groups if agent.lower() in names for r in rules]
-    named = any(agent.lower() in names for names, _ in groups)
-    return own if named else [r for names, rules in groups if "*" in names for r in rules]
-
-
-def robots_allow(rules: list[dict], path: str) -> bool:
-    """The longest pattern that fits decides; of equal ones the one that allows; without any the path is free."""
-    best = (-1, True)
-    for r in rules:
-        body = r["pattern"]
-        end = body.endswith("$")
-        pattern = ".*".join(map(re.escape, body.rstrip("$").split("*") if end else body.split("*")))
-        if re.match(pattern + ("$" if end else ""), octets(path)):
-            best = max(best, (len(body), r["allow"]))
-    return best[1]
-
-
-def robots_allowed(agent: str):
-    """A function of (robots text, path): whether the agent may read it."""
+            if not re.fullmatch(r"\*|[A-Za-z_-]+", value):
+                return False
+            agents = directive = True
+        elif name in ("allow", "disallow"):
+            if not agents or value and not value.startswith("/"):
+                return False
+        elif name == "sitemap":
+            if not re.match(r"https?://[^/\s]", value, re.I):
+                return False
+            directive = True
+    return directive or not lines
+
+
+class Robots:
+    """What a robots text denies an agent. Rules only ever deny: an Allow line opens nothing.
+
+    Beside the patterns of the agent's groups (or of those for all agents), the
+    plain prefixes of two older readings of the text stay denied: ``older`` groups
+    end at any record, and take the first group that has the agent's name in one
+    of its own; ``older_discovery`` also skips sitemap records.
+    """
+
+    def __init__(self, text: str, agent: str):
+        agent = agent.lower()
+        modern = _groups(_records(text), lambda name: name in ("allow", "disallow"))
+        named = [paths for agents, paths in modern if agent in agents]
+        chosen = named or [paths for agents, paths in modern if "*" in agents]
+        self.patterns = [(octets(p.removesuffix("$")).split("*"), p.endswith("$")) for paths in chosen for p in paths]
+        records = _records(text, re.compile(r"\r?\n"))
+        self.older = self._prefixes(records, agent)
+        self.older_discovery = self._prefixes([(n, v) for n, v in records if n != "sitemap" or not v], agent)
+
+    @staticmethod
+    def _prefixes(records, agent: str) -> list[str]:
+        groups = _groups(records, lambda name: True)
+        first = next((g for g in groups if any(agent in a for a in g[0])), None) or next((g for g in groups if "*" in g[0]), ([], []))
+        return first[1]
+
+    def allow(self, target: str, discovery: bool = False) -> bool:
+        """``target``: path and query."""
+        path = target.partition("?")[0]
+        plain = [*self.older, *(self.older_discovery if discovery else ())]
+        return not any(path.startswith(p) for p in plain) and not any(_fits(parts, end, octets(target)) for parts, end in self.patterns)
+
+
+def _fits(parts: list[str], end: bool, target: str) -> bool:
+    """Whether the parts stand in order in ``target``, the first at its start and, for ``end``, the last at its end.
+
+    Parts are searched as they are: patterns of strangers must not become regular expressions.
+    """
+    if len(parts) == 1:
+        return target == parts[0] if end else target.startswith(parts[0])
+    first, *middle, last = parts
+    if not target.startswith(first):
+        return False
+    at = len(first)
+    for part in middle:
+        at = target.find(part, at)
+        if at < 0:
+            return False
+        at += len(part)
+    return target.endswith(last) and len(target) - len(last) >= at if end else target.find(last, at) >= 0
+
+
+def robots_allow(text: str | None, agent: str, target: str, discovery: bool = False) -> bool:
+    """A body that is no robots text allows nothing; an empty or missing one all."""
+    return robots_usable(text or "") and Robots(text or "", agent).allow(target, discovery)
+
+
+def robots_allowed(agent: str, discovery: bool = False):
+    """A function of (robots text, path and query): whether the agent may read it. Each text is read once a batch."""
 
     @F.pandas_udf(BooleanType())
-    def allowed(text: pd.Series, path: pd.Series) -> pd.Series:
-        parsed: dict = {}
-        for t in text.unique():
-            parsed[t] = robots_rules(t, agent)
-        return pd.Series([robots_allow(parsed[t], p) for t, p in zip(text, path)])
+    def allowed(text: pd.Series, target: pd.Series) -> pd.Series:
+        read = {t: Robots(t, agent) if robots_usable(t) else None for t in text.fillna("").unique()}
+        return pd.Series([bool(r) and r.allow(p or "", discovery) for r, p in zip(map(read.get, text.fillna("")), target)])
 
     return allowed
 
 
-# --- language of closing -------------------------------------------------------
+# --- language of closing and moving ---------------------------------------------------
 
-# What says that a place has closed, and what nearby makes it another matter.
-CLOSING = re.compile(r"(permanently closed|closed its doors|closed for good|out of business|closing permanently)", re.I)
-ELSEWHERE = re.compile(r"(kitchen|road|street|patio|registration|applications|other location) (is|are|was|were|has|have)?\s*$|for (the )?(day|night|season|holiday)", re.I)
+# Phrases that tell of a closure or a move, and what around them makes it another matter.
+LIFECYCLE = {
+    "closures": ("permanently closed", "final service", "last day of service", "closing our doors", "will close", "has closed", "is now closed", "decision to close", "decided to close", "end of lockside canteen", "temporarily closed", "will be closed", "closed for the season"),
+    "moves": ("we moved", "has moved", "moving to", "relocated", "relocating", "new location"),
+}
+PERSONAL = ("relocating", "relocated", "moving to")
+BIOGRAPHY = r"\b(chef|career|worked|born)\b"
+WISH = r"\b(i|i'd|i would)\b[^.!?]*\bconsider\s*$"
+EXPANSION = r"\b(soft opening|opening|opened|expanding)\b[^.!?]*$"
+ELSEWHERE = r"^[^.!?]{0,70}\b(mississauga|toronto|ottawa|brampton|london ontario)\b"
 
 
-@F.pandas_udf(StringType())
-def closing_language(text: pd.Series) -> pd.Series:
-    """closed, excluded or none, from 300 characters before and 100 after each mention."""
-
-    def one(t):
-        verdict = "none"
-        for m in CLOSING.finditer(t or ""):
-            before, after = t[max(0, m.start() - 300) : m.start()], t[m.end() : m.end() + 100]
-            if not ELSEWHERE.search(before) and not ELSEWHERE.match(after.strip()):
-                return "closed"
-            verdict = "excluded"
-        return verdict
-
-    return text.map(one)
+def lifecycle_text(html) -> Column:
+    """Prose in lower case: scripts and styles (also unfinished ones) and tags are gone, white space is single."""
+    prose = F.regexp_replace(either(html), r"(?is)<(script|style)\b[^>]*>.*?(?:</\1>|$)", " ")
+    return F.lower(F.regexp_replace(F.regexp_replace(prose, "<[^>]*>", " "), r"\s+", " "))
+
+
+def _around(text: Column, phrase: str, before: int = 300, after: int = 100) -> Column:
+    """before and after of each place where ``phrase`` stands as words."""
+    pieces = F.split(text, rf"\b{phrase}\b", -1)
+
+    def place(k):
+        left = F.array_join(F.slice(pieces, F.lit(1), k), phrase)
+        at = F.char_length(left)
+        return F.struct(F.right(left, F.lit(before)).alias("before"), F.substr(text, at + 1 + len(phrase), F.lit(after)).alias("after"))
+
+    return F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), place)).otherwise(F.array().cast("array<struct<before:string,after:string>>"))
+
+
+def _told(text: Column, phrase: str) -> Column:
+    if phrase in PERSONAL:
+        return F.exists(_around(text, phrase), lambda c: ~((c["before"].rlike(r"\bbefore\s*$") & c["before"].rlike(BIOGRAPHY)) | c["before"].rlike(WISH)))
+    if phrase == "new location":
+        return F.exists(_around(text, phrase), lambda c: ~(c["before"].rlike(EXPANSION) & c["after"].rlike(ELSEWHERE)))
+    return text.rlike(rf"\b{phrase}\b")
+
+
+def lifecycle_language(html) -> Column:
+    """closures and moves: the phrases of each kind that a page tells, in the order of LIFECYCLE; null text has none.
+
+    Biographies and wishes of guests are no moves, nor is a new location opening in another city.
+    """
+    text = lifecycle_text(F.coalesce(either(html), F.lit("")))
+    return F.struct(*[F.array_compact(F.array(*[F.when(_told(text, p), p) for p in phrases])).alias(kind) for kind, phrases in LIFECYCLE.items()])

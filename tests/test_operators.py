@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plaza.functions import text as T
 from plaza.operators import forecast as W
 from plaza.operators import joins as J
 from plaza.operators import metrics as M
@@ -54,7 +55,7 @@ def test_cascade_needs_one_owner(spark):
 
 @pytest.mark.parametrize(
     ("price", "kind"),
-    [(None, "unknown"), ("Free!", "free"), ("free admission", "free"), ("$0", "free"), ("$12.50", "paid"), ("20 dollars", "paid"), ("general admission $15", "paid"), ("no $5 entry", "unknown"), ("Adults $12; free entry", "paid"), ("free admission, tickets $10", "unknown"), ("admission $0", "free"), ("by donation", "unknown")],
+    [(None, "unknown"), ("Free!", "free"), ("free admission", "free"), ("$0", "free"), ("$12.50", "paid"), ("20 dollars", "paid"), ("general admission $15", "paid"), ("no $5 entry", "unknown"), ("Adults $12; free entry", "paid"), ("free admission, tickets $10", "unknown"), ("admission $0", "free"), ("by donation", "unknown"), ("Adults – $12", "paid"), ("Public — 20 dollars", "paid"), ("adults-$5", "paid"), ("$5 for non-members", "paid"), ("tickets are $0, adults $3", "paid"), ("without tickets at $5", "unknown"), ("$5 members", "unknown"), ("5", "paid"), ("0 cad", "free")],
 )
 def test_cost_kind(spark, price, kind):
     assert spark.range(1).select(P.cost_kind(F.lit(price).cast("string"))).first()[0] == kind
@@ -72,8 +73,9 @@ def test_bootstrap_is_repeatable_and_brackets_the_mean(spark):
     days = spark.createDataFrame([("k", d, float(d % 4)) for d in range(30)], "key string, day int, difference double")
     a, b = (W.bootstrap(days, "key").first() for _ in range(2))
     assert a == b and a.low <= 1.5 <= a.high and a.blocks == 28
-    short = W.bootstrap(days.where("day < 2"), "key").first()
-    assert short.blocks == 0 and short.low is None
+    for few, blocks in (("day < 2", 0), ("day < 29", 27), ("day % 4 < 3", 7)):
+        short = W.bootstrap(days.where(few), "key").first()
+        assert short.blocks == blocks and short.low is None
 
 
 def test_losses(spark):
@@ -125,10 +127,44 @@ def test_feeds():
 
 @pytest.mark.parametrize(
     ("text", "path", "allowed"),
-    [("", "/x", True), ("User-agent: *\nDisallow: /", "/x", False), ("User-agent: *\nDisallow: /\nUser-agent: plaza\nDisallow: /a", "/x", True), ("User-agent: *\nDisallow: /a\nAllow: /a/b", "/a/b/c", True), ("User-agent: *\nDisallow: /*.php$", "/x.php?y", True), ("User-agent: *\nDisallow: /*.php$", "/x.php", False), ("User-agent: *\nDisallow:", "/x", True), ("User-agent: *\nDisallow: /%7ea", "/~a", False)],
-)
+    [
+        ("", "/x", True), (None, "/x", True), ("# nothing", "/x", True), ("User-agent: *\nDisallow: /", "/x", False), ("User-agent: *\nDisallow:", "/x", True),
+        ("User-agent: *\nDisallow: /\nUser-agent: plaza\nDisallow: /a", "/x", True), ("User-agent: *\nDisallow: /a\nAllow: /a/b", "/a/b/c", False), ("User-agent: *\nDisallow: /\nAllow: /x", "/x/a", False),
+        ("User-agent: *\nDisallow: /*.php$", "/x.php?y", True), ("User-agent: *\nDisallow: /*.php$", "/x.php", False), ("User-agent: *\nDisallow: /a*b*c", "/a1b2c3", False), ("User-agent: *\nDisallow: /a*b*c", "/acb", True), ("User-agent: *\nDisallow: /a*a$", "/a", True),
+        ("User-agent: *\nDisallow: /%7ea", "/~a", False), ("User-agent: *\nDisallow: /a%2fb", "/a/b", True), ("User-agent: *\nDisallow: /?q=", "/?q=1", False), ("User-agent: *\nDisallow: /" + "*a" * 40 + "$", "/" + "a" * 4000 + "b", True),
+        ("<html></html>", "/x", False), ("Disallow: /a", "/x", False), ("User-agent: a b\nDisallow:", "/x", False), ("error: no", "/x", False), ("User-agent: *\nDisallow: a", "/x", False), ("Host: x", "/x", False), ("Sitemap: ftp://a/b", "/x", False), ("Sitemap: https://a.example/b", "/x", True), ("User-agent: *\nDisallow: /\x00", "/x", False), ("User-agent: *\n" + "# x\n" * 140_000, "/x", False),
+        ("User-agent: myplaza\nDisallow: /b", "/b/c", False), ("User-agent: *\nDisallow: /b*", "/b*c", False), ("User-agent: *\nCrawl-delay: 1\nUser-agent: plaza\nDisallow: /c", "/c", False),
+    ],
+)
 def test_robots(text, path, allowed):
-    assert markup.robots_allow(markup.robots_rules(text, "plaza"), path) is allowed
+    assert markup.robots_allow(text, "plaza", path) is allowed
+
+
+def test_robots_older_readings():
+    text = "User-agent: plaza\nSitemap: https://a.example/s.xml\nUser-agent: other\nDisallow: /d"
+    assert markup.robots_allow(text, "plaza", "/d") is False  # sitemaps don't end a group today
+    text = "User-agent: *\nDisallow: /a\nUser-agent: *\nDisallow: /b"
+    assert [markup.robots_allow(text, "plaza", p) for p in ("/a", "/b", "/c")] == [False, False, True]
+
+
+@pytest.mark.parametrize(
+    ("page", "closures", "moves"),
+    [
+        ("<p>We have <i>permanently</i>  closed</p>", ["permanently closed"], []), ("The chef was born here before relocating", [], []), ("I'd consider moving to it. We are moving to it", [], ["moving to"]), ("The chef was born before relocating; then relocating again", [], ["relocating"]),
+        ("celebrating the soft opening of our new location at Ottawa", [], []), ("celebrating the soft opening. Our new location at Ottawa", [], ["new location"]), ("<style>has closed", [], []), ("will close or will be closed", ["will close", "will be closed"], []), (None, [], []),
+    ],
+)
+def test_lifecycle(spark, page, closures, moves):
+    told = spark.range(1).select(markup.lifecycle_language(F.lit(page).cast("string")).alias("x")).first().x
+    assert (told.closures, told.moves) == (closures, moves)
+
+
+def test_titles(spark):
+    cases = [("Featured Event. Meet Juno", "Meet Juno"), ("A B Featured Event. A B", "A B"), ("Featured Event. M Featured Event. M", "M"), ("A Featured Event. B", "A Featured Event. B"), ("x y  x y", "x y"), (None, None), ("", "")]
+    df = spark.createDataFrame(cases, "t string, want string")
+    assert [r[0] for r in df.select(T.display_title("t"), "want").collect()] == [w for _, w in cases]
+    folded = spark.createDataFrame([("É e\u0301 ﬁ Ａ ế Ώ",)], "t string").select(T.fold_compatible("t"), T.fold("t")).first()
+    assert folded[0] == "e e fi a e ω" and folded[1] == "e e ﬁ ａ e ω"
 
 
 def test_calendar():
