@@ -9,7 +9,12 @@ block's distinct words once, and for each text the numbers of its words. Then
 2. an equi-join with the piece table (broadcast: its rows are the vocabulary's)
    keeps the substrings that are pieces, the edges of the lattice,
 3. edges are grouped by word, and Spark's ``aggregate`` folds over them,
-4. each block gets its words' ids and spells out its texts.
+4. each block gets its words' ids and spells out its texts: the ids of the
+   ``COMMON`` words found in most blocks are broadcast, those of the others joined
+   to their blocks. The table of blocks is bucketed by block, so only ids move.
+
+The tables of blocks and of spelt words stay in the shared folder, as a
+checkpoint does, because the result is read from them.
 
 The folds: a unigram vocabulary is folded as Viterbi (``unigram=True``). The
 public vocabulary is a byte-pair one whose scores are ranks of merges; the path
@@ -34,6 +39,7 @@ from __future__ import annotations
 import collections
 import heapq
 import itertools
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -44,18 +50,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from plaza.llm.common import cut, table
+from plaza.llm.common import Scratch, shared_folder, table, worker_memory
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Longest word of the relational lattice: its borders are the bits of one number.
 LONG = 60
 #: A block is closed after so many characters, or so many distinct words.
-BLOCK_CHARS = 1 << 22
-BLOCK_WORDS = 64_000
+BLOCK_CHARS = 1 << 24
+BLOCK_WORDS = 200_000
+#: At most so many words, those in most blocks, reach every worker with their ids (about 30 bytes each); the others are joined.
+COMMON = 200_000
 #: Bits of an edge's number: rank, then start, length and id. A single character has the greatest rank; without a piece, the greatest id.
 ID_BITS, PLACE_BITS = 20, 6
 NO_ID = (1 << ID_BITS) - 1
@@ -188,11 +197,11 @@ def blocks_of(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_
 
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word, s, e, id, score, rank: the substrings of each word that are pieces, and its single characters also without a piece (nulls)."""
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
-    ends = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.char_length("word")))).alias("e"))
+    """``words`` with s, e, id, score, rank: the substrings of each word that are pieces, and its single characters also without a piece (nulls)."""
+    starts = words.select("*", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
+    ends = starts.select("*", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.char_length("word")))).alias("e"))
     subs = ends.withColumn("sub", F.substr("word", F.col("s") + 1, F.col("e") - F.col("s")))
-    return subs.join(F.broadcast(pieces), "sub", "left").where("id is not null or e = s + 1").select("word", "s", "e", "id", "score", "rank")
+    return subs.join(F.broadcast(pieces), "sub", "left").where("id is not null or e = s + 1").select(*words.columns, "s", "e", "id", "score", "rank")
 
 
 def bind(value: Column, then) -> Column:
@@ -278,14 +287,15 @@ def fold_viterbi(steps: Column, lattice: Column, unknown: float = -100.0) -> Col
 
 
 def spell(words: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> DataFrame:
-    """word, ids: the lattice of each of the distinct ``words`` (of at most LONG characters), folded."""
+    """``words`` with ids: the lattice of each of the distinct words (of at most LONG characters), folded."""
+    kept = words.columns
     found = edges(words, vocabulary.frame(words.sparkSession), vocabulary.longest)
     number = _edge(F.col("rank"), F.col("s"), F.col("e") - F.col("s"), F.col("id"))
     collect = [F.collect_list(number).alias("edges")]
     if unigram:
         collect.append(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("s", "e", "score"))).alias("lattice"))
     # words start alike, so rows are sorted by a number before the word itself
-    rows = found.groupBy(F.xxhash64("word").alias("h"), "word").agg(*collect)
+    rows = found.groupBy(F.xxhash64("word").alias("h"), *kept).agg(*collect)
     if unigram:
         steps = F.slice(F.sequence(F.lit(1), F.char_length("word")), F.lit(2), F.char_length("word"))
         path = fold_viterbi(steps, F.col("lattice"))
@@ -300,52 +310,93 @@ def spell(words: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> Da
 
     stand = _stand(F.col("edges"), F.col("borders"))
     ids = lambda x: x.bitwiseAND(F.lit(NO_ID))
-    rows = rows.select("word", stand.alias("stand"))
+    rows = rows.select(*kept, stand.alias("stand"))
     spelt = F.flatten(F.transform("stand", lambda x: F.when(ids(x) == NO_ID, bytes_at(F.shiftright(x, ID_BITS))).otherwise(F.array(ids(x)))))
-    return rows.select("word", F.when(F.exists("stand", lambda x: ids(x) == NO_ID), spelt).otherwise(F.transform("stand", ids)).alias("ids"))
+    return rows.select(*kept, F.when(F.exists("stand", lambda x: ids(x) == NO_ID), spelt).otherwise(F.transform("stand", ids)).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str | None = None, unigram: bool = False) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit) and text_crc32 (of the source, in UTF-8) of every row of ``docs``."""
     vocabulary = Vocabulary.load(path or public_tokenizers.path(MODEL))
-    blocks = cut(blocks_of(docs, vocabulary))
+    spark = docs.sparkSession
+    blocks = _bucketed(blocks_of(docs, vocabulary), max(8, docs.rdd.getNumPartitions()))
     placed = blocks.select("block", F.posexplode("words").alias("k", "word"))
+    words = placed.groupBy("word").agg(F.count("*").alias("times"))
     plain = F.char_length("word") <= LONG
     for piece in sorted(vocabulary.odd() if not unigram else ()):
         plain = plain & ~F.contains("word", F.lit(piece))
-    short = placed.where(plain).join(spell(placed.where(plain).select("word").distinct(), vocabulary, unigram), "word")
-    long = placed.where(~plain).join(_long(placed.where(~plain).select("word").distinct(), vocabulary, unigram), "word")
-    known = short.select("block", "k", "ids").union(long.select("block", "k", "ids")).groupBy("block").agg(F.collect_list(F.struct("k", "ids")).alias("spelt"))
-    rows = blocks.select("block", "doc_ids", "crcs", "layout").join(known, "block", "left")
-    return rows.select("doc_ids", "crcs", "layout", F.col("spelt.k").alias("k"), F.col("spelt.ids").alias("ids")).mapInArrow(_assemble, "doc_id long, ids binary, text_crc32 long")
+    long = words.where(~plain).select("times", "word")
+    stay = Scratch(spark)
+    spelt = stay.cut(spell(words.where(plain), vocabulary, unigram).unionByName(_long(long, vocabulary, unigram)))
+    common = stay.cut(spelt.where(F.col("times") >= _least_times(spelt.groupBy("times").agg(F.count("*").alias("words")))))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, common.select("word", "ids").toArrow().combine_chunks()))
+    common, spelt = common.select("word"), spelt.select("word", "ids")
+    rare = placed.join(F.broadcast(common), "word", "left_anti").join(spelt, "word")
+    known = rare.groupBy("block").agg(F.collect_list(F.struct("k", "ids")).alias("spelt"))
+    rows = blocks.select("block", "doc_ids", "crcs", "layout", "words").join(known, "block", "left")
+    rows = rows.select("doc_ids", "crcs", "layout", "words", F.col("spelt.k").alias("k"), F.col("spelt.ids").alias("ids"))
+    return rows.mapInArrow(lambda batches: _assemble(batches, shared), "doc_id long, ids binary, text_crc32 long")
+
+
+def _bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
+    """``blocks`` written to the shared folder in buckets, so that a join by block doesn't move them."""
+    spark, name = blocks.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    blocks.write.bucketBy(buckets, "block").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def _least_times(times: DataFrame, most: int = COMMON) -> int:
+    """The least number of blocks from which on a word is common, so that at most ``most`` words are."""
+    above = F.sum("words").over(Window.orderBy(F.desc("times")))  # one row for each number of blocks
+    found = times.where("times > 1").withColumn("above", above).where(F.col("above") <= most).agg(F.min("times")).first()[0]
+    return found or (1 << 40)
 
 
 def _long(words: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> DataFrame:
+    """``words`` (whose last column is word) with ids, each spelt by itself."""
     scores = {p: s for p, _, s in vocabulary.pieces}
     number = {p: i for p, i, _ in vocabulary.pieces}
     first, longest = vocabulary.first_byte, vocabulary.longest
+    schema = StructType([*words.schema.fields]).add("ids", ArrayType(IntegerType()))
 
     def rows(batches):
         for batch in batches:
-            own = batch.column(0).to_pylist()
+            own = batch.column(batch.num_columns - 1).to_pylist()
             ids = [[i for t in (viterbi(w, scores, longest) if unigram else merged(w, scores)) for i in ([number[t]] if t in number else [first + b for b in t.encode()])] for w in own]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=schema.names)
+
+    return words.mapInArrow(rows, schema)
+
+
+class _Common:
+    """Ids of the common words, end to end, and where those of each word are."""
 
-    return words.mapInArrow(rows, "word string, ids array<int>")
+    def __init__(self, words: pa.Table):
+        lists = words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.list_(pa.int32()))
+        self.flat = pc.list_flatten(lists).to_numpy()
+        self.count = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        self.at = np.cumsum(self.count) - self.count
+        self.number = {w: k for k, w in enumerate(words["word"].to_pylist())}
 
 
-def _assemble(batches):
+def _assemble(batches, shared):
+    key, words = shared.value
+    common = worker_memory(("common words", key), lambda: _Common(words))
     for batch in batches:
-        for doc_ids, crcs, layout, k, ids in zip(*batch.columns):
+        for doc_ids, crcs, layout, own_words, k, ids in zip(*batch.columns):
             flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(layout.as_py()), "<u4").astype(np.int64)
             n = len(doc_ids)
             sizes, numbers = flat[:n], flat[n:]
             spelt = ids.values if ids.is_valid else pa.array([], pa.list_(pa.int32()))
-            lists = spelt.flatten().to_numpy()
-            counts = pc.list_value_length(spelt).to_numpy().astype(np.int64)
-            order = np.argsort(k.values.to_numpy()) if k.is_valid else np.zeros(0, np.int64)
-            start = (np.cumsum(counts) - counts)[order]
-            counts = counts[order]
+            lists = np.concatenate([common.flat, pc.list_flatten(spelt).to_numpy()])
+            rare = pc.list_value_length(spelt).to_numpy().astype(np.int64)
+            which = np.fromiter((common.number.get(w, -1) for w in own_words.values.to_pylist()), np.int64)
+            start, counts = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+            met = which >= 0
+            start[met], counts[met] = common.at[which[met]], common.count[which[met]]
+            if k.is_valid:
+                places = k.values.to_numpy()
+                start[places], counts[places] = len(common.flat) + np.cumsum(rare) - rare, rare
             own = counts[numbers]
             ends = np.cumsum(own)
             total = int(ends[-1]) if len(ends) else 0
