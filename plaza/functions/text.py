@@ -16,6 +16,11 @@ def either(column) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+def borders(pattern: str) -> str:
+    """``pattern`` with its word borders read as ASCII ones: letters with marks are no part of words, as in most engines but Java's."""
+    return pattern.replace(r"\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+
+
 def truthy(column) -> Column:
     """A string, or null where it is blank."""
     text = F.trim(either(column))

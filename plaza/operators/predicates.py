@@ -64,7 +64,7 @@ def post_expiry(title, published, expires, days: int = 60) -> Column:
     A season before the word garden is the garden's. A winter named from October on ends in the next year.
     """
     at = either(published).cast("timestamp_ntz")
-    season = F.regexp_extract(F.lower(either(title)), rf"\b({'|'.join(SEASON_ENDS)})\b(?! garden)", 1)
+    season = F.regexp_extract(F.lower(either(title)), S.borders(rf"\b({'|'.join(SEASON_ENDS)})\b(?! garden)"), 1)
     ends = F.lit(None).cast("timestamp_ntz")
     for name, (month, day) in SEASON_ENDS.items():
         year = F.year(at) + F.when((F.lit(name) == "winter") & (F.month(at) >= 10), 1).otherwise(0)

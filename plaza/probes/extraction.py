@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from plaza.functions import dates as D
 from plaza.functions import numbers as N
+from plaza.functions import schedules as H
 from plaza.functions import text as S
 from plaza.functions.dates import strict_instant
+from plaza.operators import facts
 from plaza.probes.base import AS_OF, probe
 from plaza.sources import files, markup
 
@@ -120,21 +122,35 @@ def _(t):
     return rows.select("page_id", F.size("l").cast("long").alias("members"))
 
 
-@probe("src-14", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'site' END AS website, CASE WHEN 44.0 + (s_suppkey % 100) / 100.0 >= 44.5 THEN 'north' ELSE 'south' END AS area, CAST(least(82, 45 + CASE WHEN s_suppkey % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 20 ELSE 0 END) AS INT) AS score FROM supplier")
+_ELEMENTS = [  # tags, lat, and: name, category, score, address, area
+    ({"name": "A  Bar", "amenity": "bar", "website": "https://a.example", "addr:housenumber": "5", "addr:street": "Elm", "addr:city": "Bedford"}, 44.7, "A  Bar", "Bar", 72, "5 Elm, Bedford", "Bedford"),
+    ({"name": "B", "amenity": "fast_food", "cuisine": "fish_and_chips;pizza", "contact:phone": "1", "phone": "2", "opening_hours": "24/7", "addr:suburb": "Hill"}, 44.6, "B", "Quick eats", 75, None, "Hill"),
+    ({"name": "C", "contact:website": "https://c.example", "cuisine": "thai", "opening_hours": "x", "phone": "1", "addr:street": "Oak"}, 44.65, "C", "Restaurant", 82, "Oak", "Middle"),
+    ({"amenity": "cafe"}, 44.6, None, None, None, None, None),
+    ({"name": "D", "amenity": "kiosk"}, 0.0, None, None, None, None, None),
+    ({"name": "E", "amenity": "kiosk"}, 44.1, "E", "Food and drink", 62, None, None),
+]
+_element = lambda at, q="'": f"CASE page_id % {len(_ELEMENTS)} " + " ".join(f"WHEN {k} THEN {q}{row[at]}{q}" for k, row in enumerate(_ELEMENTS) if row[at] is not None) + " END"
+
+
+@probe("src-14", f"SELECT page_id, {_element(2)} AS name, {_element(3)} AS category, {_element(4, '')} AS score, {_element(5)} AS address, {_element(6)} AS area FROM pages")
 def _(t):
-    k = F.col("s_suppkey")
-    tags = F.create_map(F.lit("contact:website"), F.when(k % 2 == 0, "site"), F.lit("phone"), F.when(k % 3 == 0, "555"))
-    rows = t.supplier.select("s_suppkey", tags.alias("tags"), (F.lit(44.0) + (k % 100) / 100.0).alias("lat"), F.lit(-63.5).alias("lon"))
-    website = F.coalesce(F.try_element_at("tags", F.lit("website")), F.try_element_at("tags", F.lit("contact:website")))
-    score = F.least(F.lit(82), F.lit(45) + F.when(website.isNotNull(), 20).otherwise(0) + F.when(F.col("tags")["phone"].isNotNull(), 20).otherwise(0))
-    return rows.select("s_suppkey", website.alias("website"), N.area_of("lat", "lon", (("north", (44.5, -64, 45.5, -63)),), "south").alias("area"), score.alias("score"))
+    tags = F.element_at(F.array(*[F.create_map(*[F.lit(x) for pair in row[0].items() for x in pair]) for row in _ELEMENTS]), (F.col("page_id") % len(_ELEMENTS) + 1).cast("int"))
+    lat = F.element_at(F.array(*[F.lit(row[1]) for row in _ELEMENTS]), (F.col("page_id") % len(_ELEMENTS) + 1).cast("int"))
+    rows = t.pages.select("page_id", tags.alias("tags"), lat.alias("lat"))
+    place = facts.map_place(F.lit("node"), "page_id", "lat", F.lit(-63.6), "tags", [("Middle", F.col("lat") == 44.65)])
+    return rows.select("page_id", place.alias("p")).select("page_id", "p.name", "p.category", F.col("p.quality_score").alias("score"), "p.address", F.col("p.neighborhood").alias("area"))
 
 
-@probe("src-15", f"SELECT page_id, len({_LINKS}) AS parsed, len({_LINKS}) = len({_LINKS}) AS complete FROM pages")
+@probe("src-15", """
+WITH c AS (SELECT o_orderpriority AS p, count(*) AS before, count(*) FILTER (WHERE o_orderkey % 10 < CASE left(o_orderpriority, 1) WHEN '1' THEN 7 WHEN '2' THEN 8 ELSE 10 END AND left(o_orderpriority, 1) <> '5') AS after FROM orders GROUP BY 1)
+SELECT p AS city, before, after, CASE WHEN left(p, 1) = '5' THEN 'retained' WHEN before >= 20 AND after < before * 0.75 THEN 'fell' ELSE 'accepted' END AS state FROM c""")
 def _(t):
-    stated = F.regexp_count("html", F.lit('<a href="'))
-    parsed = F.size(markup.html_links("html", "url"))
-    return t.pages.select("page_id", parsed.cast("long").alias("parsed"), (stated == parsed).alias("complete"))
+    first = F.left("o_orderpriority", F.lit(1))
+    before = t.orders.select(F.col("o_orderpriority").alias("city"), "o_orderkey", first.alias("f"))
+    part = F.when(F.col("f") == "1", 7).when(F.col("f") == "2", 8).otherwise(10)
+    after = before.where((F.col("o_orderkey") % 10 < part) & (F.col("f") != "5"))
+    return facts.accept_snapshot(after.union(after), before, "city", "o_orderkey")
 
 
 @probe("src-16", "SELECT o_custkey, count(*) AS links, count(*) AS details, true AS complete FROM orders GROUP BY o_custkey")
@@ -264,23 +280,23 @@ def _(t):
     return t.pages.select("page_id", markup.normal_octets(F.concat(F.lit("/%61%7e"), F.col("page_id").cast("string"), F.lit("%2fé"))).alias("path"))
 
 
-@probe("dt-07", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS first_day, strftime(ts + INTERVAL 2 DAY, '%Y-%m-%d') AS last_day FROM events")
-def _(t):
-    rows = t.events
-    later = F.col("ts") + F.expr("interval 2 days")
-    text = F.concat(F.date_format("ts", "MMM d"), F.lit(" – "), F.date_format(later, "MMM d"), F.lit(", "), F.date_format("ts", "yyyy"))
-    first, last = human_range(text)
-    return rows.select("event_id", first.cast("string").alias("first_day"), last.cast("string").alias("last_day"))
-
-
-def human_range(column):
-    """``Mon d – Mon d, yyyy`` or ``Mon d – d, yyyy`` or ``Mon d, yyyy`` as two dates."""
-    g = lambda k: F.regexp_extract(column, "^([A-Z][a-z]{2})[a-z]* ([0-9]{1,2})(?: ?[–-] ?(?:([A-Z][a-z]{2})[a-z]* )?([0-9]{1,2}))?, ([0-9]{4})$", k)
-    month = lambda m: F.lpad(F.array_position(F.array(*map(F.lit, D.MONTHS)), m).cast("string"), 2, "0")
-    day = lambda m, d: F.try_to_date(F.concat_ws("-", g(5), month(m), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    first = day(g(1), g(2))
-    last = F.when(g(4) == "", first).otherwise(day(F.when(g(3) != "", g(3)).otherwise(g(1)), g(4)))
-    return first, last
+@probe("dt-07", """
+SELECT event_id, strftime(CASE WHEN event_id % 5 = 4 THEN ts - INTERVAL 1 YEAR ELSE ts END, '%Y-%m-%d') AS first_day,
+       strftime(CASE event_id % 5 WHEN 0 THEN ts + INTERVAL 40 DAY WHEN 1 THEN ts + INTERVAL 2 DAY WHEN 2 THEN greatest(ts, make_timestamp(2024, 1, 28, 0, 0, 0)) WHEN 3 THEN ts ELSE ts - INTERVAL 1 YEAR END, '%Y-%m-%d') AS last_day, 
+       strftime(ts, '%Y-%m-%d') AS compact, CAST(hour(ts) AS INT) AS hour, CASE WHEN hour(ts) % 12 = 0 THEN '12' ELSE CAST(hour(ts) % 12 AS VARCHAR) END || ':30 ' || CASE WHEN hour(ts) < 12 THEN 'a.m.' ELSE 'p.m.' END AS starts
+FROM events""")
+def _(t):
+    day = lambda c, f="MMM d": F.date_format(c, f)
+    ts, whole = F.col("ts"), "MMM d, yyyy"
+    until = F.greatest(ts, F.lit("2024-01-28").cast("timestamp_ntz"))
+    forms = [
+        F.concat(F.lit("On "), day(ts, "MMMM d, yyyy"), F.lit(" - "), day(ts + F.expr("interval 40 days"), whole)), F.concat(day(ts), F.lit(" – "), day(ts + F.expr("interval 2 days")), F.lit(", "), day(ts, "yyyy")),
+        F.concat(day(ts), F.lit("—"), day(until, "d, yyyy")), day(ts, "MMMM d, yyyy"), F.concat(F.lit("from "), day(ts)),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("event_id") % 5 + 1).cast("int"))
+    clock = F.concat(day(ts, "h"), F.lit(":30 "), F.when(F.hour("ts") < 12, "a.m.").otherwise("p.m."))
+    rows = t.events.select("event_id", H.date_range(text, F.lit(2023)).alias("r"), H.compact_date(F.concat(day(ts, "dd-MMM-yy"))).alias("c"), H.clock(clock).alias("k"), H.time_range(F.concat(F.lit("doors "), clock, F.lit(" to 11 pm"))).alias("x"))
+    return rows.select("event_id", F.col("r.first").cast("string").alias("first_day"), F.col("r.last").cast("string").alias("last_day"), F.col("c").cast("string").alias("compact"), "k.hour", F.col("x.start").alias("starts"))
 
 
 @probe("dt-18", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'no_such_date' ELSE 'format' END AS verdict FROM documents")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from plaza.functions import dates as D
 from plaza.operators.metrics import count_by
 from plaza.plans.facets import EventQuery, NewsQuery, PlaceQuery
+from plaza.sources.files import shared_folder
 from plaza.probes.base import AS_OF, Tables, probe
 
 
@@ -60,10 +59,7 @@ def _(t):
     stream = spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     status = F.element_at(F.array(*map(F.lit, (200, 304, 429, 200, 500))), (F.col("event_id") % 5 + 1).cast("int"))
     attempts = stream.select(F.concat(F.lit("s"), F.col("user_id") % 20).alias("source"), F.col("ts").cast("timestamp").alias("at"), status.alias("status"), F.concat(F.lit("t"), F.col("event_id") % 3).alias("etag"))
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plaza-stream-")
-    import uuid
-
-    out = f"{root.rstrip('/')}/collection-{uuid.uuid4().hex}"
+    out = shared_folder(spark)
     run = collection_states(attempts).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{out}/rows").groupBy("source", "state").agg(F.count("*").alias("n"))

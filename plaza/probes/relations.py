@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plaza.functions import numbers as N
 from plaza.functions import text as S
+from plaza.operators import facts
 from plaza.operators import joins as J
 from plaza.operators import sets as U
 from plaza.probes.base import probe
@@ -265,10 +266,24 @@ def _(t):
     return U.priority_merge(rows, "k", "n_chars", "doc_id", ["lang"], ["sources"]).withColumn("sources", F.array_join("sources", ","))
 
 
-@probe("set-05", "SELECT min(event_id) AS event_id, count(*) AS merged, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM events WHERE event_type <> 'error' GROUP BY user_id, CAST(ts AS DATE) UNION ALL SELECT event_id, 1, event_type FROM events WHERE event_type = 'error'")
+_OCCURRENCES = [  # source kind, url, title, venue id, venue name, and the key without its instant
+    ("public_library_calendar", "https://lib.example/v2/events/0af9?x=1", "Story time", None, "Main", "library|lib.example/events/0af9"),
+    ("official_library_location_calendar", "https://LIB.example/events/0af9/", "Other title", None, None, "library|lib.example/events/0af9"),
+    ("other", "https://lib.example/events/0af9", "Story time", None, "Main", None),
+    ("other", None, "The Foxes vs. Grey Owls", None, "Big Arena", "foxes|owls|arena-1"),
+    ("other", None, "FOXES v Owls", "arena-1", None, "foxes|owls|arena-1"),
+    ("other", None, "Foxes vs Unknown", "arena-1", None, None),
+    ("other", None, "Foxes vs Owls", None, "Café Zoë", "foxes|owls|cafe zoe"),
+    ("other", None, "Foxes vs Owls", None, " ", None),
+]
+
+
+@probe("set-05", "SELECT event_id, CASE event_id % 8 " + " ".join(f"WHEN {k} THEN '{row[5]}|' || epoch_us(ts) // 1000" for k, row in enumerate(_OCCURRENCES) if row[5]) + " END AS k FROM events")
 def _(t):
-    key = F.when(F.col("event_type") != "error", F.concat_ws("|", "user_id", F.to_date("ts")))
-    return U.canonical_events(t.events.select("event_id", "event_type", "user_id", "ts"), key, "event_id", ["event_type"]).select("event_id", "merged", F.array_join("event_type_all", ",").alias("kinds"))
+    pick = lambda at: F.element_at(F.array(*[F.lit(row[at]).cast("string") for row in _OCCURRENCES]), (F.col("event_id") % 8 + 1).cast("int"))
+    rows = t.events.select("event_id", "ts", *[pick(at).alias(f"c{at}") for at in range(5)])
+    teams, venues = {"the foxes": "foxes", "foxes": "foxes", "owls": "owls", "grey owls": "owls"}, {"big arena": "arena-1"}
+    return rows.select("event_id", facts.event_key("c0", "c1", F.col("ts"), "c2", "c3", "c4", teams, venues, ["lib.example"]).alias("k"))
 
 
 @probe("set-06", "WITH p AS (SELECT user_id, min(event_id) AS old, count(DISTINCT event_id) AS n FROM events WHERE event_type = 'purchase' AND ts < '2024-01-16' GROUP BY user_id) SELECT e.user_id, CASE WHEN n = 1 THEN old ELSE event_id END AS event_id, coalesce(n > 1, false) AS ambiguous FROM events e LEFT JOIN p ON p.user_id = e.user_id WHERE event_type = 'signup' AND ts >= '2024-01-16'")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plaza.functions import dates as D
+from plaza.functions import schedules as H
 from plaza.functions import text as S
 from plaza.functions.collections import meaningful_hash
 from plaza.operators import reconcile as R
 from plaza.operators import sets as U
 from plaza.probes.base import AS_OF, probe
+from plaza.sources import files, sinks
 
 _TS = f"TIMESTAMP '{AS_OF}'"
 _OLD, _NEW = "event_id % 3 <> 0", "event_id % 4 <> 0"
@@ -204,23 +206,27 @@ def _(t):
 # --- sinks and release ----------------------------------------------------------
 
 
-@probe("snk-01", "SELECT CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, true AS equal")
+@probe("snk-01", "SELECT n_nationkey, n_name || ' \"x\";' AS n_name, n_regionkey, true AS equal FROM nation")
 def _(t):
-    from plaza.sources.files import json_rows, script_rows
+    rows = t.nation.select("n_nationkey", F.concat("n_name", F.lit(' "x";')).alias("n_name"), "n_regionkey")
+    folder = files.shared_folder(t.spark)
+    sinks.write_twins(rows, folder, "NATIONS")
+    equal = sinks.twins_agree(t.spark, folder, rows.schema).select("equal")
+    return sinks.read_script(t.spark, f"{folder}/script", rows.schema).crossJoin(F.broadcast(equal))  # one row beside each
 
-    lines = t.region.select("r_regionkey", "r_name")
-    schema = lines.schema
-    whole = F.to_json(F.struct(F.col("rows").alias("records")))
-    doc = lines.agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("rows")).select(whole.alias("text"))
-    twin = doc.select(F.concat(F.lit("window.REGIONS = "), "text", F.lit(";")).alias("text"))
-    return U.same_rows(json_rows(doc, "text", schema), script_rows(twin, "text", schema))
 
-
-@probe("snk-02", "SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL")
+@probe("snk-02", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN -1 ELSE l_partkey END AS l_partkey, p.n AS n_lines
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS nth FROM lineitem) JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) p ON k = l_orderkey""")
 def _(t):
-    nested = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("lines"))
-    child = nested.select("l_orderkey", F.inline("lines"))
-    return U.last_wins(child, ["l_orderkey", "l_linenumber"], ["l_partkey"])
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    nested = t.lineitem.groupBy("l_orderkey").agg(lines.alias("lines"), F.count("*").alias("n_lines"))
+    folder = files.shared_folder(t.spark)
+    sinks.write_tables(nested, folder, "l_orderkey", ["lines"])
+    child = t.spark.read.parquet(f"{folder}/lines")
+    sinks.upsert(t.spark, folder, "lines", child.where("l_orderkey % 3 = 0").withColumn("l_partkey", F.lit(-1).cast("long")), ["l_orderkey", "ordinal"])
+    rows = t.spark.read.parquet(f"{folder}/lines").join(t.spark.read.parquet(f"{folder}/parent"), "l_orderkey")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "n_lines")
 
 
 @probe("snk-03", '''SELECT r_regionkey, CAST(r_regionkey AS VARCHAR) || ',"' || r_name || ', ""x"""' AS line FROM region''')
@@ -243,19 +249,28 @@ def _(t):
     return t.events.select("event_id", ics_event(F.col("event_id").cast("string"), F.col("ts"), F.concat("event_type", F.lit(", free"))).alias("ics"))
 
 
-@probe("snk-06", f"SELECT event_id FROM events WHERE ts >= {_TS} AND ts <= {_TS} + INTERVAL 90 DAY AND event_type <> 'error' ORDER BY ts, event_id LIMIT 20")
+@probe("snk-06", f"""
+WITH e AS (SELECT event_id, event_type FROM events WHERE ts >= {_TS} AND ts <= {_TS} + INTERVAL 90 DAY AND event_type <> 'error' ORDER BY ts, event_id LIMIT 20)
+SELECT event_id, '<!doctype html><html><head><title>' || event_type || ' &amp; more</title><link rel="canonical" href="https://a.example/e/' || event_id || '"></head><body><h1>' || event_type || ' &amp; more</h1><p>&lt;b&gt;</p></body></html>' AS html,
+       (SELECT sum(length('<url><loc>https://a.example/e/' || event_id || '</loc></url>')) + length('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"></urlset>') FROM e) AS map_chars FROM e""")
 def _(t):
     now = D.moment(AS_OF)
     eligible = t.events.where(F.col("ts").between(now, now + F.expr("interval 90 days")) & (F.col("event_type") != "error"))
-    return eligible.orderBy("ts", "event_id").limit(20).select("event_id")
+    top = eligible.orderBy("ts", "event_id").limit(20).select("event_id", F.concat("event_type", F.lit(" & more")).alias("title"), F.concat(F.lit("https://a.example/e/"), "event_id").alias("url"))
+    folder = files.shared_folder(t.spark)
+    top.select("event_id", "url", sinks.page("title", F.lit("<b>"), "url").alias("html")).write.parquet(f"{folder}/pages")
+    pages = t.spark.read.parquet(f"{folder}/pages")
+    return pages.select("event_id", "html").crossJoin(F.broadcast(sinks.sitemap(pages).agg(F.sum(F.length("text")).alias("map_chars"))))  # one row beside each
+
+
+_FILES = [("data/a.json", "a", "b", "promoted"), ("data/a.json", "a", "a", "unchanged"), ("data/sub/a.json", "a", "b", "refused"), ("data/../a.json", "a", "b", "refused"), ("/data/a.json", "a", "b", "refused"), ("data/new.js", None, "b", "promoted"), ("dataXa.json", "a", "b", "refused"), ("data/old.json", "a", None, "promoted")]
 
 
-@probe("snk-07", "SELECT o_orderstatus, min(o_orderkey % 2) <> max(o_orderkey % 2) OR o_orderstatus = 'P' AS promoted FROM orders GROUP BY o_orderstatus")
+@probe("snk-07", "SELECT o_orderkey, CASE o_orderkey % 8 " + " ".join(f"WHEN {k} THEN '{row[3]}'" for k, row in enumerate(_FILES)) + " END AS state FROM orders")
 def _(t):
-    digest = lambda c: F.hex(F.bit_xor(F.xxhash64(*c)))
-    old = t.orders.where("o_orderkey % 2 = 0").groupBy("o_orderstatus").agg(digest(["o_orderkey"]).alias("a"))
-    new = t.orders.groupBy("o_orderstatus").agg(digest(["o_orderkey"]).alias("b"))
-    return new.join(old, "o_orderstatus", "left").select("o_orderstatus", (~F.col("a").eqNullSafe(F.col("b"))).alias("promoted"))
+    pick = lambda at: F.element_at(F.array(*[F.lit(row[at]).cast("string") for row in _FILES]), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    rows = t.orders.select("o_orderkey", pick(0).alias("path"), pick(1).alias("old_sha256"), pick(2).alias("new_sha256"))
+    return sinks.promotable(rows, ["data/*.json", "data/*.js"]).select("o_orderkey", "state")
 
 
 @probe("snk-08", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels")
@@ -265,10 +280,14 @@ def _(t):
     return U.last_wins(rows.union(fresh), ["doc_id"], ["rank"]).select("doc_id", "quality")
 
 
-@probe("snk-09", "SELECT count(*) AS orders, CAST(sum(o_orderkey) AS BIGINT) AS key_sum, true AS matches FROM orders")
+@probe("snk-09", "SELECT o_orderstatus || '-' || o_orderpriority AS name, CASE WHEN o_orderstatus = 'P' THEN 'missing' WHEN left(o_orderpriority, 1) = '1' THEN 'sha_differs' WHEN left(o_orderpriority, 1) = '2' THEN 'count_differs' ELSE 'ok' END AS state FROM orders GROUP BY o_orderstatus, o_orderpriority")
 def _(t):
-    row = t.orders.agg(F.count("*").alias("orders"), F.sum("o_orderkey").alias("key_sum"))
-    return row.withColumn("matches", F.col("orders") > 0)
+    first = F.left("o_orderpriority", F.lit(1))
+    name = F.concat_ws("-", "o_orderstatus", "o_orderpriority")
+    own = t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    expected = own.select(name.alias("name"), F.sha2(name, 256).alias("sha"), F.col("n").alias("records"))
+    seen = own.where("o_orderstatus <> 'P'").select(name.alias("name"), F.when(first == "1", "0").otherwise(F.upper(F.sha2(name, 256))).alias("sha"), (F.col("n") + F.when(first == "2", 1).otherwise(0)).alias("records"))
+    return sinks.deployed(expected, seen)
 
 
 @probe("snk-10", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'missing' WHEN o_orderkey % 10 = 1 THEN 'unlisted' WHEN o_orderkey % 10 = 2 THEN 'changed' ELSE 'same' END AS state FROM orders")
@@ -288,24 +307,22 @@ def _(t):
     return t.labels.select("doc_id", F.when(F.col("quality") == 0, "gap").otherwise("candidate").alias("tbl"), F.array_join(reasons, ",").alias("reasons"))
 
 
-@probe("dt-11", "SELECT o_custkey, arg_max(o_orderpriority, (CAST(o_orderdate AS DATE), o_orderkey)) AS hours FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1996-01-16' GROUP BY o_custkey")
+@probe("dt-11", """
+SELECT o_custkey, coalesce(min(o_orderpriority) FILTER (WHERE o_orderstatus = 'P' AND CAST(o_orderdate AS DATE) = DATE '1996-01-16'),
+       arg_max(o_orderpriority, (CAST(o_orderdate AS DATE), o_orderpriority)) FILTER (WHERE o_orderstatus <> 'P' AND CAST(o_orderdate AS DATE) <= DATE '1996-01-16'), 'original') AS hours
+FROM orders GROUP BY o_custkey""")
 def _(t):
-    until = t.orders.where(F.to_date("o_orderdate") <= F.lit("1996-01-16").cast("date"))
-    return until.groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct(F.to_date("o_orderdate"), "o_orderkey")).alias("hours"))
+    day = F.to_date("o_orderdate").cast("string")
+    some = lambda condition, name: F.array_sort(F.collect_list(F.when(condition, F.struct(day.alias(name), F.col("o_orderpriority").alias("hours")))))
+    rows = t.orders.groupBy("o_custkey").agg(some(F.col("o_orderstatus") == "P", "date").alias("overrides"), some(F.col("o_orderstatus") != "P", "from").alias("revisions"))
+    return rows.select("o_custkey", H.hours_on(F.lit("original"), "overrides", "revisions", F.lit("1996-01-16")).alias("hours"))
 
 
 @probe("dt-09", """
-WITH s AS (SELECT user_id, hour(ts) AS a, hour(ts) + 2 AS b FROM events),
-l AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM s)
-SELECT user_id, bool_or(coalesce(a < last, false)) AS ambiguous FROM l GROUP BY user_id""")
+WITH h AS (SELECT DISTINCT user_id, hour(ts) AS a FROM events), l AS (SELECT user_id, a - lag(a) OVER (PARTITION BY user_id ORDER BY a) AS gap FROM h)
+SELECT user_id, coalesce(bool_or(gap < 2), false) AS ambiguous FROM l GROUP BY user_id""")
 def _(t):
-    spans = t.events.select("user_id", F.hour("ts").alias("open"), (F.hour("ts") + 2).alias("close"))
-    return ambiguous_hours(spans, "user_id")
-
-
-def ambiguous_hours(spans, key):
-    """Whether any two spans of a key overlap: sorted by opening, one opens before the latest close so far."""
-    from pyspark.sql import Window
-
-    before = Window.partitionBy(key).orderBy("open", "close").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("_last", F.max("close").over(before)).groupBy(key).agg(F.bool_or(F.coalesce(F.col("open") < F.col("_last"), F.lit(False))).alias("ambiguous"))
+    two = lambda h: F.lpad(h.cast("string"), 2, "0")
+    line = F.concat(F.lit("Mo-We "), two(F.hour("ts")), F.lit(":00-"), two((F.hour("ts") + 2) % 24), F.lit(":00"))
+    rows = t.events.groupBy("user_id").agg(F.collect_set(line).alias("lines"))
+    return rows.select("user_id", H.weekly_from_strings("lines").isNull().alias("ambiguous"))

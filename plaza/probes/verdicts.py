@@ -9,7 +9,7 @@ from plaza.functions import dates as D
 from plaza.functions import numbers as N
 from plaza.functions import text as S
 from plaza.functions.collections import slots
-from plaza.operators import media
+from plaza.operators import facts, media
 from plaza.operators import metrics as M
 from plaza.operators import predicates as P
 from plaza.probes.base import AS_OF, probe
@@ -397,15 +397,13 @@ def _(t):
     return t.orders.select("o_orderkey", status.alias("status"))
 
 
-# Words that make an event's category.
-CATEGORIES = (("sport|soccer|football|hockey|race|marathon", "Sports"), ("music|concert|songwriter|symphony|jazz", "Music"), ("food|drink|beer|wine|tasting", "Food & Drink"), ("festival|fringe|celebration", "Festivals"), ("market|vendor|farmers", "Markets"), ("arts|theatre|theater|dance|film|gallery", "Arts"), ("comedy|comedian|improv", "Comedy"), ("outdoor|trail|garden|beach", "Outdoor"), ("community|family|parade|heritage", "Community"))
+_first = lambda name, rules: "[x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{words}') THEN '{label}' END" for label, words in rules) + "] IF x IS NOT NULL]"
 
 
-@probe("prj-14", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Music,Food & Drink' WHEN 1 THEN 'Markets,Community' ELSE 'Other' END AS categories FROM documents")
+@probe("prj-14", f"SELECT doc_id, CASE WHEN len(a) = 0 THEN 'Other' ELSE array_to_string(a, ',') END AS imported, array_to_string(b, ',') AS cleaned FROM (SELECT doc_id, {_first('a', facts.IMPORT_CATEGORIES)} AS a, {_first('b', facts.CLEAN_CATEGORIES)} AS b FROM documents)")
 def _(t):
-    title = F.element_at(F.array(F.lit("Jazz and beer"), F.lit("Family farmers day"), F.lit("Night out")), (F.col("doc_id") % 3 + 1).cast("int"))
-    found = S.labels(title, CATEGORIES)
-    return t.documents.select("doc_id", F.array_join(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Other"))), ",").alias("categories"))
+    both = [F.array_join(facts.categories("text", rules, other), ",").alias(name) for name, rules, other in (("imported", facts.IMPORT_CATEGORIES, "Other"), ("cleaned", facts.CLEAN_CATEGORIES, None))]
+    return t.documents.select("doc_id", *both)
 
 
 @probe("prj-15", "SELECT page_id, CASE WHEN contains(url, '/de/') THEN 'menu' WHEN contains(url, '/fr/') THEN 'reservation' ELSE 'related' END AS kind FROM pages")
@@ -479,11 +477,23 @@ def _(t):
     return t.documents.select("doc_id", status.alias("status"), F.regexp_extract(text, "^((?:[A-Z][a-z]+ ?)+?) (?:is|has|opening)", 1).alias("name"), F.regexp_extract(text, " on ((?:[A-Z][a-z]+ ?)+)[.]", 1).alias("place"))
 
 
-@probe("prj-24", r"SELECT conv_id, turn, len(list_slice(list_distinct(regexp_extract_all(text || ' 7pm $12 7pm $3.50', '\$[0-9]+(?:\.[0-9]{2})?')), 1, 12)) AS prices, array_to_string(list_slice(list_distinct(regexp_extract_all(text || ' 7pm $12 7pm $3.50', '[0-9]{1,2}(?:am|pm)')), 1, 12), ',') AS times FROM conversations")
+_MENTIONS = [  # a post, its kinds, and: dates, times, prices, relative dates, conditions, status
+    ("Oysters $2.50 on June 3rd, 5pm - 7 p.m. Dine-in only, plus tax", ["specials"], "June 3rd", "5pm,7 p.m", "$2.50", "", "dine_in_only,tax_extra", "unverified"),
+    ("Tonight and every Friday: CAD $1,200 prize, 19+. Sold out!", ["events", "news"], "", "", "CAD $1,200", "Tonight,every Friday", "age_restriction_19_plus", "possible_sold_out"),
+    ("2024-02-01 show cancelled, 2024-02-01 moved to Mar. 4, 2024", ["events"], "2024-02-01,Mar. 4, 2024", "", "", "", "", "possible_cancellation"),
+    ("Wings $9 today", ["news"], None, None, None, None, None, None),
+    ("", ["specials", "events"], "", "", "", "", "", "unverified"),
+]
+_mention = lambda at: f"CASE doc_id % {len(_MENTIONS)} " + " ".join(f"WHEN {k} THEN '{row[at]}'" for k, row in enumerate(_MENTIONS) if row[at] is not None) + " END"
+
+
+@probe("prj-24", f"SELECT doc_id, {_mention(2)} AS dates, {_mention(3)} AS times, {_mention(4)} AS prices, {_mention(5)} AS relative_dates, {_mention(6)} AS conditions, {_mention(7)} AS status FROM documents")
 def _(t):
-    text = F.concat("text", F.lit(" 7pm $12 7pm $3.50"))
-    found = lambda p: F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0))), 1, 12)
-    return t.conversations.select("conv_id", "turn", F.size(found("\\$[0-9]+(?:\\.[0-9]{2})?")).cast("long").alias("prices"), F.array_join(found("[0-9]{1,2}(?:am|pm)"), ",").alias("times"))
+    at = (F.col("doc_id") % len(_MENTIONS) + 1).cast("int")
+    text = F.element_at(F.array(*[F.lit(row[0]) for row in _MENTIONS]), at)
+    kinds = F.element_at(F.array(*[F.array(*map(F.lit, row[1])) for row in _MENTIONS]), at)
+    rows = t.documents.select("doc_id", facts.fact_candidate(text, kinds).alias("x"))
+    return rows.select("doc_id", *[F.array_join(f"x.{c}", ",").alias(c) for c in ("dates", "times", "prices", "relative_dates", "conditions")], "x.status")
 
 
 @probe("prj-26", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +56,10 @@ def ics_event(uid: Column, start: Column, summary: Column) -> Column:
     return F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), uid), F.concat(F.lit("DTSTART:"), stamp), F.concat(F.lit("SUMMARY:"), escape_ics(summary)), F.lit("END:VEVENT"))
 
 
-def write_twins(rows: DataFrame, json_path: str, table_path: str) -> None:
-    """The same rows as JSON and as Parquet."""
-    rows.write.mode("overwrite").json(json_path)
-    rows.write.mode("overwrite").parquet(table_path)
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the one that ``spark.checkpoint.dir`` names; a temporary one only where that is unset and all runs on one machine."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and sc.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='plaza-')).rstrip('/')}/plaza-{uuid.uuid4().hex}"

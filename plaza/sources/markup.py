@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 
-from plaza.functions.text import either
+from plaza.functions.text import borders, either
 
 
 def rows_of(*names: str, **others: DataType) -> ArrayType:
@@ -411,7 +411,7 @@ def lifecycle_text(html) -> Column:
 
 def _around(text: Column, phrase: str, before: int = 300, after: int = 100) -> Column:
     """before and after of each place where ``phrase`` stands as words."""
-    pieces = F.split(text, rf"\b{phrase}\b", -1)
+    pieces = F.split(text, borders(rf"\b{phrase}\b"), -1)
 
     def place(k):
         left = F.array_join(F.slice(pieces, F.lit(1), k), phrase)
@@ -423,10 +423,10 @@ def _around(text: Column, phrase: str, before: int = 300, after: int = 100) -> C
 
 def _told(text: Column, phrase: str) -> Column:
     if phrase in PERSONAL:
-        return F.exists(_around(text, phrase), lambda c: ~((c["before"].rlike(r"\bbefore\s*$") & c["before"].rlike(BIOGRAPHY)) | c["before"].rlike(WISH)))
+        return F.exists(_around(text, phrase), lambda c: ~((c["before"].rlike(borders(r"\bbefore\s*$")) & c["before"].rlike(borders(BIOGRAPHY))) | c["before"].rlike(borders(WISH))))
     if phrase == "new location":
-        return F.exists(_around(text, phrase), lambda c: ~(c["before"].rlike(EXPANSION) & c["after"].rlike(ELSEWHERE)))
-    return text.rlike(rf"\b{phrase}\b")
+        return F.exists(_around(text, phrase), lambda c: ~(c["before"].rlike(borders(EXPANSION)) & c["after"].rlike(borders(ELSEWHERE))))
+    return text.rlike(borders(rf"\b{phrase}\b"))
 
 
 def lifecycle_language(html) -> Column:
