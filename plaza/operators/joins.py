@@ -96,11 +96,19 @@ def top_per(rows: DataFrame, group: list[str], order: list, most: int) -> DataFr
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, blocks: list[tuple[Column, Column]]) -> DataFrame:
-    """Distinct pairs that meet in at least one block; a null block meets nothing. Columns of the right start with ``r_``."""
+def blocked_pairs(left: DataFrame, right: DataFrame, blocks: list[tuple[Column, Column]], id_col: str = "id") -> DataFrame:
+    """Distinct pairs that meet in at least one block; a null block meets nothing. Columns of the right start with ``r_``.
+
+    Blocks join narrow rows (key and id), which are made distinct before either
+    side's columns are added. A block should be as narrow as the evidence it
+    stands for (a name, a phone, a street with its number): pairs of a block grow
+    with the product of its sides.
+    """
     right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    parts = [left.withColumn("_b", a).join(right.withColumn("_b", b), "_b").drop("_b") for a, b in blocks]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    r_id = f"r_{id_col}"
+    keyed = lambda rows, key, name: rows.select(key.alias("_b"), name).where("_b is not null").distinct()
+    parts = [keyed(left, a, id_col).join(keyed(right, b, r_id), "_b").drop("_b") for a, b in blocks]
+    return reduce(DataFrame.unionByName, parts).distinct().join(left, id_col).join(right, r_id)
 
 
 def pair_score(name_equal, name_within, phone_equal, domain_equal, postal_equal, street_equal, similarity, metres, conflicts) -> Column:

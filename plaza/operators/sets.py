@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 
 def first_wins(rows: DataFrame, keys: list, order: list) -> DataFrame:
-    """One row of each key, the first by ``order``; a null key is never grouped."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """One row of each key, the first by ``order``; a null key is never grouped. The input is read once."""
     known = reduce(lambda a, b: a & b, [(F.col(k) if isinstance(k, str) else k).isNotNull() for k in keys])
-    alone = rows.where(~known)
-    return rows.where(known).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").unionByName(alone)
+    own = F.when(~known, F.monotonically_increasing_id())  # a group of its own for each row without a key
+    numbered = rows.withColumn("_own", own)
+    w = Window.partitionBy(*keys, "_own").orderBy(*order)
+    return numbered.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_own")
 
 
 def last_wins(rows: DataFrame, keys: list, order: list[str]) -> DataFrame:

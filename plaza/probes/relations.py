@@ -61,36 +61,49 @@ def _(t):
 
 
 def places(rows, key, nation):
-    """Places with a name key, an address (a street per nation) and coordinates."""
+    """Places with a name, phone, website, an address (civic number and street) and coordinates; a few rows share each."""
     k, n = F.col(key), F.col(nation)
+    part = lambda m: F.floor(k / m).cast("string")
     return rows.select(
-        k.alias("id"), n.alias("nation"), F.concat(F.lit("place "), k % 40).alias("name"), (k % 7).alias("civic"), F.concat(F.lit("street "), n % 3).alias("street"),
+        k.alias("id"), n.alias("nation"), F.concat(F.lit("place "), part(4), F.when(k % 3 == 0, " cafe").otherwise("")).alias("name"), (k % 9).alias("civic"), F.concat(F.lit("street "), part(20)).alias("street"),
+        F.when(k % 2 == 0, F.concat(F.lit("902"), part(3))).alias("phone"), F.when(k % 5 < 3, F.concat(F.lit("d"), part(6), F.lit(".example"))).alias("domain"), F.when(k % 11 == 0, F.floor(k / 2)).alias("ref"),
         (F.lit(44.0) + (k % 13) / 10000.0).alias("lat"), (F.lit(-63.0) + (k % 11) / 10000.0).alias("lon"),
     )
 
 
 def _places_sql(table, key, nation):
-    return f"SELECT {key} AS id, {nation} AS nation, 'place ' || ({key} % 40) AS name, {key} % 7 AS civic, 'street ' || ({nation} % 3) AS street, 44.0 + ({key} % 13) / 10000.0 AS lat, -63.0 + ({key} % 11) / 10000.0 AS lon FROM {table}"
+    return f"""SELECT {key} AS id, {nation} AS nation, 'place ' || ({key} // 4) || CASE WHEN {key} % 3 = 0 THEN ' cafe' ELSE '' END AS name, {key} % 9 AS civic, 'street ' || ({key} // 20) AS street,
+  CASE WHEN {key} % 2 = 0 THEN '902' || ({key} // 3) END AS phone, CASE WHEN {key} % 5 < 3 THEN 'd' || ({key} // 6) || '.example' END AS domain, CASE WHEN {key} % 11 = 0 THEN {key} // 2 END AS ref,
+  44.0 + ({key} % 13) / 10000.0 AS lat, -63.0 + ({key} % 11) / 10000.0 AS lon FROM {table}"""
 
 
 _METRES = "12742000 * asin(least(1.0, sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2))))"
-_PAIRS = f"a AS ({_places_sql('customer', 'c_custkey', 'c_nationkey')}), b AS ({_places_sql('supplier', 's_suppkey', 's_nationkey')})"
+_PAIRS = f"""a AS ({_places_sql('customer', 'c_custkey', 'c_nationkey')}), b AS ({_places_sql('supplier', 's_suppkey', 's_nationkey')}),
+q AS (SELECT a.id, b.id AS r_id, a.name = b.name AS named, a.name <> b.name AND (contains(a.name, b.name) OR contains(b.name, a.name)) AS within, coalesce(a.phone = b.phone, false) AS phone, coalesce(a.domain = b.domain, false) AS domain, coalesce(a.ref = b.id, false) AS explicit,
+  a.civic = b.civic AS civic, a.street = b.street AS street, a.nation = b.nation AS postal, {_METRES} AS m
+  FROM a JOIN b ON a.name = b.name OR a.phone = b.phone OR a.domain = b.domain OR (a.civic = b.civic AND a.street = b.street) OR a.ref = b.id)"""
 
 
-def named_pairs(t):
+def candidate_pairs(t):
+    """Pairs of customers and suppliers that share any evidence, with what they share."""
     a = places(t.customer, "c_custkey", "c_nationkey")
     b = places(t.supplier, "s_suppkey", "s_nationkey")
-    return J.blocked_pairs(a, b, [(F.col("name"), F.col("r_name"))]).withColumn("metres", N.metres("lat", "lon", "r_lat", "r_lon"))
+    blocks = [(F.col(c), F.col(f"r_{c}")) for c in ("name", "phone", "domain")] + [(F.struct("civic", "street"), F.struct(F.col("r_civic").alias("civic"), F.col("r_street").alias("street"))), (F.col("ref"), F.col("r_id"))]
+    same = lambda c, d=None: F.coalesce(F.col(c) == F.col(d or f"r_{c}"), F.lit(False))
+    rows = J.blocked_pairs(a, b, blocks)
+    return rows.select(
+        "id", "r_id", same("name").alias("named"), ((F.col("name") != F.col("r_name")) & (F.contains("name", "r_name") | F.contains("r_name", "name"))).alias("within"), same("phone").alias("phone"), same("domain").alias("domain"),
+        same("ref", "r_id").alias("explicit"), same("civic").alias("civic"), same("street").alias("street"), same("nation").alias("postal"), N.metres("lat", "lon", "r_lat", "r_lon").alias("m"),
+    )
 
 
 @probe("joi-08", f"""
-WITH {_PAIRS}, p AS (SELECT a.id AS id, b.id AS r_id, a.civic = b.civic AND a.street = b.street AS same, {_METRES} AS m FROM a JOIN b ON a.name = b.name),
-s AS (SELECT id, r_id, CASE WHEN NOT same THEN 'distinct' WHEN m > 250 THEN 'review' WHEN m <= 75 THEN 'match' ELSE 'review' END AS state FROM p),
+WITH {_PAIRS}, p AS (SELECT *, civic AND street AS same FROM q),
+s AS (SELECT id, r_id, CASE WHEN NOT explicit AND NOT named THEN 'distinct' WHEN NOT same THEN CASE WHEN explicit THEN 'review' ELSE 'distinct' END WHEN m > 250 THEN 'review' WHEN explicit OR m <= 75 THEN 'match' ELSE 'review' END AS state FROM p),
 g AS (SELECT id, count(*) FILTER (WHERE state = 'match') AS m, count(*) FILTER (WHERE state = 'review') AS r, min(r_id) FILTER (WHERE state = 'match') AS hit FROM s GROUP BY id)
 SELECT id, CASE WHEN m = 1 THEN 'match' WHEN m > 1 OR r > 0 THEN 'review' ELSE 'distinct' END AS decision, CASE WHEN m = 1 THEN hit END AS matched_id FROM g""")
 def _(t):
-    same = (F.col("civic") == F.col("r_civic")) & (F.col("street") == F.col("r_street"))
-    pairs = named_pairs(t).withColumn("state", J.decide(F.lit(False), F.lit(True), J.place_of(same, F.col("metres"))))
+    pairs = candidate_pairs(t).withColumn("state", J.decide(F.col("explicit"), F.col("named"), J.place_of(F.col("civic") & F.col("street"), F.col("m"))))
     return J.resolve_identity(pairs, "id", "r_id", "state")
 
 
@@ -106,28 +119,24 @@ def _(t):
     return J.overlay(t.customer.select("c_custkey", "c_mktsegment", "c_name"), reviewed, "c_custkey", ["c_mktsegment"], ["c_name"])
 
 
-@probe("joi-11", f"WITH {_PAIRS} SELECT id, r_id FROM (SELECT a.id AS id, b.id AS r_id, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS n FROM a JOIN b ON a.civic = b.civic AND a.street = b.street AND a.name = b.name) WHERE n <= 3")
+@probe("joi-11", f"WITH {_PAIRS} SELECT id, r_id FROM (SELECT id, r_id, row_number() OVER (PARTITION BY id ORDER BY r_id) AS n FROM q WHERE civic AND street AND (named OR within)) WHERE n <= 3")
 def _(t):
-    near = named_pairs(t).where((F.col("civic") == F.col("r_civic")) & (F.col("street") == F.col("r_street")))
+    near = candidate_pairs(t).where("civic and street and (named or within)")
     return J.top_per(near, ["id"], ["r_id"], 3).select("id", "r_id")
 
 
-_SCORED = f"""s AS (SELECT a.id, b.id AS r_id, a.civic <> b.civic AND a.street <> b.street AS conflict, a.civic = b.civic AS civic_equal, a.nation = b.nation AS postal, a.street = b.street AS street, {_METRES} AS m FROM a JOIN b ON a.name = b.name),
-v AS (SELECT id, r_id, CAST(35 + CASE WHEN postal THEN 30 ELSE 0 END + CASE WHEN civic_equal AND street THEN 35 ELSE 0 END + CASE WHEN m <= 60 THEN 40 WHEN m <= 200 THEN 25 WHEN m <= 500 THEN 10 ELSE 0 END - CASE WHEN conflict THEN 20 ELSE 0 END AS INT) AS score,
-  CAST(postal AS INT) + CAST(civic_equal AND street AS INT) + CAST(m <= 500 AS INT) AS strong, CAST(conflict AS INT) AS conflicts FROM s)"""
+_SCORED = """v AS (SELECT id, r_id, named, within, CAST(CASE WHEN named THEN 35 WHEN within THEN 15 ELSE 0 END + CASE WHEN phone THEN 45 ELSE 0 END + CASE WHEN domain THEN 50 ELSE 0 END + CASE WHEN postal THEN 30 ELSE 0 END + CASE WHEN civic AND street THEN 35 ELSE 0 END
+    + CASE WHEN m <= 60 THEN 40 WHEN m <= 200 THEN 25 WHEN m <= 500 THEN 10 ELSE 0 END - CASE WHEN NOT civic AND NOT street THEN 20 ELSE 0 END AS INT) AS score,
+  CAST(phone AS INT) + CAST(domain AS INT) + CAST(postal AS INT) + CAST(civic AND street AS INT) + CAST(m <= 500 AS INT) AS strong, CAST(NOT civic AND NOT street AS INT) AS conflicts FROM q)"""
 
 
 def scored_pairs(t):
-    off = (F.col("civic") != F.col("r_civic")) & (F.col("street") != F.col("r_street"))
-    street = (F.col("civic") == F.col("r_civic")) & (F.col("street") == F.col("r_street"))
-    postal, no = F.col("nation") == F.col("r_nation"), F.lit(False)
-    similarity = F.when(F.col("street") == F.col("r_street"), 0.6).otherwise(0.3)
-    conflicts = off.cast("int")
-    rows = named_pairs(t)
-    return rows.select(
-        "id", "r_id", J.pair_score(F.lit(True), no, no, no, postal, street, similarity, F.col("metres"), conflicts).alias("score"), F.lit(True).alias("exact_name"), no.alias("near_name"),
-        (postal.cast("int") + street.cast("int") + (F.col("metres") <= 500).cast("int")).alias("strong"), conflicts.alias("conflicts"),
-    ).withColumn("evidence", F.col("strong") + 1)
+    rows = candidate_pairs(t)
+    similarity = F.when(F.col("street"), 0.6).otherwise(0.3)
+    address, conflicts = F.col("civic") & F.col("street"), (~F.col("civic") & ~F.col("street")).cast("int")
+    strong = sum((c.cast("int") for c in (F.col("phone"), F.col("domain"), F.col("postal"), address, F.col("m") <= 500)), F.lit(0))
+    score = J.pair_score(F.col("named"), F.col("within"), F.col("phone"), F.col("domain"), F.col("postal"), address, similarity, F.col("m"), conflicts)
+    return rows.select("id", "r_id", score.alias("score"), F.col("named").alias("exact_name"), F.col("within").alias("near_name"), strong.alias("strong"), conflicts.alias("conflicts"), (strong + (F.col("named") | F.col("within")).cast("int")).alias("evidence"))
 
 
 @probe("joi-12", f"WITH {_PAIRS}, {_SCORED} SELECT id, r_id, score, strong, conflicts FROM v")
@@ -137,9 +146,9 @@ def _(t):
 
 @probe("joi-13", f"""
 WITH {_PAIRS}, {_SCORED}, w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, r_id) AS n, lead(score) OVER (PARTITION BY id ORDER BY score DESC, r_id) AS second FROM v),
-best AS (SELECT *, score - coalesce(second, 0) AS margin FROM w WHERE n = 1)
+best AS (SELECT *, score - coalesce(second, 0) AS margin, strong + CAST(named OR within AS INT) AS evidence FROM w WHERE n = 1)
 SELECT id, r_id, score, margin, CASE WHEN conflicts > 0 THEN CASE WHEN score >= 80 AND margin >= 20 THEN 'review_conflict' ELSE 'unresolved_conflict' END
-  WHEN score >= 75 AND strong >= 1 AND margin >= 20 THEN 'resolved_high' WHEN score >= 60 AND strong >= 1 AND margin >= 15 THEN 'resolved_probable' WHEN score >= 35 THEN 'name_only_review' ELSE 'unresolved' END AS state FROM best""")
+  WHEN NOT named AND NOT within AND strong > 0 THEN 'non_name_evidence_review' WHEN score >= 75 AND strong >= 1 AND margin >= 20 THEN 'resolved_high' WHEN score >= 60 AND evidence >= 2 AND margin >= 15 THEN 'resolved_probable' WHEN score >= 35 AND named THEN 'name_only_review' ELSE 'unresolved' END AS state FROM best""")
 def _(t):
     return J.classify_best(scored_pairs(t), "id", "r_id")
 

@@ -234,12 +234,15 @@ def _(t):
     return t.region.select("r_regionkey", F.concat_ws(",", F.col("r_regionkey").cast("string"), S.escape_csv(F.concat("r_name", F.lit(', "x"')))).alias("line"))
 
 
-@probe("snk-04")
+@probe("snk-04", """
+WITH c AS (SELECT coalesce(lang, 'unknown | lang') AS lang, count(*) AS n FROM documents GROUP BY 1)
+SELECT 0 AS part, '# Documents' AS line UNION ALL SELECT 1, '| Language | Documents |' UNION ALL SELECT 2, '| --- | --- |'
+UNION ALL SELECT 3, '| ' || replace(lang, '|', chr(92) || '|') || ' | ' || n || ' |' FROM c""")
 def _(t):
     from plaza.operators.metrics import count_by
 
-    rows = count_by(t.documents, "lang")
-    return rows.select(F.concat(F.lit("| "), "lang", F.lit(" | "), F.col("n").cast("string"), F.lit(" |")).alias("line"))
+    rows = count_by(t.documents.select(F.coalesce("lang", F.lit("unknown | lang")).alias("lang")), "lang")
+    return sinks.report(rows.select("lang", "n"), "Documents", ["Language", "Documents"])
 
 
 @probe("snk-05", r"SELECT event_id, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || event_id || chr(13) || chr(10) || 'DTSTART:' || strftime(ts, '%Y%m%dT%H%M%SZ') || chr(13) || chr(10) || 'SUMMARY:' || event_type || '\, free' || chr(13) || chr(10) || 'END:VEVENT' AS ics FROM events")

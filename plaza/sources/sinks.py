@@ -56,6 +56,15 @@ def upsert(spark: SparkSession, folder: str, table: str, rows: DataFrame, keys:
     fs.rename(at(f"{path}.next"), at(path))
 
 
+def report(rows: DataFrame, title: str, heads: list[str]) -> DataFrame:
+    """part and line of a Markdown report: title, heads and rule (parts 0 to 2), then one line of the table a row (part 3)."""
+    cell = lambda c: F.replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\s+", " "), F.lit("|"), F.lit("\\|"))
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    top = rows.sparkSession.createDataFrame([(0, f"# {title}"), (1, line(heads)), (2, line(["---"] * len(heads)))], "part int, line string")
+    body = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in rows.columns]), F.lit(" |"))
+    return top.union(rows.select(F.lit(3).alias("part"), body.alias("line")))
+
+
 def page(title, body, canonical) -> Column:
     """A page of a site, all values escaped."""
     return F.concat(
