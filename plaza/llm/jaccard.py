@@ -60,8 +60,8 @@ COUNTED = 0.3
 #: Ids are broadcast only up to this counted number (8 bytes each).
 BROADCAST_IDS = 2_000_000
 #: A worker forgets its words' hashes beyond so many, and sends its sets on beyond so many n-grams.
-MOST_WORDS = 300_000
-MOST_GRAMS = 1_000_000
+MOST_WORDS = 100_000
+MOST_GRAMS = 250_000
 #: n-grams of a block of sets that are compared with another block.
 BLOCK_GRAMS = 1 << 18
 
@@ -120,7 +120,7 @@ def _each(docs: DataFrame, n: int, schema: str, columns: Callable[[list, list[np
                 ids.append(doc)
                 own.append(shingles(text.as_py(), n))
                 grams += len(own[-1])
-                if grams > MOST_GRAMS or len(own) == 512:
+                if grams > MOST_GRAMS or len(own) == 256:
                     yield pa.RecordBatch.from_arrays(columns(ids, own), names=names)
                     ids, own, grams = [], [], 0
             if own:

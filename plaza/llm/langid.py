@@ -33,7 +33,7 @@ DIMENSIONS = 1024
 NGRAM = 3
 SEED = 7
 FIT_ROWS = 20_000
-MOST_NGRAMS = 60_000
+MOST_NGRAMS = 40_000
 UNKNOWN = "und"
 FLOOR = 0.7
 LEAST_FLOOR = 200
@@ -71,7 +71,7 @@ class _Bound:
             if key not in self.row:
                 at = self.row[key] = len(self.row)
                 if at == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                    self.rows = np.concatenate([self.rows, np.zeros((8192, DIMENSIONS), np.int8)])
                 self.rows[at] = self._bind(key)
         return self.rows[np.fromiter(map(self.row.__getitem__, keys), np.int64, len(keys))]
 
@@ -109,8 +109,8 @@ def _profile(text: str | None) -> tuple[np.ndarray | None, int]:
     if not len(codes):
         return None, 0
     vector = np.zeros(DIMENSIONS, np.float32)
-    for at in range(0, len(codes), 4096):
-        vector += counts[at : at + 4096].astype(np.float32) @ _bound()(codes[at : at + 4096]).astype(np.float32)
+    for at in range(0, len(codes), 1024):
+        vector += counts[at : at + 1024].astype(np.float32) @ _bound()(codes[at : at + 1024]).astype(np.float32)
     norm = float(np.linalg.norm(vector))
     return (vector / norm if norm else None), int(counts.sum())
 
