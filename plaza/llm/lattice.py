@@ -65,6 +65,8 @@ BLOCK_CHARS = 1 << 24
 BLOCK_WORDS = 200_000
 #: At most so many words, those in most blocks, reach every worker with their ids (about 30 bytes each); the others are joined.
 COMMON = 200_000
+#: Words of texts that are spelt out at once.
+SLICE_WORDS = 100_000
 #: Bits of an edge's number: rank, then start, length and id. A single character has the greatest rank; without a piece, the greatest id.
 ID_BITS, PLACE_BITS = 20, 6
 NO_ID = (1 << ID_BITS) - 1
@@ -384,29 +386,36 @@ def _assemble(batches, shared):
     common = worker_memory(("common words", key), lambda: _Common(words))
     for batch in batches:
         for doc_ids, crcs, layout, own_words, k, ids in zip(*batch.columns):
-            flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(layout.as_py()), "<u4").astype(np.int64)
+            flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(layout.as_py()), "<u4")
             n = len(doc_ids)
-            sizes, numbers = flat[:n], flat[n:]
+            ends = np.append(0, np.cumsum(flat[:n], dtype=np.int64))
+            numbers = flat[n:]
             spelt = ids.values if ids.is_valid else pa.array([], pa.list_(pa.int32()))
             lists = np.concatenate([common.flat, pc.list_flatten(spelt).to_numpy()])
             rare = pc.list_value_length(spelt).to_numpy().astype(np.int64)
-            which = np.fromiter((common.number.get(w, -1) for w in own_words.values.to_pylist()), np.int64)
+            which = np.fromiter((common.number.get(w.as_py(), -1) for w in own_words.values), np.int64, len(own_words.values))
             start, counts = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
             met = which >= 0
             start[met], counts[met] = common.at[which[met]], common.count[which[met]]
             if k.is_valid:
                 places = k.values.to_numpy()
                 start[places], counts[places] = len(common.flat) + np.cumsum(rare) - rare, rare
-            own = counts[numbers]
-            ends = np.cumsum(own)
-            total = int(ends[-1]) if len(ends) else 0
-            out = lists[np.repeat(start[numbers] - ends + own, own) + np.arange(total)].astype("<u4")
-            stops = np.append(0, ends)[np.cumsum(sizes)]
-            starts = np.append(0, stops[:-1])
-            docs, sources = doc_ids.values, crcs.values
-            for low in range(0, n, 1024):
-                high = min(n, low + 1024)
-                yield pa.RecordBatch.from_arrays([docs.slice(low, high - low), pa.array([out[a:b].tobytes() for a, b in zip(starts[low:high], stops[low:high])], pa.binary()), sources.slice(low, high - low)], names=["doc_id", "ids", "text_crc32"])
+            low = 0
+            while low < n:  # as many texts at once as have about SLICE_WORDS words
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + SLICE_WORDS, side="right")) - 1)
+                out = _gathered(lists, start, counts, numbers[ends[low] : ends[high]], ends[low : high + 1] - ends[low])
+                yield pa.RecordBatch.from_arrays([doc_ids.values.slice(low, high - low), pa.array(out, pa.binary()), crcs.values.slice(low, high - low)], names=["doc_id", "ids", "text_crc32"])
+                low = high
+
+
+def _gathered(lists: np.ndarray, start: np.ndarray, counts: np.ndarray, numbers: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The ids of the words ``numbers``, of each text whose words end at ``ends``."""
+    own = counts[numbers]
+    stops = np.cumsum(own)
+    total = int(stops[-1]) if len(stops) else 0
+    ids = lists[np.repeat(start[numbers] - stops + own, own) + np.arange(total)].astype("<u4")
+    at = np.append(0, stops)[ends]
+    return [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
 
 
 def _decoder(path: str):
