@@ -9,7 +9,9 @@ from plaza.functions import numbers as N
 from plaza.functions import text as S
 from plaza.operators import facts
 from plaza.operators import joins as J
+from plaza.operators import review as V
 from plaza.operators import sets as U
+from plaza.operators import windows as W
 from plaza.probes.base import probe
 
 # --- joins -------------------------------------------------------------------
@@ -170,18 +172,25 @@ def _(t):
     return joined.select("event_id", F.coalesce(F.when(F.col("n_name").isNotNull(), F.col("n_nationkey").cast("string")), F.lit("none")).alias("venue"), F.coalesce("r_name", F.lit("none")).alias("organizer"))
 
 
-@probe("joi-16", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END AS place, o_orderkey % 10 = 0 AS corrected FROM orders")
+@probe("joi-16", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 AND (o_orderkey % 20 = 0 OR o_orderstatus = 'F') THEN NULL ELSE o_orderpriority END AS place, o_orderkey % 10 = 0 AND (o_orderkey % 20 = 0 OR o_orderstatus = 'F') AS corrected FROM orders")
 def _(t):
     keys = ["o_orderkey", "o_orderdate", "o_custkey"]
-    fixes = t.orders.where("o_orderkey % 10 = 0").select(*keys, F.lit(True).alias("fix"))
-    rows = t.orders.join(fixes, keys, "left")
-    return rows.select("o_orderkey", F.when(F.col("fix").isNull(), F.col("o_orderpriority")).alias("place"), F.col("fix").isNotNull().alias("corrected"))
+    sources = F.when(F.col("o_orderkey") % 20 != 0, F.array(F.lit("F")))
+    fixes = t.orders.where("o_orderkey % 10 = 0").select(*keys, F.lit(None).cast("string").alias("place"), sources.alias("sources"))
+    rows = t.orders.withColumnsRenamed({"o_orderpriority": "place", "o_orderstatus": "source"})
+    return V.correct_occurrences(rows, fixes, keys, "place").select("o_orderkey", "place", "corrected")
 
 
-@probe("joi-17", "SELECT d.doc_id, l.quality, CASE WHEN l.doc_id IS NULL THEN 'undecided' WHEN l.quality = 1 THEN 'approved' ELSE 'rejected' END AS decision FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@probe("joi-17", """
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' ELSE 'undecided' END AS decision,
+       event_id % 4 < 2 AND CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 5 DAY ELSE ts + INTERVAL 60 DAY END > TIMESTAMP '2024-01-16 12:00:00' AND ts + INTERVAL 10 DAY > TIMESTAMP '2024-01-16 12:00:00' AS current FROM events""")
 def _(t):
-    rows = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    return rows.withColumn("decision", F.when(F.col("quality").isNull(), "undecided").when(F.col("quality") == 1, "approved").otherwise("rejected"))
+    posts = t.events.select(F.col("event_id").alias("id"), F.concat(F.lit("u"), "event_id").alias("url"), F.col("ts").alias("published"))
+    none = F.lit(None).cast("timestamp_ntz")
+    by_id = posts.where("id % 4 = 0").select("id", F.lit(None).cast("string").alias("url"), F.lit("approved").alias("decision"), (F.col("published") + F.expr("interval 5 days")).alias("expires_at"), none.alias("review_due_at"))
+    by_url = posts.where("id % 4 in (0, 1, 2)").select(F.lit(None).cast("long").alias("id"), "url", F.when(F.col("id") % 4 == 1, "approved").otherwise("rejected").alias("decision"), none.alias("expires_at"), none.alias("review_due_at"))
+    out = V.decide_posts(posts, by_id.union(by_url), F.lit("2024-01-16 12:00:00").cast("timestamp_ntz"), review_days=10)
+    return out.select(F.col("id").alias("event_id"), "decision", "current")
 
 
 @probe("joi-18", f"WITH a AS ({_places_sql('supplier', 's_suppkey', 's_nationkey')}), b AS (SELECT * FROM a) SELECT a.id AS first_id, b.id AS second_id FROM a JOIN b ON a.name = b.name AND a.id < b.id WHERE {_METRES} <= 350")
@@ -388,17 +397,19 @@ def newest_cycle(rows, target, cycle):
 
 @probe("win-04", "SELECT user_id, event_id, hours = 1 AS follows FROM (SELECT user_id, event_id, date_diff('hour', date_trunc('hour', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), date_trunc('hour', ts)) AS hours FROM events)")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    hour = F.unix_timestamp(F.date_trunc("hour", "ts").cast("timestamp")) / 3600
-    rows = t.events.withColumn("h", hour)
-    return rows.select("user_id", "event_id", (F.col("h") - F.lag("h").over(w) == 1).alias("follows"))
+    rows = t.events.withColumn("hour", F.unix_timestamp(F.date_trunc("hour", "ts").cast("timestamp")) / 3600)
+    return W.follows(rows, ["user_id"], ["ts", "event_id"], "hour").select("user_id", "event_id", "follows")
 
 
-@probe("win-05", "SELECT user_id, CAST(day AS VARCHAR) AS day FROM (SELECT user_id, day, lead(day, 2) OVER (PARTITION BY user_id ORDER BY day) AS third FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)) WHERE third = day + 2")
+@probe("win-05", """
+WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), r AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS run FROM d), i AS (SELECT user_id, run, count(*) AS days, min(day) AS first FROM r GROUP BY ALL)
+SELECT r.user_id, CAST(day AS VARCHAR) AS day, days FROM r JOIN i ON i.user_id = r.user_id AND i.run = r.run WHERE day <= first + CAST(days AS INT) - 3""")
 def _(t):
-    days = t.events.select("user_id", F.to_date("ts").alias("day")).distinct()
-    w = Window.partitionBy("user_id").orderBy("day")
-    return days.withColumn("third", F.lead("day", 2).over(w)).where(F.col("third") == F.date_add("day", 2)).select("user_id", F.col("day").cast("string").alias("day"))
+    rows = t.events.select("user_id", F.to_date("ts").alias("day"))
+    runs = W.islands(rows, ["user_id"], "day").withColumnRenamed("user_id", "u")
+    blocks = W.full_blocks(rows, ["user_id"], "day", 3)
+    met = blocks.join(runs, (F.col("user_id") == F.col("u")) & F.col("day").between(F.col("first"), F.col("last")))
+    return met.select("user_id", F.col("day").cast("string").alias("day"), "days")
 
 
 @probe("win-06", "WITH h AS (SELECT user_id, event_id, sha256(user_id || '|' || event_id) AS own FROM events) SELECT user_id, event_id, lag(own) OVER (PARTITION BY user_id ORDER BY event_id) IS NULL OR event_id % 5 <> 0 AS chained FROM h")
@@ -420,7 +431,6 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.sum("l_quantity").over(w), 4).alias("running"))
 
 
-@probe("win-08", "SELECT doc_id, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents")
+@probe("win-08", "SELECT doc_id, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents WHERE text IS NOT NULL")
 def _(t):
-    rows = t.documents.select("doc_id", F.md5("text").alias("k"))
-    return rows.join(rows.groupBy("k").agg(F.count("*").alias("n")), "k").select("doc_id", "n")
+    return W.key_counts(t.documents.where("text is not null").select("doc_id", F.md5("text").alias("k")), "k").select("doc_id", "n")

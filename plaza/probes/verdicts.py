@@ -12,6 +12,7 @@ from plaza.functions.collections import slots
 from plaza.operators import facts, media
 from plaza.operators import metrics as M
 from plaza.operators import predicates as P
+from plaza.operators import review as V
 from plaza.probes.base import AS_OF, probe
 
 _TS = f"TIMESTAMP '{AS_OF}'"
@@ -77,11 +78,12 @@ def _(t):
     return t.pages.where(P.search("url", "example.net")).orderBy("page_id").offset(30).limit(30).select("page_id")
 
 
-@probe("flt-10", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'undecided' WHEN toxic = 1 THEN 'rejected' ELSE 'approved' END AS state FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.source IN ('src0', 'src1') AND coalesce(toxic, 0) = 0")
+@probe("flt-10", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'undecided' ELSE 'approved' END AS decision FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.source IN ('src0', 'src1') AND d.lang = 'en' AND coalesce(toxic, 0) = 0")
 def _(t):
-    rows = t.documents.where(F.col("source").isin("src0", "src1")).select("doc_id").join(t.labels, "doc_id", "left")
-    state = F.when(F.col("toxic").isNull(), "undecided").when(F.col("toxic") == 1, "rejected").otherwise("approved")
-    return rows.select("doc_id", state.alias("state")).where("state <> 'rejected'")
+    rows = t.documents.select("doc_id", F.col("source").alias("source_kind"), F.col("lang").alias("review_state"))
+    said = t.labels.select("doc_id", F.when(F.col("toxic") == 1, "rejected").otherwise("approved").alias("decision"))
+    parts = [V.queue(rows, said, "doc_id", ["src0", "src1"], ["en"], d).select("doc_id", "decision") for d in ("undecided", "approved")]
+    return parts[0].union(parts[1])
 
 
 @probe("flt-11", f"SELECT page_id FROM pages WHERE {_HOST} NOT IN ('cheap-pills.example.com') AND url NOT LIKE '%/es/%'")
@@ -93,9 +95,9 @@ def _(t):
 
 @probe("flt-12", "SELECT page_id, NOT (page_id % 5 = 0 OR url LIKE '%/fr/%') AS safe FROM pages")
 def _(t):
-    rejected = t.pages.where("page_id % 5 = 0").select("page_id", F.lit("menu").alias("kind"), "url", F.lit(True).alias("no"))
-    rows = t.pages.select("page_id", F.lit("menu").alias("kind"), "url").join(rejected, ["page_id", "kind", "url"], "left")
-    return rows.select("page_id", (F.col("no").isNull() & ~F.contains("url", F.lit("/fr/"))).alias("safe"))
+    rows = t.pages.select("page_id", F.lit("menu").alias("kind"), "url")
+    rejected = rows.where("page_id % 5 = 0").union(rows.where("page_id % 5 = 1").withColumn("kind", F.lit("order")))
+    return V.pointer_safe(rows, rejected, ["page_id", "kind", "url"], F.contains("url", F.lit("/fr/"))).select("page_id", "safe")
 
 
 @probe("flt-13", "SELECT l_orderkey, CASE WHEN arg_min(l_quantity, (l_linenumber, l_partkey)) > 10 THEN arg_min(l_partkey, (l_linenumber, l_partkey)) END AS action FROM lineitem GROUP BY l_orderkey")
@@ -202,11 +204,12 @@ def _(t):
     return t.customer.select("c_custkey", P.usable_phone(phone).alias("phone_ok"), P.usable_address(address).alias("address_ok"))
 
 
-@probe("flt-27", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 'fixed' ELSE c_mktsegment END AS segment, c_custkey % 4 < 2 AS audited FROM customer")
+@probe("flt-27", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 'changed' ELSE c_name END AS c_name, CASE WHEN c_custkey % 3 = 1 THEN 7.5 ELSE c_acctbal END AS c_acctbal, CASE c_custkey % 3 WHEN 0 THEN 'c_name:rejected' WHEN 1 THEN 'c_name:overridden,c_acctbal:overridden' ELSE '' END AS audit FROM customer")
 def _(t):
-    rules = t.customer.where("c_custkey % 4 < 2").select("c_custkey", F.when(F.col("c_custkey") % 4 == 1, "fixed").alias("value"), F.lit(True).alias("ruled"))
-    rows = t.customer.join(rules, "c_custkey", "left")
-    return rows.select("c_custkey", F.when(F.col("ruled"), F.col("value")).otherwise(F.col("c_mktsegment")).alias("segment"), F.coalesce("ruled", F.lit(False)).alias("audited"))
+    said = lambda rest, field, verdict, value: t.customer.where(F.col("c_custkey") % 3 == rest).select("c_custkey", F.lit(field).alias("field"), F.lit(verdict).alias("verdict"), F.lit(value).cast("string").alias("value"))
+    reviews = said(0, "c_name", "reject", None).union(said(1, "c_name", "override", "changed")).union(said(1, "c_acctbal", "override", "7.5"))
+    out = V.field_rejections(t.customer, reviews, "c_custkey", ["c_name", "c_acctbal"])
+    return out.select("c_custkey", "c_name", "c_acctbal", F.array_join("audit", ",").alias("audit"))
 
 
 @probe("flt-28", "SELECT page_id, CASE WHEN page_id % 2 = 0 AND page_id % 3 = 0 THEN 'verified' WHEN page_id % 2 = 0 OR page_id % 3 = 0 THEN 'needs_review' ELSE 'rejected' END AS disposition FROM pages")
@@ -219,20 +222,31 @@ def _(t):
     return t.supplier.select("s_suppkey", N.valid_coordinates(F.col("s_suppkey") % 100, F.col("s_suppkey") % 200).alias("valid"))
 
 
-@probe("flt-31", "SELECT page_id FROM pages WHERE NOT regexp_matches(url, 'utm_|spam|[{][{]')")
+_LINKS = [("https://a.example/{{url}}", "template"), ("https://a.example/oembed?x=1", "oembed"), ("https://a.example/", "generic_path"), ("https://a.example/Home/", "generic_path"), ("https://a.example/?p=5", None), ("https://a.example/menu", None)]
+
+
+@probe("flt-31", "SELECT page_id, CASE page_id % 6 " + " ".join(f"WHEN {k} THEN '{why}'" for k, (_, why) in enumerate(_LINKS) if why) + " END AS why FROM pages")
 def _(t):
-    return t.pages.where(~F.col("url").rlike("utm_|spam|[{][{]")).select("page_id")
+    url = F.element_at(F.array(*[F.lit(u) for u, _ in _LINKS]), (F.col("page_id") % 6 + 1).cast("int"))
+    return t.pages.select("page_id", V.rejected_link(url).alias("why"))
 
 
 @probe("flt-32", "SELECT doc_id FROM documents WHERE doc_id % 9 <> 0")
 def _(t):
-    reviewed = t.documents.where("doc_id % 9 = 0").select(F.md5("text").alias("k"), "source", "doc_id")
-    return t.documents.select(F.md5("text").alias("k"), "source", "doc_id").join(reviewed, ["k", "source", "doc_id"], "left_anti").select("doc_id")
+    rows = t.documents.select(F.md5("text").alias("k"), F.coalesce("source", F.lit("")).alias("source"), "doc_id").withColumn("k", F.coalesce("k", F.lit("")))
+    return V.without_reviewed(rows, rows.where("doc_id % 9 = 0").union(rows.where("doc_id % 9 = 1").withColumn("source", F.lit("other"))), ["k", "source", "doc_id"]).select("doc_id")
 
 
-@probe("flt-33", "SELECT doc_id, CAST((quality = 0)::INT + (toxic = 1)::INT AS INT) AS n_problems FROM labels")
+@probe("flt-33", """
+SELECT doc_id, array_to_string([x FOR x IN [CASE WHEN doc_id % 2 = 0 THEN 'url is not https' END, CASE WHEN doc_id % 3 = 0 THEN 'no alternative text' END, CASE WHEN doc_id % 5 = 0 THEN 'no credit' END, CASE WHEN quality = 0 THEN 'rights not approved' END,
+  CASE WHEN doc_id % 7 = 0 THEN 'no size' END, CASE WHEN toxic = 1 THEN 'not reviewed' END, CASE WHEN doc_id % 11 = 0 THEN 'expired' END] IF x IS NOT NULL], ';') AS problems FROM labels""")
 def _(t):
-    return t.labels.select("doc_id", F.size(M.problems([("low quality", F.col("quality") == 0), ("toxic", F.col("toxic") == 1)])).alias("n_problems"))
+    d, at = F.col("doc_id"), F.lit(AS_OF).cast("timestamp")
+    rows = t.labels.select(
+        "doc_id", F.when(d % 2 == 0, "http://a.example/x").otherwise("https://a.example/x").alias("url"), F.when(d % 3 != 0, "alt").otherwise(" ").alias("alt"), F.when(d % 5 != 0, "me").alias("credit"),
+        F.when(F.col("quality") == 1, "production_approved").alias("rights"), F.when(d % 7 != 0, 10).alias("width"), F.lit(10).alias("height"), F.when(F.col("toxic") == 0, at).alias("reviewed_at"), F.when(d % 11 == 0, at).alias("expires_at"), at.alias("as_of"),
+    )
+    return rows.select("doc_id", F.array_join(V.publication_problems(rows), ";").alias("problems"))
 
 
 @probe("flt-34", "SELECT s_suppkey, s_suppkey % 10 >= 2 AND s_suppkey % 10 + 1 <= 8 AND s_suppkey % 7 >= 1 AND s_suppkey % 7 + 1 <= 6 AS inside FROM supplier")
@@ -255,22 +269,20 @@ def _(t):
     return t.labels.select("doc_id", (exact & read["quality"].isin(0, 1)).alias("valid"))
 
 
-@probe("flt-37", "SELECT doc_id, CASE WHEN n > 1 THEN 'duplicate' WHEN quality = 1 THEN 'accepted' ELSE 'withdrawn' END AS state FROM (SELECT l.doc_id, quality, count(*) OVER (PARTITION BY md5(text)) AS n FROM labels l JOIN documents d USING (doc_id))")
+@probe("flt-37", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' WHEN 2 THEN 'withdrawn' WHEN 3 THEN 'pending' ELSE 'rejected' END AS state FROM documents")
 def _(t):
-    rows = t.labels.join(t.documents.select("doc_id", F.md5("text").alias("k")), "doc_id")
-    n = rows.groupBy("k").agg(F.count("*").alias("n"))
-    return rows.join(n, "k").select("doc_id", F.when(F.col("n") > 1, "duplicate").when(F.col("quality") == 1, "accepted").otherwise("withdrawn").alias("state"))
+    said = lambda rest, at, what: t.documents.where(F.col("doc_id") % 5 == rest).select("doc_id", F.lit(at).alias("at"), F.lit(what).alias("decision"))
+    rows = said(1, 1, "approved").union(said(2, 5, "withdrawn")).union(said(2, 1, "approved")).union(said(3, 1, "withdrawn")).union(said(4, 2, "rejected")).union(said(4, 1, "approved"))
+    return V.fold_decisions(t.documents, rows, "doc_id")
 
 
-@probe("flt-38", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity = (l_quantity + l_linenumber - 1) - l_linenumber + 1 AS fits FROM lineitem")
+@probe("flt-38", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'mismatch' ELSE 'fits' END AS state FROM orders")
 def _(t):
-    first, last = F.col("l_linenumber"), F.col("l_quantity") + F.col("l_linenumber") - 1
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", range_fits(first, F.col("l_quantity"), first, last, F.col("l_quantity")).alias("fits"))
-
-
-def range_fits(offset, length, first, last, size):
-    """Whether an index row, the byte range asked and the body agree."""
-    return (offset == first) & (length == last - first + 1) & (size == length)
+    k = F.col("o_orderkey")
+    index = t.orders.where(k % 5 != 0).select("o_orderkey", (k * 100).alias("offset"), F.lit(100).cast("long").alias("length"))
+    index = index.union(index.where(k % 5 == 1))
+    responses = t.orders.select("o_orderkey", (k * 100).alias("first"), (k * 100 + 99).alias("last"), F.when(k % 5 == 2, 99).otherwise(100).cast("long").alias("size"))
+    return V.index_fits(index, responses, ["o_orderkey"])
 
 
 @probe("flt-39", f"SELECT o_orderkey FROM orders WHERE o_orderkey % 12 + 1 > 7 AND {_DAY} <= DATE '1996-02-15' AND {_DAY} + (o_orderkey % 12)::INT >= DATE '1996-01-16'")
@@ -331,10 +343,13 @@ def _(t):
     return t.part.select("p_partkey", S.ladder("p_type", _KINDS, "restaurant").alias("kind"))
 
 
-@probe("prj-05", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN n_name WHEN contains(lower(n_name), 'an') THEN 'an' ELSE 'default' END AS city FROM nation")
+_TOWNS = [("DARTMOUTH", None, "Dartmouth"), (" halifax ", "Bedford Row, Dartmouth", "Halifax"), ("", "5 Bedford Hwy", "Bedford"), ("Hammonds Plains", "Halifax County", "Halifax"), ("Truro", "1 Main", "Truro"), (None, None, "Halifax")]
+
+
+@probe("prj-05", "SELECT c_custkey, CASE c_custkey % 6 " + " ".join(f"WHEN {k} THEN '{town}'" for k, (_, _, town) in enumerate(_TOWNS)) + " END AS town FROM customer")
 def _(t):
-    exact = F.when(F.col("n_regionkey") == 1, F.col("n_name"))
-    return t.nation.select("n_nationkey", F.coalesce(exact, S.ladder("n_name", (("an", "an"),)), F.lit("default")).alias("city"))
+    pick = lambda at: F.element_at(F.array(*[F.lit(row[at]).cast("string") for row in _TOWNS]), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return t.customer.select("c_custkey", V.municipality(pick(0), pick(1)).alias("town"))
 
 
 _PRICES = [  # what an event says of its price, and what that comes to
