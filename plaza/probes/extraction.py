@@ -13,7 +13,7 @@ from plaza.functions import text as S
 from plaza.functions.dates import strict_instant
 from plaza.operators import facts
 from plaza.probes.base import AS_OF, probe
-from plaza.sources import files, markup
+from plaza.sources import discovery, files, markup
 
 _LINKS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
 _TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
@@ -184,11 +184,18 @@ def excerpt(column, term: str, before: int = 180, after: int = 520):
     return F.when(at > 0, F.substr(text, start, F.lit(after) + at - start))
 
 
-@probe("src-19", f"SELECT page_id, kind, count(*) AS n FROM (SELECT page_id, CASE WHEN regexp_matches(lower(l), '^/[a-d]') THEN 'hub' ELSE 'owned' END AS kind FROM (SELECT page_id, unnest({_LINKS}) AS l FROM pages)) GROUP BY ALL")
+@probe("src-19", """
+SELECT page_id, platform, handle, basis FROM pages, (VALUES
+  (0, 'instagram', 'Corner.Cafe', 'linked_from_official_website'), (0, 'facebook', '77', 'jsonld_sameAs'), (1, 'linktree', 'corner', 'linked_from_official_website'), (1, 'tiktok', 'corner', 'linked_from_official_website'), (2, 'youtube', 'UC1', 'jsonld_sameAs')
+) v(rest, platform, handle, basis) WHERE page_id % 4 = rest""")
 def _(t):
-    links = t.pages.select("page_id", F.inline(markup.html_links("html", "url")))
-    kind = S.ladder(S.url_path("url"), (("^/[a-d]", "hub"),), "owned")
-    return links.select("page_id", kind.alias("kind")).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+    bodies = [
+        '<a href="https://www.instagram.com/Corner.Cafe/">x</a><a href="https://instagram.com/corner.cafe">y</a><a href="https://instagram.com/p/1">z</a><script type="application/ld+json">{"@graph":[{"sameAs":["https://facebook.com/profile.php?id=77"]}]}</script>',
+        '<a href="https://linktr.ee/corner">x</a><a href="https://www.tiktok.com/@corner/video/1">y</a><a href="https://nottiktok.com/@a">z</a>',
+        '<script type="application/ld+json">{"sameAs":"https://youtube.com/channel/UC1"}</script><script type="application/ld+json">{bad</script>', "<p>none</p>",
+    ]
+    rows = t.pages.select("page_id", "url", F.element_at(F.array(*map(F.lit, bodies)), (F.col("page_id") % 4 + 1).cast("int")).alias("html"))
+    return discovery.profiles(rows, "page_id", "html", "url").select("page_id", "platform", "handle", "basis")
 
 
 @probe("src-22", "SELECT user_id, count(*) AS n, bool_and(gap IS NULL OR gap = 1) AS contiguous FROM (SELECT user_id, h - lag(h) OVER (PARTITION BY user_id ORDER BY h) AS gap FROM (SELECT DISTINCT user_id, epoch(date_trunc('hour', ts))::BIGINT // 3600 AS h FROM events)) GROUP BY user_id")
