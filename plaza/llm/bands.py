@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaza.llm.common import table
+from plaza.llm.common import released, table
 
 #: From so many bytes: least and most ratio of a whole text.
 BANDS = [(0, 0.0, 99.0), (64, 0.40, 1.30), (128, 0.40, 1.10), (256, 0.36, 0.95), (512, 0.33, 0.85), (1024, 0.30, 0.78), (2048, 0.28, 0.72), (4096, 0.25, 0.68)]
@@ -126,7 +126,7 @@ def judge(docs: DataFrame) -> DataFrame:
                 out.append((doc, *own, failed, not failed and in_band(len(text), whole, bad), whole, bad))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _TYPES)] if out else [pa.array([], t) for t in _TYPES], names=_NAMES)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, OUT)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(rows), OUT)
 
 
 _NAMES = re.findall(r"(\w+) (?:long|boolean|double)", OUT)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,5 +81,15 @@ def worker_memory(key, make):
     return _held[1]
 
 
+def released(rows):
+    """``rows`` as a function over Arrow batches that gives memory back at its end; worker processes live on between tasks."""
+
+    def run(batches):
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def or_empty(text) -> Column:
     return F.coalesce(text, F.lit(""))

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plaza.llm.common import Scratch, cut, table, worker_memory
+from plaza.llm.common import Scratch, cut, released, table, worker_memory
 from plaza.llm.components import components
 
 WORDS = 4
@@ -126,7 +126,7 @@ def _each(docs: DataFrame, n: int, schema: str, columns: Callable[[list, list[np
             if own:
                 yield pa.RecordBatch.from_arrays(columns(ids, own), names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(rows), schema)
 
 
 def _digests(own: list[np.ndarray]) -> pa.Array:
@@ -199,7 +199,7 @@ def keyed(docs: DataFrame, n: int, name: str) -> DataFrame:
             keys = pa.array([d if len(s) else None for s, d in zip(own, _digests(own).to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=schema.names)
 
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(released(rows), schema)
 
 
 def _components(docs: DataFrame, n: int, percent: int, counted: float):
@@ -422,6 +422,7 @@ def _in_blocks(scratch: Scratch, met: DataFrame, around: DataFrame, now: DataFra
                 if len(hit):
                     found_a.append(key)
                     found_b.append(keys[hit[0]])
+        pa.default_memory_pool().release_unused()
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
     key = ["q", "i", "j"]
@@ -441,7 +442,7 @@ def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
     pairs = pairs.select("a", "b")
     side = lambda x: _having(full.select(F.col("key").alias(x), F.col("grams").alias(f"g{x}")), pairs.select(x), x)
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb")
-    return joined.mapInArrow(rows, "a long, b long, na long, nb long, o long")
+    return joined.mapInArrow(released(rows), "a long, b long, na long, nb long, o long")
 
 
 def _arrays(column: pa.ListArray) -> list[np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plaza.llm.common import table, without, worker_memory
+from plaza.llm.common import released, table, without, worker_memory
 
 DIMENSIONS = 1024
 NGRAM = 3
@@ -135,7 +135,7 @@ def learn(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndar
                     sums[lang] = sums.get(lang, 0) + own.astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    parts = rows.select("lang", "text").mapInArrow(bundle, "lang string, v array<double>")
+    parts = rows.select("lang", "text").mapInArrow(released(bundle), "lang string, v array<double>")
     sums = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x")).collect()
     langs = sorted({r.lang for r in sums})
     out = np.zeros((len(langs), DIMENSIONS), np.float32)
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                     scores.append(float(min(1.0, max(0.0, cosines[best]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], names=schema.names)
 
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(released(rows), schema)
 
 
 def size_class(n_ngrams: str):

@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from plaza.llm.common import Scratch, shared_folder, table, worker_memory
+from plaza.llm.common import Scratch, released, shared_folder, table, worker_memory
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -195,7 +195,7 @@ def blocks_of(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(lay_out, "block long, doc_ids array<long>, crcs array<long>, layout binary, words array<string>")
+    return rows.mapInArrow(released(lay_out), "block long, doc_ids array<long>, crcs array<long>, layout binary, words array<string>")
 
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
@@ -337,7 +337,7 @@ def encode(docs: DataFrame, path: str | None = None, unigram: bool = False) -> D
     known = rare.groupBy("block").agg(F.collect_list(F.struct("k", "ids")).alias("spelt"))
     rows = blocks.select("block", "doc_ids", "crcs", "layout", "words").join(known, "block", "left")
     rows = rows.select("doc_ids", "crcs", "layout", "words", F.col("spelt.k").alias("k"), F.col("spelt.ids").alias("ids"))
-    return rows.mapInArrow(lambda batches: _assemble(batches, shared), "doc_id long, ids binary, text_crc32 long")
+    return rows.mapInArrow(released(lambda batches: _assemble(batches, shared)), "doc_id long, ids binary, text_crc32 long")
 
 
 def _bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -367,7 +367,7 @@ def _long(words: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> Da
             ids = [[i for t in (viterbi(w, scores, longest) if unigram else merged(w, scores)) for i in ([number[t]] if t in number else [first + b for b in t.encode()])] for w in own]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=schema.names)
 
-    return words.mapInArrow(rows, schema)
+    return words.mapInArrow(released(rows), schema)
 
 
 class _Common:
@@ -436,7 +436,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spell_out(x.as_py()) for x in batch.column(1)], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(released(rows), "doc_id long, text string")
 
 
 def query(spark, sf_dir):
@@ -451,4 +451,4 @@ def query(spark, sf_dir):
             intact = pa.array([a == b for a, b in zip(texts, batch.column(2).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(texts, pa.int64()), intact], names=["doc_id", "n_ids", "ids_crc32", "text_crc32", "intact"])
 
-    return encoded.mapInArrow(digest, "doc_id long, n_ids long, ids_crc32 long, text_crc32 long, intact boolean")
+    return encoded.mapInArrow(released(digest), "doc_id long, n_ids long, ids_crc32 long, text_crc32 long, intact boolean")

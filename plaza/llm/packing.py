@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plaza.llm.common import cut, table
+from plaza.llm.common import cut, released, table
 from plaza.llm.tokens import tokenizer, vocabulary_path
 
 CAPACITY = 4096
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                             out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, schema=ARROW)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(cut_up), "doc_id long, piece int, start long, length long, ids binary")
 
 
 ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plaza.llm.common import shared_folder, table
+from plaza.llm.common import released, shared_folder, table
 from plaza.llm.tokens import tokenizer, vocabulary_path
 
 SHARD_TOKENS = 1 << 21
@@ -225,7 +225,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, shard_to
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(shards, FILE).write.parquet(folder)
+    ordered.mapInArrow(released(shards), FILE).write.parquet(folder)
 
 
 def _shard(part, block, doc_ids, held) -> pa.RecordBatch:
@@ -268,7 +268,7 @@ def read_tokens(spark: SparkSession, folder: str, whole: bool = True) -> DataFra
     blocks = sizes.select("part", "block", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("block")) - F.col("n_tokens")).alias("before_block"))
     few = sizes.count() <= BROADCAST_SHARDS
     base = blocks.join(before, "part").select("part", "block", (F.col("before_part") + F.col("before_block")).alias("before"))
-    docs = files.mapInArrow(decode, "part int, block int, doc_id long, inside long, n_tokens long, " + ("ids binary" if whole else "ids_crc32 long"))
+    docs = files.mapInArrow(released(decode), "part int, block int, doc_id long, inside long, n_tokens long, " + ("ids binary" if whole else "ids_crc32 long"))
     return docs.join(F.broadcast(base) if few else base, ["part", "block"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", last)
 
 
