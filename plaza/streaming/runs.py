@@ -22,14 +22,15 @@ def collection_states(attempts: DataFrame) -> DataFrame:
 
     accepted (new content), unchanged (304, or 200 with the known tag), held
     (401, 403, 429: nothing for 24 hours), backoff (within such a hold), or
-    failed. The state of a source is its tag, last success and hold.
+    failed. The state of a source is its tag, last success and hold. Attempts of
+    one instant are taken by status, then tag.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         etag, success, hold = state.get if state.exists else (None, None, None)
         for rows in batches:
             out = []
-            for r in rows.sort_values("at").itertuples():
+            for r in rows.sort_values(["at", "status", "etag"]).itertuples():
                 if hold is not None and r.at < hold:
                     said = "backoff"
                 elif r.status in (401, 403, 429):
