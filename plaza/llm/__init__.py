@@ -1,5 +1,17 @@
-"""Operators for training-data pipelines, and their queries."""
+"""Operators for training-data pipelines; see ``registry`` for their queries.
 
-from plaza.llm.registry import oracle_sql, queries
+The registry is imported when it is asked for, so a worker process loads the
+modules of its own operator only.
+"""
 
-__all__ = ["oracle_sql", "queries"]
+
+def queries():
+    from plaza.llm import registry
+
+    return registry.queries()
+
+
+def oracle_sql():
+    from plaza.llm import registry
+
+    return registry.oracle_sql()

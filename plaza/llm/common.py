@@ -91,5 +91,10 @@ def released(rows):
     return run
 
 
+def forget() -> None:
+    """Let go of what ``worker_memory`` keeps; for operators that keep nothing themselves."""
+    _held[:] = None, None
+
+
 def or_empty(text) -> Column:
     return F.coalesce(text, F.lit(""))

@@ -44,7 +44,6 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -61,8 +60,8 @@ SPACE = "▁"
 #: Longest word of the relational lattice: its borders are the bits of one number.
 LONG = 60
 #: A block is closed after so many characters, or so many distinct words.
-BLOCK_CHARS = 1 << 24
-BLOCK_WORDS = 200_000
+BLOCK_CHARS = 1 << 22
+BLOCK_WORDS = 50_000
 #: At most so many words, those in most blocks, reach every worker with their ids (about 30 bytes each); the others are joined.
 COMMON = 200_000
 #: Words of texts that are spelt out at once.
@@ -95,9 +94,8 @@ class Vocabulary:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """sub, id, score and rank (0 for the best score) of the ordinary pieces."""
-        own = pd.DataFrame(self.pieces, columns=["sub", "id", "score"])
-        own["rank"] = own["score"].rank(method="dense", ascending=False).astype(int) - 1
-        return spark.createDataFrame(own, "sub string, id int, score double, rank int")
+        ranks = {s: k for k, s in enumerate(sorted({s for _, _, s in self.pieces}, reverse=True))}
+        return spark.createDataFrame([(p, i, s, ranks[s]) for p, i, s in self.pieces], "sub string, id int, score double, rank int")
 
     def odd(self) -> set[str]:
         """Pieces that one pass over better edges doesn't spell as themselves, or that share a score; of these, those that hold no other."""

@@ -32,6 +32,8 @@ MOST_DOCS = 4096
 MOST_COST = CAPACITY * CAPACITY
 WEIGHTS = (1.0, 1e-3, 1e-3)
 SHARD_PIECES = 16_384
+#: Words whose ids a worker keeps.
+WORD_MEMORY = 250_000
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -39,7 +41,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     path = path or vocabulary_path()
 
     def cut_up(batches):
-        model = tokenizer(path)
+        model = tokenizer(path, WORD_MEMORY, 8 * WORD_MEMORY)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

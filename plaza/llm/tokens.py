@@ -143,6 +143,6 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
     return array if size <= len(array) else np.concatenate([array, np.zeros(max(size - len(array), len(array)), array.dtype)])
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, most_words: int = 700_000, most_ids: int = 16_000_000) -> WordTokenizer:
     """One for each worker process."""
-    return worker_memory(("tokens", path), lambda: WordTokenizer(path))
+    return worker_memory(("tokens", path, most_words), lambda: WordTokenizer(path, most_words, most_ids))
