@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plaza.llm import bands, chat, exact_dedup, jaccard, langid, lattice, packing, pii, repair, urls
+from plaza.llm import audit, bands, bytebpe, chat, exact_dedup, jaccard, langid, lattice, packing, pii, repair, urls, variants
 
 QUERIES = {
     "op1_language_profiles": langid,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_compression_bands": bands,
     "op9_chat_format": chat,
     "op10_piece_lattice": lattice,
+    "op11_filter_audit": audit,
+    "op12_byte_bpe": bytebpe,
+    "op13_spelling_variants": variants,
 }
 
 
