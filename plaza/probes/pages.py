@@ -51,23 +51,25 @@ def _(t):
 
 
 @probe("cdc-10", """
-WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY moment, status, etag) AS nth FROM (SELECT 's' || (user_id % 20) AS source, ts AS moment, [200, 304, 429, 200, 500][event_id % 5 + 1] AS status, 't' || (event_id % 3) AS etag FROM events)),
+WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY moment, status, etag) AS nth FROM (SELECT 's' || (user_id % 20) AS source, date_trunc('millisecond', ts) AS moment, [200, 304, 429, 200, 500][event_id % 5 + 1] AS status, 't' || (event_id % 3) AS etag FROM events)),
 r(source, nth, etag, hold, state) AS (
   SELECT DISTINCT source, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), '' FROM a
   UNION ALL
   SELECT source, nth, CASE WHEN said = 'accepted' THEN new_etag ELSE etag END, CASE WHEN said = 'held' THEN moment + INTERVAL 1 DAY WHEN said IN ('backoff', 'failed') THEN hold END, said
   FROM (SELECT a.source, a.nth, r.etag, r.hold, a.etag AS new_etag, a.moment, CASE WHEN a.moment < r.hold THEN 'backoff' WHEN a.status = 429 THEN 'held' WHEN a.status = 304 OR (a.status = 200 AND a.etag = r.etag) THEN 'unchanged' WHEN a.status = 200 THEN 'accepted' ELSE 'failed' END AS said
         FROM r JOIN a ON a.source = r.source AND a.nth = r.nth + 1))
-SELECT source, state, count(*) AS n FROM r WHERE nth > 0 GROUP BY ALL""")
+SELECT source, state, count(*) AS n FROM r WHERE nth > 0 GROUP BY ALL
+UNION ALL SELECT source, 'released', count(*) FROM r WHERE state = 'held' AND hold <= (SELECT max(moment) FROM a) GROUP BY source""")
 def _(t):
     """The events as attempts of a stream; run to its end here, as a query must return a table."""
-    from plaza.streaming.runs import collection_states
+    from plaza.streaming.runs import collection_states, rocksdb_states
 
     spark = t.spark
     stream = spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     status = F.element_at(F.array(*map(F.lit, (200, 304, 429, 200, 500))), (F.col("event_id") % 5 + 1).cast("int"))
     attempts = stream.select(F.concat(F.lit("s"), F.col("user_id") % 20).alias("source"), F.col("ts").cast("timestamp").alias("at"), status.alias("status"), F.concat(F.lit("t"), F.col("event_id") % 3).alias("etag"))
     out = shared_folder(spark)
-    run = collection_states(attempts).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start()
+    with rocksdb_states(spark):
+        run = collection_states(attempts).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{out}/rows").groupBy("source", "state").agg(F.count("*").alias("n"))
