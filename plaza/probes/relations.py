@@ -9,6 +9,7 @@ from plaza.functions import numbers as N
 from plaza.functions import text as S
 from plaza.operators import facts
 from plaza.operators import joins as J
+from plaza.operators import resolve as R
 from plaza.operators import review as V
 from plaza.operators import sets as U
 from plaza.operators import windows as W
@@ -155,21 +156,58 @@ def _(t):
     return J.classify_best(scored_pairs(t), "id", "r_id")
 
 
-@probe("joi-14", """
-WITH k AS (SELECT s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS n FROM supplier), u AS (SELECT n, min(s_suppkey) AS id FROM k GROUP BY n HAVING count(*) = 1), m AS (SELECT s_name, min(s_suppkey) AS id FROM k GROUP BY s_name HAVING count(*) = 1)
-SELECT p_partkey, coalesce(m.id, u.id) AS place_id, CASE WHEN m.id IS NOT NULL THEN 'name' WHEN u.id IS NOT NULL THEN 'street' END AS how
-FROM part LEFT JOIN m ON m.s_name = (SELECT any_value(s_name) FROM k WHERE s_suppkey = p_partkey) LEFT JOIN u ON u.n = CAST(p_size AS VARCHAR)""")
-def _(t):
-    named = t.part.join(t.supplier.select(F.col("s_suppkey").alias("p_partkey"), F.col("s_name").alias("called")), "p_partkey", "left")
-    steps = [("name", F.col("called"), F.col("s_name")), ("street", F.col("p_size").cast("string"), F.col("s_nationkey").cast("string"))]
-    return J.cascade(named.select("p_partkey", "called", "p_size"), t.supplier, steps, "s_suppkey").select("p_partkey", "place_id", "how")
-
-
-@probe("joi-15", "SELECT event_id, coalesce(CAST(n1.n_nationkey AS VARCHAR), 'none') AS venue, coalesce(r_name, 'none') AS organizer FROM events LEFT JOIN nation n1 ON n1.n_nationkey = user_id % 50 LEFT JOIN region ON r_regionkey = n1.n_regionkey")
-def _(t):
-    rows = t.events.select("event_id", (F.col("user_id") % 50).alias("n_nationkey"))
-    joined = rows.join(F.broadcast(t.nation), "n_nationkey", "left").join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return joined.select("event_id", F.coalesce(F.when(F.col("n_name").isNotNull(), F.col("n_nationkey").cast("string")), F.lit("none")).alias("venue"), F.coalesce("r_name", F.lit("none")).alias("organizer"))
+_NAME = "replace(lower(p_name), ' ', '') || p_size"
+_NEAR = "least(length(l.name), length({0}.name)) >= 5 AND (contains(l.name, {0}.name) OR contains({0}.name, l.name))"
+
+
+@probe("joi-14", f"""
+WITH p AS (SELECT p_partkey AS place, {_NAME} AS name, p_size || ' ' || p_type AS street, ['h' || p_partkey % 90, lower(p_brand)] AS hosts FROM part),
+l AS (SELECT p_partkey AS lead, CASE p_partkey % 5 WHEN 0 THEN {_NAME} WHEN 1 THEN substr({_NAME}, 3) WHEN 2 THEN {_NAME} || 'x' WHEN 3 THEN 'zz' || p_partkey ELSE substr({_NAME}, 2, 6) END AS name,
+  CASE WHEN p_partkey % 3 = 0 THEN p_size || ' ' || p_type ELSE 'none' END AS street, CASE WHEN p_partkey % 2 = 0 THEN 'h' || p_partkey % 130 ELSE lower(p_brand) END AS host FROM part),
+r AS (SELECT place, name, unnest(hosts) AS host FROM p),
+e AS (SELECT lead, list_sort(list(DISTINCT place)) AS ids FROM l JOIN p ON p.name = l.name GROUP BY lead),
+s AS (SELECT lead, list_sort(list(DISTINCT place)) AS ids FROM l JOIN p ON p.street = l.street GROUP BY lead),
+h AS (SELECT lead, count(*) AS n, min(place) AS id FROM l JOIN r ON r.host = l.host GROUP BY lead),
+t AS (SELECT lead, list(DISTINCT place) AS ids FROM l JOIN r ON r.host = l.host WHERE {_NEAR.format("r")} GROUP BY lead),
+f AS (SELECT lead, list_sort(list(DISTINCT place)) AS ids FROM l JOIN p ON {_NEAR.format("p")} AND 100 * least(length(l.name), length(p.name)) >= 65 * greatest(length(l.name), length(p.name)) GROUP BY lead),
+m AS (SELECT l.lead, CASE WHEN len(e.ids) = 1 THEN 'exact_name' WHEN len(s.ids) = 1 THEN 'street_address' WHEN h.n = 1 THEN 'unique_website_host' WHEN len(t.ids) = 1 THEN 'website_host_name' WHEN len(f.ids) = 1 THEN 'fuzzy_name'
+    WHEN len(f.ids) > 1 OR len(e.ids) > 1 OR len(s.ids) > 1 THEN 'conflict' ELSE 'unresolved' END AS method, e.ids AS e, s.ids AS s, h.id AS h, t.ids AS t, f.ids AS f
+  FROM l LEFT JOIN e ON e.lead = l.lead LEFT JOIN s ON s.lead = l.lead LEFT JOIN h ON h.lead = l.lead LEFT JOIN t ON t.lead = l.lead LEFT JOIN f ON f.lead = l.lead)
+SELECT lead, method, CASE method WHEN 'exact_name' THEN e[1] WHEN 'street_address' THEN s[1] WHEN 'unique_website_host' THEN h WHEN 'website_host_name' THEN t[1] WHEN 'fuzzy_name' THEN f[1] END AS place,
+  CASE WHEN method IN ('exact_name', 'street_address', 'unique_website_host') THEN 'high' WHEN method IN ('website_host_name', 'fuzzy_name') THEN 'probable' ELSE 'needs_review' END AS confidence,
+  CASE WHEN method IN ('conflict', 'unresolved') THEN len(list_distinct(coalesce(e[:12], []) || coalesce(s[:12], []) || coalesce(f[:12], []))) END AS near_places FROM m""")
+def _(t):
+    name = F.expr(_NAME)
+    street = F.concat("p_size", F.lit(" "), "p_type")
+    places = t.part.select(F.col("p_partkey").alias("place"), name.alias("name"), street.alias("street"), F.array(F.concat(F.lit("h"), F.col("p_partkey") % 90), F.lower("p_brand")).alias("hosts"))
+    turn = F.col("p_partkey") % 5
+    changed = F.when(turn == 0, name).when(turn == 1, F.substr(name, F.lit(3))).when(turn == 2, F.concat(name, F.lit("x"))).when(turn == 3, F.concat(F.lit("zz"), "p_partkey")).otherwise(F.substr(name, F.lit(2), F.lit(6)))
+    host = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("h"), F.col("p_partkey") % 130)).otherwise(F.lower("p_brand"))
+    leads = t.part.select(F.col("p_partkey").alias("lead"), changed.alias("name"), F.when(F.col("p_partkey") % 3 == 0, street).otherwise("none").alias("street"), host.alias("host"))
+    found = R.resolve_leads(leads, places)
+    # lists of up to 36 places, cut to 12 by the operator, are compared by their size
+    return found.select("lead", "method", "place", "confidence", F.when(F.col("place").isNull(), F.size("candidates").cast("long")).alias("near_places"))
+
+
+_TOKENS = [["click", "err"], ["view", "err"], ["purch", '"k": 2'], ['"k": 3'], ["signup", '"k": 2', '"k": 31']]
+
+
+@probe("joi-15", f"""
+WITH e AS (SELECT event_id AS event, 's' || (user_id % 60) AS source, 'hall' || (event_id % 70) AS venue_name, lower(event_type || ' ' || props) AS title FROM events),
+vs AS (SELECT 's' || n_nationkey AS source, max(n_nationkey) AS v FROM nation GROUP BY 1), vn AS (SELECT name, max(v) AS v FROM (SELECT n_nationkey AS v, unnest(['hall' || n_nationkey, 'hall' || (n_nationkey % 20 + 30)]) AS name FROM nation) GROUP BY name),
+os AS (SELECT 's' || (r_regionkey + 20) AS source, r_regionkey AS o FROM region), tok AS (SELECT r_regionkey AS o, unnest({_TOKENS}[r_regionkey + 1]) AS token FROM region),
+one AS (SELECT title, min(o) AS o FROM (SELECT DISTINCT title FROM e) JOIN tok ON contains(title, token) GROUP BY title HAVING count(DISTINCT o) = 1)
+SELECT event, coalesce(vs.v, vn.v) AS venue, CASE WHEN vs.v IS NOT NULL THEN 'source_id' WHEN vn.v IS NOT NULL THEN 'exact_normalized_venue_name' END AS venue_basis,
+  coalesce(os.o, one.o) AS organizer, CASE WHEN os.o IS NOT NULL THEN 'source_id' WHEN one.o IS NOT NULL THEN 'source_name_token' END AS organizer_basis
+FROM e LEFT JOIN vs ON vs.source = e.source LEFT JOIN vn ON vn.name = e.venue_name LEFT JOIN os ON os.source = e.source LEFT JOIN one ON one.title = e.title""")
+def _(t):
+    prefixed = lambda word, value: F.concat(F.lit(word), value)
+    events = t.events.select(F.col("event_id").alias("event"), prefixed("s", F.col("user_id") % 60).alias("source"), prefixed("hall", F.col("event_id") % 70).alias("venue_name"), F.concat_ws(" ", "event_type", "props").alias("title"))
+    key = F.col("n_nationkey")
+    venues = t.nation.select(key.alias("venue"), F.array(prefixed("s", key)).alias("sources"), F.array(prefixed("hall", key), prefixed("hall", key % 20 + 30)).alias("names"))
+    said = F.array(*[F.array(*map(F.lit, some)) for some in _TOKENS])
+    organizers = t.region.select(F.col("r_regionkey").alias("organizer"), F.array(prefixed("s", F.col("r_regionkey") + 20)).alias("sources"), F.get(said, F.col("r_regionkey").cast("int")).alias("tokens"))
+    return R.resolve_events(events, venues, organizers)
 
 
 @probe("joi-16", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 AND (o_orderkey % 20 = 0 OR o_orderstatus = 'F') THEN NULL ELSE o_orderpriority END AS place, o_orderkey % 10 = 0 AND (o_orderkey % 20 = 0 OR o_orderstatus = 'F') AS corrected FROM orders")

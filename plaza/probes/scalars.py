@@ -8,6 +8,7 @@ from plaza.functions import collections as C
 from plaza.functions import dates as D
 from plaza.functions import numbers as N
 from plaza.functions import text as S
+from plaza.operators.resolve import either_contains
 from plaza.probes.base import AS_OF, probe
 
 # --- strings -----------------------------------------------------------------
@@ -128,14 +129,18 @@ def _(t):
     return t.documents.select("doc_id", F.md5(S.escape_html("text")).alias("html_md5"), F.md5(S.escape_ics("text")).alias("ics_md5"), F.md5(S.escape_csv("text")).alias("csv_md5"))
 
 
-@probe("str-16", """
-WITH n AS (SELECT DISTINCT p_name AS name, replace(lower(p_name), ' ', '') AS k FROM part), s AS (SELECT DISTINCT p_brand AS brand, left(replace(lower(p_name), ' ', ''), 6) AS k FROM part)
-SELECT n.name, s.brand, s.k, round(length(s.k) / length(n.k), 6) AS ratio FROM n JOIN s ON left(n.k, 5) = left(s.k, 5) WHERE length(s.k) >= 5 AND contains(n.k, s.k)""")
+_INNER = "CASE p_partkey % 3 WHEN 0 THEN substr({0}, 2) WHEN 1 THEN 'the' || {0} || p_size ELSE substr({0}, 2, 7) END"
+
+
+@probe("str-16", f"""
+WITH n AS (SELECT DISTINCT replace(lower(p_name), ' ', '') AS name FROM part), o AS (SELECT DISTINCT {_INNER.format("replace(lower(p_name), ' ', '')")} AS called FROM part)
+SELECT name, called, round(least(length(name), length(called)) / greatest(length(name), length(called)), 6) AS ratio FROM n, o
+WHERE least(length(name), length(called)) >= 5 AND (contains(name, called) OR contains(called, name)) AND 100 * least(length(name), length(called)) >= 65 * greatest(length(name), length(called))""")
 def _(t):
-    names = t.part.select(F.col("p_name").alias("name"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("")).alias("nk")).distinct()
-    stems = t.part.select(F.col("p_brand").alias("brand"), F.left(F.replace(F.lower("p_name"), F.lit(" "), F.lit("")), F.lit(6)).alias("k")).distinct()
-    pairs = names.withColumn("block", F.left("nk", F.lit(5))).join(stems.withColumn("block", F.left("k", F.lit(5))), "block")
-    return pairs.select("name", "brand", "k", F.round(S.containment(F.col("k"), F.col("nk")), 6).alias("ratio")).where("ratio > 0")
+    key = "replace(lower(p_name), ' ', '')"
+    pairs = either_contains(t.part.selectExpr(f"{key} AS a"), t.part.selectExpr(f"{_INNER.format(key)} AS b"), ratio=0.65)
+    shorter, longer = F.least(F.char_length("a"), F.char_length("b")), F.greatest(F.char_length("a"), F.char_length("b"))
+    return pairs.select(F.col("a").alias("name"), F.col("b").alias("called"), F.round(shorter / longer, 6).alias("ratio"))
 
 
 @probe("str-17", "SELECT doc_id, length(text) > 12 AND NOT regexp_matches(left(text, 12), '^ *$') AS completed FROM documents")
