@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from html.parser import HTMLParser
+from itertools import groupby
 from urllib.parse import urljoin
 from xml.etree import ElementTree
 
@@ -27,8 +28,8 @@ MOST_ITEMS = 100
 ENTRY = rows_of("title", "link", "guid", "published", "summary")
 
 
-def entries_of(xml: str | None, most: int = MOST_ITEMS) -> list[dict] | None:
-    """Items of an RSS, RDF or Atom text; None if it is malformed, declares entities, is too long or holds too many."""
+def entries_of(xml: str | None, most: int | None = MOST_ITEMS) -> list[dict] | None:
+    """Items of an RSS, RDF or Atom text; None if it is malformed, declares entities, is too long or holds more than ``most``."""
     if not xml or len(xml.encode("utf-8", "surrogatepass")) > MOST_BYTES or re.search(r"<!(DOCTYPE|ENTITY)", xml, re.I):
         return None
     try:
@@ -39,7 +40,7 @@ def entries_of(xml: str | None, most: int = MOST_ITEMS) -> list[dict] | None:
     if local(root) not in ("rss", "rdf", "feed"):
         return None
     items = [e for e in root.iter() if local(e) in ("item", "entry")]
-    if len(items) > most or any(local(x) in ("item", "entry") for e in items for x in e.iter() if x is not e):
+    if most is not None and len(items) > most or any(local(x) in ("item", "entry") for e in items for x in e.iter() if x is not e):
         return None
     out = []
     for e in items:
@@ -57,10 +58,17 @@ def feed_entries(xml: pd.Series) -> pd.Series:
     return xml.map(entries_of)
 
 
+def owned_entries(xml: str | None) -> list[dict] | None:
+    """At most 80 entries of a first-party feed, none of an empty one; null where it isn't valid, or an entry of those lacks its title or link."""
+    found = entries_of(xml, None)
+    some = (found or [])[:80]
+    return None if found is None or not all(e["title"] and e["link"] for e in some) else some
+
+
 @F.pandas_udf(ENTRY)
 def owned_feed_entries(xml: pd.Series) -> pd.Series:
     """At most 80 entries of a first-party feed; null where it isn't valid."""
-    return xml.map(lambda x: (entries_of(x, 10_000) or [None])[:80] if entries_of(x, 10_000) else None)
+    return xml.map(owned_entries)
 
 
 EVENT = rows_of("uid", "summary", "starts", "ends", "location", all_day=BooleanType())
@@ -253,13 +261,23 @@ def heading_blocks(html, level: str = "h[1-3]") -> Column:
 
 # --- robots ------------------------------------------------------------------
 
-_KEEP = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
+# The characters that stand for themselves in a URL's path and query, and of them those whose escapes mean the same.
+_UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
+_PLAIN = _UNRESERVED + ":/?#[]@!$&'()*+,;=%"
+_OCTET = re.compile(r"%[0-9A-Fa-f]{2}|[^" + re.escape(_PLAIN) + "]")
+
+
+def _octet(match: re.Match) -> str:
+    found = match[0]
+    if len(found) == 3:
+        meant = chr(int(found[1:], 16))
+        return meant if meant in _UNRESERVED else found.upper()
+    return "".join(f"%{byte:02X}" for byte in found.encode("utf-8", "surrogatepass"))
 
 
 def octets(path: str) -> str:
-    """Percent escapes of unreserved characters undone, the rest in upper case, non-ASCII escaped."""
-    out = re.sub(r"%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)) if chr(int(m[1], 16)) in _KEEP else "%" + m[1].upper(), path)
-    return "".join(c if c.isascii() else "".join(f"%{b:02X}" for b in c.encode()) for c in out)
+    """A path as the octets it stands for: escapes of unreserved characters undone, other escapes in upper case, whatever may not stand in a URL escaped."""
+    return _OCTET.sub(_octet, path)
 
 
 @F.pandas_udf(StringType())
@@ -268,114 +286,94 @@ def normal_octets(path: pd.Series) -> pd.Series:
 
 
 MOST_ROBOTS_BYTES = 512 * 1024
-_BREAKS = re.compile(r"\r\n|\r|\n")
-_UNREADABLE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]")
-
-
-def _records(text: str, breaks: re.Pattern = _BREAKS) -> list[tuple[str, str]]:
-    """Names (lower case) and values of the lines that have a colon; a hash starts a comment."""
-    lines = (line.partition("#")[0].strip() for line in breaks.split(text))
-    return [(name.strip().lower(), value.strip()) for name, colon, value in (line.partition(":") for line in lines) if colon]
-
-
-def _groups(records: list[tuple[str, str]], closing) -> list[tuple[list[str], list[str]]]:
-    """Agents and denied paths of each group; a record for which ``closing(name)`` ends the group's list of agents."""
-    out: list[tuple[list[str], list[str]]] = []
-    open_ = False
-    for name, value in records:
-        if name == "user-agent":
-            if not open_:
-                out.append(([], []))
-                open_ = True
-            out[-1][0].append(value.lower())
-        elif out:
-            open_ = open_ and not closing(name)
-            if name == "disallow" and value:
-                out[-1][1].append(value)
-    return out
+_UNREADABLE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f�]")
+_RECORD = re.compile(r"([A-Za-z][\w-]*)\s*:\s*([^<>]*)", re.ASCII)
+#: What the value of a record must look like; a record that no robots text has fits nothing.
+_VALUES = {
+    "user-agent": r"\*|[A-Za-z_-]+", "allow": r"(/.*)?", "disallow": r"(/.*)?", "sitemap": r"(?i:https?://[^/\s]).*",
+    "error": r"(?!)", "status": r"(?!)", "message": r"(?!)",
+}
+_RULES = ("user-agent", "allow", "disallow")
 
 
-def robots_usable(text: str) -> bool:
-    """Whether a body is a robots text: records only, agents before rules, absolute paths, and at least one directive."""
+def robots_records(text: str) -> list[tuple[str, str]] | None:
+    """Names (lower case) and values of a robots text; empty for an empty one, null for what is none.
+
+    A robots text has records alone, at least one of them naming an agent or a
+    sitemap, agents before rules, and absolute paths in rules.
+    """
     if len(text.encode("utf-8", "surrogatepass")) > MOST_ROBOTS_BYTES or _UNREADABLE.search(text):
-        return False
-    lines = [own for own in (line.partition("#")[0].strip() for line in _BREAKS.split(text)) if own]
-    agents = directive = False
-    for line in lines:
-        record = re.fullmatch(r"([A-Za-z][A-Za-z0-9_-]*)\s*:\s*(.*)", line)
-        if not record or "<" in line or ">" in line:
-            return False
-        name, value = record[1].lower(), record[2].strip()
-        if name in ("error", "status", "message"):
-            return False
-        if name == "user-agent":
-            if not re.fullmatch(r"\*|[A-Za-z_-]+", value):
-                return False
-            agents = directive = True
-        elif name in ("allow", "disallow"):
-            if not agents or value and not value.startswith("/"):
-                return False
-        elif name == "sitemap":
-            if not re.match(r"https?://[^/\s]", value, re.I):
-                return False
-            directive = True
-    return directive or not lines
+        return None
+    lines = filter(None, (line.partition("#")[0].strip() for line in re.split(r"\r\n?|\n", text)))
+    found = [_RECORD.fullmatch(line) for line in lines]
+    if not all(found):
+        return None
+    records = [(name.lower(), value.strip()) for name, value in (match.groups() for match in found)]
+    fit = all(re.fullmatch(_VALUES.get(name, ".*"), value, re.S) for name, value in records)
+    rules = [name for name, _ in records if name in _RULES]
+    said = not records or any(name in ("user-agent", "sitemap") for name, _ in records)
+    return records if fit and said and rules[:1] in ([], ["user-agent"]) else None
+
+
+def _blocks(records: list[tuple[str, str]]) -> list[tuple[list[str], list[str]]]:
+    """Agents (lower case) and denied paths of each run of agents with the run of other records after it."""
+    runs = [(is_agent, list(run)) for is_agent, run in groupby(records, lambda r: r[0] == "user-agent")]
+    out = []
+    for (is_agent, run), (_, after) in zip(runs, [*runs[1:], (False, [])]):
+        if is_agent:
+            out.append(([agent.lower() for _, agent in run], [path for name, path in after if name == "disallow" and path]))
+    return out
+
+
+def _pattern(path: str) -> str:
+    """A denied path as a regular expression: a star for any characters, a dollar sign at the end for the end.
+
+    Each star takes the nearest place and is not tried again, so that patterns of
+    strangers cost no more than their length times the target's.
+    """
+    first, *rest = map(re.escape, octets(path.removesuffix("$")).split("*"))
+    end = path.endswith("$")
+    last = [f".*{rest.pop()}"] if rest and end else []
+    return first + "".join(f"(?>.*?{part})" for part in rest) + "".join(last) + (r"\Z" if end else "")
 
 
 class Robots:
-    """What a robots text denies an agent. Rules only ever deny: an Allow line opens nothing.
+    """What the records of a robots text deny an agent; rules only ever deny, an Allow line opens nothing.
 
-    Beside the patterns of the agent's groups (or of those for all agents), the
-    plain prefixes of two older readings of the text stay denied: ``older`` groups
-    end at any record, and take the first group that has the agent's name in one
-    of its own; ``older_discovery`` also skips sitemap records.
+    The groups that name the agent count together, else those for all agents.
+    ``cautious`` denies more, for who must not reopen what a simpler reader kept
+    closed: there every record but a rule ends a group as well, the first group
+    with the agent's name inside one of its own counts, and its paths are plain
+    prefixes. ``skip`` names records that this reader doesn't see.
     """
 
-    def __init__(self, text: str, agent: str):
+    def __init__(self, records: list[tuple[str, str]], agent: str, cautious: bool = True, skip: tuple[str, ...] = ()):
         agent = agent.lower()
-        modern = _groups(_records(text), lambda name: name in ("allow", "disallow"))
-        named = [paths for agents, paths in modern if agent in agents]
-        chosen = named or [paths for agents, paths in modern if "*" in agents]
-        self.patterns = [(octets(p.removesuffix("$")).split("*"), p.endswith("$")) for paths in chosen for p in paths]
-        records = _records(text, re.compile(r"\r?\n"))
-        self.older = self._prefixes(records, agent)
-        self.older_discovery = self._prefixes([(n, v) for n, v in records if n != "sitemap" or not v], agent)
-
-    @staticmethod
-    def _prefixes(records, agent: str) -> list[str]:
-        groups = _groups(records, lambda name: True)
-        first = next((g for g in groups if any(agent in a for a in g[0])), None) or next((g for g in groups if "*" in g[0]), ([], []))
-        return first[1]
-
-    def allow(self, target: str, discovery: bool = False) -> bool:
+        groups = _blocks([r for r in records if r[0] in _RULES])
+        meant = agent if any(agent in agents for agents, _ in groups) else "*"
+        self.denied = [re.compile(_pattern(path), re.S) for agents, paths in groups if meant in agents for path in paths]
+        simple = _blocks([r for r in records if r[0] not in skip]) if cautious else []
+        chosen = [paths for agents, paths in simple if any(agent in a for a in agents)] or [paths for agents, paths in simple if "*" in agents]
+        self.prefixes = tuple(chosen[0]) if chosen else ()
+
+    def allow(self, target: str) -> bool:
         """``target``: path and query."""
-        path = target.partition("?")[0]
-        plain = [*self.older, *(self.older_discovery if discovery else ())]
-        return not any(path.startswith(p) for p in plain) and not any(_fits(parts, end, octets(target)) for parts, end in self.patterns)
-
+        normal = octets(target)
+        return not target.partition("?")[0].startswith(self.prefixes) and not any(pattern.match(normal) for pattern in self.denied)
 
-def _fits(parts: list[str], end: bool, target: str) -> bool:
-    """Whether the parts stand in order in ``target``, the first at its start and, for ``end``, the last at its end.
 
-    Parts are searched as they are: patterns of strangers must not become regular expressions.
-    """
-    if len(parts) == 1:
-        return target == parts[0] if end else target.startswith(parts[0])
-    first, *middle, last = parts
-    if not target.startswith(first):
-        return False
-    at = len(first)
-    for part in middle:
-        at = target.find(part, at)
-        if at < 0:
-            return False
-        at += len(part)
-    return target.endswith(last) and len(target) - len(last) >= at if end else target.find(last, at) >= 0
+def _readings(text: str | None, agent: str, discovery: bool) -> list[Robots] | None:
+    records = robots_records(text or "")
+    return None if records is None else [Robots(records, agent)] + [Robots(records, agent, skip=("sitemap",))] * discovery
 
 
 def robots_allow(text: str | None, agent: str, target: str, discovery: bool = False) -> bool:
-    """A body that is no robots text allows nothing; an empty or missing one all."""
-    return robots_usable(text or "") and Robots(text or "", agent).allow(target, discovery)
+    """Whether all readings of a robots text allow ``target``; with ``discovery`` one that sees no sitemaps is among them.
+
+    A body that is no robots text allows nothing, an empty or missing one all.
+    """
+    found = _readings(text, agent, discovery)
+    return found is not None and all(r.allow(target) for r in found)
 
 
 def robots_allowed(agent: str, discovery: bool = False):
@@ -383,8 +381,8 @@ def robots_allowed(agent: str, discovery: bool = False):
 
     @F.pandas_udf(BooleanType())
     def allowed(text: pd.Series, target: pd.Series) -> pd.Series:
-        read = {t: Robots(t, agent) if robots_usable(t) else None for t in text.fillna("").unique()}
-        return pd.Series([bool(r) and r.allow(p or "", discovery) for r, p in zip(map(read.get, text.fillna("")), target)])
+        read = {t: _readings(t, agent, discovery) for t in text.fillna("").unique()}
+        return pd.Series([found is not None and all(r.allow(p or "") for r in found) for found, p in zip(map(read.get, text.fillna("")), target)])
 
     return allowed
 
@@ -404,9 +402,11 @@ ELSEWHERE = r"^[^.!?]{0,70}\b(mississauga|toronto|ottawa|brampton|london ontario
 
 
 def lifecycle_text(html) -> Column:
-    """Prose in lower case: scripts and styles (also unfinished ones) and tags are gone, white space is single."""
-    prose = F.regexp_replace(either(html), r"(?is)<(script|style)\b[^>]*>.*?(?:</\1>|$)", " ")
-    return F.lower(F.regexp_replace(F.regexp_replace(prose, "<[^>]*>", " "), r"\s+", " "))
+    """Prose in lower case: what stands inside scripts and styles (to the end, if they don't end) and tags is gone, white space is single."""
+    opened = F.split(F.lower(either(html)), r"(?=<(?:script|style)[\s>/])")
+    # each piece but the first begins with a script or style; what follows its closing tag is prose again
+    closed = F.transform(opened, lambda piece: F.when(piece.rlike(r"^<(?:script|style)[\s>/]"), F.concat_ws(" ", F.slice(F.split(piece, r"</(?:script|style)[^>]*>", 2), 2, 1))).otherwise(piece))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.array_join(closed, " "), "<[^>]*>", " "), r"\s+", " "))
 
 
 def _around(text: Column, phrase: str, before: int = 300, after: int = 100) -> Column:

@@ -125,6 +125,14 @@ def test_feeds():
     assert markup.entries_of(atom) == [{"title": "T", "link": "https://a.example/1", "guid": None, "published": "2024-01-01T00:00:00Z", "summary": None}]
 
 
+def test_owned_feeds():
+    item = lambda title, link: f"<item><title>{title}</title><link>{link}</link></item>"
+    feed = lambda *items: f"<rss><channel>{''.join(items)}</channel></rss>"
+    assert markup.owned_entries(feed()) == [] and markup.owned_entries(None) is None and markup.owned_entries("<rss>") is None
+    assert len(markup.owned_entries(feed(*[item("t", "u")] * 200))) == 80
+    assert markup.owned_entries(feed(item("t", "u"), item("", "u"))) is None and markup.owned_entries(feed(item("t", ""))) is None
+
+
 @pytest.mark.parametrize(
     ("text", "path", "allowed"),
     [
@@ -133,6 +141,8 @@ def test_feeds():
         ("User-agent: *\nDisallow: /*.php$", "/x.php?y", True), ("User-agent: *\nDisallow: /*.php$", "/x.php", False), ("User-agent: *\nDisallow: /a*b*c", "/a1b2c3", False), ("User-agent: *\nDisallow: /a*b*c", "/acb", True), ("User-agent: *\nDisallow: /a*a$", "/a", True),
         ("User-agent: *\nDisallow: /%7ea", "/~a", False), ("User-agent: *\nDisallow: /a%2fb", "/a/b", True), ("User-agent: *\nDisallow: /?q=", "/?q=1", False), ("User-agent: *\nDisallow: /" + "*a" * 40 + "$", "/" + "a" * 4000 + "b", True),
         ("<html></html>", "/x", False), ("Disallow: /a", "/x", False), ("User-agent: a b\nDisallow:", "/x", False), ("error: no", "/x", False), ("User-agent: *\nDisallow: a", "/x", False), ("Host: x", "/x", False), ("Sitemap: ftp://a/b", "/x", False), ("Sitemap: https://a.example/b", "/x", True), ("User-agent: *\nDisallow: /\x00", "/x", False), ("User-agent: *\n" + "# x\n" * 140_000, "/x", False),
+        ("User-agent: *\nDisallow: /a b", "/a%20b", False), ("User-agent: *\nDisallow: /x\"y", "/x%22y", False), ("User-agent: *\nDisallow: /a|b", "/a%7Cb", False), ("User-agent: *\nDisallow: /a%5eb", "/a^b/c", False), ("User-agent: *\nDisallow: /a%3Ab", "/a:b", True),
+        ("User-agent: *\nDisallow: /*" + "(a*" * 30, "/" + "(a" * 3000, False), ("User-agent: *\nDisallow: /a.c", "/abc", True), ("User-agent: *\nDisallow: /a*$", "/abc", False), ("User-agent: *\nDisallow: /a$b", "/a$b", False), ("User-agent: *\nDisallow: /é", "/%c3%a9x", False),
         ("User-agent: myplaza\nDisallow: /b", "/b/c", False), ("User-agent: *\nDisallow: /b*", "/b*c", False), ("User-agent: *\nCrawl-delay: 1\nUser-agent: plaza\nDisallow: /c", "/c", False),
     ],
 )
@@ -142,7 +152,8 @@ def test_robots(text, path, allowed):
 
 def test_robots_older_readings():
     text = "User-agent: plaza\nSitemap: https://a.example/s.xml\nUser-agent: other\nDisallow: /d"
-    assert markup.robots_allow(text, "plaza", "/d") is False  # sitemaps don't end a group today
+    assert markup.robots_allow(text, "plaza", "/d") is False  # sitemaps don't end a group
+    assert markup.Robots(markup.robots_records(text), "plaza", cautious=False).allow("/e") and not markup.Robots(markup.robots_records(text), "plaza", cautious=False).allow("/d")
     text = "User-agent: *\nDisallow: /a\nUser-agent: *\nDisallow: /b"
     assert [markup.robots_allow(text, "plaza", p) for p in ("/a", "/b", "/c")] == [False, False, True]
 
