@@ -67,6 +67,12 @@ def percent(part, total, digits: int = 1) -> Column:
     return F.when(either(total) == 0, F.lit(0.0)).otherwise(F.round(100.0 * either(part) / either(total), digits))
 
 
+def lcg_draws(seed, n: int) -> Column:
+    """The first ``n`` numbers of ``lcg`` after ``seed``, as an array."""
+    step = lambda drawn, _: F.array_append(drawn, (F.coalesce(F.try_element_at(drawn, F.lit(-1)), either(seed)) * 1_664_525 + 1_013_904_223) % 4_294_967_296)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array().cast("array<bigint>"), step)
+
+
 def lcg(seed: int, n: int) -> list[int]:
     """The 32-bit linear congruential sequence 1664525 x + 1013904223."""
     out = []

@@ -62,6 +62,7 @@ def post_expiry(title, published, expires, days: int = 60) -> Column:
     """Earliest of the look-back's end, a stated end, and the end of the season that the title names first.
 
     A season before the word garden is the garden's. A winter named from October on ends in the next year.
+    Without a date of publication there is none, whatever end is stated.
     """
     at = either(published).cast("timestamp_ntz")
     season = F.regexp_extract(F.lower(either(title)), S.borders(rf"\b({'|'.join(SEASON_ENDS)})\b(?! garden)"), 1)
@@ -69,7 +70,7 @@ def post_expiry(title, published, expires, days: int = 60) -> Column:
     for name, (month, day) in SEASON_ENDS.items():
         year = F.year(at) + F.when((F.lit(name) == "winter") & (F.month(at) >= 10), 1).otherwise(0)
         ends = F.when(season == name, F.make_timestamp_ntz(year, F.lit(month), F.lit(day), F.lit(3), F.lit(0), F.lit(0))).otherwise(ends)
-    return F.least(at + F.expr(f"interval {days} days"), either(expires).cast("timestamp_ntz"), ends)
+    return F.when(at.isNotNull(), F.least(at + F.expr(f"interval {days} days"), either(expires).cast("timestamp_ntz"), ends))
 
 
 def current_offer(status, source_type, verified, expires, review_due, valid_from, valid_to, as_of, days: int = 30) -> Column:

@@ -34,19 +34,28 @@ def without_reviewed(rows: DataFrame, exclusions: DataFrame, keys: list[str]) ->
 
 
 def correct_occurrences(rows: DataFrame, fixes: DataFrame, keys: list[str], column: str, sources: str = "source") -> DataFrame:
-    """``rows`` with ``column`` from the fix of that very occurrence, and ``corrected``; a fix holds only for rows whose source is in its ``sources`` (null: all)."""
-    own = fixes.select(*keys, F.col(column).alias("_to"), F.col("sources").alias("_sources"), F.lit(True).alias("_fix"))
-    found = F.col("_fix") & (F.col("_sources").isNull() | F.array_contains("_sources", F.col(sources)))
-    joined = rows.join(own, keys, "left").withColumn("corrected", F.coalesce(found, F.lit(False)))
+    """``rows`` with ``column`` from the fix of that very occurrence, and ``corrected``.
+
+    A fix holds only for rows whose source is in its ``sources`` (null: all). Of
+    several fixes that hold for a row, the largest value stands; rows stay one each.
+    """
+    own = fixes.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(F.col(column).alias("to"), F.col("sources").alias("sources")))).alias("_fixes"))
+    holds = lambda fix: fix["sources"].isNull() | F.coalesce(F.array_contains(fix["sources"], F.col(sources)), F.lit(False))
+    joined = rows.join(own, keys, "left").withColumn("_fixes", F.filter("_fixes", holds)).withColumn("corrected", F.coalesce(F.size("_fixes") > 0, F.lit(False)))
+    joined = joined.withColumn("_to", F.try_element_at("_fixes", F.lit(-1))["to"])
     return joined.withColumn(column, F.when(F.col("corrected"), F.col("_to")).otherwise(F.col(column))).select(*rows.columns, "corrected")
 
 
 def field_rejections(rows: DataFrame, reviews: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """``rows`` whose reviewed fields are null (rejected) or overridden, with ``audit``: ``field:rejected`` or ``field:overridden`` in the order of ``fields``.
 
-    ``reviews``: key, field, verdict (reject or override), value. Types stay.
+    ``reviews``: key, field, verdict (reject or override), value, and at where there
+    is such a column. Of several reviews of a field the latest stands (a null at is
+    the earliest), then reject over override, then the largest value. Types stay.
     """
-    packed = reviews.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("verdict", "value")))).alias("_r"))
+    order = F.struct(*([F.col("at")] if "at" in reviews.columns else []), "verdict", "value")
+    once = reviews.where("field is not null").groupBy(key, "field").agg(F.max_by(F.struct("verdict", "value"), order).alias("_v"))
+    packed = once.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "_v"))).alias("_r"))
     joined = rows.join(packed, key, "left")
     review = lambda f: F.try_element_at("_r", F.lit(f))
     audit = F.array_compact(F.array(*[F.when(review(f)["verdict"] == "reject", F.lit(f"{f}:rejected")).when(review(f)["verdict"] == "override", F.lit(f"{f}:overridden")) for f in fields]))
@@ -56,8 +65,8 @@ def field_rejections(rows: DataFrame, reviews: DataFrame, key: str, fields: list
 
 
 def queue(rows: DataFrame, decisions: DataFrame, key: str, source_kinds: list[str] | None = None, review_states: list[str] | None = None, decision: str = "all") -> DataFrame:
-    """Candidates of a review queue by kind of source, review state and decision (all, undecided or a decision's name)."""
-    out = rows.join(decisions.select(key, F.col("decision").alias("decision")), key, "left").withColumn("decision", F.coalesce("decision", F.lit("undecided")))
+    """Candidates of a review queue by kind of source, review state and decision (all, undecided or a decision's name); of several decisions on a key the last one by name stands."""
+    out = rows.join(decisions.groupBy(key).agg(F.max("decision").alias("decision")), key, "left").withColumn("decision", F.coalesce("decision", F.lit("undecided")))
     for column, wanted in (("source_kind", source_kinds), ("review_state", review_states)):
         out = out.where(F.col(column).isin(*wanted)) if wanted else out
     return out if decision == "all" else out.where(F.col("decision") == decision)

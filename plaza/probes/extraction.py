@@ -13,7 +13,7 @@ from plaza.functions import text as S
 from plaza.functions.dates import strict_instant
 from plaza.operators import facts
 from plaza.probes.base import AS_OF, probe
-from plaza.sources import discovery, files, markup
+from plaza.sources import discovery, files, markup, paged
 
 _LINKS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
 _TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
@@ -153,11 +153,24 @@ def _(t):
     return facts.accept_snapshot(after.union(after), before, "city", "o_orderkey")
 
 
-@probe("src-16", "SELECT o_custkey, count(*) AS links, count(*) AS details, true AS complete FROM orders GROUP BY o_custkey")
+@probe("src-16", """
+WITH o AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 3 + 1 AS page FROM orders),
+c AS (SELECT o_custkey, count(*) + CASE WHEN o_custkey % 7 = 0 THEN 1 ELSE 0 END AS expected, count(*) AS n, max(page) AS last, CASE WHEN o_custkey % 5 = 0 THEN count(DISTINCT page) > 1 ELSE false END AS gap,
+  count(*) FILTER (WHERE o_custkey % 5 <> 0 OR page <> 2) AS links, count(*) FILTER (WHERE (o_custkey % 5 <> 0 OR page <> 2) AND o_orderkey % 31 <> 0) AS details FROM o GROUP BY o_custkey)
+SELECT o_custkey, CAST(expected AS INT) AS expected, links, details, array_to_string(list_filter([CASE WHEN last > 5 THEN 'too_many_pages' END, CASE WHEN gap AND last > 2 THEN 'page_missing' END, CASE WHEN o_custkey % 11 = 0 THEN 'page_repeated' END,
+  CASE WHEN links <> expected THEN 'count_mismatch' END, CASE WHEN details <> links THEN 'detail_incomplete' END], lambda x: x IS NOT NULL), ',') AS problems
+FROM (SELECT o_custkey, expected, links, details, gap, CASE WHEN gap AND last = 2 THEN 1 ELSE last END AS last FROM c)""")
 def _(t):
-    links = t.orders.groupBy("o_custkey").agg(F.count("*").alias("links"))
-    details = t.orders.groupBy("o_custkey").agg(F.count_distinct("o_orderkey").alias("details"))
-    return links.join(details, "o_custkey", "full").select("o_custkey", "links", "details", F.col("links").eqNullSafe(F.col("details")).alias("complete"))
+    """Each customer's orders as a list in pages of three; some state another total, lack their second page or have the first one twice, and some details are not read."""
+    custkey = F.col("o_custkey")
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = t.orders.select("o_custkey", (F.col("o_orderkey") + 1).alias("id"), F.ceil(nth / 3).cast("int").alias("page"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n"))
+    member = F.struct("id", F.concat(F.lit("https://m.example/members/"), "id").alias("link"), F.col("id").cast("string").alias("name"))
+    total = F.first("n") + F.when(custkey % 7 == 0, 1).otherwise(0)
+    pages = rows.where("o_custkey % 5 <> 0 or page <> 2").groupBy("o_custkey", "page").agg(total.cast("int").alias("total"), F.to_json(F.collect_list(member)).alias("body"))
+    pages = pages.union(pages.where("o_custkey % 11 = 0 and page = 1"))
+    details = t.orders.where("o_orderkey % 31 <> 0").select("o_custkey", (F.col("o_orderkey") + 1).alias("id"))
+    return paged.completeness(pages, details, "o_custkey").withColumn("problems", F.array_join("problems", ","))
 
 
 # Signals of a site and the words for each.
@@ -206,11 +219,11 @@ def _(t):
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.bool_and("ok").alias("contiguous"))
 
 
-@probe("src-24", "SELECT event_id, event_id % 7 <> 0 AS same_host FROM events")
+@probe("src-24", "SELECT event_id, event_id % 7 <> 0 AND user_id % 7 <= 4 AS same_host FROM events")
 def _(t):
     host = lambda k: F.concat(F.lit("https://h"), k, F.lit(".example/x"))
     first, last = host(F.col("user_id").cast("string")), host(F.when(F.col("event_id") % 7 == 0, "other").otherwise(F.col("user_id").cast("string")))
-    return t.events.select("event_id", redirect_ok(first, last, F.lit(2)).alias("same_host"))
+    return t.events.select("event_id", redirect_ok(first, last, F.col("user_id") % 7).alias("same_host"))
 
 
 def redirect_ok(first, last, hops, most: int = 4):
@@ -320,10 +333,11 @@ def _(t):
     return t.pages.select("page_id", facts["telephone"].alias("phone"), facts["openingHours"].alias("hours"))
 
 
-@probe("mth-06", "WITH RECURSIVE l(k, x) AS (SELECT 0, CAST(1729 AS HUGEINT) UNION ALL SELECT k + 1, (x * 1664525 + 1013904223) % 4294967296 FROM l WHERE k < 20) SELECT CAST(k AS BIGINT) AS k, CAST(x AS BIGINT) AS x FROM l WHERE k > 0")
+@probe("mth-06", "WITH RECURSIVE l(seed, k, x) AS (SELECT user_id, 0, CAST(user_id AS HUGEINT) FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT seed, k + 1, (x * 1664525 + 1013904223) % 4294967296 FROM l WHERE k < 20) SELECT seed, CAST(k AS BIGINT) AS k, CAST(x AS BIGINT) AS x FROM l WHERE k > 0")
 def _(t):
-    seq = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.array(F.lit(1729).cast("long")), lambda acc, k: F.array_append(acc, (F.element_at(acc, -1) * 1_664_525 + 1_013_904_223) % 4_294_967_296))
-    return t.spark.range(1).select(F.posexplode(seq).alias("k", "x")).where("k > 0").select(F.col("k").cast("long").alias("k"), "x")
+    """Twenty draws for each user, whose id is the seed."""
+    seeds = t.events.select(F.col("user_id").alias("seed")).distinct()
+    return seeds.select("seed", F.posexplode(N.lcg_draws("seed", 20)).alias("k", "x")).select("seed", (F.col("k") + 1).cast("long").alias("k"), "x")
 
 
 @probe("mth-08", "SELECT page_id, CAST(page_id + 1 AS INT) AS width, CAST(600 AS INT) AS height FROM pages")

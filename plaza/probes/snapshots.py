@@ -11,7 +11,7 @@ from plaza.functions.collections import meaningful_hash
 from plaza.operators import reconcile as R
 from plaza.operators import sets as U
 from plaza.probes.base import AS_OF, probe
-from plaza.sources import files, sinks
+from plaza.sources import files, release, sinks
 
 _TS = f"TIMESTAMP '{AS_OF}'"
 _OLD, _NEW = "event_id % 3 <> 0", "event_id % 4 <> 0"
@@ -223,9 +223,9 @@ def _(t):
     nested = t.lineitem.groupBy("l_orderkey").agg(lines.alias("lines"), F.count("*").alias("n_lines"))
     folder = files.shared_folder(t.spark)
     sinks.write_tables(nested, folder, "l_orderkey", ["lines"])
-    child = t.spark.read.parquet(f"{folder}/lines")
+    child = release.table(t.spark, folder, "lines")
     sinks.upsert(t.spark, folder, "lines", child.where("l_orderkey % 3 = 0").withColumn("l_partkey", F.lit(-1).cast("long")), ["l_orderkey", "ordinal"])
-    rows = t.spark.read.parquet(f"{folder}/lines").join(t.spark.read.parquet(f"{folder}/parent"), "l_orderkey")
+    rows = release.table(t.spark, folder, "lines").join(release.table(t.spark, folder, "parent"), "l_orderkey")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "n_lines")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from plaza.functions.text import either, escape_html
+from plaza.sources import release
 
 
 def write_script(rows: DataFrame, folder: str, name: str) -> None:
@@ -37,23 +38,25 @@ def twins_agree(spark: SparkSession, folder: str, schema: StructType) -> DataFra
     return both.withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
 
 
-def write_tables(rows: DataFrame, folder: str, key: str, children: list[str]) -> None:
-    """``rows`` as a parent table and one child table for each nested array, as a relational export has them; written anew each time."""
-    rows.drop(*children).write.mode("overwrite").parquet(f"{folder}/parent")
+def write_tables(rows: DataFrame, folder: str, key: str, children: list[str], clock: str = "") -> None:
+    """``rows`` as a parent table and one child table for each nested array, as a relational export has them: a new version of the release at ``folder``.
+
+    A field of a child named like the key or ``ordinal`` (in any case) is written as ``item_`` and its name.
+    """
+    tables = {"parent": rows.drop(*children)}
     for child in children:
-        rows.select(key, F.posexplode(child).alias("ordinal", "item")).select(key, "ordinal", "item.*").write.mode("overwrite").parquet(f"{folder}/{child}")
+        items = rows.select(key, F.posexplode(child).alias("ordinal", "item"))
+        fields = [F.col("item")[f].alias(f"item_{f}" if f.lower() in (key.lower(), "ordinal") else f) for f in items.schema["item"].dataType.names]
+        tables[child] = items.select(key, "ordinal", *fields)
+    release.publish(rows.sparkSession, folder, tables, clock)
 
 
-def upsert(spark: SparkSession, folder: str, table: str, rows: DataFrame, keys: list[str]) -> None:
-    """Replace or insert ``rows`` in a table of ``write_tables``; the old version stays until the new one is whole."""
-    path = f"{folder}/{table}"
-    old = spark.read.parquet(path)
+def upsert(spark: SparkSession, folder: str, table: str, rows: DataFrame, keys: list[str], clock: str = "") -> None:
+    """Replace or insert ``rows`` in a table of a release, as its next version; a release made meanwhile is not overwritten but raises."""
+    now = release.current(spark, folder)
+    old = release.table(spark, folder, table)
     fresh = old.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
-    fresh.write.parquet(f"{path}.next")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    fs.delete(at(path), True)
-    fs.rename(at(f"{path}.next"), at(path))
+    release.publish(spark, folder, {table: fresh}, clock or now["clock"], now["sequence"])
 
 
 def report(rows: DataFrame, title: str, heads: list[str]) -> DataFrame:

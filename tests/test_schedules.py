@@ -9,7 +9,7 @@ from plaza.functions import schedules as H
 from plaza.functions import text as S
 from plaza.operators import facts
 from plaza.operators import predicates as P
-from plaza.sources import files, sinks
+from plaza.sources import files, release, sinks
 
 
 def one(spark, column):
@@ -91,7 +91,7 @@ def test_sinks(spark, tmp_path):
     nested = spark.sql("SELECT 1 AS id, 'x' AS n, array(named_struct('v', 5), named_struct('v', 6)) AS kids")
     sinks.write_tables(nested, folder + "/db", "id", ["kids"])
     sinks.upsert(spark, folder + "/db", "kids", spark.createDataFrame([(1, 1, 60), (2, 0, 7)], "id int, ordinal int, v int"), ["id", "ordinal"])
-    assert sorted(map(tuple, spark.read.parquet(folder + "/db/kids").collect())) == [(1, 0, 5), (1, 1, 60), (2, 0, 7)]
+    assert sorted(map(tuple, release.table(spark, folder + "/db", "kids").collect())) == [(1, 0, 5), (1, 1, 60), (2, 0, 7)]
     assert sinks.sitemap(spark.range(10).selectExpr("concat('u', id) AS url"), most=4).count() == 3
     assert files.shared_folder(spark) != files.shared_folder(spark)
 
