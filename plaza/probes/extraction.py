@@ -13,7 +13,7 @@ from plaza.functions import text as S
 from plaza.functions.dates import strict_instant
 from plaza.operators import facts
 from plaza.probes.base import AS_OF, probe
-from plaza.sources import discovery, files, markup, paged
+from plaza.sources import discovery, files, markup, paged, trees
 
 _LINKS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
 _TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
@@ -101,25 +101,38 @@ def _(t):
     return games.where("home = 'ours'").select("page_id", "home", "start")
 
 
-@probe("src-11", "SELECT page_id, CAST(page_id AS VARCHAR) AS cell, 'b' AS other FROM pages")
+@probe("src-11", "SELECT page_id, CAST(row AS INT) AS row, CASE WHEN row < 3 THEN 'n' || page_id || '-' || row END AS name, CASE WHEN row < 3 THEN 'Town' END AS town, CASE WHEN row = 3 THEN 'cells_differ' END AS rejection FROM pages, range(1, 4) r(row)")
 def _(t):
-    html = F.concat("html", F.lit("<table><tr><td> "), F.col("page_id").cast("string"), F.lit(" </td><td><b>b</b></td></tr></table>"))
-    rows = t.pages.select("page_id", F.explode(markup.table_rows(html)).alias("r"))
-    return rows.select("page_id", F.col("r")[0].alias("cell"), F.col("r")[1].alias("other"))
+    """A table of two good rows and one that lacks a cell, behind each page's own content."""
+    n = F.col("page_id").cast("string")
+    row = lambda *cells: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td> <i>"), c, F.lit("</i> </td>")) for c in cells], F.lit("</tr>"))
+    named = lambda k: F.concat(F.lit("n"), n, F.lit(f"-{k}"))
+    html = F.concat("html", F.lit("<table><tr><th>Name</th><th>Town</th></tr>"), row(named(1), F.lit("Town")), row(named(2), F.lit("Town")), row(named(3)), F.lit("</table>"))
+    rows = trees.table_records(trees.page_nodes(t.pages.select("page_id", html.alias("html")), "page_id"), "page_id")
+    return rows.select("page_id", "row", F.col("record")["Name"].alias("name"), F.col("record")["Town"].alias("town"), "rejection")
 
 
-@probe("src-12", "SELECT page_id, 'Talk ' || page_id AS heading, CAST(1 AS INT) AS unclosed, CAST(1 AS INT) AS rejected FROM pages")
+@probe("src-12", """
+SELECT page_id, 'Talk ' || page_id AS title, 'https://a.example/e/' || page_id AS url, '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS start, CAST(NULL AS VARCHAR) AS rejection, CAST(1 AS BIGINT) AS n FROM pages
+UNION ALL SELECT page_id, NULL, NULL, NULL, rejection, n FROM pages, (VALUES ('several_headings', 1), ('no_link', 2), ('no_date', 1)) r(rejection, n)""")
 def _(t):
+    """Cards behind each page's own content: one event, four that lack something, and one that is cut off; what is rejected is counted."""
     n = F.col("page_id").cast("string")
-    html = F.concat(F.lit("<article><h2>Talk "), n, F.lit("</h2><p>Room 1</p></article><article><h2>a</h2><h2>b</h2></article><article><h2>cut"))
-    rows = t.pages.select("page_id", markup.html_cards("article", "h2", "p")(html).alias("r"))
-    return rows.select("page_id", F.col("r.cards")[0]["heading"].alias("heading"), "r.unclosed", "r.rejected")
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"))
+    whole = F.concat(F.lit("<div class='talk new'><h2> Talk "), n, F.lit("</h2><p>Room 1</p><time datetime='"), day, F.lit("'>soon</time><a href='/e/"), n, F.lit("'>more</a></div>"))
+    others = "<div class=talk><h2>a</h2><h2>b</h2></div><div class=talk><h2>a</h2><time>2024-02-02</time></div><div class=talk><h2>a</h2><a href='#x'>x</a></div><div class=talk><h2>a</h2><a href=e>x</a></div><div class=talk><h2>cut"
+    nodes = trees.page_nodes(t.pages.select("page_id", F.concat("html", whole, F.lit(others)).alias("html")), "page_id")
+    fields = {"heading": F.col("tag") == "h2", "link": F.col("tag") == "a", "date": F.col("tag") == "time"}
+    events = trees.card_events(trees.cards(nodes, "page_id", trees.has_class("talk"), fields), "page_id", F.lit("https://a.example/b"))
+    return events.groupBy("page_id", "title", "url", "start", "rejection").agg(F.count("*").alias("n"))
 
 
-@probe("src-13", f"SELECT page_id, len({_LINKS}) AS members FROM pages")
+@probe("src-13", """
+SELECT page_id, x[1] AS name, CASE WHEN starts_with(x[2], '/') THEN 'https://a.example' || x[2] ELSE 'https://a.example/d/' || x[2] END AS url
+FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2), regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1))) AS x FROM pages)""")
 def _(t):
-    rows = t.pages.select("page_id", markup.html_links("html", "url").alias("l"))
-    return rows.select("page_id", F.size("l").cast("long").alias("members"))
+    members = trees.directory(trees.page_nodes(t.pages, "page_id"), "page_id", F.col("tag") == "li", F.lit("https://a.example/d/"))
+    return members.where("rejection is null").select("page_id", "name", "url")
 
 
 _ELEMENTS = [  # tags, lat, and: name, category, score, address, area
@@ -243,10 +256,15 @@ def _(t):
     return t.pages.select("page_id", F.size(markup.heading_blocks("html")).cast("long").alias("blocks"))
 
 
-@probe("src-27")
+@probe("src-27", r"""
+WITH p AS (SELECT page_id, regexp_replace(html, '<!--.*?-->', '', 'gs') AS html FROM pages), q AS (SELECT page_id, regexp_replace(html, '(<(script|style)[^>]*>).*?(</(script|style)>)', '\1\3', 'gs') AS html FROM p),
+n AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag, html FROM q)
+SELECT page_id, tag, count(*) AS n, CASE WHEN tag IN ('a', 'li', 'ul', 'nav', 'h1', 'article', 'title', 'footer', 'script') THEN len(regexp_extract_all(any_value(html), '</' || tag || '>')) END AS closed FROM n GROUP BY page_id, tag""")
 def _(t):
-    rows = t.pages.select("page_id", markup.html_cards("body", "h1", "p")("html").alias("r"))
-    return rows.select("page_id", F.size("r.cards").alias("cards"), "r.unclosed", "r.rejected")
+    """Elements of each page by tag, and for tags that are not left open how many are closed."""
+    sure = F.col("tag").isin("a", "li", "ul", "nav", "h1", "article", "title", "footer", "script")
+    nodes = trees.page_nodes(t.pages, "page_id").where("tag <> '#text'")
+    return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.when(sure, F.count_if("closed")).alias("closed"))
 
 
 @probe("src-28", f"SELECT page_id, CASE WHEN n = 0 THEN 'no_links' WHEN same THEN 'repeated' WHEN rank > 20 THEN 'page_limit' ELSE 'go_on' END AS verdict FROM (SELECT page_id, len({_LINKS}) AS n, {_LINKS} = lag({_LINKS}) OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS same, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS rank FROM pages)")
