@@ -159,5 +159,35 @@ def access_log(receipts: DataFrame, key: str, order: str, code: str) -> DataFram
     return receipts.withColumns({"number": F.row_number().over(w), "suspended": F.coalesce(F.max(F.col(code) == 429).over(before), F.lit(False))})
 
 
+def access_sweep(requests: DataFrame, host: str, started: str, ended: str, code: str, denials: tuple[int, ...] = (401, 403, 429)) -> DataFrame:
+    """``requests`` with suspended_at, state, and number, in_flight, drained_at of their host.
+
+    A host is suspended when the first denial comes in. States: settled (answered
+    by then), denied (that very answer; several at one instant are all denied),
+    late (sent before and answered after: its answer counts as evidence only),
+    unsettled (sent before, never answered) and refused (begun at the suspension or
+    later: it must not have been sent). ``in_flight`` is what the host had open at
+    the suspension, by a sweep over starts (+1) and answers (-1); ``drained_at`` is
+    when the last of them was answered, null while one is not. ``number`` counts a
+    host's requests by start, then answer (null last). Without a denial all
+    answered requests are settled and the three are null. A null start is unknown
+    and stays out of the sweep: state unknown.
+    """
+    by_host = Window.partitionBy(host)
+    at = F.min(F.when(F.col(code).isin(*denials), F.col(ended))).over(by_host)
+    rows = requests.withColumn("suspended_at", at).withColumn("number", F.row_number().over(by_host.orderBy(F.col(started).asc_nulls_last(), F.col(ended).asc_nulls_last(), code)))
+    begun, answered = F.col(started) < F.col("suspended_at"), F.col(ended) < F.col("suspended_at")
+    state = (
+        F.when(F.col(started).isNull(), "unknown").when(F.col("suspended_at").isNull(), F.when(F.col(ended).isNotNull(), "settled").otherwise("unsettled")).when(~begun, "refused")
+        .when(F.col(ended).isNull(), "unsettled").when(answered, "settled").when((F.col(ended) == F.col("suspended_at")) & F.col(code).isin(*denials), "denied").otherwise("late")
+    )
+    rows = rows.withColumn("state", state)
+    moves = F.when(begun, 1).otherwise(0) - F.when(begun & answered, 1).otherwise(0)
+    waited = F.col("state").isin("late", "unsettled", "denied")
+    open_ = F.sum(moves).over(by_host)
+    drained = F.when(F.sum((F.col("state") == "unsettled").cast("int")).over(by_host) == 0, F.max(F.when(waited, F.col(ended))).over(by_host))
+    return rows.withColumns({"in_flight": F.when(F.col("suspended_at").isNotNull(), open_), "drained_at": F.when(F.col("suspended_at").isNotNull(), drained)})
+
+
 def newest(rows: DataFrame, keys: list[str], clock: str) -> DataFrame:
     return first_wins(rows, keys, [F.col(clock).desc()])

@@ -79,3 +79,52 @@ def canonical_events(rows: DataFrame, key: Column, order: str, provenance: list[
     union = [F.array_sort(F.collect_set(c)).alias(f"{c}_all") for c in provenance]
     first = F.min_by(F.struct(*[c for c in rows.columns if c != "_key"]), order).alias("_row")
     return rows.groupBy("_key").agg(first, F.count("*").alias("merged"), *union).select("_row.*", "merged", *[f"{c}_all" for c in provenance])
+
+
+def assign(rows: DataFrame, additions: DataFrame, id_col: str, steps: list[str]) -> DataFrame:
+    """addition, row, step: what each addition is of ``rows``, found in rounds.
+
+    Both tables have ``id_col`` and the columns ``steps``. A round takes the rows and
+    additions that no round before has matched, and matches those whose value
+    stands exactly once on both sides; so a row that its id finds is out of reach
+    for a title that it shares. An addition that no round matches is new: row and
+    step are null. Ids are unique on each side; null and empty values match nothing.
+    """
+    found = None
+    for step in steps:
+        left, right = rows.select(F.col(id_col).alias("row"), F.col(step).alias("_v")), additions.select(F.col(id_col).alias("addition"), F.col(step).alias("_v"))
+        if found is not None:
+            left, right = left.join(found.select("row"), "row", "left_anti"), right.join(found.select("addition"), "addition", "left_anti")
+        once = lambda side, name: side.where(F.coalesce(F.col("_v").cast("string"), F.lit("")) != "").groupBy("_v").agg(F.count("*").alias("_n"), F.min(name).alias(name)).where("_n = 1").drop("_n")
+        met = once(left, "row").join(once(right, "addition"), "_v").select("addition", "row", F.lit(step).alias("step"))
+        found = met if found is None else found.unionByName(met)
+    return additions.select(F.col(id_col).alias("addition")).join(found, "addition", "left")
+
+
+def apply_additions(rows: DataFrame, additions: DataFrame, id_col: str, steps: list[str], observed: str, superseded: str, sets: list[str]) -> DataFrame:
+    """``rows`` with the additions that ``assign`` finds merged into them, the others added, and those gone that an addition supersedes.
+
+    A merged row has the addition's id. By id or any step but the last, the
+    addition's values stand and the row's fill nulls; by the last step (the same
+    occurrence told by another source), those that were ``observed`` later stand,
+    the row's if both were at once. ``sets`` (arrays) are united, the addition's
+    first. A row whose id is in some addition's ``superseded`` (array) goes, unless
+    it is an addition's id. Both tables have the same columns.
+    """
+    found = assign(rows, additions, id_col, steps)
+    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    both = side(additions, "a").join(found, F.col(f"a_{id_col}") == F.col("addition"), "left").join(side(rows, "r"), F.col("row") == F.col(f"r_{id_col}"), "left")
+    kept = (F.col("step") == steps[-1]) & F.coalesce(F.col(f"r_{observed}") >= F.coalesce(F.col(f"a_{observed}"), F.col(f"r_{observed}")), F.lit(False))
+    value = lambda c: F.when(kept, F.coalesce(f"r_{c}", f"a_{c}")).otherwise(F.coalesce(f"a_{c}", f"r_{c}"))
+
+    def merged(c: str):
+        if c == id_col:
+            return F.col(f"a_{c}").alias(c)
+        if c in sets:
+            none = F.array().cast(dict(rows.dtypes)[c])
+            return F.array_distinct(F.concat(F.coalesce(f"a_{c}", none), F.coalesce(f"r_{c}", none))).alias(c)
+        return value(c).alias(c)
+
+    others = rows.join(found.where("row is not null").select(F.col("row").alias(id_col)), id_col, "left_anti").select(*rows.columns)
+    gone = additions.select(F.explode(superseded).alias(id_col)).distinct().join(additions.select(id_col), id_col, "left_anti")
+    return both.select(*[merged(c) for c in rows.columns]).unionByName(others).join(gone, id_col, "left_anti").select(*rows.columns)

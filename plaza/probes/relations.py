@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plaza.functions import numbers as N
 from plaza.functions import text as S
+from plaza.operators import evaluation as E
 from plaza.operators import facts
 from plaza.operators import joins as J
 from plaza.operators import resolve as R
@@ -238,11 +239,32 @@ def _(t):
     return J.near_pairs(rows, "id", "name", apart, 350).select(F.col("a_id").alias("first_id"), F.col("b_id").alias("second_id"))
 
 
-@probe("joi-19", "SELECT a.user_id, CAST(CAST(a.ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(avg(a.value - b.value), 6) AS bias FROM events a JOIN events b ON a.user_id = b.user_id AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE) WHERE a.event_type = 'view' AND b.event_type = 'purchase' GROUP BY 1, 2")
+_BUCKET = "CAST(ts AS DATE) + INTERVAL 1 HOUR * (hour(ts) // 4 * 4)"
+
+
+@probe("joi-19", f"""
+WITH e AS (SELECT *, {_BUCKET} AS vs FROM events),
+t AS (SELECT user_id, vs, count(*) AS n, any_value(CASE WHEN event_id % 10 <> 0 THEN value END) AS v, any_value(event_id) AS id FROM e WHERE event_type = 'click' GROUP BY 1, 2),
+s AS (SELECT event_type AS side, e.user_id, e.vs, e.vs - INTERVAL 2 HOUR AS issued, value - v AS error FROM e JOIN t ON t.user_id = e.user_id AND t.vs = e.vs WHERE event_type IN ('view', 'purchase') AND e.event_id % 13 <> 0 AND n = 1 AND v IS NOT NULL AND id % 7 <> 0),
+k AS (SELECT side, user_id, vs, issued, count(*) AS n, any_value(error) AS error FROM s GROUP BY ALL),
+p AS (SELECT coalesce(a.user_id, b.user_id) AS location, a.error AS x, b.error AS y, CASE WHEN greatest(coalesce(a.n, 0), coalesce(b.n, 0)) > 1 THEN 'duplicate' WHEN b.n IS NULL THEN 'unpaired_challenger' WHEN a.n IS NULL THEN 'unpaired_baseline' ELSE 'paired' END AS state
+  FROM (SELECT * FROM k WHERE side = 'view') a FULL JOIN (SELECT * FROM k WHERE side = 'purchase') b ON a.user_id = b.user_id AND a.vs = b.vs AND a.issued = b.issued)
+SELECT location, state, count(*) AS n, round(sum(CASE WHEN state = 'paired' THEN abs(x) - abs(y) END), 6) AS delta FROM p GROUP BY location, state""")
 def _(t):
-    side = lambda kind, name: t.events.where(F.col("event_type") == kind).select("user_id", F.to_date("ts").alias("day"), F.col("value").alias(name))
-    both = side("view", "v").join(side("purchase", "w"), ["user_id", "day"])
-    return both.groupBy("user_id", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("v") - F.col("w")), 6).alias("bias"))
+    """Views and purchases as two forecasts of the clicks in four hours of a user; some are issued late, some truths are missing, revised or retrieved too late."""
+    start = F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.floor(F.hour("ts") / 4).cast("int") * 4)
+    hours = lambda n: F.make_dt_interval(F.lit(0), n)
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    target = [F.col("user_id").alias("location"), F.lit("clicks").alias("variable"), F.lit("1").alias("unit"), none("event"), F.col("vs").alias("valid_start"), (F.col("vs") + hours(F.lit(4))).alias("valid_end")]
+    rows = t.events.withColumn("vs", start)
+    late = F.when(F.col("event_id") % 13 == 0, 7).otherwise(0)
+    made = rows.select(*target, (F.col("vs") - hours(F.lit(2)) + hours(late)).alias("issued_at"), F.col("value").alias("prediction"), F.col("event_type").alias("side"))
+    seen = F.col("vs") + hours(F.lit(5))
+    clicks = rows.where("event_type = 'click'").select(*target, F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("value"), seen.alias("available_at"), (seen + hours(F.when(F.col("event_id") % 7 == 0, 24 * 4000).otherwise(1))).alias("retrieved_at"), F.col("event_id").alias("receipt"))
+    scored = E.score(made, clicks, F.lit("2030-01-01").cast("timestamp_ntz")).where("state = 'scored'")
+    pairs = E.pair(scored.where("side = 'view'"), scored.where("side = 'purchase'"))
+    gain = F.abs("challenger_error") - F.abs("baseline_error")
+    return pairs.groupBy("location", "state").agg(F.count("*").alias("n"), F.round(F.sum(gain), 6).alias("delta"))
 
 
 @probe("joi-20", """
@@ -366,13 +388,23 @@ def _(t):
     return U.merge_unique(rows.where("ts >= '2024-01-16'"), rows.where("ts < '2024-01-16'"), ["user_id"]).select("event_id", "user_id")
 
 
-@probe("set-10", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'added' ELSE o_orderpriority END AS priority FROM orders WHERE o_orderkey % 11 <> 0 UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 11 <> 0")
-def _(t):
-    rows = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("priority"))
-    hit = rows.where("o_orderkey % 7 = 0")
-    added = hit.select("o_orderkey", F.lit("added").alias("priority")).union(hit.select(-F.col("o_orderkey"), F.lit("added")))
-    gone = rows.where("o_orderkey % 11 = 0").select("o_orderkey")
-    return U.supersede(U.upsert(rows, added, "o_orderkey"), gone.union(gone.select(-F.col("o_orderkey"))), "o_orderkey")
+@probe("set-10", """
+WITH o AS (SELECT o_orderkey AS k, o_custkey || o_orderpriority AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || o_orderstatus AS place FROM orders),
+r AS (SELECT 'r' || k AS id, title, place FROM o WHERE k % 2 = 0), a AS (SELECT CASE WHEN k % 5 = 0 THEN 'r' || (k - 1) ELSE 'a' || k END AS id, title, place FROM o WHERE k % 2 = 1 AND k % 3 = 0),
+m1 AS (SELECT a.id AS addition, r.id AS "row" FROM a JOIN r ON r.id = a.id),
+r2 AS (SELECT * FROM r WHERE id NOT IN (SELECT "row" FROM m1)), a2 AS (SELECT * FROM a WHERE id NOT IN (SELECT addition FROM m1)),
+m2 AS (SELECT x.id AS addition, y.id AS "row" FROM (SELECT title, min(id) AS id FROM a2 GROUP BY title HAVING count(*) = 1) x JOIN (SELECT title, min(id) AS id FROM r2 GROUP BY title HAVING count(*) = 1) y ON x.title = y.title),
+r3 AS (SELECT * FROM r2 WHERE id NOT IN (SELECT "row" FROM m2)), a3 AS (SELECT * FROM a2 WHERE id NOT IN (SELECT addition FROM m2)),
+m3 AS (SELECT x.id AS addition, y.id AS "row" FROM (SELECT place, min(id) AS id FROM a3 GROUP BY place HAVING count(*) = 1) x JOIN (SELECT place, min(id) AS id FROM r3 GROUP BY place HAVING count(*) = 1) y ON x.place = y.place),
+m AS (SELECT *, 'id' AS step FROM m1 UNION ALL SELECT *, 'title' FROM m2 UNION ALL SELECT *, 'place' FROM m3)
+SELECT a.id AS addition, m."row" AS matched, m.step FROM a LEFT JOIN m ON m.addition = a.id""")
+def _(t):
+    key = F.col("o_orderkey")
+    rows = t.orders.select(key, F.concat("o_custkey", "o_orderpriority").alias("title"), F.concat(F.to_date("o_orderdate").cast("string"), "o_orderstatus").alias("place"))
+    named = lambda df, name: df.select(name.alias("id"), "title", "place")
+    known = named(rows.where("o_orderkey % 2 = 0"), F.concat(F.lit("r"), key))
+    added = named(rows.where("o_orderkey % 2 = 1 and o_orderkey % 3 = 0"), F.when(key % 5 == 0, F.concat(F.lit("r"), key - 1)).otherwise(F.concat(F.lit("a"), key)))
+    return U.assign(known, added, "id", ["id", "title", "place"]).withColumnRenamed("row", "matched")
 
 
 @probe("set-11", "SELECT user_id FROM events WHERE event_type = 'view' EXCEPT ALL SELECT user_id FROM events WHERE event_type = 'click'")

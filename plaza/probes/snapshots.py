@@ -8,6 +8,7 @@ from plaza.functions import dates as D
 from plaza.functions import schedules as H
 from plaza.functions import text as S
 from plaza.functions.collections import meaningful_hash
+from plaza.operators import evaluation
 from plaza.operators import reconcile as R
 from plaza.operators import sets as U
 from plaza.probes.base import AS_OF, probe
@@ -114,10 +115,22 @@ def _(t):
     return R.archive_audit(expected, actual, ["model", "day"]).withColumn("day", F.col("day").cast("string"))
 
 
-@probe("cdc-15", f"SELECT event_id FROM events WHERE ts < {_TS} AND CAST(ts AS DATE) <> DATE '2024-01-10'")
+@probe("cdc-15", """
+WITH e AS (SELECT *, date_trunc('hour', ts) AS vs, CASE WHEN event_id % 3 = 0 THEN 12 ELSE 6 END AS lead FROM events),
+s AS (SELECT *, vs + INTERVAL 1 HOUR AS ve, vs + INTERVAL 1 HOUR * (1 + event_id % 5) AS av, vs + INTERVAL 1 HOUR * (2 + event_id % 5) AS sc, count(*) OVER (PARTITION BY user_id, event_type, vs, lead) AS n FROM e)
+SELECT i.event_id AS issue, count(*) AS n, min(s.event_id) AS first, max(s.event_id) AS last FROM e i JOIN s ON s.user_id = i.user_id AND s.event_type = i.event_type AND s.event_id % 2 = i.event_id % 2 AND s.lead = i.lead
+WHERE s.n = 1 AND s.event_id % 11 <> 0 AND s.sc < i.ts AND s.ve < i.ts AND s.vs <> i.vs AND s.ve <> i.vs + INTERVAL 1 HOUR AND i.event_id % 4 = 0 GROUP BY i.event_id""")
 def _(t):
-    rows = t.events.withColumn("day", F.to_date("ts"))
-    return R.training_rows(rows, AS_OF, "ts", "day", F.lit("2024-01-10").cast("date")).select("event_id")
+    """Each fourth event as an issue that learns from all events as scores."""
+    hours = lambda n: F.make_dt_interval(F.lit(0), n)
+    lead, number = F.when(F.col("event_id") % 3 == 0, 12).otherwise(6), F.col("event_id")
+    rows = t.events.withColumn("vs", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    shared = [F.col("user_id").alias("location"), F.col("event_type").alias("variable"), F.lit("1").alias("unit"), F.lit(None).cast("string").alias("event"), F.col("vs").alias("valid_start"), (F.col("vs") + hours(F.lit(1))).alias("valid_end")]
+    scope = [F.lit("a").alias("algorithm"), F.lit("r").alias("registry"), F.lit("l").alias("locations"), (number % 2).alias("versions")]
+    seen = F.col("vs") + hours((1 + number % 5).cast("int"))
+    scores = rows.select(number.alias("score"), *shared, *scope, (F.col("vs") - hours(lead)).alias("issued_at"), (number % 11 != 0).alias("versions_known"), seen.alias("available_at"), seen.alias("retrieved_at"), (seen + hours(F.lit(1))).alias("scored_at"))
+    issues = rows.where("event_id % 4 = 0").select(number.alias("issue"), *shared, *scope, F.col("ts").cast("timestamp_ntz").alias("issued_at"), lead.alias("lead_hours"))
+    return evaluation.eligible(scores, issues, "issue").groupBy("issue").agg(F.count("*").alias("n"), F.min("score").alias("first"), F.max("score").alias("last"))
 
 
 @probe("cdc-16", f"WITH f AS (SELECT event_type, count(*) AS n FROM events WHERE {_NEW} GROUP BY 1) SELECT event_id FROM events JOIN f USING (event_type) WHERE CASE WHEN n >= 1500 THEN {_NEW} ELSE {_OLD} END")
@@ -141,10 +154,21 @@ def _(t):
     return R.lineage(runs, "o_orderkey", "ok", "digest", "needs").select("o_orderkey", "resolved")
 
 
-@probe("cdc-19", "SELECT event_id, row_number() OVER w AS number, coalesce(bool_or(event_id % 50 = 0) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS suspended FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
-def _(t):
-    rows = t.events.select("event_id", "user_id", F.when(F.col("event_id") % 50 == 0, 429).otherwise(200).alias("code"))
-    return R.access_log(rows, "user_id", "event_id", "code").select("event_id", F.col("number").cast("long").alias("number"), "suspended")
+@probe("cdc-19", """
+WITH q AS (SELECT event_id, user_id % 10 AS host, ts AS started, CASE WHEN event_id % 37 <> 0 THEN ts + INTERVAL 1 MINUTE * (30 * (event_id % 60) + 1) END AS ended, CASE WHEN event_id % 37 = 0 THEN NULL WHEN event_id % 97 = 0 AND user_id % 10 < 8 THEN 429 ELSE 200 END AS code FROM events),
+s AS (SELECT *, min(ended) FILTER (WHERE code = 429) OVER (PARTITION BY host) AS stop FROM q),
+g AS (SELECT *, CASE WHEN stop IS NULL THEN CASE WHEN ended IS NULL THEN 'unsettled' ELSE 'settled' END WHEN started >= stop THEN 'refused' WHEN ended IS NULL THEN 'unsettled' WHEN ended < stop THEN 'settled' WHEN ended = stop AND code = 429 THEN 'denied' ELSE 'late' END AS state FROM s)
+SELECT event_id, row_number() OVER (PARTITION BY host ORDER BY started, ended NULLS LAST, code) AS number, state,
+  CASE WHEN stop IS NOT NULL THEN count(*) FILTER (WHERE started < stop AND (ended IS NULL OR ended >= stop)) OVER (PARTITION BY host) END AS in_flight,
+  strftime(CASE WHEN stop IS NOT NULL AND count(*) FILTER (WHERE state = 'unsettled') OVER (PARTITION BY host) = 0 THEN max(ended) FILTER (WHERE state IN ('late', 'denied')) OVER (PARTITION BY host) END, '%Y-%m-%d %H:%M:%S') AS drained_at FROM g""")
+def _(t):
+    """Events as requests to ten hosts, two of which never deny; some are never answered."""
+    number, host = F.col("event_id"), F.col("user_id") % 10
+    ended = F.when(number % 37 != 0, F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), (30 * (number % 60) + 1).cast("int")))
+    code = F.when(number % 37 == 0, None).when((number % 97 == 0) & (host < 8), 429).otherwise(200)
+    rows = t.events.select("event_id", host.alias("host"), F.col("ts").alias("started"), ended.alias("ended"), code.alias("code"))
+    out = R.access_sweep(rows, "host", "started", "ended", "code")
+    return out.select("event_id", F.col("number").cast("long").alias("number"), "state", "in_flight", F.date_format("drained_at", "yyyy-MM-dd HH:mm:ss").alias("drained_at"))
 
 
 # --- sorting and paging --------------------------------------------------------
