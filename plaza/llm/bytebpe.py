@@ -5,12 +5,13 @@ Spark's higher-order functions over its bytes: each step replaces the leftmost
 pair of least rank, and ranks the two pairs that it touches anew. Ranks come
 from a literal map of pairs, dealt to buckets of a literal array by hash. As a
 rank is the id of the join, the parts and the ranks of a word are two strings of
-one character an id, which Spark's string functions search and replace. An entry
-of the vocabulary that merges don't lead to is looked up as a whole.
+one character an id, which Spark's string functions search and replace; the ranks
+of neighbouring bytes come with the word. An entry of the vocabulary that merges
+don't lead to is looked up as a whole.
 
-Words are folded once each: the words found most often in the whole table, at most
-``COMMON`` of them, are folded first and their ids sent to the tasks that cut the
-texts (broadcast, so of bounded size); all other words are folded where they
+Common words are folded once: those found most often in about ``COUNTED`` rows, at
+most ``COMMON`` of them, are folded first and their ids sent to the tasks that cut
+the texts (broadcast, so of bounded size); all other words are folded where they
 stand, once for each text. No text, word or id of the second kind is shuffled.
 A word of more than ``LONG`` bytes, whose fold would take time by the square, is
 merged in Python by a heap, with the same ids.
@@ -33,9 +34,11 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 import uuid
 from collections import Counter
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -53,8 +56,10 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words whose ids are broadcast: at most so many, of at most ``LONG`` bytes each.
 COMMON = 200_000
 LONG = 64
+#: Rows whose words are counted to choose the common ones; ids don't depend on that choice.
+COUNTED = 50_000
 #: Buckets of the literal map.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: A task sends its counts of words on when it holds so many words.
 MOST_WORDS = 100_000
 #: Texts are sent on when they have so many bytes together.
@@ -90,24 +95,30 @@ def _unknown(kind: str, pattern: str) -> str:
     return _ranges([c for c in late if len(ask.encode_ordinary(lead + c)) > 1])
 
 
+#: The pattern of the vocabulary files in terms of Python's own classes, and what it takes to be another class than the library does: numbers that are no digits, some control characters, and characters later than Python's tables.
+_QUICK = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+_OTHERWISE = r"[\x1c-\x1f\p{Nl}\p{No}\p{Cn}]"
+
+
 @functools.cache
 def patterns(pattern: str = public_tokenizers.PATTERN) -> tuple[str, str, str]:
-    """The pattern; a class of the characters that the library doesn't know; the pattern for texts that have some."""
-    exact, all_ = pattern, ""
-    for kind in (r"\p{L}", r"\p{N}"):
-        if unknown := _unknown(kind, pattern):
-            exact, all_ = exact.replace(kind, f"[{kind}--[{unknown}]]"), all_ + unknown
-    return pattern, f"[{all_}]" if all_ else r"(?!)", "(?V1)" + exact
+    """A quick pattern of Python's; a class of the characters for which it can't be used; the pattern for texts that have some."""
+    exact, unknown = pattern, {kind: _unknown(kind, pattern) for kind in (r"\p{L}", r"\p{N}")}
+    for kind, ranges in unknown.items():
+        exact = exact.replace(kind, f"[{kind}--[{ranges}]]") if ranges else exact
+    python_lacks = _ranges([c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) == "Cn" and regex.match(r"\P{Cn}", c)])
+    odd = _OTHERWISE[:-1] + python_lacks + "]"
+    return (_QUICK, odd, "(?V1)" + exact) if pattern == public_tokenizers.PATTERN else (pattern, r"[\s\S]", "(?V1)" + exact)
 
 
 class Cutter:
     """Cuts texts as the installed library does."""
 
-    def __init__(self, plain: str, odd: str, exact: str):
-        self.plain, self.odd, self.exact = regex.compile(plain).findall, regex.compile(odd).search, exact
+    def __init__(self, quick: str, odd: str, exact: str):
+        self.quick, self.odd, self.exact = re.compile(quick).findall, regex.compile(odd).search, exact
 
     def __call__(self, text: str) -> list[str]:
-        return regex.findall(self.exact, text) if not text.isascii() and self.odd(text) else self.plain(text)
+        return regex.findall(self.exact, text) if self.odd(text) else self.quick(text)
 
 
 # --- ids of a word -------------------------------------------------------------
@@ -119,11 +130,6 @@ NEVER = chr(0x10FFFF)
 EDGE = " "
 
 
-def letters(word: str) -> str:
-    """A word's bytes as a string of one character each."""
-    return word.encode().decode("latin-1")
-
-
 def id_letter(i: int) -> str:
     return chr(i + _FIRST if i + _FIRST < _SURROGATES.start else i + _FIRST + len(_SURROGATES))
 
@@ -134,7 +140,7 @@ def _id(letter: Column) -> Column:
 
 
 class Merges:
-    """Columns made of a vocabulary's ranks: ``maps``, a literal array of maps from a pair of ids to that of their join; ``entries``, a literal map of the words that merges alone don't lead to."""
+    """Columns made of a vocabulary's ranks: ``maps``, a literal array of maps from a pair of ids to that of their join."""
 
     def __init__(self, ranks: dict[bytes, int]):
         buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
@@ -145,35 +151,24 @@ class Merges:
                     buckets[crc32(pair.encode()) % BUCKETS][pair] = id_letter(rank)
         # a constant expression: the optimizer evaluates it once and keeps the value
         self.maps = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,string>>")
-        odd = {word.decode("latin-1"): rank for word, rank in ranks.items() if merged_by_heap(word, ranks, whole=False) != [rank]}
-        self.entries = F.from_json(F.lit(json.dumps(odd)), "map<string,int>") if odd else None
-        self.bytes = "".join(map(chr, range(256))), "".join(id_letter(ranks[bytes([b])]) for b in range(256))
 
     def ids(self, words: Column) -> Column:
-        """The ids (array<int>) of each word of an array of words given as ``letters``."""
-        return bind(self.maps, lambda maps: F.transform(words, lambda word: self._word(word, maps)))
+        """The ids (array<int>) of each word of an array of words as ``Starts`` gives them."""
+        return bind(self.maps, lambda maps: F.transform(words, lambda word: _folded(word["parts"], word["ranks"], maps)))
 
-    def _word(self, word: Column, maps: Column) -> Column:
-        def start(parts):
-            pairs = F.transform(F.sequence(F.lit(1), F.char_length(parts) - 1), lambda i: _joined(maps, F.substr(parts, i, F.lit(2))))
-            return bind(F.array_join(pairs, ""), lambda ranks: _state(parts, ranks))
 
-        def step(s):
-            return F.when(s["least"] == NEVER, s).otherwise(bind(F.instr(s["ranks"], s["least"]), lambda at: merge(s["parts"], s["ranks"], s["least"], at)))
+def _folded(parts: Column, ranks: Column, maps: Column) -> Column:
+    def step(s):
+        return F.when(s["least"] == NEVER, s).otherwise(bind(F.instr(s["ranks"], s["least"]), lambda at: merge(s["parts"], s["ranks"], s["least"], at)))
 
-        def merge(parts, ranks, join, at):
-            before = _joined(maps, F.concat(F.substr(parts, at - 1, F.lit(1)), join))
-            after = _joined(maps, F.concat(join, F.substr(parts, at + 2, F.lit(1))))
-            return bind(F.overlay(ranks, F.concat(before, after), at - 1, F.lit(3)), lambda ranks: _state(F.overlay(parts, join, at, F.lit(2)), ranks))
+    def merge(parts, ranks, join, at):
+        before = _joined(maps, F.concat(F.substr(parts, at - 1, F.lit(1)), join))
+        after = _joined(maps, F.concat(join, F.substr(parts, at + 2, F.lit(1))))
+        return bind(F.overlay(ranks, F.concat(before, after), at - 1, F.lit(3)), lambda ranks: _state(F.overlay(parts, join, at, F.lit(2)), ranks))
 
-        def folded(parts):
-            most = F.sequence(F.lit(2), F.char_length(parts) - 2)  # a word of n bytes takes n - 1 merges at most
-            return F.aggregate(most, start(parts), lambda s, _: step(s), lambda s: F.transform(F.split(F.trim(s["parts"]), ""), _id))
-
-        done = F.when(word == "", F.array().cast("array<int>"))
-        if self.entries is not None:
-            done = done.when(F.map_contains_key(self.entries, word), F.array(F.element_at(self.entries, word)))
-        return done.otherwise(bind(F.concat(F.lit(EDGE), F.translate(word, *self.bytes), F.lit(EDGE)), folded))
+    most = F.sequence(F.lit(2), F.char_length(parts) - 2)  # a word of n bytes takes n - 1 merges at most
+    merged = F.aggregate(most, _state(parts, ranks), lambda s, _: step(s), lambda s: F.transform(F.split(F.trim(s["parts"]), ""), _id))
+    return F.when(F.char_length(parts) > 3, merged).when(F.char_length(parts) == 3, F.array(_id(F.trim(parts)))).otherwise(F.array().cast("array<int>"))
 
 
 def _joined(maps: Column, pair: Column) -> Column:
@@ -186,6 +181,25 @@ def _state(parts: Column, ranks: Column) -> Column:
     return F.struct(parts.alias("parts"), ranks.alias("ranks"), F.array_min(F.split(ranks, "")).alias("least"))
 
 
+class Starts:
+    """What a fold begins with: a word's bytes as parts between two edges, and the rank of each two neighbours."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.of = {b: id_letter(ranks[bytes([b])]) for b in range(256)}
+        self.pairs = {pair: id_letter(rank) for pair, rank in ranks.items() if len(pair) == 2}
+
+    def __call__(self, word: bytes) -> dict[str, str]:
+        ranks = [self.pairs.get(word[k : k + 2], NEVER) for k in range(len(word) - 1)]
+        return {"parts": EDGE + "".join(map(self.of.__getitem__, word)) + EDGE, "ranks": "".join([NEVER, *ranks, NEVER])}
+
+
+@functools.lru_cache(2)
+def unreached(path: str) -> dict[bytes, int]:
+    """Entries of a vocabulary that merges alone don't lead to; as a word, each is its own id."""
+    ranks = read_ranks(path)
+    return {word: rank for word, rank in ranks.items() if merged_by_heap(word, ranks, whole=False) != [rank]}
+
+
 def merged_by_heap(word: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
     """The ids of a long word: pairs wait in a heap by rank, then place; outdated ones are passed over."""
     if whole and word in ranks:
@@ -223,8 +237,7 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int], whole: bool = True) ->
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (``letters``), n: how often each word of at most ``LONG`` bytes occurs in the table."""
-
+    """word, n: how often each word of at most ``LONG`` bytes occurs in ``docs``."""
     own = patterns()
 
     def rows(batches):
@@ -232,9 +245,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def sent():
-            words = [(letters(w), n) for w, n in seen.items() if len(w) <= LONG]
+            words = {w: n for w, n in seen.items() if len(w.encode()) <= LONG}
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.array([n for _, n in words], pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -244,7 +257,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         yield sent()
 
     parts = docs.select(F.col("text").cast("string")).mapInArrow(released(rows), "word string, n long")
-    return parts.where(F.length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n"))
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def common(counts: DataFrame, most: int) -> DataFrame:
@@ -256,36 +269,56 @@ def common(counts: DataFrame, most: int) -> DataFrame:
     return counts.where("n > 1").where(grade >= int(inside.min())) if len(inside) else counts.limit(0)
 
 
-def encode(docs: DataFrame, path: str | None = None, most: int = COMMON) -> DataFrame:
+def sampled(docs: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows of ``docs``, or all if they are not more."""
+    n = docs.count()
+    return docs if n <= most else docs.sample(most / n, seed=1)
+
+
+def encode(docs: DataFrame, path: str | None = None, most: int = COMMON, counted: int = COUNTED) -> DataFrame:
     """doc_id, ids (array<int>) of every row of ``docs``."""
     spark, path, own = docs.sparkSession, path or ranks_path(), patterns()
-    merges = Merges(read_ranks(path))
-    known = common(cut(word_counts(docs)), most).select("word", merges.ids(F.array("word"))[0].alias("ids")).toArrow()
+    ranks = read_ranks(path)
+    merges, starts, alone = Merges(ranks), Starts(ranks), unreached(path)
+    words = common(cut(word_counts(sampled(docs, counted))), most).select("word").toArrow()["word"].to_pylist() if most else []
+    asked = pa.table({"word": pa.array(words, pa.string()), "start": pa.array([starts(w.encode()) for w in words], pa.struct([("parts", pa.string()), ("ranks", pa.string())]))})
+    parts = spark.sparkContext.defaultParallelism
+    known = spark.createDataFrame(asked).repartition(parts).select("word", merges.ids(F.array("start"))[0].alias("ids")).toArrow()
     sent, key = spark.sparkContext.broadcast((known["word"].to_pylist(), known["ids"].combine_chunks())), uuid.uuid4().hex
 
     def load():
         words, ids = sent.value
-        flat, ends = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy())
-        at = {w.encode("latin-1").decode(): (e - n, e) for w, e, n in zip(words, ends.tolist(), ids.value_lengths().to_pylist())}
-        return Cutter(*own), at, flat.tolist(), read_ranks(path)
+        ranks, one_each = read_ranks(path), list(range(max(read_ranks(path).values()) + 1))  # one number object for each id
+        at = dict(zip(words, (tuple(map(one_each.__getitem__, x)) for x in ids.to_pylist())))
+        at |= {word.decode(): (rank,) for word, rank in alone.items() if _is_text(word)}
+        return Cutter(*own), at, Starts(ranks), ranks
 
     def rows(batches):
-        cutter, at, flat, ranks = worker_memory(key, load)
+        cutter, at, starts, ranks = worker_memory(key, load)
 
-        def one(text: str):
-            """ids, where the k-th word to fold holds -1 - k; those words."""
-            ids, own = [], {}
-            for word in cutter(text):
-                if (place := at.get(word)) is not None:
-                    ids += flat[place[0] : place[1]]
-                elif len(word) <= LONG and len(coded := letters(word)) <= LONG:
-                    ids.append(-1 - own.setdefault(coded, len(own)))
+        class Asked(dict):
+            """Ids of the words that one text has beside the common ones: for those to fold, -1 - their number."""
+
+            def __missing__(self, word: str):
+                coded = word.encode()
+                if len(coded) > LONG:
+                    ids = tuple(merged_by_heap(coded, ranks))
                 else:
-                    ids += merged_by_heap(word.encode(), ranks)
-            return ids, list(own)
+                    ids = (-1 - len(self.folds),)
+                    self.folds.append(starts(coded))
+                self[word] = ids
+                return ids
+
+        def one(text: str):
+            other = Asked()
+            other.folds = []
+            get = at.get
+            ids = list(chain.from_iterable([get(word) or other[word] for word in cutter(text)]))
+            return ids, other.folds
 
         def sent_on(docs_, found):
-            return pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.string()))], names=["doc_id", "ids", "words"])
+            types = pa.list_(pa.int32()), pa.list_(pa.struct([("parts", pa.string()), ("ranks", pa.string())]))
+            return pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), *[pa.array([x[k] for x in found], types[k]) for k in (0, 1)]], names=["doc_id", "ids", "words"])
 
         for batch in batches:
             docs_, found, size = [], [], 0
@@ -300,36 +333,47 @@ def encode(docs: DataFrame, path: str | None = None, most: int = COMMON) -> Data
             if docs_:
                 yield sent_on(docs_, found)
 
-    rows_ = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(rows), "doc_id long, ids array<int>, words array<string>")
+    rows_ = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(rows), "doc_id long, ids array<int>, words array<struct<parts:string,ranks:string>>")
     filled = lambda own: F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(own, -1 - i))))
     return rows_.select("doc_id", F.when(F.size("words") == 0, F.col("ids")).otherwise(bind(merges.ids(F.col("words")), filled)).alias("ids"))
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids and decoded (the bytes that they stand for) of every row of ``encoded`` (doc_id, ids)."""
+def _is_text(word: bytes) -> bool:
+    try:
+        word.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _decoded(encoded: DataFrame, path: str | None, schema: str, columns) -> DataFrame:
+    """doc_id and ``columns(ids, pieces)`` of every row of ``encoded``; pieces: the bytes of its ids in order."""
     path = path or ranks_path()
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def rows(batches):
-        pieces = worker_memory(("pieces", path), lambda: {i: word for word, i in read_ranks(path).items()})
+        words = worker_memory(("words of ids", path), lambda: {i: word for word, i in read_ranks(path).items()})
         for batch in batches:
-            decoded = [b"".join(map(pieces.__getitem__, ids.as_py())) for ids in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+            lists = batch.column(1)
+            found = []
+            for at in range(len(lists)):
+                ids = lists[at].values.to_numpy(zero_copy_only=False)
+                found.append(columns(ids, map(words.__getitem__, ids.tolist())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*found))] if found else [[] for _ in names], names=names)
 
-    return encoded.select("doc_id", "ids").mapInArrow(released(rows), "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(released(rows), schema)
 
 
-def digested(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of rows (doc_id, ids, decoded)."""
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, decoded (the bytes that the ids stand for) of every row of ``encoded`` (doc_id, ids)."""
+    return _decoded(encoded, path, "doc_id long, decoded binary", lambda ids, pieces: (b"".join(pieces),))
 
-    def rows(batches):
-        for batch in batches:
-            ids = batch.column(1)
-            hexes = [hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(hexes), batch.column(2)], names=["doc_id", "n_tokens", "ids_sha256", "text_sha256"])
 
-    out = decoded.mapInArrow(released(rows), "doc_id long, n_tokens long, ids_sha256 string, text_sha256 binary")
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text_sha256", 256).alias("decoded_sha256"))
+def digested(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 (of what ``decode`` gives) of every row of ``encoded``."""
+    said = lambda ids, pieces: (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(b"".join(pieces)).hexdigest())
+    return _decoded(encoded, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", said)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digested(decode(encode(table(spark, sf_dir, "documents"))))
+    return digested(encode(table(spark, sf_dir, "documents")))

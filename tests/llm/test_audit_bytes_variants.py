@@ -114,12 +114,13 @@ def library():
 @pytest.mark.parametrize("most", [0, 3, bytebpe.COMMON])
 def test_ids_are_the_librarys(spark, library, most):
     rows = [(i, t, "s") for i, t in enumerate(TEXTS)] + [(5, TEXTS[5], "s"), (None, "no id", "s")]
-    got = sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in bytebpe.decode(bytebpe.encode(table(spark, rows), most=most)).collect()), key=str)
-    assert got == sorted(((i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in rows), key=str)
+    encoded = bytebpe.encode(table(spark, rows), most=most, counted=10).cache()
+    assert sorted(((r.doc_id, list(r.ids)) for r in encoded.collect()), key=str) == sorted(((i, library.encode_ordinary(t or "")) for i, t, _ in rows), key=str)
+    assert sorted(((r.doc_id, bytes(r.decoded)) for r in bytebpe.decode(encoded).collect()), key=str) == sorted(((i, (t or "").encode()) for i, t, _ in rows), key=str)
 
 
 def test_bytes_of_nothing(spark):
-    assert bytebpe.digested(bytebpe.decode(bytebpe.encode(table(spark, [])))).count() == 0
+    assert bytebpe.digested(bytebpe.encode(table(spark, []))).count() == 0
 
 
 def test_bytes_whole_table(spark, small, library):
