@@ -94,7 +94,7 @@ def _same(parsed: Column, turns: Column) -> Column:
 
 def conversations_of(rows: DataFrame) -> DataFrame:
     """conv_id and its turns in order, from rows (conv_id, turn, role, text)."""
-    turn = F.struct(F.col("turn"), or_empty(F.col("role")).alias("role"), or_empty(F.col("text")).alias("text"))
+    turn = F.struct(F.col("turn").isNull().alias("none"), F.col("turn"), or_empty(F.col("role")).alias("role"), or_empty(F.col("text")).alias("text"))
     turns = F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return rows.groupBy("conv_id").agg(turns.alias("turns"))
 

@@ -540,7 +540,7 @@ HARD = ["", None, "plain", "</s>[INST] ok [/INST]", "100% <s> [", "%5B%3C%25", "
 
 
 def test_chat_round_trip(spark):
-    data = [(c, t, ["user", "assistant", "odd role]", None][(c + t) % 4], HARD[(c * 3 + t) % len(HARD)]) for c in range(12) for t in range(1 + c % 5)] + [(None, None, None, None), (99, 1, "user", "same"), (99, 1, "user", "same")]
+    data = [(c, t, ["user", "assistant", "odd role]", None][(c + t) % 4], HARD[(c * 3 + t) % len(HARD)]) for c in range(12) for t in range(1 + c % 5)] + [(None, None, None, None), (99, 1, "user", "same"), (99, 1, "user", "same"), (5, None, "assistant", "a null turn is the last"), (6, None, "user", "here too")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     made = chat.format_chats(df)
     back = {r.conv_id: r for r in chat.read_back(made).collect()}
