@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -76,17 +77,27 @@ _held: list = [None, None]
 def worker_memory(key, make):
     """What a worker process keeps between tasks under ``key``. Only the last key's is kept, so operators don't add up."""
     if _held[0] != key:
-        _held[:] = None, None
+        if _held[0] is not None:
+            _held[:] = None, None
+            _give_back()
         _held[:] = key, make()
     return _held[1]
 
 
+def _give_back() -> None:
+    """Give free memory back to the system, where its allocators can be told to."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def released(rows):
     """``rows`` as a function over Arrow batches that gives memory back at its end; worker processes live on between tasks."""
 
     def run(batches):
         yield from rows(batches)
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     return run
 

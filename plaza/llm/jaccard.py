@@ -257,8 +257,8 @@ def _late(g: str, counted: float):
 
 def _groups(scratch: Scratch, full: DataFrame, percent: int, counted: float) -> DataFrame:
     """(key, component) of the classes that have a link."""
-    lists = scratch.cut(_prefixes(full, percent, counted))
-    votes = scratch.cut(_pivots(lists, percent))
+    lists = scratch.cut(_prefixes(scratch, full, percent, counted))
+    votes = scratch.cut(_pivots(scratch, lists, percent))
     checked = scratch.cut(_overlaps(votes, full))
     near = checked.where(_linked("o", percent)).select("a", "b")
     labels = components(near)
@@ -283,7 +283,7 @@ def _linked(overlap: str, percent: int):
     return F.col(overlap) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
 
 
-def _prefixes(full: DataFrame, percent: int, counted: float) -> DataFrame:
+def _prefixes(scratch: Scratch, full: DataFrame, percent: int, counted: float) -> DataFrame:
     """The index lists: g, rep (key of a class), n, at (position in the global order), lost (n-grams found nowhere else, of 1000).
 
     The order: n-grams found once; counted ones by rising document frequency,
@@ -292,7 +292,7 @@ def _prefixes(full: DataFrame, percent: int, counted: float) -> DataFrame:
     go unnoticed, so a place is a least one.
     """
     low = full.select(F.col("key").alias("rep"), "n", (F.col("lost") - F.col("lost_low") + F.col("early")).alias("lost"), F.explode(F.slice("grams", F.lit(1), F.col("n_low"))).alias("g"))
-    often = low.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    often = scratch.cut(low.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"))  # written first, so that Spark can split a hot n-gram among tasks
     own = Window.partitionBy("rep")
     placed = low.join(often, "g").withColumn("late", _late("g", counted))
     # the unsigned order of hashes: positive first
@@ -303,9 +303,9 @@ def _prefixes(full: DataFrame, percent: int, counted: float) -> DataFrame:
     return placed.where(F.col("at") <= _may_lose(percent)).select("g", "rep", "n", "at", F.expr("1000 * lost div n").alias("lost"))
 
 
-def _pivots(lists: DataFrame, percent: int) -> DataFrame:
+def _pivots(scratch: Scratch, lists: DataFrame, percent: int) -> DataFrame:
     """(a, b): for each class, the pivot named by most of its lists. A list's pivot is its class with the fewest n-grams of its own."""
-    pivot = lists.groupBy("g").agg(F.min(F.struct("lost", "rep", "n")).alias("p")).select("g", F.col("p.rep").alias("b"), F.col("p.n").alias("nb"))
+    pivot = scratch.cut(lists.groupBy("g").agg(F.min(F.struct("lost", "rep", "n")).alias("p")).select("g", F.col("p.rep").alias("b"), F.col("p.n").alias("nb")))
     named = lists.join(pivot, "g").where("rep <> b").where(_sizes("n", "nb", percent))
     votes = named.groupBy("rep", "b").agg(F.count("*").alias("v"))
     best = votes.groupBy("rep").agg(F.max(F.struct("v", (-F.col("b")).alias("b"))).alias("x"))
