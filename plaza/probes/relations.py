@@ -176,7 +176,7 @@ m AS (SELECT l.lead, CASE WHEN len(e.ids) = 1 THEN 'exact_name' WHEN len(s.ids)
   FROM l LEFT JOIN e ON e.lead = l.lead LEFT JOIN s ON s.lead = l.lead LEFT JOIN h ON h.lead = l.lead LEFT JOIN t ON t.lead = l.lead LEFT JOIN f ON f.lead = l.lead)
 SELECT lead, method, CASE method WHEN 'exact_name' THEN e[1] WHEN 'street_address' THEN s[1] WHEN 'unique_website_host' THEN h WHEN 'website_host_name' THEN t[1] WHEN 'fuzzy_name' THEN f[1] END AS place,
   CASE WHEN method IN ('exact_name', 'street_address', 'unique_website_host') THEN 'high' WHEN method IN ('website_host_name', 'fuzzy_name') THEN 'probable' ELSE 'needs_review' END AS confidence,
-  CASE WHEN method IN ('conflict', 'unresolved') THEN len(list_distinct(coalesce(e[:12], []) || coalesce(s[:12], []) || coalesce(f[:12], []))) END AS near_places FROM m""")
+  CASE WHEN method IN ('conflict', 'unresolved') THEN least(12, len(list_distinct(coalesce(e[:12], []) || coalesce(s[:12], []) || coalesce(f[:12], [])))) END AS near_places FROM m""")
 def _(t):
     name = F.expr(_NAME)
     street = F.concat("p_size", F.lit(" "), "p_type")
@@ -186,7 +186,7 @@ def _(t):
     host = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("h"), F.col("p_partkey") % 130)).otherwise(F.lower("p_brand"))
     leads = t.part.select(F.col("p_partkey").alias("lead"), changed.alias("name"), F.when(F.col("p_partkey") % 3 == 0, street).otherwise("none").alias("street"), host.alias("host"))
     found = R.resolve_leads(leads, places)
-    # lists of up to 36 places, cut to 12 by the operator, are compared by their size
+    # the lists of places are compared by their size
     return found.select("lead", "method", "place", "confidence", F.when(F.col("place").isNull(), F.size("candidates").cast("long")).alias("near_places"))
 
 
