@@ -54,10 +54,10 @@ from plaza.llm.common import cut, released, table, worker_memory
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words whose ids are broadcast: at most so many, of at most ``LONG`` bytes each.
-COMMON = 200_000
+COMMON = 400_000
 LONG = 64
 #: Rows whose words are counted to choose the common ones; ids don't depend on that choice.
-COUNTED = 50_000
+COUNTED = 100_000
 #: Buckets of the literal map.
 BUCKETS = 1 << 14
 #: A task sends its counts of words on when it holds so many words.
@@ -95,27 +95,31 @@ def _unknown(kind: str, pattern: str) -> str:
     return _ranges([c for c in late if len(ask.encode_ordinary(lead + c)) > 1])
 
 
-#: The pattern of the vocabulary files in terms of Python's own classes, and what it takes to be another class than the library does: numbers that are no digits, some control characters, and characters later than Python's tables.
+#: The pattern of the vocabulary files in terms of Python's own classes, which are the library's but for some characters (``_odd``).
 _QUICK = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-_OTHERWISE = r"[\x1c-\x1f\p{Nl}\p{No}\p{Cn}]"
+
+
+def _odd() -> str:
+    """A class of characters that Python may take for another kind than the library: numbers that are no digits, separators among the controls, unassigned ones, and to be quick all beyond the basic plane."""
+    chars = map(chr, [*range(0xD800), *range(0xE000, 0x10000)])
+    return "[" + _ranges([c for c in chars if "\x1c" <= c <= "\x1f" or unicodedata.category(c) in ("Nl", "No", "Cn")]) + "\U00010000-\U0010ffff]"
 
 
 @functools.cache
 def patterns(pattern: str = public_tokenizers.PATTERN) -> tuple[str, str, str]:
     """A quick pattern of Python's; a class of the characters for which it can't be used; the pattern for texts that have some."""
-    exact, unknown = pattern, {kind: _unknown(kind, pattern) for kind in (r"\p{L}", r"\p{N}")}
-    for kind, ranges in unknown.items():
-        exact = exact.replace(kind, f"[{kind}--[{ranges}]]") if ranges else exact
-    python_lacks = _ranges([c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) == "Cn" and regex.match(r"\P{Cn}", c)])
-    odd = _OTHERWISE[:-1] + python_lacks + "]"
-    return (_QUICK, odd, "(?V1)" + exact) if pattern == public_tokenizers.PATTERN else (pattern, r"[\s\S]", "(?V1)" + exact)
+    exact = pattern
+    for kind in (r"\p{L}", r"\p{N}"):
+        if unknown := _unknown(kind, pattern):
+            exact = exact.replace(kind, f"[{kind}--[{unknown}]]")
+    return (_QUICK, _odd(), "(?V1)" + exact) if pattern == public_tokenizers.PATTERN else (pattern, r"[\s\S]", "(?V1)" + exact)
 
 
 class Cutter:
     """Cuts texts as the installed library does."""
 
     def __init__(self, quick: str, odd: str, exact: str):
-        self.quick, self.odd, self.exact = re.compile(quick).findall, regex.compile(odd).search, exact
+        self.quick, self.odd, self.exact = re.compile(quick).findall, re.compile(odd).search, exact
 
     def __call__(self, text: str) -> list[str]:
         return regex.findall(self.exact, text) if self.odd(text) else self.quick(text)
