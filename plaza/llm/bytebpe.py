@@ -54,7 +54,7 @@ from plaza.llm.common import cut, released, table, worker_memory
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words whose ids are broadcast: at most so many, of at most ``LONG`` bytes each.
-COMMON = 400_000
+COMMON = 250_000
 LONG = 64
 #: Rows whose words are counted to choose the common ones; ids don't depend on that choice.
 COUNTED = 100_000
