@@ -44,6 +44,7 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -279,8 +280,8 @@ def sampled(docs: DataFrame, most: int) -> DataFrame:
     return docs if n <= most else docs.sample(most / n, seed=1)
 
 
-def encode(docs: DataFrame, path: str | None = None, most: int = COMMON, counted: int = COUNTED) -> DataFrame:
-    """doc_id, ids (array<int>) of every row of ``docs``."""
+def looked_up(docs: DataFrame, path: str | None = None, most: int = COMMON, counted: int = COUNTED) -> DataFrame:
+    """doc_id, ids and folded of every row of ``docs``: ids of the common words and, for each other word, -1 - its place in folded (array<array<int>>)."""
     spark, path, own = docs.sparkSession, path or ranks_path(), patterns()
     ranks = read_ranks(path)
     merges, starts, alone = Merges(ranks), Starts(ranks), unreached(path)
@@ -290,46 +291,51 @@ def encode(docs: DataFrame, path: str | None = None, most: int = COMMON, counted
     known = spark.createDataFrame(asked).repartition(parts).select("word", merges.ids(F.array("start"))[0].alias("ids")).toArrow()
     sent, key = spark.sparkContext.broadcast((known["word"].to_pylist(), known["ids"].combine_chunks())), uuid.uuid4().hex
 
+    class Ids(dict):
+        """Ids of the common words; a word that is missing is one of the present text's own, which are let go after it."""
+
+        def __missing__(self, word: str):
+            coded = word.encode()
+            if len(coded) > LONG:
+                ids = tuple(merged_by_heap(coded, self.ranks))
+            else:
+                ids = (-1 - len(self.folds),)
+                self.folds.append(self.starts(coded))
+            self[word] = ids
+            self.own.append(word)
+            return ids
+
+        def of(self, words: list[str]) -> tuple[np.ndarray, list[dict[str, str]]]:
+            self.own, self.folds = [], []
+            ids = np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.int32)
+            for word in self.own:
+                del self[word]
+            return ids, self.folds
+
     def load():
         words, ids = sent.value
-        ranks, one_each = read_ranks(path), list(range(max(read_ranks(path).values()) + 1))  # one number object for each id
-        at = dict(zip(words, (tuple(map(one_each.__getitem__, x)) for x in ids.to_pylist())))
-        at |= {word.decode(): (rank,) for word, rank in alone.items() if _is_text(word)}
-        return Cutter(*own), at, Starts(ranks), ranks
+        ranks = read_ranks(path)
+        one_each = list(range(max(ranks.values()) + 1))  # one number object for each id
+        at = Ids(zip(words, (tuple(map(one_each.__getitem__, x)) for x in ids.to_pylist())))
+        at.update({word.decode(): (rank,) for word, rank in alone.items() if _is_text(word)})
+        at.starts, at.ranks = Starts(ranks), ranks
+        return Cutter(*own), at
 
     def rows(batches):
-        cutter, at, starts, ranks = worker_memory(key, load)
-
-        class Asked(dict):
-            """Ids of the words that one text has beside the common ones: for those to fold, -1 - their number."""
-
-            def __missing__(self, word: str):
-                coded = word.encode()
-                if len(coded) > LONG:
-                    ids = tuple(merged_by_heap(coded, ranks))
-                else:
-                    ids = (-1 - len(self.folds),)
-                    self.folds.append(starts(coded))
-                self[word] = ids
-                return ids
-
-        def one(text: str):
-            other = Asked()
-            other.folds = []
-            get = at.get
-            ids = list(chain.from_iterable([get(word) or other[word] for word in cutter(text)]))
-            return ids, other.folds
+        cutter, at = worker_memory(key, load)
 
         def sent_on(docs_, found):
-            types = pa.list_(pa.int32()), pa.list_(pa.struct([("parts", pa.string()), ("ranks", pa.string())]))
-            return pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), *[pa.array([x[k] for x in found], types[k]) for k in (0, 1)]], names=["doc_id", "ids", "words"])
+            ends = np.cumsum([0, *(len(ids) for ids, _ in found)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([ids for ids, _ in found])))
+            folds = pa.array([folds for _, folds in found], pa.list_(pa.struct([("parts", pa.string()), ("ranks", pa.string())])))
+            return pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), ids, folds], names=["doc_id", "ids", "words"])
 
         for batch in batches:
             docs_, found, size = [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 docs_.append(doc)
-                found.append(one(text))
+                found.append(at.of(cutter(text)))
                 size += len(text)
                 if size > MOST_BYTES:
                     yield sent_on(docs_, found)
@@ -338,8 +344,27 @@ def encode(docs: DataFrame, path: str | None = None, most: int = COMMON, counted
                 yield sent_on(docs_, found)
 
     rows_ = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(rows), "doc_id long, ids array<int>, words array<struct<parts:string,ranks:string>>")
-    filled = lambda own: F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(own, -1 - i))))
-    return rows_.select("doc_id", F.when(F.size("words") == 0, F.col("ids")).otherwise(bind(merges.ids(F.col("words")), filled)).alias("ids"))
+    return rows_.select("doc_id", "ids", merges.ids(F.col("words")).alias("folded"))
+
+
+def encode(docs: DataFrame, path: str | None = None, most: int = COMMON, counted: int = COUNTED) -> DataFrame:
+    """doc_id, ids (array<int>) of every row of ``docs``."""
+    whole = lambda folded: F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(folded, -1 - i))))
+    found = looked_up(docs, path, most, counted)
+    return found.select("doc_id", F.when(F.size("folded") == 0, F.col("ids")).otherwise(bind(F.col("folded"), whole)).alias("ids"))
+
+
+def _whole(ids: np.ndarray, folded: pa.ListArray) -> np.ndarray:
+    """``ids`` with those of the words ``folded`` in their places."""
+    places = np.flatnonzero(ids < 0)
+    if not len(places):
+        return ids
+    flat, sizes = folded.flatten().to_numpy(zero_copy_only=False), np.diff(folded.offsets.to_numpy())
+    which = -1 - ids[places]
+    counts, starts = np.ones(len(ids), np.int64), np.arange(len(flat), len(flat) + len(ids))
+    counts[places], starts[places] = sizes[which], (np.cumsum(sizes) - sizes)[which]
+    stops = np.cumsum(counts)
+    return np.concatenate([flat, ids])[np.repeat(starts - stops + counts, counts) + np.arange(stops[-1])]
 
 
 def _is_text(word: bytes) -> bool:
@@ -351,33 +376,45 @@ def _is_text(word: bytes) -> bool:
 
 
 def _decoded(encoded: DataFrame, path: str | None, schema: str, columns) -> DataFrame:
-    """doc_id and ``columns(ids, pieces)`` of every row of ``encoded``; pieces: the bytes of its ids in order."""
+    """doc_id and ``columns(ids, decoded)`` of every row of ``encoded``, as ``encode`` or ``looked_up`` gives it; decoded: the bytes of its ids in order."""
     path = path or ranks_path()
     names = [c.split(" ")[0] for c in schema.split(", ")]
+    has_folds = "folded" in encoded.columns
+
+    def load():
+        ranks = read_ranks(path)
+        words: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for word, i in ranks.items():
+            words[i] = word
+        return pa.array(words, pa.binary())
 
     def rows(batches):
-        words = worker_memory(("words of ids", path), lambda: {i: word for word, i in read_ranks(path).items()})
+        words = worker_memory(("words of ids", path), load)
         for batch in batches:
-            lists = batch.column(1)
             found = []
-            for at in range(len(lists)):
-                ids = lists[at].values.to_numpy(zero_copy_only=False)
-                found.append(columns(ids, map(words.__getitem__, ids.tolist())))
+            for at in range(batch.num_rows):
+                ids = batch.column(1)[at].values.to_numpy(zero_copy_only=False)
+                if has_folds:
+                    ids = _whole(ids, batch.column(2)[at].values)
+                pieces = words.take(pa.array(ids))
+                if pieces.null_count:
+                    raise KeyError("an id that the vocabulary lacks")
+                found.append(columns(ids, pieces.buffers()[2].slice(0, pc.sum(pc.binary_length(pieces)).as_py()) if len(ids) else b""))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*found))] if found else [[] for _ in names], names=names)
 
-    return encoded.select("doc_id", "ids").mapInArrow(released(rows), schema)
+    return encoded.select("doc_id", "ids", *["folded"] * has_folds).mapInArrow(released(rows), schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, decoded (the bytes that the ids stand for) of every row of ``encoded`` (doc_id, ids)."""
-    return _decoded(encoded, path, "doc_id long, decoded binary", lambda ids, pieces: (b"".join(pieces),))
+    return _decoded(encoded, path, "doc_id long, decoded binary", lambda ids, decoded: (bytes(decoded),))
 
 
 def digested(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 (of what ``decode`` gives) of every row of ``encoded``."""
-    said = lambda ids, pieces: (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(b"".join(pieces)).hexdigest())
+    said = lambda ids, decoded: (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest())
     return _decoded(encoded, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", said)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digested(encode(table(spark, sf_dir, "documents")))
+    return digested(looked_up(table(spark, sf_dir, "documents")))
