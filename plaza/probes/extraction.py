@@ -13,7 +13,7 @@ from plaza.functions import text as S
 from plaza.functions.dates import strict_instant
 from plaza.operators import facts
 from plaza.probes.base import AS_OF, probe
-from plaza.sources import discovery, files, markup, paged, trees
+from plaza.sources import crawl, discovery, files, markup, paged, trees
 
 _LINKS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
 _TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
@@ -267,12 +267,16 @@ def _(t):
     return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.when(sure, F.count_if("closed")).alias("closed"))
 
 
-@probe("src-28", f"SELECT page_id, CASE WHEN n = 0 THEN 'no_links' WHEN same THEN 'repeated' WHEN rank > 20 THEN 'page_limit' ELSE 'go_on' END AS verdict FROM (SELECT page_id, len({_LINKS}) AS n, {_LINKS} = lag({_LINKS}) OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS same, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS rank FROM pages)")
+@probe("src-28", f"""
+WITH p AS (SELECT page_id % 10 AS crawl, page_id // 10 + 1 AS page, {_LINKS} AS links FROM pages),
+f AS (SELECT crawl, page, count(*) AS new_links FROM (SELECT crawl, link, min(page) AS page FROM (SELECT crawl, page, unnest(links) AS link FROM p) GROUP BY 1, 2) GROUP BY 1, 2),
+q AS (SELECT p.*, coalesce(new_links, 0) AS new_links, min(page) OVER (PARTITION BY crawl, links) < page AS same, coalesce(lag(len(links)) OVER (PARTITION BY crawl ORDER BY page), 1) = 0 AS after_empty FROM p LEFT JOIN f USING (crawl, page)),
+v AS (SELECT *, CASE WHEN len(links) = 0 AND after_empty THEN 'two_empty' WHEN len(links) = 0 AND page < 25 THEN 'go_on' WHEN len(links) > 0 AND same THEN 'repeated' WHEN len(links) > 0 AND page > 1 AND new_links = 0 THEN 'no_new_links' WHEN page >= 25 THEN 'page_limit' ELSE 'go_on' END AS verdict FROM q)
+SELECT crawl, page, CAST(len(links) AS INT) AS n_links, new_links, verdict, coalesce(page <= min(page) FILTER (WHERE verdict <> 'go_on') OVER (PARTITION BY crawl), true) AS read FROM v""")
 def _(t):
-    w = Window.partitionBy("crawl").orderBy("page_id")
-    links = F.transform(markup.html_links("html", F.lit("https://a.example/b/")), lambda x: x["url"])  # one base, so pages with equal links are told
-    rows = t.pages.select("page_id", (F.col("page_id") % 10).alias("crawl"), F.size(links).alias("n"), F.sha2(F.array_join(links, " "), 256).alias("print"))
-    return rows.select("page_id", F.when(F.col("n") == 0, "no_links").when(F.col("print") == F.lag("print").over(w), "repeated").when(F.row_number().over(w) > 20, "page_limit").otherwise("go_on").alias("verdict"))
+    """Ten crawls of pages, each of which ends at its first stop."""
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    return crawl.crawl_stops(t.pages.select((F.col("page_id") % 10).alias("crawl"), (F.floor(F.col("page_id") / 10) + 1).alias("page"), links.alias("links")), empty=2)
 
 
 _ROBOTS = [

@@ -14,6 +14,7 @@ from plaza.operators import metrics as M
 from plaza.operators import predicates as P
 from plaza.operators import review as V
 from plaza.probes.base import AS_OF, probe
+from plaza.sources import crawl
 
 _TS = f"TIMESTAMP '{AS_OF}'"
 _HOST = r"regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^(www|m)\.', '')"
@@ -164,11 +165,29 @@ def _(t):
     return judged.select("s_suppkey", "chain.reason", "chain.field", "chain.token")
 
 
-@probe("flt-21", "SELECT user_id, event_id, prior IS NOT NULL AND kind = 'error' AND prior = 'error' AS repeated FROM (SELECT user_id, event_id, event_type AS kind, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prior FROM events)")
-def _(t):
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    rows = t.events.select("user_id", "event_id", M.problems([("repeated", (F.col("event_type") == "error") & (before == "error"))]).alias("problems"))
-    return rows.select("user_id", "event_id", (F.size("problems") > 0).alias("repeated"))
+_STATES = {301: "http_error", 302: "http_error", 200: "ok", 404: "broken", 500: "transient"}
+_status = "CASE event_id % 5 " + " ".join(f"WHEN {k} THEN {status}" for k, status in enumerate(_STATES)) + " END"
+
+
+@probe("flt-21", f"""
+WITH r AS (SELECT user_id AS u, event_id, ts, {_status} AS status, lag({_status}) OVER w AS before, lag(ts) OVER w AS before_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT u, count(*) AS n, arg_max(status, event_id) AS last, coalesce(bool_or(before NOT IN (301, 302)), false) AS broken, coalesce(bool_or(ts < before_ts), false) AS disorder FROM r GROUP BY u)
+SELECT u AS user_id, CASE WHEN u % 13 = 0 THEN 'not_covered' ELSE array_to_string(list_sort(list_filter([CASE WHEN u % 11 = 0 THEN 'unexpected' END, CASE WHEN broken THEN 'broken_chain' END, CASE WHEN disorder THEN 'out_of_order' END,
+  CASE WHEN u % 17 = 0 THEN 'held_requested' END, CASE WHEN u % 17 = 0 THEN 'hold_ignored' END, CASE WHEN n > 4 THEN 'too_many_hops' END, CASE WHEN last IN (301, 302) THEN 'not_last_response' END,
+  CASE WHEN u % 7 = 0 AND last <> 200 THEN 'wrong_state' END, CASE WHEN u % 7 <> 0 AND last = 404 THEN 'unconfirmed_broken' END], lambda x: x IS NOT NULL)), ',') END AS problems
+FROM g WHERE u % 13 <> 0 OR u % 11 <> 0""")
+def _(t):
+    """Each user's events as the requests made for one address: some lead on, are out of time, too many or on hold, and some results say what no answer said."""
+    u, url = F.col("user_id"), F.concat(F.lit("https://h"), F.col("user_id").cast("string"), F.lit(".example/"))
+    status = F.element_at(F.array(*map(F.lit, _STATES)), (F.col("event_id") % 5 + 1).cast("int"))
+    receipts = t.events.select("user_id", url.alias("url"), F.col("event_id").alias("seq"), F.lit(1).alias("attempt"), F.col("event_id").cast("string").alias("request_id"), url.alias("request_url"), status.alias("status"), F.when(status < 400, url).alias("redirect_url"), F.col("ts").alias("attempted_at"), F.col("ts").alias("observed_at"))
+    last = F.max_by(F.struct("status", "observed_at"), "seq")
+    results = receipts.groupBy("user_id", "url").agg(last.alias("last"), F.min("observed_at").alias("attempted_at"), F.max("observed_at").alias("assessed_at"))
+    said = F.when(u % 7 == 0, "ok").otherwise(crawl.answer_state(F.col("last.status")))
+    results = results.where(u % 13 != 0).select("url", said.alias("state"), F.lit(True).alias("attempted"), F.lit(1).alias("attempt"), "attempted_at", "assessed_at", "last.observed_at", "last.status", F.col("url").alias("final_url"), F.lit(False).alias("confirmed_broken"))
+    hosts = t.events.where(u % 17 == 0).select(F.lit("host").alias("scope"), S.host_key(url).alias("value"))
+    judged = crawl.report_problems(results, receipts.drop("user_id"), t.events.where(u % 11 != 0).select(url.alias("url")), hosts)
+    return judged.select(F.regexp_extract("url", "h([0-9]+)", 1).cast("long").alias("user_id"), F.array_join("problems", ",").alias("problems"))
 
 
 @probe("flt-22", f"SELECT page_id, {_HOST} IN (SELECT {_HOST} FROM pages WHERE page_id % 40 = 0) OR page_id % 41 = 0 AS held FROM pages")
