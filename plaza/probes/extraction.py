@@ -13,7 +13,7 @@ from plaza.functions import text as S
 from plaza.functions.dates import strict_instant
 from plaza.operators import facts
 from plaza.probes.base import AS_OF, probe
-from plaza.sources import crawl, discovery, files, markup, paged, trees
+from plaza.sources import crawl, discovery, files, geojson, markup, paged, trees
 
 _LINKS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
 _TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
@@ -224,12 +224,28 @@ def _(t):
     return discovery.profiles(rows, "page_id", "html", "url").select("page_id", "platform", "handle", "basis")
 
 
-@probe("src-22", "SELECT user_id, count(*) AS n, bool_and(gap IS NULL OR gap = 1) AS contiguous FROM (SELECT user_id, h - lag(h) OVER (PARTITION BY user_id ORDER BY h) AS gap FROM (SELECT DISTINCT user_id, epoch(date_trunc('hour', ts))::BIGINT // 3600 AS h FROM events)) GROUP BY user_id")
-def _(t):
-    hours = t.events.select("user_id", (F.unix_timestamp(F.date_trunc("hour", "ts").cast("timestamp")) / 3600).cast("long").alias("h")).distinct()
-    gap = F.col("h") - F.lag("h").over(Window.partitionBy("user_id").orderBy("h"))
-    rows = hours.withColumn("ok", F.coalesce(gap == 1, F.lit(True)))
-    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.bool_and("ok").alias("contiguous"))
+_FORECASTS = ["not_json", "hour_gap", "units", "feature_count", "out_of_bounds", "diverged"]
+
+
+@probe("src-22", f"""
+WITH s AS (SELECT s_suppkey AS id, s_suppkey % 9 AS k FROM supplier)
+SELECT id, CASE k {" ".join(f"WHEN {k} THEN '{why}'" for k, why in enumerate(_FORECASTS))} ELSE '' END AS problems, CAST(h AS INT) AS hour, TIMESTAMP '{AS_OF}' + to_hours(CAST(h + 1 AS INT)) AS valid_at,
+  CASE WHEN (id + h) % 5 <> 0 THEN CAST((id + h) % 40 - 10.5 AS DOUBLE) END AS temperature_c, CAST(CASE WHEN h IS NOT NULL THEN id % 100 END AS DOUBLE) AS probability_percent
+FROM s LEFT JOIN (SELECT unnest(range(24)) AS h) ON k >= {len(_FORECASTS)}""")
+def _(t):
+    """Each supplier's forecast of two features and 24 hours; of nine, six have a fault."""
+    key, case = F.col("s_suppkey"), F.col("s_suppkey") % 9
+    said = lambda value, unit: F.struct(F.struct(F.lit(unit).alias("en") if isinstance(unit, str) else unit.alias("en")).alias("units"), F.struct(value.alias("en")).alias("value"))
+    stamp = lambda hours: F.date_format(F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(hours=hours.cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    degrees = lambda i: F.when((case == 4) & (i == 5), 80.5).when((key + i) % 5 != 0, (key + i) % 40 - 10.5)
+    hour = lambda i: F.struct(stamp(i + 1 + F.when((case == 1) & (i > 11), 1).otherwise(0)).alias("timestamp"), said(degrees(i), F.when((case == 2) & (i == 3), "F").otherwise("C")).alias("temperature"), said(key % 100, "%").alias("lop"))
+    group = lambda back: F.struct(F.struct(stamp(back).alias("en")).alias("timestamp"), F.transform(F.sequence(F.lit(0), F.lit(23)), hour).alias("hourlyForecasts"))
+    feature = lambda name, back: F.struct(F.lit(name).alias("id"), F.struct(group(back).alias("hourlyForecastGroup")).alias("properties"))
+    two = F.array(feature("a", F.lit(0)), feature("b", F.when(case == 5, -1).otherwise(0)))
+    body = F.to_json(F.struct(F.when(case == 3, F.slice(two, 1, 1)).otherwise(two).alias("features")))
+    rows = t.supplier.select(key.alias("id"), F.when(case == 0, F.left(body, F.lit(100))).otherwise(body).alias("body"), F.lit(AS_OF).cast("timestamp").alias("retrieved_at"))
+    out = geojson.forecast_hours(rows)
+    return out.select("id", F.array_join("problems", ",").alias("problems"), "hour", F.col("valid_at").cast("timestamp_ntz").alias("valid_at"), "temperature_c", "probability_percent")
 
 
 @probe("src-24", "SELECT event_id, event_id % 7 <> 0 AND user_id % 7 <= 4 AS same_host FROM events")
