@@ -9,7 +9,7 @@ from plaza.functions import dates as D
 from plaza.functions import numbers as N
 from plaza.functions import text as S
 from plaza.functions.collections import slots
-from plaza.operators import facts, media
+from plaza.operators import facts, media, news
 from plaza.operators import metrics as M
 from plaza.operators import predicates as P
 from plaza.operators import review as V
@@ -295,6 +295,45 @@ def _(t):
     return V.fold_decisions(t.documents, rows, "doc_id")
 
 
+_at = "2024-01-20T00:00:00.000Z"
+_SOURCE = "source_id string, name string, kind string, hosts array<string>, status string"
+
+
+@probe("flt-36-sources", """
+SELECT 'src-' || k AS source_id, array_to_string(list_filter([CASE WHEN k % 11 = 0 THEN 'kind' END, CASE WHEN k % 5 = 0 THEN 'url' END, CASE WHEN s_acctbal > 0 AND (k % 3 = 0 OR k % 7 = 0) THEN 'not_admitted' END,
+  CASE WHEN k % 3 <> 0 AND k % 13 = 0 THEN 'evidence' END], lambda x: x IS NOT NULL), ',') AS problems FROM (SELECT s_suppkey AS k, s_acctbal FROM supplier)""")
+def _(t):
+    """Suppliers as sources of news: some of an unknown kind, with a home elsewhere, enabled before they are admitted, or admitted without rights."""
+    k = F.col("s_suppkey")
+    host = lambda n: F.concat(F.lit("h"), n.cast("string"), F.lit(".example"))
+    home = lambda n: F.concat(F.lit("https://"), host(n), F.lit("/"))
+    shown = F.map_filter(F.create_map(*[F.lit(x) for name in ("access", "schema", "date", "rights") for x in (name, "seen")]), lambda name, _: (name != "rights") | (k % 13 != 0))
+    rows = t.supplier.select(
+        F.concat(F.lit("src-"), k.cast("string")).alias("source_id"), F.col("s_name").alias("name"), F.when(k % 11 == 0, "blog").otherwise("newsroom").alias("kind"), F.array(host(F.col("s_nationkey"))).alias("hosts"), (F.col("s_acctbal") > 0).alias("enabled"),
+        F.when(k % 3 == 0, "proposed").otherwise("admitted").alias("status"), home(F.col("s_nationkey") + (k % 5 == 0).cast("int")).alias("home_url"), F.when(k % 7 != 0, home(F.col("s_nationkey"))).alias("feed_url"), F.lit(_at).alias("reviewed_at"), shown.alias("evidence"),
+    )
+    return news.registry_problems(rows).withColumn("problems", F.array_join("problems", ","))
+
+
+@probe("flt-37-items", """
+WITH d AS (SELECT doc_id, lang, left(text, CAST(280 + doc_id % 40 AS INT)) AS t, 'https://a.example/' || CASE WHEN doc_id % 10 = 3 THEN doc_id - 1 ELSE doc_id END AS url FROM documents), e AS (SELECT *, count(*) OVER (PARTITION BY url) > 1 AS many FROM d)
+SELECT 'news-' || left(sha256(url), 24) AS id, array_to_string(list_filter([CASE WHEN many THEN 'repeated_id' END, CASE WHEN many THEN 'repeated_url' END, CASE WHEN doc_id % 7 = 0 THEN 'unknown_source' END,
+  CASE WHEN NOT coalesce(length(t) BETWEEN 1 AND 300 AND NOT regexp_matches(t, '[<>\\x00-\\x1f]') AND left(t, 1) <> ' ' AND right(t, 1) <> ' ' AND length(lang) > 0, false) THEN 'text' END,
+  CASE WHEN doc_id % 31 > 15 THEN 'clock_order' END], lambda x: x IS NOT NULL), ',') AS problems FROM e""")
+def _(t):
+    """Documents as accepted items: two of ten share an address, titles are what the texts begin with, and some were published after they were seen."""
+    k, none = F.col("doc_id"), F.lit(None).cast("string")
+    sources = t.spark.createDataFrame([("s", "City", "newsroom", ["a.example"], "admitted"), ("t", "Town", "newsroom", ["a.example"], "proposed")], _SOURCE)
+    url = F.concat(F.lit("https://a.example/"), (k - (k % 10 == 3).cast("int")).cast("string"))
+    day = F.concat(F.lit("2024-01-"), F.lpad((k % 31 + 1).cast("string"), 2, "0"), F.lit("T00:00:00.000Z"))
+    fixed = {"source_name": "City", "kind": "newsroom", "guid": "g", "region_evidence": "named", "precision": "instant", "observed_at": "2024-01-16T00:00:00.000Z", "reviewed_at": _at, "correction": "none", "summary_kind": "none", "reviewer": "r", "rights_basis": "stated"}
+    items = t.documents.select(
+        F.concat(F.lit("news-"), F.left(F.sha2(url, 256), F.lit(24))).alias("id"), url.alias("url"), F.when(k % 7 == 0, "t").otherwise("s").alias("source_id"), F.left("text", (k % 40 + 280).cast("int")).alias("title"), F.col("lang").alias("region"), F.array(F.lit("roads")).alias("topics"),
+        day.alias("published_at"), none.alias("modified_at"), none.alias("summary"), *[F.lit(v).alias(n) for n, v in fixed.items()],
+    )
+    return news.item_problems(items, sources).withColumn("problems", F.array_join("problems", ","))
+
+
 @probe("flt-38", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'mismatch' ELSE 'fits' END AS state FROM orders")
 def _(t):
     k = F.col("o_orderkey")
