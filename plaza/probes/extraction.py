@@ -13,7 +13,7 @@ from plaza.functions import text as S
 from plaza.functions.dates import strict_instant
 from plaza.operators import facts
 from plaza.probes.base import AS_OF, probe
-from plaza.sources import crawl, discovery, files, geojson, markup, paged, trees
+from plaza.sources import crawl, discovery, files, geojson, markup, meta, paged, trees
 
 _LINKS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
 _TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
@@ -227,6 +227,24 @@ def _(t):
 _FORECASTS = ["not_json", "hour_gap", "units", "feature_count", "out_of_bounds", "diverged"]
 
 
+_HEADS = [  # what a page states, and the picture and the dates that are read from it
+    ('<meta content="a.jpg" property="og:image"><meta property="article:published_time" content="2024-01-05">', "a.jpg", "2024-01-05"),
+    ('<img srcset="b.jpg 1x, c.jpg 2x"><time itemprop="datePublished" datetime="2024-01-07T22:00:00-04:00">', "b.jpg", "2024-01-08"),
+    ('<img data-src="d.jpg"><script type="application/ld+json">{"@graph":[{"@type":"NewsArticle","datePublished":"2024-01-03"}]}</script><meta name="pubdate" content="2024-01-17">', "d.jpg", "2024-01-03"),
+    ('<time datetime="2024-01-02"><script type="application/ld+json">{"@type":"Event","datePublished":"2024-01-03"}</script>', None, ""),
+]
+_head = lambda at: f"CASE page_id % {len(_HEADS)} " + " ".join(f"WHEN {k} THEN '{row[at]}'" for k, row in enumerate(_HEADS) if row[at] is not None) + " END"
+
+
+@probe("str-19-stated", f"""SELECT page_id, coalesce({_head(1)}, regexp_extract_all(html, '(?i)<img[^>]* src="([^"]+)"', 1)[1]) AS picture, {_head(2)} AS dates FROM pages""")
+def _(t):
+    """The first picture of each page, whose head states one in three forms or none, and the days on which it says it was published."""
+    head = F.element_at(F.array(*[F.lit(row[0]) for row in _HEADS]), (F.col("page_id") % len(_HEADS) + 1).cast("int"))
+    rows = t.pages.select("page_id", F.concat(head, F.coalesce("html", F.lit(""))).alias("html"))
+    dates = F.transform(meta.published_dates("html", AS_OF), lambda d: F.date_format(d, "yyyy-MM-dd"))
+    return rows.select("page_id", F.try_element_at(meta.stated_images("html"), F.lit(1)).alias("picture"), F.array_join(dates, ",").alias("dates"))
+
+
 @probe("src-22", f"""
 WITH s AS (SELECT s_suppkey AS id, s_suppkey % 9 AS k FROM supplier)
 SELECT id, CASE k {" ".join(f"WHEN {k} THEN '{why}'" for k, why in enumerate(_FORECASTS))} ELSE '' END AS problems, CAST(h AS INT) AS hour, TIMESTAMP '{AS_OF}' + to_hours(CAST(h + 1 AS INT)) AS valid_at,
