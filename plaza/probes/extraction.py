@@ -266,6 +266,14 @@ def _(t):
     return out.select("id", F.array_join("problems", ",").alias("problems"), "hour", F.col("valid_at").cast("timestamp_ntz").alias("valid_at"), "temperature_c", "probability_percent")
 
 
+@probe("src-22-gaps", "SELECT user_id, count(*) AS n, bool_and(gap IS NULL OR gap = 1) AS contiguous FROM (SELECT user_id, h - lag(h) OVER (PARTITION BY user_id ORDER BY h) AS gap FROM (SELECT DISTINCT user_id, epoch(date_trunc('hour', ts))::BIGINT // 3600 AS h FROM events)) GROUP BY user_id")
+def _(t):
+    hours = t.events.select("user_id", (F.unix_timestamp(F.date_trunc("hour", "ts").cast("timestamp")) / 3600).cast("long").alias("h")).distinct()
+    gap = F.col("h") - F.lag("h").over(Window.partitionBy("user_id").orderBy("h"))
+    rows = hours.withColumn("ok", F.coalesce(gap == 1, F.lit(True)))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.bool_and("ok").alias("contiguous"))
+
+
 @probe("src-24", "SELECT event_id, event_id % 7 <> 0 AND user_id % 7 <= 4 AS same_host FROM events")
 def _(t):
     host = lambda k: F.concat(F.lit("https://h"), k, F.lit(".example/x"))
@@ -313,6 +321,14 @@ def _(t):
     return crawl.crawl_stops(t.pages.select((F.col("page_id") % 10).alias("crawl"), (F.floor(F.col("page_id") / 10) + 1).alias("page"), links.alias("links")), empty=2)
 
 
+@probe("src-28-repeats", f"SELECT page_id, CASE WHEN n = 0 THEN 'no_links' WHEN same THEN 'repeated' WHEN rank > 20 THEN 'page_limit' ELSE 'go_on' END AS verdict FROM (SELECT page_id, len({_LINKS}) AS n, {_LINKS} = lag({_LINKS}) OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS same, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS rank FROM pages)")
+def _(t):
+    w = Window.partitionBy("crawl").orderBy("page_id")
+    links = F.transform(markup.html_links("html", F.lit("https://a.example/b/")), lambda x: x["url"])  # one base, so pages with equal links are told
+    rows = t.pages.select("page_id", (F.col("page_id") % 10).alias("crawl"), F.size(links).alias("n"), F.sha2(F.array_join(links, " "), 256).alias("print"))
+    return rows.select("page_id", F.when(F.col("n") == 0, "no_links").when(F.col("print") == F.lag("print").over(w), "repeated").when(F.row_number().over(w) > 20, "page_limit").otherwise("go_on").alias("verdict"))
+
+
 _ROBOTS = [
     ("User-agent: *\nDisallow: /es/\nAllow: /es/a # opens nothing", "p NOT LIKE '/es/%'"),
     ("User-agent: plaza\nDisallow: /*.html$\n\nUser-agent: *\nDisallow: /", "t NOT LIKE '%.html'"),

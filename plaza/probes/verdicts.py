@@ -190,6 +190,13 @@ def _(t):
     return judged.select(F.regexp_extract("url", "h([0-9]+)", 1).cast("long").alias("user_id"), F.array_join("problems", ",").alias("problems"))
 
 
+@probe("flt-21-repeats", "SELECT user_id, event_id, prior IS NOT NULL AND kind = 'error' AND prior = 'error' AS repeated FROM (SELECT user_id, event_id, event_type AS kind, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prior FROM events)")
+def _(t):
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = t.events.select("user_id", "event_id", M.problems([("repeated", (F.col("event_type") == "error") & (before == "error"))]).alias("problems"))
+    return rows.select("user_id", "event_id", (F.size("problems") > 0).alias("repeated"))
+
+
 @probe("flt-22", f"SELECT page_id, {_HOST} IN (SELECT {_HOST} FROM pages WHERE page_id % 40 = 0) OR page_id % 41 = 0 AS held FROM pages")
 def _(t):
     status = F.when(F.col("page_id") % 40 == 0, 429).when(F.col("page_id") % 41 == 0, 403)
