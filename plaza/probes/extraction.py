@@ -74,10 +74,13 @@ def _(t):
     return t.documents.select("doc_id", F.size(sentences("text")).cast("long").alias("sentences"))
 
 
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"  # what Unicode calls space separators
+
+
 def sentences(column):
-    """Sentences of 12 to 700 characters."""
+    """Sentences of 12 to 700 characters, without space separators around them."""
     parts = F.split(F.replace(S.either(column), F.lit("\n"), F.lit(" ")), "[.!?]+ ")
-    return F.filter(F.transform(parts, F.trim), lambda x: F.length(x).between(12, 700))
+    return F.filter(F.transform(parts, lambda x: F.trim(x, F.lit(_SPACES))), lambda x: F.length(x).between(12, 700))
 
 
 @probe("src-08", "SELECT event_id, CAST(event_id AS VARCHAR) AS uid, event_type || ', free; now' AS summary, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS starts FROM events")

@@ -9,6 +9,7 @@ from plaza.functions import collections as C
 from plaza.functions import dates as D
 from plaza.functions import numbers as N
 from plaza.functions import text as S
+from plaza.probes.extraction import sentences
 
 
 def value(spark, column):
@@ -103,3 +104,10 @@ def test_retry_after(spark):
     assert value(spark, D.retry_not_before(F.lit("90"), seen)) == dt.datetime(2024, 1, 16, 12, 1, 30)
     assert value(spark, D.retry_not_before(F.lit("Wed, 17 Jan 2024 00:00:00 GMT"), seen)) == dt.datetime(2024, 1, 17)
     assert value(spark, D.retry_not_before(F.lit("soon"), seen)) is None
+
+
+def test_sentences_keep_digits_at_their_ends(spark):
+    texts = ["Reouti anatha. 19.37.233.111", "One of them is here. 1 is the first one", " short. 1234567890 1 ", "\u00a0elevenchars\u3000. \ta tab counts", None]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(texts)], "k int, text string")
+    got = {r.k: r.s for r in rows.select("k", sentences("text").alias("s")).collect()}
+    assert got == {0: ["Reouti anatha", "19.37.233.111"], 1: ["One of them is here", "1 is the first one"], 2: ["1234567890 1"], 3: ["\ta tab counts"], 4: None}
