@@ -103,7 +103,10 @@ def _(t):
 
 @probe("flt-13", "SELECT l_orderkey, CASE WHEN arg_min(l_quantity, (l_linenumber, l_partkey)) > 10 THEN arg_min(l_partkey, (l_linenumber, l_partkey)) END AS action FROM lineitem GROUP BY l_orderkey")
 def _(t):
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("links"))
+    # of equal numbers and parts the line that the table has first
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    lines = t.lineitem.select("l_orderkey", F.struct("l_linenumber", "l_partkey", *place, "l_quantity").alias("link"))
+    rows = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("link")).alias("links"))
     lead = P.first_action("links")
     return rows.select("l_orderkey", F.when(lead["l_quantity"] > 10, lead["l_partkey"]).alias("action"))
 

@@ -1,8 +1,10 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from plaza import probes
 from plaza.functions import text as T
 from plaza.operators import forecast as W
 from plaza.operators import joins as J
@@ -181,3 +183,10 @@ def test_titles(spark):
 def test_calendar():
     text = "BEGIN:VEVENT\r\nUID:1\r\nDTSTART;VALUE=DATE:20240116\r\nSUMMARY:a\\, b\r\n  c\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:2"
     assert markup.calendar_events(text) == [{"uid": "1", "summary": "a, b c", "starts": "2024-01-16", "ends": None, "all_day": True, "location": None}]
+
+
+def test_first_of_tied_links_leads(spark, tmp_path):
+    lines = [(1, 2, 7, 41.0), (1, 2, 7, 7.0), (1, 3, 5, 1.0), (2, 1, 9, 7.0), (2, 1, 9, 41.0), (3, 1, 8, 11.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = duckdb.connect().sql(probes.oracle_sql()["flt-13"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
+    assert rows(probes.queries()["flt-13"](spark, str(tmp_path)), "l_orderkey", "action") == sorted(want) == [(1, 7), (2, None), (3, 8)]
