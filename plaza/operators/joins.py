@@ -22,10 +22,20 @@ def nested(left: DataFrame, right: DataFrame, key: str, fields: list[str], name:
     return left.join(many, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
+def with_reason(left: DataFrame, right: DataFrame, key: str, reason: str) -> DataFrame:
+    """All rows; those without a partner with the reason.
+
+    Both sides are dealt by the key, and a task holds the keys of its part: broadcast, all keys would
+    have to fit each executor, and the size of a compressed column says too little about that.
+    """
+    ids = right.select(key).distinct().withColumn("_met", F.lit(True)).hint("shuffle_hash")
+    return left.join(ids, key, "left").select(*left.columns, F.when(F.col("_met").isNull(), reason).alias("reason"))
+
+
 def with_orphans(left: DataFrame, right: DataFrame, key: str, reason: str) -> tuple[DataFrame, DataFrame]:
     """Rows that have a partner, and those that don't with the reason."""
-    ids = right.select(key).distinct()
-    return left.join(ids, key, "left_semi"), left.join(ids, key, "left_anti").withColumn("reason", F.lit(reason))
+    rows = with_reason(left, right, key, reason)
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
 
 
 def unknown(rows: DataFrame, known: DataFrame, variants: list[Column], known_variants: list[Column], id_col: str) -> DataFrame:

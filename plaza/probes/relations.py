@@ -34,8 +34,7 @@ def _(t):
 @probe("joi-03", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN o_orderkey IS NULL THEN 'unknown order' END AS reason FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ON o_orderkey = l_orderkey")
 def _(t):
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
-    kept, orphans = J.with_orphans(lines, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "unknown order")
-    return U.union_all(kept, orphans)
+    return J.with_reason(lines, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "unknown order")
 
 
 @probe("joi-04", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10)")

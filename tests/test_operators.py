@@ -190,3 +190,14 @@ def test_first_of_tied_links_leads(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     want = duckdb.connect().sql(probes.oracle_sql()["flt-13"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
     assert rows(probes.queries()["flt-13"](spark, str(tmp_path)), "l_orderkey", "action") == sorted(want) == [(1, 7), (2, None), (3, 8)]
+
+
+def test_orphans_are_found_without_a_broadcast(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (1, "d")], "k int, v string")
+    right = spark.createDataFrame([(1,), (1,), (None,), (3,)], "k int")
+    kept, orphans = J.with_orphans(left, right, "k", "unknown")
+    assert rows(kept, "k", "v") == [(1, "a"), (1, "d")] and kept.columns == ["k", "v"]
+    assert rows(orphans, "v", "reason") == [("b", "unknown"), ("c", "unknown")]
+    assert rows(J.with_reason(left, right, "k", "unknown"), "v", "reason") == [("a", None), ("b", "unknown"), ("c", "unknown"), ("d", None)]
+    for df in (kept, orphans, J.with_reason(left, right, "k", "unknown")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
