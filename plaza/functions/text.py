@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache, reduce
 
@@ -21,6 +22,22 @@ def borders(pattern: str) -> str:
     return pattern.replace(r"\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
 
 
+def holds_any(column, pattern: str) -> Column:
+    """Whether a text matches one of the alternatives of ``pattern``, words with at most borders and optional characters in them.
+
+    Words are looked for as they are, which takes a small part of a regular expression's time;
+    an alternative that is more than its word is tried only where its first letters are.
+    """
+    found = F.lit(False)
+    for alternative in pattern.split("|"):
+        word = re.match(r"(?:\\b)?([\w -]*\w(?![?*+{]))", alternative)
+        if not word or re.search(r"[()]", alternative):
+            raise ValueError(f"no alternative that begins with letters: {alternative}")
+        said = F.contains(either(column), F.lit(word[1]))
+        found = found | (said if word[0] == alternative and word[1] == alternative else said & either(column).rlike(borders(alternative)))
+    return found
+
+
 def truthy(column) -> Column:
     """A string, or null where it is blank."""
     text = F.trim(either(column))

@@ -9,6 +9,7 @@ from plaza.functions import collections as C
 from plaza.functions import dates as D
 from plaza.functions import numbers as N
 from plaza.functions import text as S
+from plaza.operators import facts
 from plaza.probes.extraction import sentences
 
 
@@ -111,3 +112,20 @@ def test_sentences_keep_digits_at_their_ends(spark):
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(texts)], "k int, text string")
     got = {r.k: r.s for r in rows.select("k", sentences("text").alias("s")).collect()}
     assert got == {0: ["Reouti anatha", "19.37.233.111"], 1: ["One of them is here", "1 is the first one"], 2: ["1234567890 1"], 3: ["\ta tab counts"], 4: None}
+
+
+def test_words_are_found_as_by_regular_expressions(spark):
+    words = [*facts.IMPORT_CATEGORIES, *facts.CLEAN_CATEGORIES]
+    parts = ["game", "games", "vs", "vs.", "evs", "dj", "djs", "standup", "stand-up", "stand up", "stand  up", "hip hop", "art", "arts", "cart", "party", "tour", "détour", "éart", "arté", "paddle", "x", "fair", "fairs", "all-ages", "jimmy carr", "rock", "rocks_", "play", "", "opera"]
+    texts = [*parts, *[f"{a}{mark}{b}" for a in parts for b in parts[::3] for mark in (" ", "_", ".", "é")], "a\nvs.\nb", None]
+    found = lambda how: F.array(*[how(F.col("t"), w) for _, w in words])
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", found(S.holds_any).alias("a"), found(lambda c, w: c.rlike(S.borders(w))).alias("b")).collect()
+    assert len(got) == len(texts) and all(r.a == r.b for r in got)
+
+
+def test_words_are_looked_for_before_patterns(spark):
+    plan = spark.createDataFrame([("a",)], "t string").select(facts.categories("t"))._jdf.queryExecution().analyzed().toString()
+    assert "Contains" in plan or "contains" in plan
+    with pytest.raises(ValueError):
+        S.holds_any("t", "[ab]c")
