@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -660,3 +661,30 @@ def test_pipeline(spark, docs, none):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
         assert empty.count() == 0
+
+
+def test_urls_learn_from_every_labelled_row(spark):
+    said = lambda i: (f"news{i % 9}.com/p{i}", "allow") if i % 3 else (f"spam{i % 7}.net/es/{'x' * (600 if i == 3 else 3)}{i}", "block")
+    data = [said(i) for i in range(25_000)]
+    rows = spark.createDataFrame(data, "t string, label string")
+    model = urls.learn(rows)
+    kept = {r.t for r in rows.where(F.pmod(F.xxhash64("t", F.lit(1)), F.lit(urls.CALIBRATE)) == 0).select("t").collect()}
+    for label, own in zip(("allow", "block"), model.models):
+        fit = [t for t, x in data if x == label and t not in kept]
+        assert own.total[""] == sum(map(len, fit)) and own.counts["s"] == sum(t.count("s") for t in fit)
+    scored = sorted((model.score(t), x == "allow") for t, x in data if t in kept)
+    assert model.threshold == pytest.approx(best_threshold(scored))
+
+
+def best_threshold(scored):
+    scores, good, bad = sorted({s for s, _ in scored}), sum(y for _, y in scored), sum(not y for _, y in scored)
+    balanced = lambda t: sum(s >= t for s, y in scored if y) / good + sum(s < t for s, y in scored if not y) / bad
+    return max((round(balanced(t), 12), -abs(t), t) for t in [scores[0], *[(a + b) / 2 for a, b in zip(scores, scores[1:])]])[2]
+
+
+def test_threshold_of_urls_over_several_tasks(spark):
+    rng = random.Random(5)
+    scored = [(round(rng.gauss(0.4 if y else -0.3, 0.5), 2), y) for y in (True, True, False) for _ in range(150)]
+    got = urls.threshold(spark.createDataFrame(scored, "score double, good boolean").repartition(5))
+    assert got == pytest.approx(best_threshold(scored))
+    assert urls.threshold(spark.createDataFrame([(0.5, True)], "score double, good boolean")) == 0.0
