@@ -5,9 +5,9 @@ letters' vectors, each rotated by its place; a text is the bundle (sum) of its
 n-grams' vectors; a language's prototype is the bundle of its texts' unit
 vectors. A text gets the language whose prototype has the largest cosine.
 
-The prototypes are learned from at most about ``FIT_ROWS`` labelled rows, drawn
-by a hash of their id; bundling runs as a Spark aggregation and only languages x
-``DIMENSIONS`` sums reach the driver. Every text is read whole.
+The prototypes, and the floors of scores, are learned from all labelled rows;
+bundling runs as a Spark aggregation and only languages x ``DIMENSIONS`` sums
+reach the driver. Every text is read whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0,
 and so is every text when nothing was learned; ties go to the language that
@@ -32,7 +32,6 @@ from plaza.llm.common import released, table, without, worker_memory
 DIMENSIONS = 1024
 NGRAM = 3
 SEED = 7
-FIT_ROWS = 20_000
 MOST_NGRAMS = 40_000
 UNKNOWN = "und"
 FLOOR = 0.7
@@ -115,16 +114,9 @@ def _profile(text: str | None) -> tuple[np.ndarray | None, int]:
     return (vector / norm if norm else None), int(counts.sum())
 
 
-def _drawn(rows: DataFrame, fit_rows: int) -> DataFrame:
-    """At most about ``fit_rows`` of the labelled rows (id, lang, text)."""
+def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and prototypes from all rows (id, lang, text) that have a language."""
     rows = rows.where("lang is not null")
-    n = rows.count()
-    return rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30))) if n > fit_rows else rows
-
-
-def learn(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and prototypes from rows (id, lang, text)."""
-    rows = _drawn(rows, fit_rows)
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
@@ -175,13 +167,13 @@ def size_class(n_ngrams: str):
     return F.floor(F.log2(F.col(n_ngrams))).cast("int")
 
 
-def floors(rows: DataFrame, model: tuple[list[str], np.ndarray], fit_rows: int = FIT_ROWS) -> dict[int, float]:
+def floors(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> dict[int, float]:
     """For each class of sizes the score under which a text is in none of the languages.
 
     ``FLOOR`` times the score that all but one in a thousand of the labelled rows
     (id, lang, text) of the class reach; classes of fewer than ``LEAST_FLOOR`` rows have none.
     """
-    own = predict(_drawn(rows, fit_rows), model).where("n_ngrams > 0")
+    own = predict(rows.where("lang is not null"), model).where("n_ngrams > 0")
     found = own.groupBy(size_class("n_ngrams").alias("k")).agg(F.percentile_approx("score", 0.001, 10_000).alias("low"), F.count("*").alias("n"))
     return {r.k: FLOOR * r.low for r in found.where(F.col("n") >= LEAST_FLOOR).collect()}
 

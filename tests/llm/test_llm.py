@@ -688,3 +688,12 @@ def test_threshold_of_urls_over_several_tasks(spark):
     got = urls.threshold(spark.createDataFrame(scored, "score double, good boolean").repartition(5))
     assert got == pytest.approx(best_threshold(scored))
     assert urls.threshold(spark.createDataFrame([(0.5, True)], "score double, good boolean")) == 0.0
+
+
+def test_language_learns_from_every_labelled_row(spark):
+    data = [(i, "aa" if i % 2 else "bb", "lorem" if i % 2 else "ipsum") for i in range(25_000)] + [(i, f"l{i}", "zyx") for i in range(25_000, 25_040)]
+    langs, prototypes = langid.learn(spark.createDataFrame(data, "id long, lang string, text string").repartition(4))
+    assert langs == ["aa", "bb", *[f"l{i}" for i in range(25_000, 25_040)]] and np.allclose(prototypes[2], langid.profile("zyx"), atol=1e-6)
+    model = langs, prototypes
+    floors = langid.floors(spark.createDataFrame(data, "id long, lang string, text string"), model)
+    assert floors and list(floors.values()) == pytest.approx([langid.FLOOR] * len(floors), abs=1e-5)
