@@ -14,9 +14,9 @@ numbers, IPv6, ``a (at) b (dot) c``, card numbers with dots or slashes) are
 learned from planted ones: base spans are rewritten so where they stand, beside
 look-alikes that are wrong, and secrets get other lengths. What the texts themselves hold of such forms, and
 what lies inside a base span, has no label and is left out. Thresholds count
-only proposals that could be added, so none that meets a base span. At most about ``FIT_ROWS`` rows, drawn by a hash of
-their id, with at most ``FIT_PROPOSALS`` proposals each, are used for fitting;
-every text is searched whole.
+only proposals that could be added, so none that meets a base span. All proposals of all
+rows are used for fitting: borders of bins are their exact quantiles, equal binned proposals are counted
+in Spark, and the trees are fitted on the different ones with their counts. Every text is searched whole.
 
 Defined results: a null text is empty and has no span; repeated rows are
 searched each; an empty table gives an empty table; without any right proposal
@@ -37,13 +37,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaza.llm.boosting import Boosted
-from plaza.llm.common import forget, released, table
+from plaza.llm.boosting import Boosted, binned
+from plaza.llm.common import Scratch, forget, released, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
-FIT_ROWS = 40_000
-FIT_PROPOSALS = 64
 PRECISION = 0.95
 LEAST_RIGHT = 20  # of a kind, in the rows that set its threshold
 
@@ -271,11 +269,7 @@ def _slices(batches, rows: int = 1024):
             yield batch.slice(at, rows)
 
 
-def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    n = docs.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    rows = docs.select("doc_id", "text").where(part < min(1 << 30, int(fit_rows / max(n, 1) * (1 << 30))))
-
+def learn(docs: DataFrame) -> Model:
     def examples(batches):
         for batch in _slices(batches, 128):
             out, right_, kept = [], [], []
@@ -284,7 +278,7 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
                 base = base_spans(text)
                 taken = _merged(base)
                 one_in_four = hashlib.md5(str(doc).encode()).digest()[0] % 4 == 0
-                own = sorted(proposals(text), key=lambda p: hashlib.md5(repr(p).encode()).digest())[:FIT_PROPOSALS]
+                own = proposals(text)
                 labels = [(text, p, right(text, p, set(base)), not _meets(taken, p[1], p[2])) for p in own]
                 labels += [(near, p, good, True) for near, p, good in planted(text, base, own)]
                 for where, span, good, free in labels:
@@ -294,28 +288,42 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
                         kept.append((1 if free else 2) if one_in_four else 0)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float32())), pa.array(right_, pa.bool_()), pa.array(kept, pa.int32())], names=["x", "y", "kept"])
 
-    got = rows.mapInArrow(released(examples), "x array<float>, y boolean, kept int").toArrow().combine_chunks()
-    if not got.num_rows:
-        return Model(None, {})
-    y, kept = (got[c].to_numpy().astype(t) for c, t in (("y", float), ("kept", int)))
-    x = pc.list_flatten(got["x"]).to_numpy().reshape(len(y), -1).astype(float)
-    order = np.lexsort(x.T)  # the same model whatever order tasks end in
-    x, y, kept = x[order], y[order], kept[order]
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.cut(docs.select("doc_id", "text").mapInArrow(released(examples), "x array<float>, y boolean, kept int"))
+        width, trees = len(features("0", ("ip", 0, 1))), Boosted()
+        shares = F.array(*map(F.lit, trees.quantiles()))
+        borders = rows.where("kept = 0").agg(*[F.percentile(F.col("x")[j].cast("double"), shares).alias(f"x{j}") for j in range(width)]).first()
+        if borders.x0 is None:
+            return Model(None, {})
+        edges = [np.unique(np.array(e, float)) for e in borders]
+
+        def coded(batches):
+            for batch in batches:
+                x = pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).reshape(batch.num_rows, width).astype(float)
+                codes = binned(x, edges).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1), batch.column(2)], names=["kind", "codes", "y", "kept"])
+
+        got = rows.mapInArrow(coded, "kind int, codes binary, y boolean, kept int").groupBy("kind", "codes", "y", "kept").count().toArrow().combine_chunks()
+    y, kept, kind, n = (np.array(got[c].to_pylist(), t) for c, t in (("y", float), ("kept", int), ("kind", int), ("count", float)))
+    codes = np.frombuffer(b"".join(got["codes"].to_pylist()), np.uint8).reshape(len(y), width).astype(np.int64)
+    order = np.lexsort([kept, y, kind, *codes.T])  # the same model whatever order tasks end in
+    codes, y, kept, kind, n = codes[order], y[order], kept[order], kind[order], n[order]
     fit, free = kept == 0, kept == 1  # 2: kept out of fitting, but meets a base span and is never added
     if not y[fit].any() or not y[free].any():
         return Model(None, {})
-    trees = Boosted().fit(x[fit], y[fit])
-    return Model(trees, thresholds(trees.probability(x[free]), y[free], x[free, 0].astype(int)))
+    trees.fit(codes[fit], y[fit], n[fit], edges)
+    return Model(trees, thresholds(trees.probability_of(codes[free]), y[free], kind[free], n[free]))
 
 
-def thresholds(chance: np.ndarray, y: np.ndarray, kind: np.ndarray) -> dict[str, float]:
-    """For each kind the lowest probability from which on ``PRECISION`` of the proposals are right."""
+def thresholds(chance: np.ndarray, y: np.ndarray, kind: np.ndarray, n: np.ndarray) -> dict[str, float]:
+    """For each kind the lowest probability from which on ``PRECISION`` of the proposals are right; each stands for ``n`` equal ones."""
     out = {}
     for k, name in enumerate(KINDS):
-        own = np.argsort(-chance[kind == k], kind="stable")
-        p, hit = chance[kind == k][own], np.cumsum(y[kind == k][own])
+        own = np.flatnonzero(kind == k)
+        own = own[np.argsort(-chance[own], kind="stable")]
+        p, hit, met = chance[own], np.cumsum(n[own] * y[own]), np.cumsum(n[own])
         last = np.append(p[1:] < p[:-1], True)[: len(p)]  # equal probabilities stand or fall together
-        good = np.flatnonzero(last & (hit >= PRECISION * np.arange(1, len(p) + 1)) & (hit >= LEAST_RIGHT))
+        good = np.flatnonzero(last & (hit >= PRECISION * met) & (hit >= LEAST_RIGHT))
         if len(good):
             out[name] = float(max(p[good[-1]], 0.5))
     return out

@@ -697,3 +697,31 @@ def test_language_learns_from_every_labelled_row(spark):
     model = langs, prototypes
     floors = langid.floors(spark.createDataFrame(data, "id long, lang string, text string"), model)
     assert floors and list(floors.values()) == pytest.approx([langid.FLOOR] * len(floors), abs=1e-5)
+
+
+def test_personal_data_is_learned_from_every_proposal(spark, monkeypatch):
+    said = lambda i: f"mail u{i}@mail.example, ip 10.0.{i % 200}.7 or call +1 ({200 + i}) 555-{1000 + i} " + " ".join(f"{k % 9}.{k}.1" for k in range(90))
+    data = [(i, said(i)) for i in range(60)]
+    seen = {}
+    fit = pii.Boosted.fit
+    monkeypatch.setattr(pii.Boosted, "fit", lambda self, codes, y, n, edges: seen.update(n=n.sum(), right=(n * y).sum()) or fit(self, codes, y, n, edges))
+    model = pii.learn(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
+    labels = []
+    for i, t in data:
+        if hashlib.md5(str(i).encode()).digest()[0] % 4:
+            base, own = pii.base_spans(t), pii.proposals(t)
+            labels += [pii.right(t, p, set(base)) for p in own] + [good for _, _, good in pii.planted(t, base, own)]
+    labels = [x for x in labels if x is not None]
+    assert seen == {"n": len(labels), "right": sum(labels)} and len(labels) > 90 * 40 and model.trees
+
+
+def test_counted_rows_give_the_same_trees():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (3000, 4)).astype(float)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 2, 3000) > 9).astype(float)
+    edges = [np.unique(np.quantile(x[:, j], pii.Boosted().quantiles())) for j in range(4)]
+    codes = pii.binned(x, edges)
+    one = pii.Boosted().fit(codes, y, np.ones(3000), edges)
+    rows, n = np.unique(np.column_stack([codes, y]), axis=0, return_counts=True)
+    many = pii.Boosted().fit(rows[:, :4].astype(int), rows[:, 4], n.astype(float), edges)
+    assert len(rows) < 2600 and np.allclose(one.probability(x), many.probability(x))
