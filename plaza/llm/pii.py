@@ -116,7 +116,10 @@ _CUES = (("mail", "@"), ("ip", "host", "server", "address"), ("card", "visa", "c
 
 
 def proposals(text: str) -> list[Span]:
-    return sorted({(kind, *m.span()) for kind, pattern in _GENERATORS for m in pattern.finditer(text)}, key=lambda s: s[1:])
+    # a text without a sign that each match of a kind holds isn't searched for the kind
+    signs = {"email": "@" in text or "at)" in text or "at]" in text, "secret": True, "ip": "." in text or ":" in text}
+    signs["card"] = signs["phone"] = bool(_DIGIT.search(text))
+    return sorted({(kind, *m.span()) for kind, pattern in _GENERATORS if signs[kind] for m in pattern.finditer(text)}, key=lambda s: s[1:])
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -125,13 +128,13 @@ def features(text: str, span: Span) -> list[float]:
     own = text[s:e]
     groups = [len(g) for g in re.split(r"[^0-9A-Za-z]+", own) if g]
     digits = sum(map(own.count, "0123456789"))
-    letters = sum(c.isalpha() for c in own)
+    letters = sum(map(str.isalpha, own))
     before, after = text[max(0, s - 24) : s], text[e : e + 2]
     low = before.lower()
     return [
         KINDS.index(kind), e - s, digits, letters, digits / (e - s), len(set(own)) / (e - s), len(groups), max(groups, default=0), min(groups, default=0),
         own.count("."), own.count("-"), own.count(" "), own.count("(") + own.count(")"), own.count("@"), own[:1] == "+", own.count(":"),
-        sum(c in "abcdefABCDEF" for c in own), sum(c.isupper() for c in own), bool(before) and before[-1].isalnum(), bool(before) and before[-1] in "+-.(\"'=:",
+        sum(map(own.count, "abcdefABCDEF")), sum(map(str.isupper, own)), bool(before) and before[-1].isalnum(), bool(before) and before[-1] in "+-.(\"'=:",
         bool(after) and after[0].isalnum(), bool(after) and after[0] in "\"')", after[:1] in (".", "-", "@") and after[1:2].isalnum(), any(c in low for c in _CUES[KINDS.index(kind)]), bool(_NAMED.search(before)),
     ]
 
@@ -279,7 +282,8 @@ def learn(docs: DataFrame) -> Model:
                 taken = _merged(base)
                 one_in_four = hashlib.md5(str(doc).encode()).digest()[0] % 4 == 0
                 own = proposals(text)
-                labels = [(text, p, right(text, p, set(base)), not _meets(taken, p[1], p[2])) for p in own]
+                known = set(base)
+                labels = [(text, p, right(text, p, known), not _meets(taken, p[1], p[2])) for p in own]
                 labels += [(near, p, good, True) for near, p, good in planted(text, base, own)]
                 for where, span, good, free in labels:
                     if good is not None:
