@@ -319,7 +319,8 @@ def encode(docs: DataFrame, path: str | None = None, unigram: bool = False) -> D
     """doc_id, ids (binary: little-endian unsigned 32-bit) and text_crc32 (of the source, in UTF-8) of every row of ``docs``."""
     vocabulary = Vocabulary.load(path or public_tokenizers.path(MODEL))
     spark = docs.sparkSession
-    blocks = _bucketed(blocks_of(docs, vocabulary), max(8, docs.rdd.getNumPartitions()))
+    # with fewer buckets than a shuffle has partitions, Spark would deal out whole blocks anew for the join
+    blocks = _bucketed(blocks_of(docs, vocabulary), max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
     placed = blocks.select("block", F.posexplode("words").alias("k", "word"))
     words = placed.groupBy("word").agg(F.count("*").alias("times"))
     plain = F.char_length("word") <= LONG

@@ -579,6 +579,17 @@ def test_heap_and_fold_agree(spark, word):
     assert lattice.spell(df, vocabulary).first().ids == lattice._long(df, vocabulary).first().ids
 
 
+def test_blocks_of_a_lattice_stay_in_place(spark, docs):
+    """However many partitions a shuffle has, ids move to the blocks and no block moves."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        plan = lattice.encode(docs.coalesce(1))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert "FileScan" in plan and not re.search(r"Exchange hashpartitioning\(block[^\n]*\n[^\n]*FileScan", plan)
+
+
 def test_viterbi_fold(spark):
     pieces = [("a", 0, -1.0), ("b", 1, -1.5), ("ab", 2, -2.0), ("ba", 3, -0.5), ("aba", 4, -9.0)]
     vocabulary = lattice.Vocabulary(pieces, 100, [])
