@@ -187,15 +187,34 @@ def _state(parts: Column, ranks: Column) -> Column:
 
 
 class Starts:
-    """What a fold begins with: a word's bytes as parts between two edges, and the rank of each two neighbours."""
+    """What the folds of words begin with: a word's bytes as parts between two edges, and the rank of each two neighbours."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.of = {b: id_letter(ranks[bytes([b])]) for b in range(256)}
-        self.pairs = {pair: id_letter(rank) for pair, rank in ranks.items() if len(pair) == 2}
-
-    def __call__(self, word: bytes) -> dict[str, str]:
-        ranks = [self.pairs.get(word[k : k + 2], NEVER) for k in range(len(word) - 1)]
-        return {"parts": EDGE + "".join(map(self.of.__getitem__, word)) + EDGE, "ranks": "".join([NEVER, *ranks, NEVER])}
+        edge = 256
+        self.of = np.array([*(ord(id_letter(ranks[bytes([b])])) for b in range(edge)), ord(EDGE)], "<u4")
+        self.pairs = np.full((edge + 1, edge + 1), ord(NEVER), "<u4")
+        for pair, rank in ranks.items():
+            if len(pair) == 2:
+                self.pairs[pair[0], pair[1]] = ord(id_letter(rank))
+
+    def __call__(self, words: list[bytes]) -> pa.StructArray:
+        """parts and ranks of each word, all words at once."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        ends = np.cumsum(sizes)
+        own, inside = np.full(int(sizes.sum()), 256, np.uint16), np.ones(int(sizes.sum()), bool)
+        inside[ends - sizes] = inside[ends - 1] = False
+        own[inside] = np.frombuffer(b"".join(words), np.uint8)
+        within = np.ones(max(0, len(own) - 1), bool)
+        within[ends[:-1] - 1] = False  # the last edge of a word and the first of the next
+        ranks = self.pairs[own[:-1], own[1:]][within]
+        return pa.StructArray.from_arrays([_strings(self.of[own], sizes), _strings(ranks, sizes - 1)], names=["parts", "ranks"])
+
+
+def _strings(codes: np.ndarray, sizes: np.ndarray) -> pa.StringArray:
+    """Strings of so many code points each, which lie end to end in ``codes``."""
+    bytes_ = np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), dtype=np.int64)
+    offsets = np.append(0, bytes_[np.cumsum(sizes) - 1]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(codes.tobytes().decode("utf-32-le").encode()))
 
 
 @functools.lru_cache(2)
@@ -284,12 +303,20 @@ def looked_up(docs: DataFrame, path: str | None = None, most: int = COMMON, coun
     """doc_id, ids and folded of every row of ``docs``: ids of the common words and, for each other word, -1 - its place in folded (array<array<int>>)."""
     spark, path, own = docs.sparkSession, path or ranks_path(), patterns()
     ranks = read_ranks(path)
-    merges, starts, alone = Merges(ranks), Starts(ranks), unreached(path)
-    words = common(cut(word_counts(sampled(docs, counted))), most).select("word").toArrow()["word"].to_pylist() if most else []
-    asked = pa.table({"word": pa.array(words, pa.string()), "start": pa.array([starts(w.encode()) for w in words], pa.struct([("parts", pa.string()), ("ranks", pa.string())]))})
-    parts = spark.sparkContext.defaultParallelism
-    known = spark.createDataFrame(asked).repartition(parts).select("word", merges.ids(F.array("start"))[0].alias("ids")).toArrow()
-    sent, key = spark.sparkContext.broadcast((known["word"].to_pylist(), known["ids"].combine_chunks())), uuid.uuid4().hex
+    merges, alone = Merges(ranks), unreached(path)
+    del ranks  # what the driver holds counts there; tasks read the file themselves
+
+    def started(batches):
+        starts = Starts(read_ranks(path))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), starts(batch.column(0).cast(pa.binary()).to_pylist())], names=["word", "start"])
+
+    frequent = common(cut(word_counts(sampled(docs, counted))), most) if most else spark.createDataFrame([], "word string")
+    begun = frequent.select("word").repartition(spark.sparkContext.defaultParallelism).mapInArrow(released(started), "word string, start struct<parts:string,ranks:string>")
+    known = begun.select("word", merges.ids(F.array("start"))[0].alias("ids")).toArrow()
+    # no Python object for each word in the driver
+    sent, key = spark.sparkContext.broadcast((known["word"].combine_chunks(), known["ids"].combine_chunks())), uuid.uuid4().hex
+    del known
 
     class Ids(dict):
         """Ids of the common words; a word that is missing is one of the present text's own, which are let go after it."""
@@ -300,12 +327,12 @@ def looked_up(docs: DataFrame, path: str | None = None, most: int = COMMON, coun
                 ids = tuple(merged_by_heap(coded, self.ranks))
             else:
                 ids = (-1 - len(self.folds),)
-                self.folds.append(self.starts(coded))
+                self.folds.append(coded)
             self[word] = ids
             self.own.append(word)
             return ids
 
-        def of(self, words: list[str]) -> tuple[np.ndarray, list[dict[str, str]]]:
+        def of(self, words: list[str]) -> tuple[np.ndarray, list[bytes]]:
             self.own, self.folds = [], []
             ids = np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.int32)
             for word in self.own:
@@ -316,7 +343,7 @@ def looked_up(docs: DataFrame, path: str | None = None, most: int = COMMON, coun
         words, ids = sent.value
         ranks = read_ranks(path)
         one_each = list(range(max(ranks.values()) + 1))  # one number object for each id
-        at = Ids(zip(words, (tuple(map(one_each.__getitem__, x)) for x in ids.to_pylist())))
+        at = Ids(zip(words.to_pylist(), (tuple(map(one_each.__getitem__, x)) for x in ids.to_pylist())))
         at.update({word.decode(): (rank,) for word, rank in alone.items() if _is_text(word)})
         at.starts, at.ranks = Starts(ranks), ranks
         return Cutter(*own), at
@@ -327,7 +354,8 @@ def looked_up(docs: DataFrame, path: str | None = None, most: int = COMMON, coun
         def sent_on(docs_, found):
             ends = np.cumsum([0, *(len(ids) for ids, _ in found)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([ids for ids, _ in found])))
-            folds = pa.array([folds for _, folds in found], pa.list_(pa.struct([("parts", pa.string()), ("ranks", pa.string())])))
+            places = np.cumsum([0, *(len(folds) for _, folds in found)], dtype=np.int32)
+            folds = pa.ListArray.from_arrays(pa.array(places), at.starts([word for _, folds in found for word in folds]))
             return pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), ids, folds], names=["doc_id", "ids", "words"])
 
         for batch in batches:

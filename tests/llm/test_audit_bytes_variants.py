@@ -140,6 +140,17 @@ def test_common_words_are_bounded(spark):
         assert len(chosen) == sum(n >= min(chosen, default=10**9) for n in [*range(2, 2000), *[5] * 500])  # no more frequent word is left out
 
 
+def test_starts_of_many_words():
+    """Parts and ranks of words laid out together are those of each word."""
+    ranks = bytebpe.read_ranks(bytebpe.ranks_path())
+    draw, letter = random.Random(6), bytebpe.id_letter
+    words = [bytes(draw.choice(b"aeinrst\xc3\xa9\xff ") for _ in range(draw.randint(1, 64))) for _ in range(300)]
+    pair = lambda p: letter(ranks[p]) if p in ranks else bytebpe.NEVER
+    want = [{"parts": " " + "".join(letter(ranks[bytes([b])]) for b in w) + " ", "ranks": "".join([bytebpe.NEVER, *(pair(w[k : k + 2]) for k in range(len(w) - 1)), bytebpe.NEVER])} for w in words]
+    assert bytebpe.Starts(ranks)(words).to_pylist() == want
+    assert bytebpe.Starts(ranks)([]).to_pylist() == []
+
+
 def test_heap_merges_as_the_library(library):
     ranks = bytebpe.read_ranks(bytebpe.ranks_path())
     draw = random.Random(5)
