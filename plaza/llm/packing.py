@@ -52,6 +52,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                         for name, value in zip(out, (doc, k, start, len(own), own.astype("<u4").tobytes())):
                             out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, schema=ARROW)
+                model.pieces.clear()  # few are met again in other words, and they take as much as the words
+        model.forget()  # a worker that waits holds the model alone
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(cut_up), "doc_id long, piece int, start long, length long, ids binary")
 

@@ -59,9 +59,10 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.ask = self.model.model.tokenize
         self.bounds = most_words, most_ids
-        self._forget()
+        self.forget()
 
-    def _forget(self):
+    def forget(self):
+        """Empty the word memory; the model stays."""
         self.seen = _Seen()
         self.pieces: dict[bytes, bytes] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -118,7 +119,7 @@ class WordTokenizer:
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit arrays, with END appended; a null text has END alone."""
         if len(self.seen) > self.bounds[0] or self.used > self.bounds[1]:
-            self._forget()
+            self.forget()
         at = self.seen.__getitem__
         words = []
         for text in texts:

@@ -162,6 +162,21 @@ def test_best_fit_keeps_every_capacity():
     assert len(set(bins.tolist())) <= 1.05 * sizes.sum() / 100  # half of the pieces are over half a bin
 
 
+def test_workers_keep_no_words_after_packing(spark, docs):
+    packing.pieces(docs).collect()
+
+    def held(batches):
+        import pyarrow as pa
+
+        from plaza.llm import common
+
+        for _ in batches:
+            model = common._held[1]
+            yield pa.RecordBatch.from_pydict({"n": [len(getattr(model, name, ())) for name in ("seen", "pieces")]})
+
+    assert {r.n for r in spark.range(0, 8, 1, 4).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_packing(docs, none):
     got = packing.packed_documents(docs).collect()
     want = []
