@@ -4,8 +4,8 @@ A text is cut into words where no piece of the vocabulary spans the border, so
 a word's pieces don't depend on its neighbours. Texts are laid out in blocks: a
 block's distinct words once, and for each text the numbers of its words. Then
 
-1. the distinct words of all blocks explode into substrings no longer than the
-   longest piece,
+1. the distinct words of all blocks explode into substrings of two characters
+   and of those lengths that pieces with the same three first characters have,
 2. an equi-join with the piece table (broadcast: its rows are the vocabulary's)
    keeps the substrings that are pieces, the edges of the lattice,
 3. edges are grouped by word, and Spark's ``aggregate`` folds over them,
@@ -28,7 +28,8 @@ edges are looked at. ``Vocabulary.odd`` holds the pieces for which this isn't so
 ``LONG`` characters, whose borders don't fit a number of 64 bits, are merged with
 a heap instead, or for a unigram vocabulary searched by a linear Viterbi.
 
-Characters without a piece become byte pieces. Defined results: a null or empty
+Borders that stay around one character need no edge: its id is looked up, and
+characters without a piece become byte pieces. Defined results: a null or empty
 text has no ids; repeated rows are encoded each; an empty table gives an empty
 table; other columns are ignored. A text that holds the mark of a space itself
 is not given back as it was.
@@ -53,7 +54,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from plaza.llm.common import Scratch, released, shared_folder, table, worker_memory
+from plaza.llm.common import Scratch, forget, released, shared_folder, table, worker_memory
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -61,12 +62,12 @@ SPACE = "▁"
 LONG = 60
 #: A block is closed after so many characters, or so many distinct words.
 BLOCK_CHARS = 1 << 22
-BLOCK_WORDS = 50_000
+BLOCK_WORDS = 100_000
 #: At most so many words, those in most blocks, reach every worker with their ids (about 30 bytes each); the others are joined.
 COMMON = 200_000
 #: Words of texts that are spelt out at once.
 SLICE_WORDS = 100_000
-#: Bits of an edge's number: rank, then start, length and id. A single character has the greatest rank; without a piece, the greatest id.
+#: Bits of an edge's number: rank, then start, length and id. A character without a piece has the greatest id.
 ID_BITS, PLACE_BITS = 20, 6
 NO_ID = (1 << ID_BITS) - 1
 
@@ -97,6 +98,14 @@ class Vocabulary:
         ranks = {s: k for k, s in enumerate(sorted({s for _, _, s in self.pieces}, reverse=True))}
         return spark.createDataFrame([(p, i, s, ranks[s]) for p, i, s in self.pieces], "sub string, id int, score double, rank int")
 
+    def heads(self, spark: SparkSession, shortest: int) -> DataFrame:
+        """head (three characters) and ks: ``shortest`` to two, and the lengths of the pieces that begin so."""
+        found = collections.defaultdict(set)
+        for p, _, _ in self.pieces:
+            if len(p) > 2:
+                found[p[:3]].add(len(p))
+        return spark.createDataFrame([(h, [*range(shortest, 3), *sorted(ks)]) for h, ks in found.items()], "head string, ks array<int>")
+
     def odd(self) -> set[str]:
         """Pieces that one pass over better edges doesn't spell as themselves, or that share a score; of these, those that hold no other."""
         scores = {p: s for p, _, s in self.pieces}
@@ -126,6 +135,22 @@ def words_of(text: str, number: np.ndarray, pairs: np.ndarray) -> list[str]:
     return [marked[a:b] for a, b in itertools.pairwise([0, *borders, len(marked)])]
 
 
+def _numbered() -> collections.defaultdict:
+    """A dictionary that numbers its keys as they are met."""
+    seen = collections.defaultdict(int)
+    seen.default_factory = seen.__len__
+    return seen
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, compressed byte by byte: their first bytes, their second ones and so on."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def merged(word: str, scores: dict[str, float]) -> list[str]:
     """The symbols of a word after all merges, best score first, with a heap."""
     text, after = list(word), list(range(1, len(word) + 1))
@@ -170,25 +195,26 @@ def blocks_of(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_
     number, pairs = vocabulary.spans()
 
     def lay_out(batches):
+        forget()
         part, k = TaskContext.get().partitionId(), 0
-        ids, crcs, sizes, numbers, seen, chars = [], [], [], [], {}, 0
+        ids, crcs, sizes, numbers, seen, chars = [], [], [], [], _numbered(), 0
 
         def row():
-            flat = np.concatenate([np.array(sizes, np.uint32), *numbers]) if sizes else np.zeros(0, np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([ids], pa.list_(pa.int64())), pa.array([crcs], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=1).compress(flat.astype("<u4").tobytes())], pa.binary()), pa.array([list(seen)], pa.list_(pa.string()))], names=["block", "doc_ids", "crcs", "layout", "words"])
+            flat = np.concatenate([np.array(sizes, np.uint32), *numbers])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([ids], pa.list_(pa.int64())), pa.array([crcs], pa.list_(pa.int64())), pa.array([_packed(flat)], pa.binary()), pa.array([list(seen)], pa.list_(pa.string()))], names=["block", "doc_ids", "crcs", "layout", "words"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                own = words_of(text, number, pairs)
                 ids.append(doc)
                 crcs.append(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+                own = words_of(text, number, pairs)
                 sizes.append(len(own))
-                numbers.append(np.fromiter((seen.setdefault(w, len(seen)) for w in own), np.uint32, len(own)))
-                chars += sum(map(len, own))
+                numbers.append(np.fromiter(map(seen.__getitem__, own), np.uint32, len(own)))
+                chars += len(text) + bool(text)
                 if chars >= block_chars or len(seen) >= block_words:
                     yield row()
-                    ids, crcs, sizes, numbers, seen, chars, k = [], [], [], [], {}, 0, k + 1
+                    ids, crcs, sizes, numbers, seen, chars, k = [], [], [], [], _numbered(), 0, k + 1
         if ids:
             yield row()
 
@@ -196,23 +222,26 @@ def blocks_of(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_
     return rows.mapInArrow(released(lay_out), "block long, doc_ids array<long>, crcs array<long>, layout binary, words array<string>")
 
 
-def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``words`` with s, e, id, score, rank: the substrings of each word that are pieces, and its single characters also without a piece (nulls)."""
+def substrings(words: DataFrame, vocabulary: Vocabulary, shortest: int = 2) -> DataFrame:
+    """``words`` with s, k, sub: the substrings of at least ``shortest`` characters that may be pieces by their heads, and each word's first character."""
     starts = words.select("*", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
-    ends = starts.select("*", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.char_length("word")))).alias("e"))
-    subs = ends.withColumn("sub", F.substr("word", F.col("s") + 1, F.col("e") - F.col("s")))
-    return subs.join(F.broadcast(pieces), "sub", "left").where("id is not null or e = s + 1").select(*words.columns, "s", "e", "id", "score", "rank")
+    met = starts.join(F.broadcast(vocabulary.heads(words.sparkSession, shortest)), F.substr("word", F.col("s") + 1, F.lit(3)) == F.col("head"), "left")
+    ks = F.coalesce("ks", F.array(*map(F.lit, range(shortest, 3))))
+    ks = F.when(F.col("s") > 0, ks).otherwise(F.array_union(F.array(F.lit(1)), ks))
+    found = met.select(*words.columns, "s", F.explode(ks).alias("k")).where(F.col("s") + F.col("k") <= F.char_length("word"))
+    return found.withColumn("sub", F.substr("word", F.col("s") + 1, F.col("k")))
 
 
-def bind(value: Column, then) -> Column:
-    """``then(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+def edges(words: DataFrame, vocabulary: Vocabulary, shortest: int = 2) -> DataFrame:
+    """``words`` with s, k, id, score, rank: those substrings that are pieces; each word's first character also if it is none (nulls), so that no word is lost."""
+    found = substrings(words, vocabulary, shortest).join(F.broadcast(vocabulary.frame(words.sparkSession)), "sub", "left").where("id is not null or k = 1")
+    return found.select(*words.columns, "s", "k", "id", "score", "rank")
 
 
 def _edge(rank: Column, s: Column, length: Column, id_: Column) -> Column:
-    """An edge as one number; numbers sort by rank, then start. Single characters come last, as they join nothing."""
-    place = (F.when(length > 1, rank.cast("long")).otherwise(NO_ID) * (1 << PLACE_BITS) + s) * (1 << PLACE_BITS) + length
-    return place * (1 << ID_BITS) + F.coalesce(id_, F.lit(NO_ID))
+    """An edge as one number; numbers sort by rank, then start."""
+    place = (rank.cast("long") * (1 << PLACE_BITS) + s) * (1 << PLACE_BITS) + length
+    return place * (1 << ID_BITS) + id_
 
 
 def _start(edge: Column) -> Column:
@@ -231,25 +260,30 @@ def _ends(edge: Column) -> Column:
     return _bit(_start(edge)) + _bit(_start(edge) + _length(edge))
 
 
-def _inside(edge: Column) -> Column:
-    return _bit(_start(edge) + _length(edge)) - _bit(_start(edge) + 1)
+def _span(edge: Column) -> Column:
+    """The bits of an edge's ends and all between."""
+    return _bit(_start(edge) + _length(edge) + 1) - _bit(_start(edge))
 
 
 def fold_merges(numbers: Column, length: Column) -> Column:
     """Borders of a word, as bits, after folding over its edges in order; an edge that joins two neighbours drops the border between them."""
 
     def step(borders, edge):
-        within = borders.bitwiseAND(_inside(edge))
-        joins = (F.bit_count(within) == 1) & (borders.bitwiseAND(_ends(edge)) == _ends(edge))
-        return F.when(joins, borders - within).otherwise(borders)
+        met = borders.bitwiseAND(_span(edge))
+        joins = (F.bit_count(met) == 3) & (met.bitwiseAND(_ends(edge)) == _ends(edge))
+        return F.when(joins, borders - met + _ends(edge)).otherwise(borders)
 
     return F.aggregate(numbers, _bit(length + 1) - 1, step)
 
 
-def _stand(numbers: Column, borders: Column) -> Column:
-    """The edges between neighbouring borders, in order of their starts: start and id as one number."""
-    own = F.filter(numbers, lambda x: (borders.bitwiseAND(_ends(x)) == _ends(x)) & (borders.bitwiseAND(_inside(x)) == 0))
-    return F.sort_array(F.transform(own, lambda x: _start(x) * (1 << ID_BITS) + x.bitwiseAND(F.lit(NO_ID)).cast("int")))
+def _stand(numbers: Column, borders: Column, word: Column, singles: dict[str, int]) -> Column:
+    """The edges and single characters between neighbouring borders, in order of their starts: start and id as one number."""
+    own = F.filter(numbers, lambda x: borders.bitwiseAND(_span(x)) == _ends(x))
+    own = F.transform(own, lambda x: _start(x) * (1 << ID_BITS) + x.bitwiseAND(F.lit(NO_ID)).cast("int"))
+    at = F.filter(F.sequence(F.lit(0), F.char_length(word) - 1), lambda s: F.call_function("shiftright", borders, s).bitwiseAND(F.lit(3)) == 3)
+    chars, ids = F.lit("".join(singles)), F.expr(f"array({', '.join(map(str, [NO_ID, *singles.values()]))})")
+    alone = F.transform(at, lambda s: s * (1 << ID_BITS) + F.element_at(ids, F.call_function("locate", F.substr(word, s + 1, F.lit(1)), chars) + 1))
+    return F.sort_array(F.concat(own, alone))
 
 
 def viterbi(word: str, scores: dict[str, float], longest: int, unknown: float = -100.0) -> list[str]:
@@ -289,34 +323,41 @@ def fold_viterbi(steps: Column, lattice: Column, unknown: float = -100.0) -> Col
 def spell(words: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> DataFrame:
     """``words`` with ids: the lattice of each of the distinct words (of at most LONG characters), folded."""
     kept = words.columns
-    found = edges(words, vocabulary.frame(words.sparkSession), vocabulary.longest)
-    number = _edge(F.col("rank"), F.col("s"), F.col("e") - F.col("s"), F.col("id"))
-    collect = [F.collect_list(number).alias("edges")]
+    found = edges(words, vocabulary, 1 if unigram else 2)
+    number = _edge(F.col("rank"), F.col("s"), F.col("k"), F.col("id"))
+    collect = [F.collect_list(F.when(F.col("k") > 1, number)).alias("edges")]
     if unigram:
-        collect.append(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("s", "e", "score"))).alias("lattice"))
+        collect.append(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("s", (F.col("s") + F.col("k")).alias("e"), "score"))).alias("lattice"))
     # words start alike, so rows are sorted by a number before the word itself
     rows = found.groupBy(F.xxhash64("word").alias("h"), *kept).agg(*collect)
+    rows = rows.withColumn("edges", F.sort_array("edges"))
     if unigram:
         steps = F.slice(F.sequence(F.lit(1), F.char_length("word")), F.lit(2), F.char_length("word"))
         path = fold_viterbi(steps, F.col("lattice"))
         rows = rows.withColumn("borders", F.aggregate(path, F.lit(0).cast("long"), lambda acc, at: acc + _bit(at)))
     else:
-        longer = F.slice("edges", F.lit(1), F.size("edges") - F.char_length("word"))
-        rows = rows.withColumn("edges", F.sort_array("edges")).withColumn("borders", fold_merges(longer, F.char_length("word")))
+        rows = rows.withColumn("borders", fold_merges(F.col("edges"), F.char_length("word")))
 
     def bytes_at(s):
         raw = F.encode(F.substr(F.col("word"), s + 1, F.lit(1)), "UTF-8")
         return F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda k: F.conv(F.hex(F.substr(raw, k, F.lit(1))), 16, 10).cast("int") + vocabulary.first_byte)
 
-    stand = _stand(F.col("edges"), F.col("borders"))
+    stand = _stand(F.col("edges"), F.col("borders"), F.col("word"), {p: i for p, i, _ in sorted(vocabulary.pieces, key=lambda x: -x[2]) if len(p) == 1})
     ids = lambda x: x.bitwiseAND(F.lit(NO_ID))
     rows = rows.select(*kept, stand.alias("stand"))
     spelt = F.flatten(F.transform("stand", lambda x: F.when(ids(x) == NO_ID, bytes_at(F.shiftright(x, ID_BITS))).otherwise(F.array(ids(x)))))
     return rows.select(*kept, F.when(F.exists("stand", lambda x: ids(x) == NO_ID), spelt).otherwise(F.transform("stand", ids)).alias("ids"))
 
 
-def encode(docs: DataFrame, path: str | None = None, unigram: bool = False) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit) and text_crc32 (of the source, in UTF-8) of every row of ``docs``."""
+ENCODED = "doc_id long, ids binary, text_crc32 long"
+
+
+def encode(docs: DataFrame, path: str | None = None, unigram: bool = False, then=None, schema: str = ENCODED) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit) and text_crc32 (of the source, in UTF-8) of every row of ``docs``.
+
+    With ``then``, what this function over Arrow batches makes of them, of type
+    ``schema``; it runs in the same worker processes.
+    """
     vocabulary = Vocabulary.load(path or public_tokenizers.path(MODEL))
     spark = docs.sparkSession
     # with fewer buckets than a shuffle has partitions, Spark would deal out whole blocks anew for the join
@@ -336,7 +377,7 @@ def encode(docs: DataFrame, path: str | None = None, unigram: bool = False) -> D
     known = rare.groupBy("block").agg(F.collect_list(F.struct("k", "ids")).alias("spelt"))
     rows = blocks.select("block", "doc_ids", "crcs", "layout", "words").join(known, "block", "left")
     rows = rows.select("doc_ids", "crcs", "layout", "words", F.col("spelt.k").alias("k"), F.col("spelt.ids").alias("ids"))
-    return rows.mapInArrow(released(lambda batches: _assemble(batches, shared)), "doc_id long, ids binary, text_crc32 long")
+    return rows.mapInArrow(released(lambda batches: then(_assemble(batches, shared)) if then else _assemble(batches, shared)), schema)
 
 
 def _bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -385,14 +426,14 @@ def _assemble(batches, shared):
     common = worker_memory(("common words", key), lambda: _Common(words))
     for batch in batches:
         for doc_ids, crcs, layout, own_words, k, ids in zip(*batch.columns):
-            flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(layout.as_py()), "<u4")
+            flat = _unpacked(layout.as_py())
             n = len(doc_ids)
             ends = np.append(0, np.cumsum(flat[:n], dtype=np.int64))
             numbers = flat[n:]
             spelt = ids.values if ids.is_valid else pa.array([], pa.list_(pa.int32()))
             lists = np.concatenate([common.flat, pc.list_flatten(spelt).to_numpy()])
             rare = pc.list_value_length(spelt).to_numpy().astype(np.int64)
-            which = np.fromiter((common.number.get(w.as_py(), -1) for w in own_words.values), np.int64, len(own_words.values))
+            which = np.fromiter((common.number.get(w, -1) for w in own_words.values.to_pylist()), np.int64, len(own_words.values))
             start, counts = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
             met = which >= 0
             start[met], counts[met] = common.at[which[met]], common.count[which[met]]
@@ -418,11 +459,15 @@ def _gathered(lists: np.ndarray, start: np.ndarray, counts: np.ndarray, numbers:
 
 
 def _decoder(path: str):
-    names = [n or b"" for n in Vocabulary.load(path).names]
+    """A function from a list of ids (binary) to their texts; bytes that aren't UTF-8 are replaced."""
+    names = pa.array([n or b"" for n in Vocabulary.load(path).names], pa.large_binary())
 
-    def spell_out(ids: bytes) -> str:
-        text = b"".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-        return text.removeprefix(" ")
+    def spell_out(ids: list[bytes]) -> list[str]:
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        taken = names.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        at = np.frombuffer(taken.buffers()[1], np.int64)[ends].tolist() if len(taken) else [0] * len(ends)
+        data = memoryview(taken.buffers()[2] or b"")
+        return [str(data[a:b], "utf-8", "replace").removeprefix(" ") for a, b in itertools.pairwise(at)]
 
     return spell_out
 
@@ -433,21 +478,20 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spell_out(x.as_py()) for x in batch.column(1)], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spell_out(batch.column(1).to_pylist()), pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(released(rows), "doc_id long, text string")
 
 
 def query(spark, sf_dir):
     """Ids of every document as a checksum, and whether the text decoded from them is the source."""
-    encoded = encode(table(spark, sf_dir, "documents"))
     spell_out = _decoder(public_tokenizers.path(MODEL))
 
     def digest(batches):
         for batch in batches:
-            raw = [x.as_py() for x in batch.column(1)]
-            texts = [zlib.crc32(spell_out(x).encode("utf-8", "surrogatepass")) for x in raw]
+            raw = batch.column(1).to_pylist()
+            texts = [zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in spell_out(raw)]
             intact = pa.array([a == b for a, b in zip(texts, batch.column(2).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(texts, pa.int64()), intact], names=["doc_id", "n_ids", "ids_crc32", "text_crc32", "intact"])
 
-    return encoded.mapInArrow(released(digest), "doc_id long, n_ids long, ids_crc32 long, text_crc32 long, intact boolean")
+    return encode(table(spark, sf_dir, "documents"), then=digest, schema="doc_id long, n_ids long, ids_crc32 long, text_crc32 long, intact boolean")

@@ -605,6 +605,34 @@ def test_blocks_of_a_lattice_stay_in_place(spark, docs):
     assert "FileScan" in plan and not re.search(r"Exchange hashpartitioning\(block[^\n]*\n[^\n]*FileScan", plan)
 
 
+def test_substrings_are_those_that_may_be_pieces(spark):
+    """A word's pieces are all there, and fewer than half of its substrings are looked up."""
+    vocabulary = lattice.Vocabulary.load(lattice.public_tokenizers.path(lattice.MODEL))
+    pieces, longest = {p for p, _, _ in vocabulary.pieces}, vocabulary.longest
+    words = ["▁internationalisation", "▁ofontisthe", "ab", "▁", "日本"]
+    got = collections.defaultdict(set)
+    for r in lattice.substrings(spark.createDataFrame([(w,) for w in words], "word string"), vocabulary).collect():
+        assert r.sub == r.word[r.s : r.s + r.k] and (r.s, r.k) not in got[r.word]
+        got[r.word].add((r.s, r.k))
+    assert set(got) == set(words)
+    for w in words:
+        every = {(s, k) for s in range(len(w)) for k in range(1, min(longest, len(w) - s) + 1)}
+        assert {(s, k) for s, k in every if k > 1 and w[s : s + k] in pieces} <= got[w] <= every
+        assert len(w) < 10 or 2 * len(got[w]) < len(every)
+
+
+def test_ids_and_digests_come_from_one_worker(spark, small):
+    plan = lattice.query(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_layout_is_packed_and_read_back():
+    numbers = np.random.default_rng(1).zipf(1.3, 100_000).astype(np.uint32)
+    raw = lattice._packed(numbers)
+    assert np.array_equal(lattice._unpacked(raw), numbers) and len(lattice._unpacked(lattice._packed(numbers[:0]))) == 0
+    assert len(raw) < len(zstandard.ZstdCompressor(level=1).compress(numbers.tobytes()))
+
+
 def test_viterbi_fold(spark):
     pieces = [("a", 0, -1.0), ("b", 1, -1.5), ("ab", 2, -2.0), ("ba", 3, -0.5), ("aba", 4, -9.0)]
     vocabulary = lattice.Vocabulary(pieces, 100, [])
